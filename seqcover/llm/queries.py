@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import bpe, quality
 
 QUERIES = {
     "op3_quality_rules": quality.query,
+    "op5_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
