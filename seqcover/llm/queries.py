@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, quality
+from . import bpe, decontaminate, quality
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality.query,
     "op5_byte_bpe": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+}
