@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, quality
+from . import bpe, decontaminate, linededup, quality
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality.query,
+    "op4_line_dedup": linededup.query,
     "op5_byte_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
+    "op4_line_dedup": linededup.ORACLE,
 }
