@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, linededup, pii, quality, simhash
+from . import bpe, decontaminate, html, linededup, pii, quality, simhash
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.query,
     "op8_pii": pii.query,
     "op9_simhash": simhash.query,
+    "op10_html_text": html.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
