@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, pii, quality, simhash
+from . import bpe, decontaminate, html, linededup, pii, quality, simhash, tokens
 
 QUERIES = {
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality.query,
     "op4_line_dedup": linededup.query,
     "op5_byte_bpe": bpe.query,
+    "op7_token_ids": tokens.query,
     "op8_pii": pii.query,
     "op9_simhash": simhash.query,
     "op10_html_text": html.query,
