@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, pii, quality, simhash, tokens
+from . import bpe, decontaminate, html, linededup, lm, pii, quality, simhash, tokens
 
 QUERIES = {
+    "op1_lm_score": lm.query,
     "op2_decontaminate": decontaminate.query,
     "op3_quality_rules": quality.query,
     "op4_line_dedup": linededup.query,
