@@ -62,13 +62,19 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder(path: str) -> Encoder:
+    """Once in each Python process."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, stripe: int = STRIPE) -> None:
     """Files of part, stripe, n_ids and data in folder, which all executors share."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
+        get = encoder(path)
         part, number, ids, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def row():
@@ -76,7 +82,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
 
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), _encoders[path].encode(texts), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), get.encode(texts), strict=True):
                 ids.append(NONE if doc_id is None else doc_id)
                 held.append(np.append(own, np.array([end], "<u4")))
                 size += len(own) + 1
