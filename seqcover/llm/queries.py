@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, lm, pii, quality, simhash, tokens
+from . import bpe, decontaminate, html, linededup, lm, pii, quality, simhash, substring, tokens
 
 QUERIES = {
     "op1_lm_score": lm.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_line_dedup": linededup.query,
     "op5_byte_bpe": bpe.query,
+    "op6_substring_dedup": substring.query,
     "op7_token_ids": tokens.query,
     "op8_pii": pii.query,
     "op9_simhash": simhash.query,
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": linededup.ORACLE,
+    "op6_substring_dedup": substring.ORACLE,
 }
