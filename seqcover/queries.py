@@ -1,4 +1,308 @@
-"""Queries of the clustering library over the given tables."""
+"""Queries of the clustering library over the given tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Sequences are the addresses of pages (short and alike), whole; centres are those whose id is divisible by 20, the stated
+query set of searches. Cluster sizes are the lines of each part, the orders of each customer and the events of each user.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars
+from .jobs import cluster as job
+from .operators import bounds, compare, evaluate, greedy, records, recruit, simulate, summary
+from .sources import clusters
+
+S = 0.9
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _urls(spark, d):
+    return _t(spark, d, "pages").select(F.col("page_id").alias("seq_id"), F.coalesce("url", F.lit("")).alias("sequence"), F.col("page_id").alias("ord"))
+
+
+def _centres(spark, d):
+    return _urls(spark, d).where("seq_id % 20 = 0")
+
+
+def _edges(spark, d):
+    return recruit.edges(_urls(spark, d).select("seq_id", "sequence"), _centres(spark, d), S)
+
+
+def _recruited(spark, d):
+    return recruit.recruited(_urls(spark, d).select("seq_id", "sequence"), _centres(spark, d), S)
+
+
+def _host_counts(spark, d):
+    """Multiplicities for pages: how many pages have the same scheme and host."""
+    host = F.regexp_extract("sequence", "^[a-z]+://[^/]*", 0)
+    pages = _urls(spark, d).withColumn("host", host)
+    return pages.join(pages.groupBy("host").agg(F.count(F.lit(1)).alias("count")), "host").select("seq_id", "count")
+
+
+def _part_sizes(spark, d):
+    return _t(spark, d, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _customer_sizes(spark, d):
+    return _t(spark, d, "orders").groupBy("o_orderstatus", "o_custkey").agg(F.count(F.lit(1)).alias("density"))
+
+
+def _user_sizes(spark, d):
+    return _t(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("size"))
+
+
+def _months(spark, d):
+    return _t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("iteration")).agg(F.count(F.lit(1)).alias("n_seqs"), F.count(F.when(F.col("o_totalprice") >= 200000, 1)).alias("n_big"))
+
+
+def dedup_counts(spark, d):
+    r = _t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("sequence"), F.col("doc_id").alias("ord"))
+    return records.deduplicated(r).select("seq_id", F.md5("sequence").alias("digest"), "count")
+
+
+def sample_md5(spark, d):
+    return records.sampled(_t(spark, d, "documents").select(F.col("doc_id").alias("seq_id")), 0.25, 7)
+
+
+def include_ids(spark, d):
+    return records.included(_t(spark, d, "documents").select("doc_id", "source"), _t(spark, d, "labels"), "doc_id")
+
+
+def exclude_ids(spark, d):
+    return records.excluded(_t(spark, d, "documents").select("doc_id", "source"), _t(spark, d, "labels"), "doc_id")
+
+
+def ambiguous_edges(spark, d):
+    return _edges(spark, d).select("target", "centre")
+
+
+def recruit_cost(spark, d):
+    return recruit.edges(_urls(spark, d).select("seq_id", "sequence"), _centres(spark, d), S, cost=True).select("target", "centre", F.col("cost").cast("long").alias("cost"))
+
+
+def recruit_first_center(spark, d):
+    return _recruited(spark, d)
+
+
+def nonambiguous_weights(spark, d):
+    return recruit.nonambiguous_weights(_edges(spark, d))
+
+
+def ambiguous_assigned(spark, d):
+    return recruit.ambiguous_assigned(_edges(spark, d), 11)
+
+
+def cluster_summary(spark, d):
+    return summary.cluster_summary(_recruited(spark, d), _host_counts(spark, d))
+
+
+def bait_centers(spark, d):
+    return summary.bait_centres(cluster_summary(spark, d))
+
+
+def mode_centers(spark, d):
+    return summary.mode_centres(cluster_summary(spark, d))
+
+
+def greedy_clusters(spark, d):
+    return greedy.clustered(_urls(spark, d).select("seq_id", "sequence"), S)
+
+
+def iteration_metrics(spark, d):
+    return summary.iteration_metrics(_part_sizes(spark, d).withColumnRenamed("size", "density"), 35)
+
+
+def iteration_metrics_by_status(spark, d):
+    return summary.iteration_metrics(_customer_sizes(spark, d), 5, ["o_orderstatus"])
+
+
+def size_histogram_norm(spark, d):
+    return summary.histogram(_part_sizes(spark, d))
+
+
+def size_threshold_table(spark, d):
+    return summary.size_table(_customer_sizes(spark, d), "o_orderstatus")
+
+
+def fragmentation_curve(spark, d):
+    return evaluate.fragmentation(_user_sizes(spark, d))
+
+
+def fragmentation_parts(spark, d):
+    return evaluate.fragmentation(_part_sizes(spark, d), 25)
+
+
+def cumulative_by_iteration(spark, d):
+    return summary.running(_months(spark, d), "iteration", ["n_seqs", "n_big"])
+
+
+def adapt_rate(spark, d):
+    days = _t(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    rate = F.when(F.col("previous_n").isNull(), F.lit(0.1)).otherwise(scalars.adapted_rate(F.lit(0.1), F.col("n"), F.col("previous_n"), 0.008))
+    return summary.with_previous(days, "day", "n").withColumn("rate", F.round(rate, 9))
+
+
+def carried_frontier(spark, d):
+    m = _months(spark, d).select("iteration", F.when(F.col("n_seqs") % 3 == 0, F.col("n_seqs")).alias("frontier"))
+    return summary.carried(m, "iteration", "frontier")
+
+
+def miss_probability(spark, d):
+    total = _t(spark, d, "lineitem").count()
+    p = scalars.miss_probability(F.col("size"), F.lit(0.02 * total), F.lit(float(total)))
+    return summary.histogram(_part_sizes(spark, d)).select("size", F.round(p, 9).alias("miss"))
+
+
+def expected_sizes(spark, d):
+    h = summary.histogram(_user_sizes(spark, d))
+    return bounds.expected_sizes(h, float(_t(spark, d, "events").count()), 0.05).select("size", "obs", "n", F.round("found", 9).alias("found"))
+
+
+def freeze_exact(spark, d):
+    h = summary.histogram(_user_sizes(spark, d))
+    return bounds.frozen_sizes(h, float(_t(spark, d, "events").count()), 0.05, 0.9).select("size", "obs", "n", F.round("chance", 6).alias("chance"), "frozen")
+
+
+def simulated_discovery(spark, d):
+    h = summary.histogram(_user_sizes(spark, d))
+    return bounds.simulated(h, float(_t(spark, d, "events").count()), 0.05, 50, 5)
+
+
+def size_outer_compare(spark, d):
+    parts = _t(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.sum("p_size").cast("long").alias("part_sum"))
+    sold = _t(spark, d, "lineitem").join(_t(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).where("l_quantity >= 50").groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n_sold"))
+    return evaluate.outer_compared(parts, sold, "name", ["part_sum", "n_sold"])
+
+
+def matched_abundance(spark, d):
+    abundance = _t(spark, d, "customer").select(F.col("c_custkey").alias("other"), F.col("c_nationkey").cast("long").alias("count"))
+    mapping = _t(spark, d, "orders").select(F.col("o_custkey").alias("other"), F.col("o_orderpriority").alias("centroid")).distinct()
+    own = _t(spark, d, "orders").select(F.col("o_orderpriority").alias("centroid"), F.col("o_orderkey").alias("seq_id"), (F.col("o_custkey") % 7).alias("count"))
+    return compare.matched(abundance, mapping, own)
+
+
+def pearson(spark, d):
+    joined = _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return evaluate.pearson(joined, "c_acctbal", "o_totalprice").select(F.round("r", 6).alias("r"), "n")
+
+
+def spearman(spark, d):
+    joined = _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return evaluate.spearman(joined, "c_acctbal", "o_totalprice").select(F.round("r", 6).alias("r"), "n")
+
+
+def entropy(spark, d):
+    return summary.entropy(_t(spark, d, "events"), F.col("event_type")).select(F.round("entropy", 6).alias("entropy"))
+
+
+def miss_curve(spark, d):
+    h = _part_sizes(spark, d).select(F.col("size").alias("k")).distinct()
+    total = _t(spark, d, "lineitem").count()
+    grid = h.select("k", F.lit(total).cast("long").alias("total"), F.explode(F.array(*[F.lit(x) for x in (1, 2, 5, 10)])).alias("percent")).withColumn("drawn", F.floor(F.col("total") * F.col("percent") / 100))
+    return simulate.miss_curve(grid).select("k", F.col("percent").cast("long").alias("percent"), F.round("miss", 7).alias("miss"))
+
+
+def log_factorial(spark, d):
+    most = _t(spark, d, "lineitem").groupBy("l_suppkey").count().agg(F.max("count")).first()[0]
+    return bounds.log_factorials(spark, most).select("k", F.round("ln_factorial", 5).alias("ln_factorial"))
+
+
+def kmer_spectrum(spark, d):
+    return records.kmers(_t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("sequence")), 4)
+
+
+def kmer_rollup(spark, d):
+    return records.rolled_up(kmer_spectrum(spark, d), 2)
+
+
+def kmer_excess(spark, d):
+    return records.kmer_excess(_urls(spark, d), _centres(spark, d), 4)
+
+
+def filter_length(spark, d):
+    return records.filter_length(_t(spark, d, "benchmark").select(F.coalesce("text", F.lit("")).alias("sequence")))
+
+
+def fasta_sort(spark, d):
+    ranked = _t(spark, d, "pages").select("page_id", F.length("url").alias("n"))
+    from pyspark.sql import Window
+
+    host = F.regexp_extract(F.col("url"), "^[a-z]+://[^/]*", 0)
+    return _t(spark, d, "pages").select("page_id", host.alias("host"), F.row_number().over(Window.partitionBy(host).orderBy(F.desc(F.length("url")), F.desc("page_id"))).cast("long").alias("place")).join(ranked, "page_id").select("page_id", "host", "place", F.col("n").cast("long").alias("n"))
+
+
+def _select(mode: str) -> Callable:
+    def query(spark, d):
+        return records.selected(_urls(spark, d).select("seq_id", "sequence"), _recruited(spark, d), mode)
+
+    return query
+
+
+def _turns(spark, d):
+    t = _t(spark, d, "conversations")
+    return t.select(F.col("conv_id").cast("string").alias("centroid"), F.concat_ws("-", "conv_id", "turn", "role").alias("seq_id"))
+
+
+def members_to_lines(spark, d):
+    return clusters.members_to_lines(_turns(spark, d))
+
+
+def lines_to_members(spark, d):
+    lines = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.coalesce("text", F.lit("")).alias("value"))
+    return clusters.first_lines(clusters.lines_to_members(lines)).select("seq_id", "line_no", F.col("pos").cast("long").alias("pos"))
+
+
+def line_sizes(spark, d):
+    lines = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), F.coalesce("text", F.lit("")).alias("value"))
+    return clusters.line_sizes(lines).withColumn("size", F.col("size").cast("long"))
+
+
+def singleton_padding(spark, d):
+    return summary.padded(_user_sizes(spark, d), 2 * _t(spark, d, "events").count())
+
+
+def category_counts(spark, d):
+    return summary.category_counts(_t(spark, d, "lineitem"), "l_suppkey", "l_returnflag", ["A", "R"])
+
+
+def iteration_maximum(spark, d):
+    return summary.maximum(_customer_sizes(spark, d), "o_orderstatus", "density")
+
+
+def running_ids(spark, d):
+    o = _t(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("iteration"), F.col("o_orderkey").alias("line_no"))
+    return summary.running_ids(o).withColumn("cluster_id", F.col("cluster_id").cast("long"))
+
+
+def one_iteration(spark, d):
+    """One whole round of the job over the page addresses: members, by the sampled centres after the shift to modes."""
+    reads = _urls(spark, d)
+    return job.run(reads, job.Options(similarity=S, rate=0.3, iterations=1, least=2))[0]
+
+
+def three_iterations(spark, d):
+    return job.run(_urls(spark, d), job.Options(similarity=S, rate=0.3, iterations=3, least=2))[1].drop("minutes")
+
+
+def naive_rounds(spark, d):
+    return simulate.discovery_rounds(_user_sizes(spark, d).withColumnRenamed("user_id", "cluster"), 0.05, 4, 3)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        dedup_counts, sample_md5, include_ids, exclude_ids, ambiguous_edges, recruit_cost, recruit_first_center, nonambiguous_weights, ambiguous_assigned, cluster_summary, bait_centers, mode_centers, greedy_clusters, iteration_metrics,
+        iteration_metrics_by_status, size_histogram_norm, size_threshold_table, fragmentation_curve, fragmentation_parts, cumulative_by_iteration, adapt_rate, carried_frontier, miss_probability, expected_sizes, freeze_exact, simulated_discovery,
+        size_outer_compare, matched_abundance, pearson, spearman, entropy, miss_curve, log_factorial, kmer_spectrum, kmer_rollup, kmer_excess, filter_length, fasta_sort, members_to_lines, lines_to_members, line_sizes, singleton_padding,
+        category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds,
+    )
+} | {f"select_{mode}": _select(mode) for mode in ("centres", "rest", "members")}
+
+from .oracle import ORACLE_SQL  # noqa: E402,F401
