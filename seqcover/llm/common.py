@@ -64,5 +64,19 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in values.to_pylist()]
 
 
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of a few rows, for functions that hold several times the size of their input."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores in front as set it apart from columns (whose case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]

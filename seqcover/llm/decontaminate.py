@@ -98,8 +98,9 @@ def _blocks(benchmark: DataFrame):
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every row of docs with its columns, n_words, hit (a bit for each word, as packed bytes) and items (sorted array)."""
-    out = docs.select(*docs.columns, F.lit(None).cast("binary").alias("_hit"), F.array().cast("array<string>").alias("_items"))
+    """Every row of docs with its columns and, behind them, hit (a bit for each word, as packed bytes) and items (sorted array), under unused names."""
+    h, i = common.unused("_hit", docs.columns), common.unused("_items", docs.columns)
+    out = docs.select(*docs.columns, F.lit(None).cast("binary").alias(h), F.array().cast("array<string>").alias(i))
     spark, schema = docs.sparkSession, out.schema
     for items in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
@@ -108,14 +109,14 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             searcher = Searcher(shared.value)
             for batch in batches:
                 hits, found = [], []
-                for text, before, had in zip(common.texts(batch), batch.column("_hit").to_pylist(), batch.column("_items").to_pylist(), strict=True):
+                for text, before, had in zip(common.texts(batch), batch.column(h).to_pylist(), batch.column(i).to_pylist(), strict=True):
                     own = words(text)
                     hit, names = searcher.find(own)
                     if before is not None:
                         hit |= np.unpackbits(np.frombuffer(before, np.uint8), count=len(own)).astype(bool)
                     hits.append(np.packbits(hit).tobytes())
                     found.append(sorted(names | set(had)))
-                k, j = batch.schema.get_field_index("_hit"), batch.schema.get_field_index("_items")
+                k, j = batch.schema.get_field_index(h), batch.schema.get_field_index(i)
                 yield batch.set_column(k, batch.schema.field(k), pa.array(hits, batch.schema.field(k).type)).set_column(j, batch.schema.field(j), pa.array(found, batch.schema.field(j).type))
 
         out = out.mapInArrow(run, schema)
@@ -143,7 +144,8 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, all columns, without the rows that hold a benchmark window."""
-    return search(docs, benchmark).where(F.size("_items") == 0).select(*docs.columns)
+    found = search(docs, benchmark)
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -45,22 +45,25 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 
 
 def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
-    found = common.stored(boilerplate(docs, host, ratio, min_pages), "boilerplate").withColumnRenamed("_host", "_site")
-    size = found.agg(F.sum(16 * F.size("_common") + F.coalesce(F.octet_length(F.col("_site").cast("string")), F.lit(0)))).first()[0]
-    side = F.broadcast(found) if (size or 0) <= BROADCAST_BYTES else found
+    """docs, then the lines before and those removed, under unused names."""
+    site, lines_, kept_, n_, gone_ = (common.unused(c, docs.columns) for c in ("_site", "_common", "_kept", "_n_lines", "_n_removed"))
+    found = common.stored(boilerplate(docs.select(F.col(host).alias("_host"), "text"), "_host", ratio, min_pages), "boilerplate")
+    size = found.agg(F.sum(16 * F.size("_common") + F.coalesce(F.octet_length(F.col("_host").cast("string")), F.lit(0)))).first()[0]
+    side = found.select(F.col("_host").alias(site), F.col("_common").alias(lines_))
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("_common").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("_common"), _digest(x))))
-    joined = docs.join(side, F.col(host).eqNullSafe(F.col("_site")), "left").withColumn("_kept", kept)
-    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
+    kept = F.when(F.col(lines_).isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col(lines_), _digest(x))))
+    joined = docs.join(F.broadcast(side) if (size or 0) <= BROADCAST_BYTES else side, F.col(host).eqNullSafe(F.col(site)), "left").withColumn(kept_, kept)
+    text = F.when(F.col("text").isNotNull(), F.array_join(kept_, "\n"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
-    n_removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")).cast("long")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("_n_lines"), n_removed.alias("_n_removed"))
+    n_removed = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size(kept_)).cast("long")
+    return joined.select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns], n_lines.alias(n_), n_removed.alias(gone_))
 
 
 def cleaned(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with text rid of boilerplate lines, n_lines before and n_removed; these take the place of columns of the same names."""
     out = _cleaned(docs, host, ratio, min_pages)
-    return out.drop("n_lines", "n_removed").withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+    before, gone = out.columns[-2:]
+    return out.drop("n_lines", "n_removed").withColumnsRenamed({before: "n_lines", gone: "n_removed"})
 
 
 def clean(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

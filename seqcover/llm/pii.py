@@ -142,14 +142,15 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with pseudonyms in text, and n_private (matches that were valid), which takes the place of a column of that name."""
     text = F.col("text")
     found = F.when(text.rlike(r"[0-9]{3}|@|[0-9][./-][0-9]|[=:]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    out = docs.drop("n_private").withColumn("_found", found)
-    made = F.when(F.size("_found") > 0, F.transform("_found", lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
-    out = out.withColumn("_made", made)
+    found_, made_ = common.unused("_found", docs.columns), common.unused("_made", docs.columns)
+    out = docs.drop("n_private").withColumn(found_, found)
+    made = F.when(F.size(found_) > 0, F.transform(found_, lambda m: F.struct(m.alias("old"), pseudonym(m, key).alias("new"))))
+    out = out.withColumn(made_, made)
     parts = F.split(text, PATTERN, -1)
-    joined = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size("_made")), F.col("_made"), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"]))), ""), F.element_at(parts, -1))
-    new = F.when(F.col("_made").isNull(), text).otherwise(joined)
-    count = F.coalesce(F.size(F.filter("_made", lambda x: x["new"].isNotNull())), F.lit(0))
-    return out.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_private"], F.when(F.col("_made").isNull(), 0).otherwise(count).cast("long").alias("n_private"))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(parts, 1, F.size(made_)), F.col(made_), lambda p, x: F.concat(p, F.coalesce(x["new"], x["old"]))), ""), F.element_at(parts, -1))
+    new = F.when(F.col(made_).isNull(), text).otherwise(joined)
+    count = F.coalesce(F.size(F.filter(made_, lambda x: x["new"].isNotNull())), F.lit(0))
+    return out.select(*[new.alias(c) if c == "text" else F.col(c) for c in docs.columns if c != "n_private"], F.when(F.col(made_).isNull(), 0).otherwise(count).cast("long").alias("n_private"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -244,7 +244,8 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET)
     from pyspark.sql import Window
 
     same = docs["doc_id"].eqNullSafe(again["doc_id"])
-    first = kept.join(again, same, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    n_ = common.unused("_n", docs.columns)
+    first = kept.join(again, same, "left_semi").withColumn(n_, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n_) == 1).drop(n_)
     return kept.join(again, same, "left_anti").unionByName(first)
 
 
