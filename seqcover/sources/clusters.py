@@ -58,7 +58,7 @@ def read_duplicates(spark: SparkSession, path: str) -> DataFrame:
 
 def read_counts_literal(spark: SparkSession, path: str) -> DataFrame:
     """seq_id and count from one Python literal {id: {"Counts": "n"}}; for files that the driver can hold."""
-    text = "\n".join(r.value for r in spark.read.option("wholetext", True).text(path).collect())
+    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     return spark.createDataFrame([(k, int(v["Counts"])) for k, v in ast.literal_eval(text).items()], "seq_id string, count long")
 
 

@@ -49,8 +49,8 @@ def count_records(spark: SparkSession, path: str) -> int:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """header, sequence and quality of four-line records that start with "@", one after the other."""
-    raw = spark.read.option("wholetext", True).text(path)
+    """header, sequence and quality of four-line records that start with "@", one after the other. A file is one row: for many files, not for a huge one."""
+    raw = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", "\r?\n"), lambda x: x != "")
     record = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1)), lambda k: F.struct(F.get("lines", k * 4).alias("header"), F.get("lines", k * 4 + 1).alias("sequence"), F.get("lines", k * 4 + 3).alias("quality"))))
     return raw.select(lines.alias("lines")).where(F.size("lines") >= 4).select(record.alias("r")).select(F.expr("substr(r.header, 2)").alias("header"), "r.sequence", "r.quality")
