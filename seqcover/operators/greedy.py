@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.distance import allowed, within_prefix
+from ..functions.scalars import radius
 from ..functions.tables import kept
 from . import recruit
 
@@ -18,9 +20,10 @@ from . import recruit
 def earlier_edges(records: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
     """target and centre for each pair whose centre comes before the target in cluster order and accepts it."""
     ranked = records.select("seq_id", "sequence", F.lit(0).alias("ord"))
-    pairs = recruit.edges(ranked, ranked, similarity, mismatches).where("target <> centre").select("target", "centre")
-    place = lambda side: records.select(F.col("seq_id").alias(side), F.struct(F.length("sequence").alias("n"), "sequence", "seq_id").alias(f"{side}_place"))
-    return pairs.join(place("target"), "target").join(place("centre"), "centre").where("centre_place > target_place").select("target", "centre", "centre_place")
+    place = lambda text, key: F.struct(F.length(text).alias("n"), F.col(text).alias("s"), F.col(key).alias("id"))
+    pairs = recruit.candidates(ranked, ranked, similarity, mismatches).withColumn("centre_place", place("q", "centre")).where(F.col("centre_place") > place("t", "target"))
+    near = pairs.where(within_prefix(F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches)))
+    return near.groupBy("target", "centre").agg(F.first("centre_place").alias("centre_place"))
 
 
 def clustered(records: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
@@ -48,7 +51,5 @@ def apart_clustered(records: DataFrame, similarity: float) -> DataFrame:
     ranked = records.select("seq_id", "sequence")
     centres = ranked.join(wide.where("seq_id = centroid").select("seq_id"), "seq_id", "left_semi").withColumn("ord", F.lit(0))
     near = recruit.edges(ranked, centres, similarity, cost=True).join(ranked.select(F.col("seq_id").alias("centre"), F.length("sequence").alias("n")), "centre")
-    from ..functions.scalars import radius
-
     inner = near.where((F.col("cost") < radius(F.col("n"), similarity)) | (F.col("target") == F.col("centre"))).select(F.col("target").alias("seq_id"), F.col("centre").alias("centroid"))
     return wide.join(inner, ["seq_id", "centroid"], "left_semi").unionByName(centres.select("seq_id", F.col("seq_id").alias("centroid"))).distinct()
