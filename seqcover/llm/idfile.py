@@ -116,7 +116,7 @@ def _coded(ranks: np.ndarray, lengths: np.ndarray, distinct: int) -> list[bytes]
         while alive and lengths[alive - 1] <= t:
             alive -= 1
             mixer.cut(alive)
-        rank, low, wide = steps[t, :alive], low_[:alive], wide_[:alive]
+        rank, low, wide = steps[t, :alive].astype(np.int64), low_[:alive], wide_[:alive]
         mixer.predict()
         start, width, place, bits = (x.astype(np.uint64) for x in mixer.part(rank))
         wide >>= _WORD
@@ -158,7 +158,7 @@ def _decoded(blocks: list[bytes], lengths: np.ndarray, distinct: int) -> np.ndar
     # the window holds three words and the upper half of the fourth
     code_ = ((data[:, 0] << np.uint64(40)) | (data[:, 1] << np.uint64(24)) | (data[:, 2] << np.uint64(8)) | (data[:, 3] >> np.uint64(8))) & _ONES
     half_ = data[:, 3] & np.uint64(255)
-    out = np.zeros((most, n), np.int64)
+    out = np.zeros((most, n), np.int32)
     alive = n
     for t in range(most):
         while alive and lengths[alive - 1] <= t:
@@ -200,12 +200,19 @@ def packed(doc_ids: list[int], documents: list[np.ndarray]) -> bytes:
     """One stripe. Document ids may be any signed 64-bit numbers, repeated or not; documents may be empty."""
     lengths = np.array([len(x) for x in documents], "<u4")
     ids = np.concatenate(documents).astype("<u4") if documents else np.zeros(0, "<u4")
-    names, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids) if len(ids) and ids.max() < 1 << 24 else None
+    if counts is None:
+        names, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    else:  # small ids need no sort
+        names = np.flatnonzero(counts)
+        place = np.zeros(len(counts), np.int32)
+        place[names] = np.arange(len(names))
+        which, counts = place[ids], counts[names]
     order = np.lexsort((names, -counts))
     rank_of = np.empty(len(order), np.int64)
     rank_of[order] = np.arange(len(order))
     n = -(-len(ids) // BLOCK)
-    ranks = np.zeros(n * BLOCK, np.int64)
+    ranks = np.zeros(n * BLOCK, np.int32)
     ranks[: len(ids)] = rank_of[which.reshape(-1)]
     sizes = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(n))
     blocks = _coded(ranks.reshape(n, BLOCK), sizes, len(names)) if n else []

@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from . import common, idfile
 
 VOCABULARY, END = "word_bpe_49k.json", 2
-STRIPE = 1 << 23
+STRIPE = 5 << 20
+#: Marks of which none begins a contraction.
+MARKS = ".,;:!?"
 CACHED, CACHED_CHARS = 300_000, 64
 
 
@@ -43,15 +45,20 @@ class Encoder:
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = list({c for own in chunks for c in own}.difference(known))
+        new = {c for own in chunks for c in own}.difference(known)
+        # letters and the marks behind them are encoded apart by the tokenizer anyway
+        parted = {c: core for c in new if (core := c.rstrip(MARKS)) != c and core.isascii() and core.isalpha()}
+        new |= {part for c, core in parted.items() for part in (core, c[len(core) :])} - known.keys()
         ask = []
-        for c in new:
+        for c in new.difference(parted):
             if (had := older.get(c)) is None:
                 ask.append(c)
             else:
                 known[c] = had
         for c, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
             known[c] = np.array(e.ids, "<u4").tobytes()
+        for c, core in parted.items():
+            known[c] = known[core] + known[c[len(core) :]]
         out = [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in chunks]
         for c in new:
             if len(c) > CACHED_CHARS:
@@ -80,7 +87,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         def row():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "stripe": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64()), "data": pa.array([idfile.packed(ids, held)], pa.binary())})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in common.slices(whole)):
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), get.encode(texts), strict=True):
                 ids.append(NONE if doc_id is None else doc_id)
