@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, PHRASE = 13, 5
+WINDOW, PHRASE = 13, 6
 #: Words that a task names at a time, and distinct words whose names it keeps.
 CHUNK, CACHED = 500_000, 500_000
 LAST = (1 << 63) - 1
@@ -117,7 +117,8 @@ def windows(name: np.ndarray) -> np.ndarray:
 
 _zstd = zstandard.ZstdCompressor(1), zstandard.ZstdDecompressor()
 _SENT = "bucket int, source long, kind int, name binary, doc binary, place binary"
-_FOUND = "doc_id long, row long, place binary"
+_FOUND = "bucket int, doc binary, place binary"
+_PLACES = "doc_id long, row long, places binary"
 
 
 def _pressed(values: np.ndarray) -> bytes:
@@ -198,7 +199,7 @@ def _window_rows(buckets: int):
     def run(batches):
         source = TaskContext.get().partitionId() << 24
         for batch in batches:
-            starts = {(d, r): np.unique(np.concatenate([_opened(x, "<u4") for x in p])) for d, r, p in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("places").to_pylist(), strict=True)}
+            starts = {(d, r): _opened(p, "<u4") for d, r, p in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("places").to_pylist(), strict=True)}
             for held in _chunks(batch):
                 made, docs, places = [], [], []
                 for doc_id, row, own in held:
@@ -222,45 +223,61 @@ def _window_rows(buckets: int):
     return run
 
 
-def _gathered(wide: int, pick):
-    """Each bucket's entries together; pick says which of them are found. Decided ones are found anyway."""
-
-    def solve(rows: list[dict]):
-        sent = [r for r in rows if r["kind"] == 0]
-        doc = [_opened(r["doc"], "<i8").reshape(-1, 2) for r in rows]
-        place = [_opened(r["place"], "<u4") for r in rows]
-        out_doc, out_place = [d for d, r in zip(doc, rows, strict=True) if r["kind"]], [p for p, r in zip(place, rows, strict=True) if r["kind"]]
-        if sent:
-            d, p = (np.concatenate([x for x, r in zip(own, rows, strict=True) if not r["kind"]]) for own in (doc, place))
-            name = np.concatenate([np.frombuffer(r["name"], np.uint64).reshape(-1, wide) for r in sent])
-            source = np.repeat([r["source"] for r in sent], [len(r["name"]) // 8 // wide for r in sent])
-            order = np.lexsort((d[:, 0], *name.T))
-            name, d, p, source = name[order], d[order], p[order], source[order]
-            found = pick(np.concatenate([[True], (name[1:] != name[:-1]).any(1)]), d, p, source)
-            out_doc.append(d[found])
-            out_place.append(p[found])
-        d, p = np.concatenate(out_doc), np.concatenate(out_place)
-        order = np.lexsort((d[:, 1], d[:, 0]))
-        d, p = d[order], p[order]
-        cut = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(1)])) if len(d) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(d))
-        if len(cut):
-            yield pa.RecordBatch.from_arrays([pa.array(d[cut, 0]), pa.array(d[cut, 1]), pa.array([_pressed(p[a:b].astype("<u4")) for a, b in zip(cut.tolist(), ends.tolist(), strict=True)], pa.binary())], names=["doc_id", "row", "place"])
+def _held(batches):
+    """The rows of each bucket together."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and held[0]["bucket"] != row["bucket"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _gathered(wide: int, buckets: int, pick):
+    """Each bucket's entries together; pick says which of them are found. Decided ones are found anyway. What is found is packed by bucket of the document."""
 
     def run(batches):
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and held[0]["bucket"] != row["bucket"]:
-                    yield from solve(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield from solve(held)
+        for rows in _held(batches):
+            doc = [_opened(r["doc"], "<i8").reshape(-1, 2) for r in rows]
+            place = [_opened(r["place"], "<u4") for r in rows]
+            sent = [k for k, r in enumerate(rows) if not r["kind"]]
+            found_doc, found_place = [doc[k] for k, r in enumerate(rows) if r["kind"]], [place[k] for k, r in enumerate(rows) if r["kind"]]
+            if sent:
+                d, p = np.concatenate([doc[k] for k in sent]), np.concatenate([place[k] for k in sent])
+                name = np.concatenate([np.frombuffer(rows[k]["name"], np.uint64).reshape(-1, wide) for k in sent])
+                source = np.repeat([rows[k]["source"] for k in sent], [len(place[k]) for k in sent])
+                order = np.lexsort((d[:, 0], *name.T))
+                name, d, p, source = name[order], d[order], p[order], source[order]
+                found = pick(np.concatenate([[True], (name[1:] != name[:-1]).any(1)]), d, p, source)
+                found_doc.append(d[found])
+                found_place.append(p[found])
+            d, p = np.concatenate(found_doc), np.concatenate(found_place)
+            to = ((d[:, 0].astype(np.uint64) * _A >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((d[:, 1], d[:, 0], to))
+            d, p, edges = d[order], p[order], np.searchsorted(to[order], np.arange(buckets + 1))
+            some = np.flatnonzero(np.diff(edges)).tolist()
+            cut = [slice(edges[b], edges[b + 1]) for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pressed(d[c]) for c in cut], pa.binary()), pa.array([_pressed(p[c]) for c in cut], pa.binary())], names=["bucket", "doc", "place"])
 
     return run
 
 
+def _by_document(batches):
+    """One row for each document of a bucket, with all its places in order."""
+    for rows in _held(batches):
+        d = np.concatenate([_opened(r["doc"], "<i8").reshape(-1, 2) for r in rows])
+        p = np.concatenate([_opened(r["place"], "<u4") for r in rows])
+        order = np.lexsort((p, d[:, 1], d[:, 0]))
+        d, p = d[order], p[order]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(1)])) if len(d) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(d)).tolist()
+        packed = [_pressed(np.unique(p[a:b])) for a, b in zip(first.tolist(), ends, strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(d[first, 0]), pa.array(d[first, 1]), pa.array(packed, pa.binary())], names=["doc_id", "row", "places"])
+
+
 def _shared(new: np.ndarray, doc: np.ndarray, place: np.ndarray, source: np.ndarray) -> np.ndarray:
     """Entries of anchors that came from two tasks' documents or were decided in one."""
     group, first = np.cumsum(new) - 1, np.flatnonzero(new)
@@ -280,17 +297,16 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, row, text and removed (window starts, packed) of the documents (doc_id not null, row, text) that lose words."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = _dealt(docs.mapInArrow(_anchor_rows(buckets), _SENT)).mapInArrow(_gathered(1, _shared), _FOUND)
-    places = shared.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    found = lambda sent, wide, pick: _dealt(_dealt(sent).mapInArrow(_gathered(wide, buckets, pick), _FOUND)).mapInArrow(_by_document, _PLACES)
+    places = found(docs.mapInArrow(_anchor_rows(buckets), _SENT), 1, _shared).select("doc_id", "places")
     some = common.stored(docs.join(places, "doc_id").select("doc_id", "row", "text", "places"), "candidates")
-    later = _dealt(some.mapInArrow(_window_rows(buckets), _SENT)).mapInArrow(_gathered(2, _later), _FOUND)
-    gone = later.groupBy("doc_id", "row").agg(F.collect_list("place").alias("removed"))
+    gone = found(some.mapInArrow(_window_rows(buckets), _SENT), 2, _later).withColumnRenamed("places", "removed")
     return some.select("doc_id", "row", "text").join(gone, ["doc_id", "row"])
 
 
-def _kept(words: list[bytes], removed: list[bytes]) -> tuple[int, bytes]:
+def _kept(words: list[bytes], removed: bytes) -> tuple[int, bytes]:
     gone = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.concatenate([_opened(x, "<u4") for x in removed])).astype(np.int64)
+    at = _opened(removed, "<u4").astype(np.int64)
     gone[at] += 1
     np.add.at(gone, at + WINDOW, -1)
     lost = np.cumsum(gone)[:-1] > 0
