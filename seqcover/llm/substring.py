@@ -162,7 +162,7 @@ def _sent(source: int, buckets: int, name: np.ndarray, doc: np.ndarray, place: n
         rows.append(_row(int(source % buckets), source, 1, np.zeros(0, np.uint64), doc[decided], place[decided]))
     name, doc, place = name[send], doc[send], place[send]
     bucket = ((name if name.ndim == 1 else name[:, 0]) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((place, doc[:, 0], bucket))  # by document, as that packs best
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)).tolist():
         own = order[edges[b] : edges[b + 1]]
@@ -296,7 +296,7 @@ def _dealt(sent: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, row, text and removed (window starts, packed) of the documents (doc_id not null, row, text) that lose words."""
     spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = lambda sent, wide, pick: _dealt(_dealt(sent).mapInArrow(_gathered(wide, buckets, pick), _FOUND)).mapInArrow(_by_document, _PLACES)
     places = found(docs.mapInArrow(_anchor_rows(buckets), _SENT), 1, _shared).select("doc_id", "places")
     some = common.stored(docs.join(places, "doc_id").select("doc_id", "row", "text", "places"), "candidates")
