@@ -10,6 +10,7 @@ id. A null text is empty and has the end id alone.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 
@@ -27,6 +28,13 @@ STRIPE = 5 << 20
 #: Marks of which none begins a contraction.
 MARKS = ".,;:!?"
 CACHED, CACHED_CHARS = 300_000, 64
+#: White space of Python that isn't the tokenizer's, and chunks of texts that have it.
+SEPARATORS, CHUNKS = re.compile("[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
+
+
+def chunked(text: str) -> list[str]:
+    """The text cut at the tokenizer's white space."""
+    return CHUNKS.findall(text) if SEPARATORS.search(text) else text.split()
 
 
 class Encoder:
@@ -41,7 +49,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [x.split() for x in texts]
+        chunks = [chunked(x) for x in texts]
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older

@@ -255,6 +255,15 @@ def test_token_files(spark, documents, odd, none, tmp_path):
     assert tokens.read(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_tokens_of_control_characters_and_white_space():
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    library = Tokenizer.from_file(path)
+    odd = [*map(chr, [*range(0x21), *range(0x7F, 0xA1)]), *"\u1680\u180e\u2000\u2007\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"]
+    texts = [t for c in odd for t in (f"ab{c}cd", f"{c}ab.{c} {c}cd{c}", c)] + ["".join(f"w{c}" for c in odd)]
+    for text, got in zip(texts, tokens.Encoder(path).encode(texts), strict=True):
+        assert got.tolist() == library.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_stripes_come_back_and_damage_shows():
     rng = np.random.default_rng(0)
     for docs in ([], [[]], [[5]], [[], [2], []], [[7] * 9000], [rng.integers(0, 1 << 20, 5000).tolist(), [], [1, 2, 3] * 3000], [rng.zipf(1.3, 9000).clip(0, 49000).tolist()]):
