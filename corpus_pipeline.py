@@ -1,7 +1,8 @@
 """From raw documents to token ids: five stages, each on all that the one before kept.
 
 quality_rules drops what the rules or the isolation forest reject; line_dedup takes boilerplate lines of a source out of
-the texts; near_dedup keeps one document of each group of SimHash near-duplicates, the one with the smallest doc_id;
+the texts; near_dedup keeps one document of each group of near-duplicates (five-word shingles, Jaccard
+similarity of 0.8 or more), the one with the smallest doc_id;
 decontaminate drops documents that hold a benchmark window; byte_bpe encodes what is left and checks that it decodes to
 the same text. All but the last return the columns that they were given.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqcover.llm import bpe, common, decontaminate, linededup, quality, simhash
+from seqcover.llm import bpe, common, decontaminate, linededup, neardup, quality
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicated(docs)
+    return neardup.deduplicated(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -234,7 +234,12 @@ def _repeated(prints: DataFrame) -> bool:
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
     """docs, all columns, with one row for each component: one of its smallest doc_id."""
-    groups = common.stored(grouped(docs.select("doc_id", "text"), shingle, budget), "groups")
+    return kept(docs, grouped(docs.select("doc_id", "text"), shingle, budget))
+
+
+def kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs, all columns, with one row for each component of groups (doc_id, component_id of every row)."""
+    groups = common.stored(groups, "groups")
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     n = common.count_rows(gone)
     kept = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti") if n else docs

@@ -14,7 +14,7 @@ from helpers import SMALL, rows_of
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from seqcover.llm import attention, bpe, common, decontaminate, html, idfile, linededup, lm, pii, quality, simhash, substring, tokens
+from seqcover.llm import attention, bpe, common, decontaminate, html, idfile, linededup, lm, neardup, pii, quality, simhash, substring, tokens
 from seqcover.llm import queries as llm
 
 SPACE = re.compile(r"[ \t-\r]+")
@@ -400,6 +400,47 @@ def test_pipeline_equals_brute_force(spark):
     assert got == {i: library.encode_ordinary(t) for i, t in clean.items()}
 
 
+def slow_similar(rows):
+    """Smallest id reachable over links of similarity 0.8, from (id, text) rows."""
+    own = {i: lower(t).encode().split() for i, t in rows}
+    own = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in own.items()}
+    root = {i: i for i in own}
+    for i, x in sorted(own.items()):
+        for j, y in sorted(own.items()):
+            if j < i and root[i] != root[j] and 5 * len(x & y) >= 4 * len(x | y):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    return root
+
+
+@pytest.mark.parametrize("chains", [0, neardup.CHAINS])
+def test_near_dedup_equals_brute_force(spark, documents, odd, none, chains, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardup, "CHAINS", chains)
+    monkeypatch.setattr(neardup, "SAMPLE", 2)
+    rng = np.random.default_rng(11)
+    texts = [None, "", "a b", "A  b", "a b c"]
+    for k in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(40, 300)))]
+        passage = [f"p{x}" for x in range(30)]
+        for _ in range(int(rng.integers(2, 12))):
+            own = list(base)
+            for at in rng.integers(0, len(own), int(rng.integers(0, max(2, len(own) // 25)))):
+                own[at] = f"x{rng.integers(10**6)}"
+            texts.append(" ".join(own + passage * (k % 2)))
+    rows = [(1000 - i, t, "src") for i, t in enumerate(texts)]
+    want = slow_similar([(i, t) for i, t, _ in rows])
+    prints = slow_groups([(i, slow_print(t)) for i, t, _ in rows], 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    assert {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()} == want
+    assert len(set(want.values())) < len(set(prints.values()))
+    assert {r.doc_id: r.component_id for r in neardup.grouped(common.table(spark, SMALL, "documents")).collect()} == slow_similar([(d.doc_id, d.text) for d in documents])
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, SMALL).collect()) == sorted(set(want.values()))
+    assert stage(spark, none, SMALL).count() == 0 and stage(spark, odd, SMALL).columns == odd.columns
+
+
 def test_pipeline_edges(spark, odd, none):
     import corpus_pipeline
 
