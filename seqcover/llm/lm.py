@@ -8,9 +8,9 @@ Base: counts of all training tokens, by one shuffle of counts summed in each tas
 bounded number) go to the tasks; rarer ones are joined with their counts, one row for each document and word.
 
 Model: the ids of each word by the first SUBWORDS ranks of a byte-level BPE vocabulary, and an end id. Its output biases
-come from the ids of all training tokens; its weights from spans evenly spaced over all training texts, one in
-TRAIN_EVERY but FEWEST spans at least (all, if there are fewer). Trainers work side by side, each on at most
-TRAINER_SPANS spans, and their weights are averaged after each of ROUNDS rounds. Scoring cuts each text into spans that
+come from the ids of all training tokens; its weights from every span of every training text. Trainers work side by
+side, as many as have BATCH spans for each of STEPS steps, and their weights are averaged after each of ROUNDS rounds,
+each on its share of the texts; a lone trainer with fewer spans goes over them several times. Scoring cuts each text into spans that
 overlap with the one before, so that each token is scored once, with SPAN to 2 * SPAN - 1 ids of context.
 """
 
@@ -32,7 +32,7 @@ from . import attention, common
 
 VOCABULARY, SUBWORDS = "byte_bpe_multi_50k.tiktoken", 2048
 HEAD, HEAD_BYTES = 65_536, 64
-TRAIN_EVERY, FEWEST, TRAINER_SPANS, ROUNDS, BATCH, STEPS, RATE = 32, 1 << 17, 1 << 17, 2, 128, 1600, 0.01
+ROUNDS, BATCH, STEPS, RATE = 2, 128, 1600, 0.01
 CHUNK = 1024
 CACHED = 300_000
 END = ""
@@ -123,49 +123,38 @@ def id_counts(word_counts: DataFrame, path: str, size: int) -> np.ndarray:
     return out
 
 
-def _sampled(docs: DataFrame, shape: attention.Shape, every: int, path: str, size: int) -> DataFrame:
-    """Every `every`-th span of the training texts, as 16-bit numbers."""
-
-    def run(batches):
-        seen = TaskContext.get().partitionId()
-        for batch in (part for whole in batches for part in common.slices(whole)):
-            get = subwords(path, size)
-            own = [get.ids(tokens(t)) for i, t in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True) if not held_out(i)]
-            given, next_, document = attention.spans(shape, own)
-            keys, _ = attention.with_context(given, document, shape.none)
-            take = np.arange(-seen % every, len(keys), every)
-            seen += len(keys)
-            rows = np.concatenate([keys[take], next_[take]], 1).astype("<i2")
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["span"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "span binary")
+def _spans(batches, shape: attention.Shape, path: str, size: int):
+    """All spans of the training texts, as rows of 16-bit numbers."""
+    get = subwords(path, size)
+    for batch in (part for whole in batches for part in common.slices(whole)):
+        own = [get.ids(tokens(t)) for i, t in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True) if not held_out(i)]
+        given, next_, document = attention.spans(shape, own)
+        keys, _ = attention.with_context(given, document, shape.none)
+        yield np.concatenate([keys, next_], 1).astype("<i2")
 
 
 def trained(docs: DataFrame, word_counts: DataFrame, path: str, size: int = SUBWORDS) -> tuple[attention.Shape, dict]:
     found = id_counts(word_counts, path, size)
     shape = attention.Shape(found)
     p = shape.parameters()
-    total = int(found.sum()) // attention.SPAN
-    if not total:
+    n = int(found.sum()) // attention.SPAN
+    if not n:
         return shape, p
-    every = max(1, min(TRAIN_EVERY, total // FEWEST))
-    spans = common.stored(_sampled(docs, shape, every, path, size).withColumn("at", F.xxhash64("span")), "spans")
-    n = common.count_rows(spans)
-    trainers = max(1, -(-n // TRAINER_SPANS))
-    passes = max(1, -(-STEPS * BATCH * trainers // max(n, 1)))
+    trainers = max(1, n // (STEPS * BATCH))
+    passes = max(1, -(-STEPS * BATCH * trainers // n))
+    texts = docs.select("doc_id", "text").withColumn("at", F.xxhash64("doc_id", "text"))
     for k in range(ROUNDS):
-        own = spans.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(trainers, F.pmod(F.shiftright("at", 8), F.lit(trainers)))
+        own = texts.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(trainers, F.pmod(F.shiftright("at", 8), F.lit(trainers)))
         rate = RATE * (1 - k / ROUNDS)
-        weights = own.sortWithinPartitions("at").mapInArrow(_trainer(shape, p, passes, rate, RATE * (1 - (k + 1) / ROUNDS), n / trainers / ROUNDS), "n long, weights binary")
+        weights = own.sortWithinPartitions("at").mapInArrow(_trainer(shape, p, passes, rate, RATE * (1 - (k + 1) / ROUNDS), n / trainers / ROUNDS, path, size), "n long, weights binary")
         rows = weights.repartition(min(trainers, 16)).mapInArrow(_summed, "n long, weights binary").collect()
         mean = sum(np.frombuffer(r.weights, "<f8") for r in rows) / max(1, sum(r.n for r in rows))
         if rows:
             p = attention.unpacked(p, mean.astype("<f4").tobytes())
-    common.forget(spans)
     return shape, p
 
 
-def _trainer(shape: attention.Shape, start: dict, passes: int, rate: float, least: float, expected: float):
+def _trainer(shape: attention.Shape, start: dict, passes: int, rate: float, least: float, expected: float, path: str, size: int):
     def run(batches):
         p = {n: x.copy() for n, x in start.items()}
         adam, n, held, steps = attention.Adam(p), 0, [], max(1.0, passes * expected / BATCH)
@@ -176,13 +165,12 @@ def _trainer(shape: attention.Shape, start: dict, passes: int, rate: float, leas
             attention_first = (keys[:, : attention.SPAN] == shape.none).all(1)
             adam.step(p, attention.gradients(shape, p, keys, attention_first, rows[:, 2 * attention.SPAN :].astype(np.int64)), least + (rate - least) * now + 1e-4)
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(np.frombuffer(b"".join(batch.column("span").to_pylist()), "<i2").reshape(batch.num_rows, -1))
-                n += batch.num_rows
+        for part in _spans(batches, shape, path, size):
+            held.append(part)
+            n += len(part)
         if not n:
             return
-        rows = np.concatenate(held)  # at most TRAINER_SPANS or so of 96 bytes
+        rows = np.concatenate(held)  # about STEPS * BATCH, of 96 bytes
         rng = np.random.default_rng(5)
         for _ in range(passes):
             order = rng.permutation(n)

@@ -354,6 +354,33 @@ def test_base_scores(spark, documents, odd, none, monkeypatch):
     assert lm.scored(odd).count() == odd.count() and lm.scored(none).count() == 0
 
 
+def test_model_learns_from_every_span(spark, documents, monkeypatch, tmp_path):
+    for name, value in (("STEPS", 2), ("FEWEST", 8), ("TRAINER_SPANS", 256)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    made, folder = lm._trainer, str(tmp_path)
+
+    def counting(*args):
+        train = made(*args)
+
+        def run(batches):
+            import uuid
+
+            for out in train(batches):
+                with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                    file.write(str(sum(out.column(0).to_pylist())))
+                yield out
+
+        return run
+
+    monkeypatch.setattr(lm, "_trainer", counting)
+    path, size = public_tokenizers.path(lm.VOCABULARY), 300
+    docs = common.table(spark, SMALL, "documents").select("doc_id", "text")
+    lm.trained(docs, lm.counts(docs), path, size)
+    get = lm.subwords(path, size)
+    want = sum(-(-len(get.ids(lm.tokens((d.text or "").encode()))) // attention.SPAN) for d in documents if not lm.held_out(d.doc_id))
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == want
+
+
 def test_model_sums_to_one_and_learns():
     rng = np.random.default_rng(1)
     shape = attention.Shape(rng.integers(1, 40, 23))
