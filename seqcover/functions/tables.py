@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which executors share; a temporary folder only where that is unset."""
+    """spark.checkpoint.dir, which executors share; a temporary folder only where that is unset and everything runs on this machine."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         known = tempfile.mkdtemp(prefix="spark-shared-")
@@ -22,3 +25,17 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_order(df: DataFrame, order: list[Column], name: str = "place", column: str | None = None) -> DataFrame:
+    """df with its place in the order, from 1, or with the sum of a column up to it.
+
+    Rows are dealt out by ranges of the order and sorted there; only one number for each range is put in order. Rows
+    that the order doesn't tell apart stay in one range, in any order.
+    """
+    dealt = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered").withColumn("_part", F.shiftright("_at", 33))
+    value = F.lit(1) if column is None else F.col(column)
+    totals = dealt.groupBy("_part").agg(F.sum(value).alias("_n"))
+    before = totals.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.col("_at") - F.shiftleft("_part", 33) + 1 if column is None else F.sum(column).over(Window.partitionBy("_part").orderBy("_at"))
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_at", "_part", "_own", "_before")

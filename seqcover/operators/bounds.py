@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import miss_probability, uniform
 
 
+BLOCK = 4096
+
+
 def expected_sizes(histogram: DataFrame, total: float, rate: float) -> DataFrame:
     """size, obs, n (clusters of the size that should exist) and found (the chance that a sample meets one twice) from (size, n, share)."""
     drawn = math.floor(rate * total)
@@ -28,6 +31,16 @@ def log_factorials(spark, most: int) -> DataFrame:
     return k.withColumn("own", own).join(totals, "b").select("k", (F.col("own") + F.col("before")).alias("ln_factorial")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("ln_factorial")))
 
 
+def log_choices(pairs: DataFrame, most: int) -> DataFrame:
+    """pairs (n, k) with ln_choices: the logarithm of the number of ways to choose k of n; null where k is over n. most: the largest n."""
+    known = log_factorials(pairs.sparkSession, most)
+    named = lambda key: known.select(F.col("k").alias(f"_{key}"), F.col("ln_factorial").alias(f"_ln_{key}"))
+    out = pairs.withColumn("rest", F.col("n") - F.col("k"))
+    for key in ("n", "k", "rest"):
+        out = out.join(named(key), out[key] == F.col(f"_{key}"), "left").drop(f"_{key}")
+    return out.select(*pairs.columns, (F.col("_ln_n") - F.col("_ln_k") - F.col("_ln_rest")).alias("ln_choices"))
+
+
 def tail(n: int, p: float, least: int) -> float:
     """P(X >= least) for X binomial (n, p), in logarithms, from the smaller side."""
     if least <= 0:
@@ -67,7 +80,10 @@ def frozen_sizes(histogram: DataFrame, total: float, rate: float, confidence: fl
 def simulated(histogram: DataFrame, total: float, rate: float, runs: int, seed: int | str) -> DataFrame:
     """size, k and share: how often k of the clusters of a size were found in `runs` simulations of discovery."""
     e = expected_sizes(histogram, total, rate)
-    draws = e.select("size", "found", "n", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).where("n > 0").select("size", "found", "run", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("i"))
+    draws = e.select("size", "found", "n", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).where("n > 0")
+    # clusters are numbered in blocks, so that no row holds more than one block of them
+    blocks = draws.select("size", "found", "run", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / BLOCK))).alias("block"))
+    draws = blocks.select("size", "found", "run", F.explode(F.sequence(F.col("block") * BLOCK + 1, F.least((F.col("block") + 1) * BLOCK, F.col("n")))).alias("i"))
     hits = draws.groupBy("size", "run").agg(F.count(F.when(uniform(seed, F.col("size"), F.col("run"), F.col("i")) >= 1 - F.col("found"), 1)).alias("k"))
     return hits.groupBy("size", "k").agg((F.count(F.lit(1)) / runs).alias("share"))
 

@@ -1,9 +1,11 @@
-"""Greedy clustering in order of length, as rounds over a table of edges.
+"""Greedy clustering in order of length, batch by batch, as rounds over a table of edges.
 
 The sequential rule - take the longest record that is left as a centre and give it all that it accepts - says that a
-record is a centre if no earlier centre accepts it, and else belongs to the earliest centre that does. Each round settles
+record is a centre if no earlier centre accepts it, and else belongs to the earliest centre that does. Records are taken
+in batches of the first ones in that order, each batch twice as large as the one before. Within a batch, rounds settle
 the records whose earlier neighbours are settled: those that a centre accepts are members, those without an earlier
-neighbour left are centres. Rounds end when no edge is left.
+neighbour left are centres. Then the batch's centres recruit from all that is left, so that members have gone before
+their own edges are formed, and a dense group makes one edge for each member and centre of an earlier batch.
 """
 
 from __future__ import annotations
@@ -12,44 +14,86 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import allowed, within_prefix
-from ..functions.scalars import radius
 from ..functions.tables import kept
 from . import recruit
 
+#: Records of the first batch.
+BATCH = 20_000
+
+
+def place(text: str, key: str):
+    """Longest first, then the larger string, then the larger id: the larger place comes first."""
+    return F.struct(F.length(text).alias("n"), F.col(text).alias("s"), F.col(key).alias("id"))
+
 
 def earlier_edges(records: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
     """target and centre for each pair whose centre comes before the target in cluster order and accepts it."""
     ranked = records.select("seq_id", "sequence", F.lit(0).alias("ord"))
-    place = lambda text, key: F.struct(F.length(text).alias("n"), F.col(text).alias("s"), F.col(key).alias("id"))
-    pairs = recruit.candidates(ranked, ranked, similarity, mismatches).withColumn("centre_place", place("q", "centre")).where(F.col("centre_place") > place("t", "target"))
-    near = pairs.where(within_prefix(F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches)))
-    return near.groupBy("target", "centre").agg(F.first("centre_place").alias("centre_place"))
+    pairs = recruit.candidates(ranked, ranked, similarity, mismatches).where(place("q", "centre") > place("t", "target"))
+    return pairs.where(within_prefix(F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches))).select("target", "centre").distinct()
 
 
-def clustered(records: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
-    """seq_id and centroid of every record (seq_id, sequence); empty sequences are centres of their own."""
-    edges = kept(earlier_edges(records, similarity, mismatches), "edges")
-    nodes = records.select("seq_id")
-    fresh = kept(nodes.join(edges.select(F.col("target").alias("seq_id")).distinct(), "seq_id", "left_anti"), "centres")
-    centres, left = fresh, edges.select("target", "centre")
+def settled(records: DataFrame, edges: DataFrame) -> DataFrame:
+    """seq_id of the centres among records, from edges (target, centre) to earlier records that would accept them."""
+    fresh = kept(records.select("seq_id").join(edges.select(F.col("target").alias("seq_id")), "seq_id", "left_anti").withColumn("is_centre", F.lit(True)), "states")
+    centres, left = fresh, edges
     while not left.isEmpty():
-        members = kept(left.join(fresh, F.col("centre") == F.col("seq_id"), "left_semi").select("target").distinct(), "members")
-        after = left.join(members, "target", "left_anti").join(members.select(F.col("target").alias("centre")), "centre", "left_anti").select("target", "centre")
-        after = kept(after, "edges")
-        open_, still = left.select("target").distinct(), after.select("target").distinct()
-        fresh = kept(open_.join(members, "target", "left_anti").join(still, "target", "left_anti").select(F.col("target").alias("seq_id")), "centres")
-        centres, left = centres.unionByName(fresh), after
-    taken = edges.join(centres, F.col("centre") == F.col("seq_id"), "left_semi").groupBy(F.col("target").alias("seq_id")).agg(F.max_by("centre", "centre_place").alias("centroid"))
-    own = centres.select("seq_id", F.col("seq_id").alias("centroid"))
-    return own.unionByName(taken.join(centres, "seq_id", "left_anti"))
+        marked = left.join(fresh, F.col("centre") == F.col("seq_id"), "left").select("target", "centre", "is_centre")
+        state = marked.groupBy(F.col("target").alias("seq_id")).agg(F.max("is_centre").alias("taken"), F.count(F.when(F.col("is_centre").isNull(), 1)).alias("open"))
+        fresh = kept(state.where("taken or open = 0").select("seq_id", (~F.coalesce("taken", F.lit(False))).alias("is_centre")), "states")
+        left = kept(marked.where("is_centre is null").select("target", "centre").join(fresh.select(F.col("seq_id").alias("target")), "target", "left_anti"), "edges")
+        centres = centres.unionByName(fresh.where("is_centre"))
+    return centres.select("seq_id")
+
+
+def _first_batch(left: DataFrame, size: int) -> DataFrame:
+    """place of the last of the first `size` records: the size-th largest place, by whole lengths where that is enough."""
+    lengths = left.groupBy(F.length("sequence").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n"))
+    seen, least = 0, 0
+    for row in lengths.toLocalIterator():
+        seen, least = seen + row.c, row.n
+        if seen >= size:
+            break
+    return left.where(F.length("sequence") >= least)
+
+
+def clustered(records: DataFrame, similarity: float, mismatches: int | None = None, batch: int = BATCH) -> DataFrame:
+    """seq_id and centroid of every record (seq_id, sequence); empty sequences are centres of their own. A batch takes whole lengths."""
+    left, size = kept(records.select("seq_id", "sequence"), "left"), batch
+    out = left.where(F.length("sequence") == 0).select("seq_id", F.col("seq_id").alias("centroid"))
+    left = left.where(F.length("sequence") > 0)
+    while not left.isEmpty():
+        first = kept(_first_batch(left, size), "batch")
+        own = kept(settled(first, kept(earlier_edges(first, similarity, mismatches), "edges")), "centres")
+        centres = first.join(own, "seq_id", "left_semi").withColumn("ord", F.struct(-F.length("sequence"), F.lit(0)))
+        others = left.join(own, "seq_id", "left_anti")
+        best = _earliest(others, centres, similarity, mismatches)
+        members = kept(best.unionByName(own.select("seq_id", F.col("seq_id").alias("centroid"))), "members")
+        out, size = out.unionByName(members), 2 * size
+        left = kept(left.join(members.select("seq_id"), "seq_id", "left_anti"), "left")
+    return out
+
+
+def _earliest(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None) -> DataFrame:
+    """seq_id and centroid: of the centres that accept a target, the first in cluster order."""
+    pairs = recruit.candidates(targets, centres, similarity, mismatches)
+    near = pairs.where(within_prefix(F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches)))
+    return near.groupBy(F.col("target").alias("seq_id")).agg(F.max_by("centre", place("q", "centre")).alias("centroid"))
 
 
 def apart_clustered(records: DataFrame, similarity: float) -> DataFrame:
-    """seq_id and centroid where balls don't overlap: a centre shuts out records up to twice its radius, and takes those nearer than the radius."""
-    s = 1 - 2 * (1 - similarity)
-    wide = clustered(records, s)
-    ranked = records.select("seq_id", "sequence")
-    centres = ranked.join(wide.where("seq_id = centroid").select("seq_id"), "seq_id", "left_semi").withColumn("ord", F.lit(0))
-    near = recruit.edges(ranked, centres, similarity, cost=True).join(ranked.select(F.col("seq_id").alias("centre"), F.length("sequence").alias("n")), "centre")
-    inner = near.where((F.col("cost") < radius(F.col("n"), similarity)) | (F.col("target") == F.col("centre"))).select(F.col("target").alias("seq_id"), F.col("centre").alias("centroid"))
-    return wide.join(inner, ["seq_id", "centroid"], "left_semi").unionByName(centres.select("seq_id", F.col("seq_id").alias("centroid"))).distinct()
+    """seq_id and centroid where balls don't overlap: a centre shuts out records up to twice its radius (the lesser one of both lengths), and takes those nearer than the radius. Those that are shut out and not taken are in no cluster."""
+    ranked = records.select("seq_id", "sequence", F.lit(0).alias("ord"))
+    twice = 2 * allowed(F.length("t"), F.length("q"), similarity)
+    # segments for twice the radius: those of a similarity that allows as much or more
+    wide = max(0.0, 1 - 2 * (1 - similarity) - 1e-6)
+    pairs = recruit.candidates(ranked, ranked, wide).where(place("q", "centre") > place("t", "target"))
+    edges = kept(pairs.where(within_prefix(F.col("t"), F.col("q"), twice)).select("target", "centre").distinct(), "edges")
+    centres = kept(settled(ranked, edges), "centres")
+    # the first centre that shuts a record out is the one that may take it
+    shut = edges.join(centres.select(F.col("seq_id").alias("centre")), "centre", "left_semi").join(ranked.select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q")), "centre").join(ranked.select(F.col("seq_id").alias("target"), F.col("sequence").alias("t")), "target")
+    first = shut.groupBy(F.col("target").alias("seq_id")).agg(F.max_by(F.struct("centre", "q", "t"), place("q", "centre")).alias("b"))
+    t, q = F.col("b.t"), F.col("b.q")
+    most = allowed(F.length(t), F.length(q), similarity)
+    inner = first.where((most > 0) & within_prefix(t, q, most - 1)).select("seq_id", F.col("b.centre").alias("centroid"))
+    return inner.unionByName(centres.select("seq_id", F.col("seq_id").alias("centroid")))

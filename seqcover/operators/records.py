@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import uniform
+from ..functions.tables import in_order
 
 
 def deduplicated(records: DataFrame) -> DataFrame:
@@ -41,6 +42,16 @@ def by_length(records: DataFrame) -> DataFrame:
     return records.orderBy(F.desc(F.length("sequence")), F.desc("ord"))
 
 
+def length_places(records: DataFrame) -> DataFrame:
+    """records with place: their number, from 1, in the order of by_length."""
+    return in_order(records, [F.desc(F.length("sequence")), F.desc("ord")])
+
+
+def shuffled_places(records: DataFrame, seed: int | str) -> DataFrame:
+    """records with place: their number, from 1, in the order of shuffled."""
+    return in_order(records, [uniform(seed, F.col("seq_id")), F.col("seq_id")])
+
+
 def shuffled(records: DataFrame, seed: int | str) -> DataFrame:
     return records.orderBy(uniform(seed, F.col("seq_id")), "seq_id")
 

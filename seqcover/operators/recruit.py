@@ -1,68 +1,78 @@
 """Similarity join of sequences to centres: candidates by shared segments, then the distance.
 
 A target of radius r is cut into r + 1 segments, of which one at least occurs unchanged in an accepting centre, moved by
-r places at most. Both sides are joined on the place, length and letters of a segment; no pair is formed otherwise. The
-centre side is cut for each length that targets have (a list of at most MAX_LENGTHS numbers). Frequent segments are split
-by adaptive execution; what they pair is checked at once and doesn't leave the task.
+r places at most (in substring mode: anywhere). Both sides are joined on the place, length and letters of a segment; no
+pair is formed otherwise. Segments that many targets and centres share are dealt out to several tasks, by how many pairs
+they make. What is paired is checked at once, in full, and doesn't leave the task. Targets no longer than their radius
+match any centre that is long enough, with no segment in common; they share an empty one.
 """
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import allowed, prefix_distance, within_prefix
-from ..functions.scalars import uniform
-
-MAX_LENGTHS = 10_000
+from ..functions.distance import allowed, prefix_distance, substring_distance, within_prefix
+from ..functions.scalars import radius, uniform
+from ..functions.tables import kept
 
+#: Pairs of one segment that a task checks, and how many partitions there are for each of the session's.
+PAIRS, SPREAD = 250_000, 4
 
-def _cuts(length: int, r: int) -> list[tuple[int, int]]:
-    """First letter (from 1) and length of each of r + 1 segments."""
-    edges = [length * k // (r + 1) for k in range(r + 2)]
-    return [(a + 1, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
+def _radius(length: Column, similarity: float, mismatches: int | None) -> Column:
+    return radius(length, similarity) if mismatches is None else F.lit(mismatches).cast("int")
 
-def _radii(lengths: list[int], similarity: float, mismatches: int | None) -> dict[int, int]:
-    import numpy as np
 
-    if mismatches is not None:
-        return dict.fromkeys(lengths, mismatches)
-    s = np.float32(1) - np.float32(similarity)
-    return {n: int(np.floor(s * np.float32(n))) for n in lengths}
+def _segments(length: Column, r: Column) -> Column:
+    """First letter (from 1) and length of each of r + 1 segments; one empty segment where the radius is the length or more."""
+    edge = lambda k: F.floor(length * k / (r + 1)).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), r), lambda k: F.struct((edge(k) + 1).alias("start"), (edge(k + 1) - edge(k)).alias("size")))
+    return F.when(r < length, cut).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"))))
 
 
-def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
-    """Pairs that may match: target, t, centre, q, ord. targets: seq_id, sequence. centres: seq_id, sequence, ord. Empty sequences match nothing."""
+def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False) -> DataFrame:
+    """Pairs that may match, some of them more than once: target, t, centre, q, ord. targets: seq_id, sequence. centres: seq_id, sequence, ord. Empty sequences match nothing."""
     t = targets.select(F.col("seq_id").alias("target"), F.col("sequence").alias("t")).where(F.length("t") > 0)
     q = centres.select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q"), "ord").where(F.length("q") > 0)
-    found = [r[0] for r in t.select(F.length("t").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
-    if len(found) > MAX_LENGTHS:
-        raise ValueError(f"targets have over {MAX_LENGTHS} lengths")
-    if not found:
-        return t.join(q, F.lit(False))
-    radii = _radii(found, similarity, mismatches)
-    spark = targets.sparkSession
-    # short lists of numbers, by length: the segments of targets, and where centres may hold them
-    cuts = spark.createDataFrame([(n, a, size, r) for n, r in radii.items() for a, size in _cuts(n, min(r, n - 1))], "n int, start int, size int, r int")
-    own = t.join(F.broadcast(cuts), F.length("t") == F.col("n")).select("target", "t", "n", "start", F.substr("t", F.col("start"), F.col("size")).alias("letters"))
-    listed = F.from_json(F.lit(json.dumps([{"n": n, "start": a, "size": size, "r": r} for n, r in radii.items() for a, size in _cuts(n, min(r, n - 1))])), "array<struct<n:int,start:int,size:int,r:int>>")
-    held = q.select("centre", "q", "ord", F.explode(F.filter(listed, lambda c: F.length("q") >= c["n"] - c["r"])).alias("c"))
-    places = F.sequence(F.greatest(F.lit(1), F.col("c.start") - F.col("c.r")), F.greatest(F.greatest(F.lit(1), F.col("c.start") - F.col("c.r")), F.least(F.col("c.start") + F.col("c.r"), F.length("q") - F.col("c.size") + 1)))
-    letters = F.array_distinct(F.transform(places, lambda k: F.substr("q", k, F.col("c.size"))))
-    held = held.select("centre", "q", "ord", F.col("c.n").alias("n"), F.col("c.start").alias("start"), F.explode(letters).alias("letters"))
-    return own.join(held, ["n", "start", "letters"]).select("target", "t", "centre", "q", "ord")
-
-
-def edges(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, cost: bool = False) -> DataFrame:
-    """target, centre, ord (and cost) of each pair whose centre accepts the target."""
-    c = candidates(targets, centres, similarity, mismatches)
-    most = allowed(F.length("t"), F.length("q"), similarity, mismatches)
-    if cost:
-        return c.withColumn("cost", prefix_distance(F.col("t"), F.col("q"), most)).where("cost is not null").groupBy("target", "centre").agg(F.min("ord").alias("ord"), F.min("cost").alias("cost"))
-    return c.where(within_prefix(F.col("t"), F.col("q"), most)).groupBy("target", "centre").agg(F.min("ord").alias("ord"))
+    n = F.length("t")
+    own = t.select("target", "t", n.alias("n"), F.explode(_segments(n, _radius(n, similarity, mismatches))).alias("c"))
+    own = own.select("target", "t", "n", "c.start", "c.size", F.substr("t", F.greatest(F.lit(1), F.col("c.start")), F.col("c.size")).alias("letters"))
+    if anywhere:  # the place doesn't count
+        own = own.withColumn("n", F.lit(0)).withColumn("start", F.lit(0))
+    # the lengths that targets have, and their segments: a short table of numbers, joined by it
+    cuts = own.select("n", "start", "size").distinct().withColumn("r", F.lit(0) if anywhere else _radius(F.col("n"), similarity, mismatches))
+    held = q.join(cuts, F.length("q") >= F.col("n") - F.col("r"))
+    first, last = F.greatest(F.lit(1), F.col("start") - F.col("r")), F.least(F.col("start") + F.col("r"), F.length("q") - F.col("size") + 1)
+    places = F.sequence(F.lit(1), F.length("q") - F.col("size") + 1) if anywhere else F.sequence(first, F.greatest(first, last))
+    letters = F.when(F.col("size") > 0, F.array_distinct(F.transform(places, lambda k: F.substr("q", k, F.col("size"))))).otherwise(F.array(F.lit("")))
+    held = held.where(F.col("size") <= F.length("q")).select("centre", "q", "ord", "n", "start", "size", F.explode(letters).alias("letters"))
+    return _spread_join(own, held, ["n", "start", "size", "letters"]).select("target", "t", "centre", "q", "ord")
+
+
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys in which no task gets many more than PAIRS pairs of one key: the left rows of larger ones are dealt out, the right ones repeated."""
+    pairs = lambda side, name: side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    made = pairs(left, "n_left").join(pairs(right, "n_right"), keys).where(F.col("n_left") * F.col("n_right") > PAIRS)
+    large = kept(made.select(*keys, F.least(F.col("n_left"), F.ceil(F.col("n_left") * F.col("n_right") / PAIRS)).cast("int").alias("parts")), "large")
+    deal = F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), F.coalesce("parts", F.lit(1))).cast("int")
+    left = left.join(large, keys, "left").withColumn("part", deal).drop("parts")
+    right = right.join(large, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    # few bytes make many pairs here, so the number of tasks is set by hand
+    n = SPREAD * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return left.repartition(n, *keys, "part").join(right.repartition(n, *keys, "part"), [*keys, "part"]).drop("part")
+
+
+def edges(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, cost: bool = False, anywhere: bool = False) -> DataFrame:
+    """target, centre, ord (and cost) of each pair whose centre accepts the target, by its best prefix or (anywhere) its best substring."""
+    c = candidates(targets, centres, similarity, mismatches, anywhere)
+    t, q, most = F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches)
+    near = F.lit(True) if anywhere else within_prefix(t, q, most)
+    if not cost and not anywhere:
+        return c.where(near).groupBy("target", "centre").agg(F.min("ord").alias("ord"))
+    found = c.where(near).groupBy("target", "centre").agg(F.min("ord").alias("ord"), F.first("t").alias("t"), F.first("q").alias("q"))
+    priced = found.withColumn("cost", (substring_distance if anywhere else prefix_distance)(t, q, most)).where("cost is not null")
+    return priced.select("target", "centre", "ord", *["cost"] * cost)
 
 
 def recruited(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:

@@ -30,7 +30,8 @@ def drawn_sizes(spark: SparkSession, kind: str, total: int, singletons: float, s
     own = F.sum("size").over(Window.partitionBy("b").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
     blocks = draws.groupBy(block.alias("b")).agg(F.sum("size").alias("s")).select("b", F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     taken = draws.withColumn("b", block).withColumn("own", F.coalesce(own, F.lit(0))).join(blocks, "b").where(F.col("own") + F.col("before") < mass).select("k", "size")
-    rest = taken.agg(F.greatest(F.lit(0), F.lit(total) - F.coalesce(F.sum("size"), F.lit(0))).cast("long").alias("n")).where("n > 0").select(F.explode(F.sequence(-F.col("n"), F.lit(-1).cast("long"))).alias("k"), F.lit(1).cast("long").alias("size"))
+    missing = taken.agg(F.greatest(F.lit(0), F.lit(total) - F.coalesce(F.sum("size"), F.lit(0))).cast("long")).first()[0]
+    rest = spark.range(missing).select((-F.col("id") - 1).alias("k"), F.lit(1).cast("long").alias("size"))
     return taken.unionByName(rest).withColumnRenamed("k", "cluster")
 
 

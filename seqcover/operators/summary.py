@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import in_order
+
 
 def cluster_summary(members: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """centroid, density (members), mode (largest multiplicity) and mode_seq (whose it is: the centroid if it ties, else the smallest id)."""
@@ -94,11 +96,24 @@ def carried(table: DataFrame, order: str, column: str) -> DataFrame:
 
 
 def running_ids(lines: DataFrame, iteration: str = "iteration", line: str = "line_no") -> DataFrame:
-    """cluster_id: a number for each line over all iterations, from 0, in order; counted within iterations and then shifted."""
-    own = F.row_number().over(Window.partitionBy(iteration).orderBy(line)) - 1
-    before = F.coalesce(F.sum("n").over(Window.orderBy(iteration).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = lines.groupBy(iteration).agg(F.count(F.lit(1)).alias("n")).select(iteration, before.alias("before"))
-    return lines.withColumn("own", own).join(shifts, iteration).withColumn("cluster_id", F.col("own") + F.col("before")).drop("own", "before")
+    """cluster_id: a number for each line over all iterations, from 0, in order; counted within ranges of lines and then shifted."""
+    return in_order(lines, [F.col(iteration), F.col(line)], "cluster_id").withColumn("cluster_id", F.col("cluster_id") - 1)
+
+
+def with_cluster_stats(rows: DataFrame, clusters: DataFrame, key: str = "iteration", column: str = "density") -> DataFrame:
+    """Summary rows of a run, one for each iteration, beside number, members and largest of the clusters of that iteration; null where it has none."""
+    stats = clusters.groupBy(key).agg(F.count(F.lit(1)).alias("clusters"), F.sum(column).cast("long").alias("members"), F.max(column).cast("long").alias("largest"))
+    return rows.join(stats, key, "left")
+
+
+def clusters_over_time(clusters: DataFrame, rows: DataFrame, time: str, key: str = "iteration") -> DataFrame:
+    """Each cluster beside the time that its run had taken up to its iteration (rows: one for each iteration)."""
+    return clusters.join(F.broadcast(running(rows, key, [time]).select(key, f"cum_{time}")), key, "left")
+
+
+def total_time(rows: DataFrame, time: str, keys: list[str] | None = None) -> DataFrame:
+    """The time of all iterations, of each combination of keys."""
+    return rows.groupBy(*(keys or [])).agg(F.sum(time).alias(f"total_{time}"))
 
 
 def category_counts(rows: DataFrame, key: str, category: str, wanted: list[str]) -> DataFrame:

@@ -99,7 +99,8 @@ SELECT k, CAST(percent AS BIGINT) AS percent, round(exp(lgamma(total - drawn + 1
 c AS (SELECT t.seq_id AS target, q.seq_id AS centre, sum(least(t.n, q.n)) AS common FROM k t JOIN k q USING (kmer) WHERE q.seq_id % 20 = 0 GROUP BY 1, 2)
 SELECT target, centre, CAST(n - common AS BIGINT) AS excess FROM c JOIN (SELECT seq_id AS target, sum(n) AS n FROM k GROUP BY 1) USING (target)""",
     "filter_length": "WITH l AS (SELECT list_sort(list(length(text))) AS n FROM benchmark WHERE length(text) > 0) SELECT greatest(1, CAST(floor(ln(n[len(n) // 2 + 1]) / ln(4) + 1e-12) AS BIGINT)) AS k FROM l",
-    "fasta_sort": "SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') AS host, row_number() OVER (PARTITION BY regexp_extract(url, '^[a-z]+://[^/]*') ORDER BY length(url) DESC, page_id DESC) AS place, length(url) AS n FROM pages",
+    "fasta_sort": "SELECT page_id AS seq_id, length(coalesce(url, '')) AS n, row_number() OVER (ORDER BY length(coalesce(url, '')) DESC, page_id DESC) AS place FROM pages",
+    "fasta_shuffle": "SELECT page_id AS seq_id, row_number() OVER (ORDER BY ('0x' || substr(md5('3:' || page_id), 1, 8))::BIGINT, page_id) AS place FROM pages",
     "members_to_lines": f"WITH {_TURNS} SELECT centroid, concat_ws(chr(9), centroid, string_agg(seq_id, chr(9) ORDER BY seq_id)) AS value FROM turns GROUP BY centroid",
     "lines_to_members": f"WITH {_LINES}, m AS (SELECT line_no, unnest(ids) AS seq_id, unnest(range(0, len(ids))) AS pos FROM lines) SELECT seq_id, first(line_no ORDER BY line_no, pos) AS line_no, first(pos ORDER BY line_no, pos) AS pos FROM m GROUP BY seq_id",
     "line_sizes": f"WITH {_LINES} SELECT line_no, CAST(len(ids) AS BIGINT) AS size FROM lines WHERE len(ids) >= 2",
@@ -110,4 +111,47 @@ SELECT target, centre, CAST(n - common AS BIGINT) AS excess FROM c JOIN (SELECT
     "select_centres": f"{_BASE}, {_RECRUITED} SELECT seq_id, s AS sequence FROM urls WHERE seq_id IN (SELECT centroid FROM recruited)",
     "select_rest": f"{_BASE}, {_RECRUITED} SELECT seq_id, s AS sequence FROM urls WHERE seq_id NOT IN (SELECT centroid FROM recruited)",
     "select_members": f"{_BASE}, {_RECRUITED} SELECT seq_id, centroid, s AS sequence FROM recruited JOIN urls USING (seq_id)",
+    "apart_clusters": f"""WITH RECURSIVE {_URLS}, ranked AS (SELECT seq_id, s, row_number() OVER (ORDER BY length(s) DESC, s DESC, seq_id DESC) AS k FROM urls),
+pairs AS (SELECT t.k AS target, t.s AS t, q.k AS centre, q.s AS q, least({_R.format("t.s")}, {_R.format("q.s")}) AS r FROM ranked t, ranked q WHERE q.k < t.k AND length(t.s) > 0 AND length(q.s) > 0),
+costs AS (SELECT target, centre, r, list_min(list_transform(range(greatest(0, length(t) - 2 * r), greatest(greatest(0, length(t) - 2 * r), least(length(q), length(t) + 2 * r)) + 1), lambda j: levenshtein(t, substr(q, 1, CAST(j AS INT))))) AS cost FROM pairs),
+near AS (SELECT target, centre, cost, r FROM costs WHERE cost <= 2 * r),
+before AS (SELECT k, coalesce(list(centre) FILTER (WHERE centre IS NOT NULL), []) AS qs FROM ranked LEFT JOIN near ON target = k GROUP BY k),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS centres UNION ALL
+SELECT b.k, CASE WHEN list_has_any(w.centres, b.qs) THEN w.centres ELSE list_append(w.centres, b.k) END FROM walk w JOIN before b ON b.k = w.k + 1),
+chosen AS (SELECT unnest(centres) AS k FROM (SELECT centres FROM walk ORDER BY k DESC LIMIT 1)),
+first AS (SELECT target, min(centre) AS centre FROM near WHERE centre IN (SELECT k FROM chosen) GROUP BY target),
+taken AS (SELECT target, centre FROM first JOIN near USING (target, centre) WHERE cost < r)
+SELECT a.seq_id, b.seq_id AS centroid FROM (SELECT k AS target, k AS centre FROM chosen UNION ALL SELECT target, centre FROM taken) x JOIN ranked a ON a.k = x.target JOIN ranked b ON b.k = x.centre""",
+    "letters_recruit": f"""WITH m AS (SELECT doc_id, substr(translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 120) AS s FROM documents),
+p AS (SELECT t.doc_id AS target, t.s AS t, q.doc_id AS centre, q.s AS q, least({_R.format("t.s").replace("0.9 ", "0.95 ")}, {_R.format("q.s").replace("0.9 ", "0.95 ")}) AS r FROM m t, m q WHERE q.doc_id % 10 = 0 AND length(t.s) > 0 AND length(q.s) > 0),
+k AS (SELECT * FROM p WHERE length(q) >= length(t) - r AND levenshtein(t, substr(q, 1, length(t))) <= 2 * r)
+SELECT target AS seq_id, min(centre) AS centroid FROM k WHERE list_min(list_transform(range(greatest(0, length(t) - r), greatest(greatest(0, length(t) - r), least(length(q), length(t) + r)) + 1), lambda j: levenshtein(t, substr(q, 1, CAST(j AS INT))))) <= r GROUP BY target""",
+    "fasta_round_trip": "SELECT 'p' || page_id AS seq_id, 'p' || page_id || ' of > pages' AS header, coalesce(url, '') AS sequence, length(coalesce(url, '')) AS length FROM pages",
+    "fastq_quality_cut": """WITH r AS (SELECT CAST(page_id AS VARCHAR) AS header, coalesce(url, '') AS s, substr(repeat(md5(coalesce(url, '')), 8), 1, length(coalesce(url, ''))) AS q FROM pages),
+c AS (SELECT *, regexp_extract(q, '[!-5]{4,}') AS bad FROM r), k AS (SELECT *, CASE WHEN bad = '' THEN length(s) ELSE strpos(q, bad) - 1 END AS n FROM c)
+SELECT header, substr(s, 1, n) AS sequence, substr(q, 1, n) AS quality FROM k WHERE n >= 0.25 * length(s) AND NOT contains(substr(s, 1, n), 'N')""",
+    "fastq_sample_counts": "SELECT regexp_extract(coalesce(url, ''), '^[a-z]+://[^/]*') AS sample, count(*) AS n_reads FROM pages GROUP BY 1",
+    "cluster_lines_round_trip": f"WITH {_TURNS} SELECT centroid, seq_id FROM turns UNION SELECT centroid, centroid FROM turns",
+    "pair_file": f"{_BASE} SELECT target, centre FROM edges",
+    "duplicate_report": "SELECT min(doc_id) AS seq_id, count(*) AS count FROM documents GROUP BY coalesce(source, '') HAVING count(*) > 1",
+    "counts_literal": f"WITH {_PART} SELECT concat('part ', chr(39), l_partkey, chr(39)) AS seq_id, size AS count FROM sizes",
+    "id_list": "SELECT CAST(doc_id AS VARCHAR) AS seq_id, source FROM documents SEMI JOIN labels USING (doc_id)",
+    "summary_file": f"{_SUMMARY} SELECT 1 AS iteration, centroid AS cluster_id, CAST(centroid AS VARCHAR) AS centroid, density, mode, CAST(mode_seq AS VARCHAR) AS mode_seq FROM summary",
+    "run_folder": f"WITH {_CUST} SELECT CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END AS iteration, o_custkey AS line_no, density, row_number() OVER (ORDER BY o_orderstatus, o_custkey) - 1 AS cluster_id FROM sizes",
+    "result_bundle": f"WITH {_CUST} SELECT * FROM sizes",
+    "other_tools": """SELECT 'cdhit' AS tool, count(DISTINCT l_suppkey) AS n_clusters, count(*) AS n_members FROM lineitem UNION ALL SELECT 'uclust', count(DISTINCT l_suppkey), count(*) FROM lineitem
+UNION ALL SELECT 'meshclust', count(DISTINCT l_suppkey), count(*) FROM lineitem WHERE l_returnflag IN ('A', 'R')""",
+    "abundance_files": "SELECT p_name AS sequence, count(*) AS count, min(p_partkey) FILTER (WHERE p_size > 25) AS centroid FROM part GROUP BY 1",
+    "one_sided_sizes": "SELECT p_name AS name, CAST(sum(p_size) AS BIGINT) AS part_sum, 1 AS n_sold FROM part WHERE p_name NOT IN (SELECT p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 50) GROUP BY 1",
+    "centre_maps": f"WITH {_TURNS} SELECT seq_id AS centroid, centroid AS other FROM turns WHERE seq_id <> centroid",
+    "summary_with_stats": f"""WITH {_MONTHS}, c AS (SELECT strftime(o_orderdate, '%Y-%m') AS iteration, o_custkey, count(*) AS density FROM orders GROUP BY 1, 2)
+SELECT iteration, n_big + 0.5::DOUBLE AS minutes, count(*) AS clusters, CAST(sum(density) AS BIGINT) AS members, max(density) AS largest FROM months JOIN c USING (iteration) GROUP BY 1, 2""",
+    "clusters_over_time": f"""WITH {_MONTHS}, t AS (SELECT iteration, sum(n_big + 0.5::DOUBLE) OVER (ORDER BY iteration ROWS UNBOUNDED PRECEDING) AS cum_minutes FROM months)
+SELECT iteration, o_custkey, density, cum_minutes FROM (SELECT strftime(o_orderdate, '%Y-%m') AS iteration, o_custkey, count(*) AS density FROM orders GROUP BY 1, 2) JOIN t USING (iteration)""",
+    "total_time": f"WITH {_MONTHS} SELECT substr(iteration, 1, 4) AS year, sum(n_big + 0.5::DOUBLE) AS total_minutes FROM months GROUP BY 1",
+    "log_choices": f"WITH {_MONTHS} SELECT iteration, n_seqs AS n, n_big AS k, round(lgamma(n_seqs + 1) - lgamma(n_big + 1) - lgamma(n_seqs - n_big + 1), 5) AS ln_choices FROM months",
+    "singleton_split": f"WITH {_CUST} SELECT o_orderstatus, count(*) FILTER (WHERE density = 1) AS n_alone, count(*) FILTER (WHERE density > 1) AS n_shared FROM sizes GROUP BY 1",
+    "counted_records": """WITH r AS (SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY coalesce(source, '') HAVING count(*) > 1)
+SELECT doc_id AS seq_id, coalesce(n, 1) AS count, round(100.0::DOUBLE / coalesce(n, 1), 6) AS share FROM documents LEFT JOIN r USING (doc_id)""",
+    "option_rows": "SELECT 'pages' AS option, true AS is_true, CAST(count(*) AS VARCHAR) AS n FROM pages UNION ALL SELECT 'adaptive', true, NULL UNION ALL SELECT 'mode_shift', false, NULL",
 }

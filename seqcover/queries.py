@@ -6,15 +6,17 @@ query set of searches. Cluster sizes are the lines of each part, the orders of e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
+from .functions.tables import shared_folder
 from .jobs import cluster as job
 from .operators import bounds, compare, evaluate, greedy, records, recruit, simulate, summary
-from .sources import clusters
+from .sources import clusters, fasta
 
 S = 0.9
 
@@ -231,11 +233,12 @@ def filter_length(spark, d):
 
 
 def fasta_sort(spark, d):
-    ranked = _t(spark, d, "pages").select("page_id", F.length("url").alias("n"))
-    from pyspark.sql import Window
+    """The places of all page addresses, longest first."""
+    return records.length_places(_urls(spark, d)).select("seq_id", F.length("sequence").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
 
-    host = F.regexp_extract(F.col("url"), "^[a-z]+://[^/]*", 0)
-    return _t(spark, d, "pages").select("page_id", host.alias("host"), F.row_number().over(Window.partitionBy(host).orderBy(F.desc(F.length("url")), F.desc("page_id"))).cast("long").alias("place")).join(ranked, "page_id").select("page_id", "host", "place", F.col("n").cast("long").alias("n"))
+
+def fasta_shuffle(spark, d):
+    return records.shuffled_places(_urls(spark, d), 3).select("seq_id", F.col("place").cast("long").alias("place"))
 
 
 def _select(mode: str) -> Callable:
@@ -295,13 +298,211 @@ def naive_rounds(spark, d):
     return simulate.discovery_rounds(_user_sizes(spark, d).withColumnRenamed("user_id", "cluster"), 0.05, 4, 3)
 
 
+def _folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def apart_clusters(spark, d):
+    return greedy.apart_clustered(_urls(spark, d).select("seq_id", "sequence"), S)
+
+
+def recruit_substring(spark, d):
+    """The inner parts of all benchmark texts, by their best substring in the texts whose id is divisible by 20."""
+    texts = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("sequence"))
+    # without its ends, a target never stands where the centre begins
+    targets = texts.select("seq_id", F.substr("sequence", F.lit(11), F.length("sequence") - 20).alias("sequence"))
+    centres = texts.where("seq_id % 20 = 0").withColumn("ord", F.col("seq_id"))
+    return recruit.edges(targets, centres, 0.97, anywhere=True, cost=True).select("target", "centre", F.col("cost").cast("long").alias("cost"))
+
+
+def letters_recruit(spark, d):
+    """Sequences of up to 120 letters made from whole documents' first letters, recruited to those whose id is divisible by 10."""
+    letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
+    made = _t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.substring(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), 1, 120).alias("sequence"), F.col("doc_id").alias("ord"))
+    return recruit.recruited(made.select("seq_id", "sequence"), made.where("seq_id % 10 = 0"), 0.95)
+
+
+def fasta_round_trip(spark, d):
+    """Page addresses written as FASTA and read back."""
+    path = _folder(spark, "fasta")
+    fasta.write_fasta(_urls(spark, d).select(F.concat_ws(" ", F.concat(F.lit("p"), "seq_id"), F.lit("of > pages")).alias("header"), "sequence", "ord"), path)
+    return fasta.read_fasta(spark, path).select("seq_id", "header", "sequence", F.col("length").cast("long").alias("length"))
+
+
+def _reads(spark, d):
+    """Addresses with qualities from their MD5, written as FASTQ and read back."""
+    path, u = _folder(spark, "fastq"), _urls(spark, d)
+    quality = F.substr(F.repeat(F.md5("sequence"), 8), F.lit(1), F.length("sequence"))
+    u.select(fasta.fastq_text(F.col("seq_id").cast("string"), F.col("sequence"), quality).alias("value")).write.text(path)
+    return fasta.read_fastq(spark, path)
+
+
+def fastq_quality_cut(spark, d):
+    return fasta.quality_cut(_reads(spark, d), worst=20, run=3, share=0.25).select("header", "sequence", "quality")
+
+
+def fastq_sample_counts(spark, d):
+    """Reads of each host, which stands for a sample."""
+    host = F.regexp_extract("sequence", "^[a-z]+://[^/]*", 0)
+    return _reads(spark, d).groupBy(host.alias("sample")).agg(F.count(F.lit(1)).alias("n_reads"))
+
+
+def joined_reads(spark, d):
+    """Benchmark texts as letters, read from both ends with an overlap of ten, and joined again."""
+    letters = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    whole = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), letters.alias("s")).where("length(s) >= 40")
+    half = F.floor(F.length("s") / 2).cast("int")
+    forward = whole.select("seq_id", F.substr("s", F.lit(1), half + 5).alias("sequence"))
+    backward = whole.select("seq_id", fasta.turned(F.substr("s", half - 4, F.length("s"))).alias("sequence"))
+    return fasta.joined_pairs(forward, backward, least=10, worse=0.0).select("seq_id", "sequence", F.col("overlap").cast("long").alias("overlap"))
+
+
+def cluster_lines_round_trip(spark, d):
+    """Turns as clusters, written as lines in two parts, read back and merged."""
+    path, turns = _folder(spark, "lines"), _turns(spark, d)
+    clusters.write_lines(turns.repartition(2), path)
+    return clusters.merged_parts(clusters.lines_to_members(clusters.read_lines(spark, path)))
+
+
+def pair_file(spark, d):
+    path = _folder(spark, "pairs")
+    clusters.write_edges(_edges(spark, d), path)
+    return spark.read.option("sep", "\t").schema("target long, centre long").csv(path)
+
+
+def duplicate_report(spark, d):
+    """Sources as sequences: the report of repeated ones, written and read back."""
+    path = _folder(spark, "report")
+    r = _t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.coalesce("source", F.lit("")).alias("sequence"), F.col("doc_id").alias("ord"))
+    clusters.duplicate_lines(r).write.text(path)
+    return clusters.read_duplicates(spark, path).select(F.col("seq_id").cast("long").alias("seq_id"), "count")
+
+
+def counts_literal(spark, d):
+    path = _folder(spark, "counts")
+    clusters.write_counts_literal(_part_sizes(spark, d).select(F.concat(F.lit("part '"), "l_partkey", F.lit("'")).alias("seq_id"), F.col("size").alias("count")), path)
+    return clusters.read_counts_literal(spark, path)
+
+
+def id_list(spark, d):
+    path = _folder(spark, "ids")
+    clusters.write_ids(_t(spark, d, "labels").select(F.col("doc_id").alias("seq_id")), path)
+    return records.included(_t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("seq_id"), "source"), clusters.read_ids(spark, path))
+
+
+def summary_file(spark, d):
+    path = _folder(spark, "summary")
+    own = cluster_summary(spark, d).select(F.lit(1).alias("iteration"), F.col("centroid").alias("cluster_id"), F.col("centroid").cast("string").alias("centroid"), "density", "mode", F.col("mode_seq").cast("string").alias("mode_seq"))
+    clusters.write_summary(own, path)
+    return clusters.read_summary(spark, path)
+
+
+def run_folder(spark, d):
+    """Customers of each order status as a run of three iterations, written to folders and read back with running numbers."""
+    path = _folder(spark, "run")
+    own = _customer_sizes(spark, d)
+    for k, status in enumerate(("F", "O", "P")):
+        some = own.where(F.col("o_orderstatus") == status).select(F.col("o_custkey").alias("cluster_id"), F.col("o_custkey").cast("string").alias("centroid"), "density", F.lit(1).cast("long").alias("mode"), F.col("o_custkey").cast("string").alias("mode_seq"))
+        clusters.write_summary(some, f"{path}/Iteration_{k}")
+    return summary.running_ids(clusters.read_run(spark, path).select("iteration", F.col("cluster_id").alias("line_no"), "density")).select("iteration", "line_no", "density", F.col("cluster_id").cast("long").alias("cluster_id"))
+
+
+def result_bundle(spark, d):
+    path = _folder(spark, "bundle")
+    clusters.write_bundle(_customer_sizes(spark, d), path, ["o_orderstatus"])
+    return spark.read.parquet(path).select("o_orderstatus", "o_custkey", "density")
+
+
+def other_tools(spark, d):
+    """Members of each supplier's parts in the files of three other tools, read back: how many clusters and members each has."""
+    own = _t(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
+    a, b, c = (_folder(spark, x) for x in ("cdhit", "uclust", "meshclust"))
+    own.select(F.concat(F.lit(">Cluster "), "cluster", F.lit("\n"), F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), "size"), lambda k: F.concat(k, F.lit("\t>x"))), "\n")).alias("value")).write.text(a)
+    own.select("cluster", "size").write.option("sep", ";").csv(b)
+    _t(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_discount", "l_returnflag").write.option("sep", "\t").csv(c)
+    mesh = summary.category_counts(clusters.meshclust_rows(spark, c), "cluster", "category", ["A", "R"]).withColumnRenamed("n", "size")
+    found = {"cdhit": clusters.cdhit_sizes(spark, a), "uclust": clusters.uclust_sizes(spark, b), "meshclust": mesh}
+    rows = [x.agg(F.count(F.lit(1)).alias("n_clusters"), F.sum("size").alias("n_members")).select(F.lit(name).alias("tool"), "*") for name, x in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def abundance_files(spark, d):
+    """Abundances by name beside the centroid of that name, and those of one side alone."""
+    path = _folder(spark, "abundances")
+    _t(spark, d, "part").groupBy(F.col("p_name").alias("sequence")).agg(F.count(F.lit(1)).alias("count")).write.option("sep", ";").option("header", True).csv(path)
+    centroids = _t(spark, d, "part").where("p_size > 25").groupBy(F.col("p_name").alias("sequence")).agg(F.min("p_partkey").alias("centroid"))
+    return compare.abundance_with_centroid(clusters.abundances(spark, path), centroids)
+
+
+def one_sided_sizes(spark, d):
+    return evaluate.one_sided(size_outer_compare(spark, d), "n_sold").select("name", "part_sum", scalars.log_safe(F.col("n_sold")).cast("long").alias("n_sold"))
+
+
+def centre_maps(spark, d):
+    lines = clusters.members_to_lines(_turns(spark, d)).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    return clusters.centre_map(lines, turned=True)
+
+
+def correlation_p(spark, d):
+    joined = _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"))
+    return evaluate.with_p(evaluate.pearson(joined, "c_acctbal", "o_totalprice")).select(F.round("t", 5).alias("t"), F.round("p", 6).alias("p"), "n")
+
+
+def _timed_rows(spark, d):
+    return clusters.timed(_months(spark, d).select("iteration", F.concat(F.lit(" "), F.col("n_big").cast("string"), F.lit(".5 minutes ")).alias("minutes")), ["minutes"])
+
+
+def summary_with_stats(spark, d):
+    """A row for each month, its minutes as text, beside its customers as clusters."""
+    own = _t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("iteration"), "o_custkey").agg(F.count(F.lit(1)).alias("density"))
+    return summary.with_cluster_stats(_timed_rows(spark, d), own)
+
+
+def clusters_over_time(spark, d):
+    own = _t(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("iteration"), "o_custkey").agg(F.count(F.lit(1)).alias("density"))
+    return summary.clusters_over_time(own, _timed_rows(spark, d), "minutes")
+
+
+def total_time(spark, d):
+    return summary.total_time(_timed_rows(spark, d).withColumn("year", F.substring("iteration", 1, 4)), "minutes", ["year"])
+
+
+def log_choices(spark, d):
+    """Ways to choose the large orders of a month among all."""
+    m = _months(spark, d).select("iteration", F.col("n_seqs").alias("n"), F.col("n_big").alias("k"))
+    return bounds.log_choices(m, m.agg(F.max("n")).first()[0]).withColumn("ln_choices", F.round("ln_choices", 5))
+
+
+def singleton_split(spark, d):
+    """Clusters of one member, and of more, in each order status."""
+    own = _customer_sizes(spark, d)
+    count = lambda alone, name: summary.singletons(own, alone).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias(name))
+    return count(True, "n_alone").join(count(False, "n_shared"), "o_orderstatus", "full_outer").na.fill(0)
+
+
+def counted_records(spark, d):
+    """Multiplicities of documents from the report of repeated sources, one where it says nothing; as shares."""
+    report = duplicate_report(spark, d)
+    own = records.with_counts(_t(spark, d, "documents").select(F.col("doc_id").alias("seq_id")), report)
+    return own.select("seq_id", F.col("count").cast("long").alias("count"), F.round(scalars.percent(F.lit(1), F.col("count")), 6).alias("share"))
+
+
+def option_rows(spark, d):
+    """Options of a run over this many pages, as text and back."""
+    n = _t(spark, d, "pages").count()
+    rows = clusters.options_table(spark, {"pages": n, "adaptive": True, "mode_shift": " FALSE "})
+    return rows.select("option", F.when(F.col("option") == "pages", F.lit(True)).otherwise(scalars.truth(F.when(F.col("option") == "pages", F.lit("true")).otherwise(F.col("value")))).alias("is_true"), F.when(F.col("option") == "pages", F.col("value")).alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         dedup_counts, sample_md5, include_ids, exclude_ids, ambiguous_edges, recruit_cost, recruit_first_center, nonambiguous_weights, ambiguous_assigned, cluster_summary, bait_centers, mode_centers, greedy_clusters, iteration_metrics,
         iteration_metrics_by_status, size_histogram_norm, size_threshold_table, fragmentation_curve, fragmentation_parts, cumulative_by_iteration, adapt_rate, carried_frontier, miss_probability, expected_sizes, freeze_exact, simulated_discovery,
         size_outer_compare, matched_abundance, pearson, spearman, entropy, miss_curve, log_factorial, kmer_spectrum, kmer_rollup, kmer_excess, filter_length, fasta_sort, members_to_lines, lines_to_members, line_sizes, singleton_padding,
-        category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds,
+        category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds, fasta_shuffle, apart_clusters, recruit_substring, letters_recruit, fasta_round_trip, fastq_quality_cut, fastq_sample_counts, joined_reads,
+        cluster_lines_round_trip, pair_file, duplicate_report, counts_literal, id_list, summary_file, run_folder, result_bundle, other_tools, abundance_files, one_sided_sizes, centre_maps, correlation_p, summary_with_stats, clusters_over_time,
+        total_time, log_choices, singleton_split, counted_records, option_rows,
     )
 } | {f"select_{mode}": _select(mode) for mode in ("centres", "rest", "members")}
 

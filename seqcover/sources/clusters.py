@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +54,33 @@ def read_duplicates(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.get(F.split("ids", ", "), F.lit(0)).alias("seq_id"), "count")
 
 
+def duplicate_lines(records: DataFrame) -> DataFrame:
+    """value: "n<TAB>id, id .." for each sequence that two records (seq_id, sequence, ord) or more have, in order of ord. A line is as long as its ids."""
+    ids = F.transform(F.sort_array(F.collect_list(F.struct("ord", "seq_id"))), lambda x: x["seq_id"].cast("string"))
+    return records.groupBy("sequence").agg(F.count(F.lit(1)).alias("n"), ids.alias("ids")).where("n > 1").select(F.concat_ws("\t", F.col("n").cast("string"), F.array_join("ids", ", ")).alias("value"))
+
+
+def write_counts_literal(counts: DataFrame, path: str) -> None:
+    """One Python literal {id: {"Counts": "n"}} for each part, a line for each id."""
+    pair = F.concat(F.lit("{'"), F.regexp_replace(F.col("seq_id").cast("string"), r"(['\\])", r"\\$1"), F.lit("': {'Counts': '"), F.col("count").cast("string"), F.lit("'}}"))
+    counts.select(pair.alias("value")).write.text(path)
+
+
+def write_ids(ids: DataFrame, path: str) -> None:
+    """One id on each line."""
+    ids.select(F.col("seq_id").cast("string").alias("value")).write.text(path)
+
+
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).where("value <> ''").select(F.col("value").alias("seq_id"))
+
+
 def read_counts_literal(spark: SparkSession, path: str) -> DataFrame:
-    """seq_id and count from one Python literal {id: {"Counts": "n"}}; for files that the driver can hold."""
-    text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    return spark.createDataFrame([(k, int(v["Counts"])) for k, v in ast.literal_eval(text).items()], "seq_id string, count long")
+    """seq_id and count from Python literals {id: {"Counts": "n"}}, of one id or many in each, wherever lines end."""
+    pairs = F.regexp_extract_all("value", F.lit(r"""(['"])((?:\\.|(?!\1).)*)\1\s*:\s*\{\s*['"]Counts['"]\s*:\s*['"]?(\d+)"""), F.lit(0))
+    raw = spark.read.option("lineSep", "}").text(path).select(F.explode(pairs).alias("p"))
+    parts = lambda k: F.regexp_extract("p", r"""^(['"])((?:\\.|(?!\1).)*)\1\s*:\s*\{\s*['"]Counts['"]\s*:\s*['"]?(\d+)""", k)
+    return raw.select(F.regexp_replace(parts(2), r"\\(.)", "$1").alias("seq_id"), parts(3).cast("long").alias("count"))
 
 
 def centre_map(lines: DataFrame, turned: bool = False) -> DataFrame:

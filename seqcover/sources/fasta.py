@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_word, trimmed
 
 WIDTH = 60
+MANY_FILES = 100_000
 
 
 def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, strict: bool = False) -> DataFrame:
@@ -18,7 +21,10 @@ def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, stric
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
     first = F.col("value").startswith(">")
-    start = F.row_number().over(_by_file()) == 1
+    # the first piece of each file: one row for each file is all that is looked for, without sorting any
+    begins = raw.groupBy(F.col("file").alias("of")).agg(F.min("ord").alias("least"))
+    raw = raw.join(F.broadcast(begins) if len(raw.inputFiles()) <= MANY_FILES else begins, F.col("file") == F.col("of"))
+    start = F.col("ord") == F.col("least")
     body = raw.withColumn("start", start).where(~F.col("start") | first | F.lit(strict))
     value = F.when(F.col("start"), F.when(first, F.expr("substr(value, 2)")).otherwise(F.raise_error(F.lit("the file doesn't start with a record")))).otherwise(F.col("value"))
     lines = F.split(value, "\n", -1)
@@ -26,12 +32,6 @@ def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, stric
     return made.select((F.col("header") if whole_header else first_word(F.col("header"))).alias("seq_id"), "header", "sequence", F.length("sequence").alias("length"), "ord")
 
 
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("file").orderBy("ord")
-
-
 def fasta_text(header, sequence):
     """A record as it is written, wrapped at WIDTH."""
     return F.concat(F.lit(">"), header, F.lit("\n"), F.regexp_replace(sequence, f"(.{{{WIDTH}}})(?!$)", "$1\n"))
@@ -48,9 +48,51 @@ def count_records(spark: SparkSession, path: str) -> int:
     return spark.read.text(path).where(F.col("value").startswith(">")).count()
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 0 in each file) and value of every line, empty ones too. Files are split; only the counts of lines of each part are put in order."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    part = F.shiftright("at", 33).alias("part")
+    parts = raw.groupBy("file", part).agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = parts.select(F.col("file").alias("of"), F.col("part").alias("of_part"), (before - F.col("least")).alias("shift"))
+    return raw.join(shifts, (F.col("file") == F.col("of")) & (F.shiftright("at", 33) == F.col("of_part"))).select("file", (F.col("at") + F.col("shift")).alias("line_no"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """header, sequence and quality of four-line records that start with "@", one after the other. A file is one row: for many files, not for a huge one."""
-    raw = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: x != "")
-    record = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("lines") / 4).cast("int") - 1)), lambda k: F.struct(F.get("lines", k * 4).alias("header"), F.get("lines", k * 4 + 1).alias("sequence"), F.get("lines", k * 4 + 3).alias("quality"))))
-    return raw.select(lines.alias("lines")).where(F.size("lines") >= 4).select(record.alias("r")).select(F.expr("substr(r.header, 2)").alias("header"), "r.sequence", "r.quality")
+    """file, place (from 0), header, sequence and quality of records of four lines: "@" and a header, letters, a line that starts with "+", qualities. Empty reads are records; blank lines behind the last record are not. Anything else is an error."""
+    lines = numbered_lines(spark, path).withColumn("k", F.col("line_no") % 4)
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    found = lines.groupBy("file", F.floor(F.col("line_no") / 4).alias("place")).agg(at(0).alias("header"), at(1).alias("sequence"), at(2).alias("sign"), at(3).alias("quality"))
+    found = found.where(F.concat_ws("", "header", "sequence", "sign", "quality") != "")
+    whole = F.col("header").startswith("@") & F.coalesce(F.col("sign").startswith("+"), F.lit(False)) & (F.length("sequence") == F.length(F.coalesce("quality", F.lit(""))))
+    header = F.when(whole, F.expr("substr(header, 2)")).otherwise(F.raise_error(F.concat(F.lit("no whole record: "), F.col("header"))))
+    return found.select("file", "place", header.alias("header"), F.coalesce("sequence", F.lit("")).alias("sequence"), F.coalesce("quality", F.lit("")).alias("quality"))
+
+
+def fastq_text(header, sequence, quality):
+    """A record as it is written."""
+    return F.concat_ws("\n", F.concat(F.lit("@"), header), sequence, F.lit("+"), quality)
+
+
+def quality_cut(reads: DataFrame, worst: int = 19, run: int = 3, share: float = 0.75) -> DataFrame:
+    """reads cut before the first run of over `run` letters of a quality of `worst` or less (offset 33); those that lose more than 1 - share of their letters go, and so do those with an N left."""
+    bad = f"[!-{re.escape(chr(33 + worst))}]{{{run + 1},}}"
+    at = F.regexp_instr("quality", F.lit(bad))
+    kept = F.when(at > 0, at - 1).otherwise(F.length("sequence"))
+    cut = reads.withColumn("_kept", kept).where(F.col("_kept") >= share * F.length("sequence")).withColumns({c: F.substr(c, F.lit(1), F.col("_kept")) for c in ("sequence", "quality")})
+    return cut.where(~F.contains("sequence", F.lit("N"))).drop("_kept")
+
+
+def turned(sequence):
+    """The reverse complement."""
+    return F.translate(F.reverse(sequence), "ACGTacgt", "TGCAtgca")
+
+
+def joined_pairs(forward: DataFrame, backward: DataFrame, least: int = 6, worse: float = 0.08) -> DataFrame:
+    """seq_id, sequence and overlap of pairs of reads (seq_id, sequence) whose ends overlap by `least` letters or more with a share of at most `worse` of unlike ones: the overlap with the fewest unlike letters for its length. Pairs that don't overlap are left out."""
+    both = forward.select("seq_id", F.col("sequence").alias("a")).join(backward.select("seq_id", turned(F.col("sequence")).alias("b")), "seq_id")
+    most = F.least(F.length("a"), F.length("b"))
+    unlike = lambda k: F.size(F.filter(F.zip_with(F.split(F.substr("a", F.length("a") - k + 1, k), ""), F.split(F.substr("b", F.lit(1), k), ""), lambda x, y: x != y), lambda x: x))
+    tried = F.transform(F.sequence(F.lit(least), most), lambda k: F.struct(((unlike(k) * unlike(k) + 1) / k).alias("cost"), (-k).alias("shorter"), k.alias("overlap"), unlike(k).alias("unlike")))
+    best = F.array_min(F.filter(tried, lambda x: x["unlike"] <= worse * x["overlap"]))
+    return both.where(most >= least).withColumn("best", best).where("best is not null").select("seq_id", F.concat("a", F.substr("b", F.col("best.overlap") + 1, F.length("b"))).alias("sequence"), F.col("best.overlap").alias("overlap"))
