@@ -1,11 +1,17 @@
 """Main text of web pages: flat text blocks, classified by a decision tree on words and links of a block and its neighbours.
 
 A page is read as a sequence of blocks: runs of text between block tags, with character references decoded and white
-space turned into one space. Of each block the tree sees its words, the share of them in links, the same of the blocks
-before and after, and what its surroundings say of themselves (an article; a menu, header, footer, sidebar, form, advert
-or notice; reader comments). The tree is trained on the small labelled table in html_samples. Blocks it takes for main
-text are joined in page order by one space; nothing is dropped or capped besides. Scripts, styles, comments, titles and
-other markup are no text. Null and empty pages have an empty text; a page cut off in the middle counts as far as it goes.
+space turned into one space. Of each block the tree sees its words, the share of them in links, the same of the two
+blocks before and the two after, whether it is a heading or a paragraph, what its surroundings say of themselves (an
+article; a menu, header, footer, sidebar, form, advert or notice; reader comments), and whether the page says any of
+this at all. The tree is trained on the labelled pages in html_samples, and again on each of them as it looks when one of
+the word lists below or all of them are unknown (SILENCED), so that no list decides by itself: where the markup says
+nothing, words and links of the neighbourhood do.
+
+Blocks it takes for main text are joined in page order by one space; nothing is dropped or capped besides. Scripts,
+styles, comments, titles and other markup are no text. Null and empty pages have an empty text; a page cut off in the
+middle counts as far as it goes, and pages of any length are read whole. Each row is judged by itself: repeated rows
+give the same text each, null ids and addresses stay null, other columns are left out, no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +37,7 @@ _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 _NESTED = frozenset("article main section div nav header footer aside form ul ol dl table tbody tr td dialog details menu figure body".split())
 _APART = frozenset("nav footer aside form dialog menu".split())
+_MAIN = frozenset("article main".split())
 #: Words by which pages name parts of themselves.
 _APART_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs"
@@ -38,28 +45,38 @@ _APART_NAMES = frozenset(
 )
 _COMMENT_NAMES = frozenset("comment comments commentlist respond response responses reply replies disqus discussion".split())
 _MAIN_NAMES = frozenset("article content post entry story main".split())
+#: Each word list, and the word lists that the tree must do without in turn.
+LISTS = {"apart": _APART, "main": _MAIN, "apart_names": _APART_NAMES, "comment_names": _COMMENT_NAMES, "main_names": _MAIN_NAMES}
+SILENCED = [(), *((name,) for name in LISTS), ("main", "main_names"), ("apart", "apart_names", "comment_names"), tuple(LISTS)]
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 APART, COMMENT, MAIN = 1, 2, 4
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "main", "apart", "comment", "heading"]
+HEADING, PARAGRAPH = 1, 2
+FEATURES = [
+    "words", "links", "words_before", "links_before", "words_after", "links_after", "words_2_before", "links_2_before", "words_2_after", "links_2_after",
+    "paragraph", "heading", "main", "apart", "comment", "page_main", "page_apart",
+]
+#: Splits that the tree begins with; what a leaf of it has at least of rows and at most of the other kind; and how often pages count as they are, beside once without each list.
+FIRST = ["page_main", "page_apart"]
+LEAF, MIXED, WHOLE = 4, 0.06, 6
 
 
-def _says(tag: str, attrs: str, inside: int) -> int:
+def _says(tag: str, attrs: str, inside: int, lists: dict) -> int:
     """What a tag says of all that is in it."""
-    flags = APART if tag in _APART or tag == "header" and not inside & MAIN else MAIN if tag in ("article", "main") else 0
+    flags = APART if tag in lists["apart"] or tag == "header" and lists["apart"] and not inside & MAIN else MAIN if tag in lists["main"] else 0
     if attrs and "=" in attrs:
         names = {x.lower() for m in _MARKED.finditer(attrs) for x in _NAMES.findall(m[1] or m[2] or m[3] or "")}
-        flags |= APART * bool(names & _APART_NAMES) | COMMENT * bool(names & _COMMENT_NAMES) | MAIN * bool(names & _MAIN_NAMES)
+        flags |= APART * bool(names & lists["apart_names"]) | COMMENT * bool(names & lists["comment_names"]) | MAIN * bool(names & lists["main_names"])
     return flags
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool]]:
-    """Text, words in links, flags of the surroundings, and whether a heading, of each block."""
-    out: list[tuple[str, int, int, bool]] = []
+def blocks(page: str, lists: dict = LISTS) -> list[tuple[str, int, int, int]]:
+    """Text, words in links, flags of the surroundings, and HEADING, PARAGRAPH or neither, of each block."""
+    out: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    around = own = at = 0
-    link = heading = False
+    around = own = at = kind = 0
+    link = False
 
     def text(chunk: str) -> None:
         if chunk:
@@ -71,7 +88,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
     def close() -> None:
         if parts:
             if words := "".join(parts).split():
-                out.append((" ".join(words), min(len(words), len(" ".join(linked).split())), around | own, heading))
+                out.append((" ".join(words), min(len(words), len(" ".join(linked).split())), around | own, kind))
             parts.clear()
             linked.clear()
 
@@ -86,51 +103,62 @@ def blocks(page: str) -> list[tuple[str, int, int, bool]]:
                 link = not m["end"]
             continue
         close()
-        own, heading = 0, False
+        own, kind = 0, 0
         if tag in _NESTED:
             if not m["end"]:
-                around |= _says(tag, m["attrs"], around)
+                around |= _says(tag, m["attrs"], around, lists)
                 stack.append((tag, around))
             elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
                 around, link = stack[-1][1] if stack else 0, False
         elif not m["end"]:
-            own, heading = _says(tag, m["attrs"], around), tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+            own, kind = _says(tag, m["attrs"], around, lists), PARAGRAPH * (tag == "p") + HEADING * (tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
     text(page[at:])
     close()
     return out
 
 
-def features(found: list[tuple[str, int, int, bool]]) -> np.ndarray:
+def features(found: list[tuple[str, int, int, int]]) -> np.ndarray:
     """FEATURES of each block of one page; before the first and after the last one stand no words."""
     if not found:
         return np.zeros((0, len(FEATURES)))
     words = np.array([x[0].count(" ") + 1 for x in found], float)
     links = np.array([x[1] for x in found]) / words
-    flags = np.array([x[2] for x in found])
-    before = lambda v: np.concatenate([[0.0], v[:-1]])
-    after = lambda v: np.concatenate([v[1:], [0.0]])
-    return np.stack([words, links, before(words), before(links), after(words), after(links), flags & MAIN > 0, flags & APART > 0, flags & COMMENT > 0, [x[3] for x in found]], 1).astype(float)
+    flags, kind = np.array([x[2] for x in found]), np.array([x[3] for x in found])
+    n = len(found)
+
+    def moved(v: np.ndarray, by: int) -> np.ndarray:
+        out = np.zeros(n)
+        out[max(0, -by) : max(0, n - by)] = v[max(0, by) : max(0, n + by)]
+        return out
+
+    around = [moved(v, by) for by in (-1, 1, -2, 2) for v in (words, links)]
+    page = [np.full(n, (flags & flag > 0).any()) for flag in (MAIN, APART)]
+    return np.stack([words, links, *around, kind == PARAGRAPH, kind == HEADING, flags & MAIN > 0, flags & APART > 0, flags & COMMENT > 0, *page], 1).astype(float)
 
 
 class Tree:
-    """Binary splits of least Gini impurity, down to pure leaves or `depth` levels."""
+    """Binary splits, first by FIRST (whether the page names anything), then of least Gini impurity, down to leaves with at most MIXED of the other kind, of LEAF rows, or of `depth` levels."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10):
         self.nodes: list[tuple[int, float, int, int, float]] = []
+        self.depth = depth
         self._grow(x, y.astype(float), depth)
 
     def _grow(self, x: np.ndarray, y: np.ndarray, depth: int) -> int:
         here = len(self.nodes)
         self.nodes.append((-1, 0.0, 0, 0, float(y.mean()) if len(y) else 0.0))
-        best = None
-        if depth and 0 < y.mean() < 1:
+        best, level = None, self.depth - depth
+        if level < len(FIRST):
+            f = FEATURES.index(FIRST[level])
+            best = 0.0, f, 0.5
+        elif depth and len(y) and MIXED < y.mean() < 1 - MIXED:
             for f in range(x.shape[1]):
                 order = np.argsort(x[:, f], kind="stable")
                 v, t = x[order, f], np.cumsum(y[order])
                 n = np.arange(1, len(v))
-                ok = v[1:] > v[:-1]
+                ok = (v[1:] > v[:-1]) & (n >= LEAF) & (len(v) - n >= LEAF)
                 if not ok.any():
                     continue
                 left, right = t[:-1] / n, (t[-1] - t[:-1]) / (len(v) - n)
@@ -154,13 +182,15 @@ class Tree:
         return p[node] > 0.5
 
 
-def trained() -> Tree:
-    """From the labelled table: a block of it is main text if it starts with "+", and else starts with "-"."""
+def trained(pages: list[str] | None = None) -> Tree:
+    """From labelled pages: a block of them is main text if it starts with "+", and else starts with "-"."""
     x, y = [], []
-    for page in labelled_pages():
-        found = blocks(page)
-        x.append(features(found))
-        y += [b[0][0] == "+" for b in found]
+    for page in labelled_pages() if pages is None else pages:
+        for silent in SILENCED:
+            found = blocks(page, LISTS | dict.fromkeys(silent, frozenset()))
+            times = 1 if silent else WHOLE
+            x += [features(found)] * times
+            y += [b[0][0] == "+" for b in found] * times
     return Tree(np.concatenate(x), np.array(y))
 
 
