@@ -1,16 +1,17 @@
 """Token ids in files of independently coded blocks: context mixing over order-0 to order-2 predictions, and a range coder.
 
 A stripe is a run of whole documents. Its ids, named by their rank in the stripe's own order of frequency, are cut into
-blocks of BLOCK ids. Each block starts from the same state and can be decoded by itself; its CRC-32 is checked. In a
-block, the order-2 and order-1 contexts (hashed) each predict one id with a confidence, and order 0 predicts the group
-of the rank (ranks of equal bit length) by adaptive shares. The three are mixed into one distribution: the weight of an
-id predicted by a context is how often that context's predictions of this confidence came true so far in the block, and
-order 0 has the rest; within a group, ranks are equally likely. All blocks of a stripe are coded side by side with
-numpy, one id of each at a time.
+blocks of BLOCK ids. Each block starts from the same state and can be decoded by itself; its CRC-32 is checked. Order 0
+predicts every id by its share of the stripe's ids, which the head of the stripe has. The order-1 and order-2 contexts
+(hashed) each predict the id that came last behind them in the block; how sure they are is how often in a row that came
+true, and their weight is an adaptive share of the block's predictions, as sure as this one, that came true. The three
+are mixed into one distribution: order 2 takes its weight, order 1 its weight of the rest, and order 0 what is left. All
+blocks of a stripe are coded side by side with numpy, one id of each at a time.
 
 Layout of a stripe, little-endian: MAGIC, then unsigned 32-bit block length, numbers of documents, ids, distinct ids and
-blocks, and the sizes of three zlib streams: document ids (signed 64-bit), their numbers of ids, and ids in order of
-rank (unsigned 32-bit); then for each block the size and the CRC-32 of its ids (unsigned 32-bit), then the blocks.
+blocks, and the sizes of four zlib streams: document ids (signed 64-bit), their numbers of ids, ids in order of rank and
+how often each occurs (unsigned 32-bit); then for each block the size and the CRC-32 of its ids (unsigned 32-bit), then
+the blocks.
 """
 
 from __future__ import annotations
@@ -20,180 +21,198 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"IDS1"
-BLOCK = 4096
-#: The coder's window has 56 bits and moves on by 16.
-_ONES, _TOP, _BOTTOM, _WORD, _AWAY = np.uint64((1 << 56) - 1), np.uint64(1 << 40), np.uint64(1 << 32), np.uint64(16), np.uint64(40)
-#: The choice is out of 2**16, the groups' adaptive shares out of 2**14.
-_TOTAL, _SHARES = 1 << 16, 1 << 14
+MAGIC = b"IDS2"
+BLOCK = 1024
+#: Shares of order 0 are out of 2**bits, with a few bits more than the number of distinct ids has; the mixed ones out of 2**(bits + _MORE).
+_LEAST_BITS, _MOST_BITS, _MORE = 16, 27, 4
+#: The coder's window has 48 bits and moves on by 16 while the width has less than 33.
+_WINDOW, _WORD, _NARROW, _BELOW = 48, 16, 1 << 32, 32
+#: Contexts are hashed to so many bits, and the coder names those of so many steps at a time.
+_HASHED, _STEPS = 9, 64
+
+
+def shares(counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """Bits of the whole, and the ends of the ranks' shares of it (the first is 0); each rank has at least one."""
+    n, bits = len(counts), max(_LEAST_BITS, int(len(counts)).bit_length() + 2)
+    if bits > _MOST_BITS:
+        raise ValueError("a stripe of too many distinct ids")
+    own = 1 + counts.astype(np.int64) * ((1 << bits) - n) // max(1, int(counts.sum()))
+    if n:
+        own[0] += (1 << bits) - own.sum()
+    return bits, np.concatenate([[0], np.cumsum(own)])
 
 
 class _Mixer:
-    """What a block knows so far, for n blocks side by side; the coder and the decoder run the same steps."""
-
-    def __init__(self, n: int, distinct: int):
-        self.groups = max(1, int(distinct).bit_length())
-        self.index = np.arange(1, self.groups + 1, dtype=np.int64)
-        self.short = self.index.astype(np.int8)
-        # an id and, in the lowest four bits, how sure the context is of it
-        self.said1, self.said2 = np.full(n << 9, -16, np.int32), np.full(n << 10, -16, np.int32)
-        self.true1, self.true2 = np.full(n << 4, 1024, np.int64), np.full(n << 4, 2048, np.int64)
-        self.true1[::16] = self.true2[::16] = 32
-        self.shares = np.tile((self.index * _SHARES // self.groups).astype(np.int16), (n, 1))
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.lane = np.arange(n, dtype=np.int64)
+    """What n blocks side by side know so far; the coder and the decoder run the same steps.
+
+    Rows are order 1 and order 2. For each of a block's contexts, `said` has the id that came last behind it and, in the
+    lowest four bits, how sure that is; `true` has the share of a block's predictions, as sure, that came true.
+    """
+
+    def __init__(self, n: int, counts: np.ndarray):
+        self.bits, self.ends = shares(counts)
+        self.scale = self.bits + _MORE
+        self.total = 1 << self.scale
+        self.room = self.total - (1 << self.bits)
+        self.said = np.full(2 * n << _HASHED, -16, np.int32)
+        self.true = np.repeat(np.array([1024, 2048], np.int32), n << 4)
+        self.true[::16] = 64
+        # hashes of each rank, behind that of no rank, as the last one for order 1 and order 2 and as the one before it
+        mixed = (np.arange(len(counts) + 1, dtype=np.int64) * 0x9E3779B1) & 0xFFFFFFFF
+        self.hashed = np.stack([mixed >> (32 - _HASHED), (mixed * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - _HASHED), (mixed >> 5) & ((1 << _HASHED) - 1)])
+        self.n = n
+        self.cut(n)
 
     def cut(self, n: int) -> None:
         """The blocks from the n-th on have ended."""
-        self.shares, self.last, self.before, self.lane = self.shares[:n], self.last[:n], self.before[:n], self.lane[:n]
-
-    def predict(self) -> None:
-        lane, mixed = self.lane, self.last * 0x9E3779B1
-        self.at1 = (lane << 9) + ((mixed & 0xFFFFFFFF) >> 23)
-        self.at2 = (lane << 10) + (((mixed ^ (self.before * 0x85EBCA6B)) & 0xFFFFFFFF) >> 22)
-        self.was1, self.was2 = self.said1[self.at1].astype(np.int64), self.said2[self.at2].astype(np.int64)
-        self.id1, self.id2 = self.was1 >> 4, self.was2 >> 4
-        self.row1, self.row2 = (lane << 4) + (self.was1 & 15), (lane << 4) + (self.was2 & 15)
-        self.p1, self.p2 = self.true1[self.row1], self.true2[self.row2]
-        self.f2 = (self.p2 * (_TOTAL - 2048)) >> 12
-        rest = _TOTAL - self.f2
-        self.f1 = ((self.p1 * (rest - 64)) >> 12) * (self.id1 != self.id2)
+        lane = np.stack([np.arange(n), self.n + np.arange(n)])
+        self.base, self.rows = lane << _HASHED, lane << 4
+
+    def contexts(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """From ranks plus one (zero for none): the hashes of order 1 and order 2."""
+        out = np.empty((2, *last.shape), np.int64)
+        np.take(self.hashed[0], last, out=out[0], mode="clip")
+        np.bitwise_xor(self.hashed[1].take(last), self.hashed[2].take(before), out=out[1])
+        return out
+
+    def predict(self, contexts: np.ndarray) -> None:
+        """f2 and f1, the widths of order 2 and order 1 (none where they agree); order 0 has what is left."""
+        self.at = self.base + contexts
+        self.was = self.said.take(self.at)
+        self.sure = self.was & 15
+        self.id = self.was >> 4
+        self.row = self.rows + self.sure
+        self.share = self.true.take(self.row)
+        wide = self.share.astype(np.int64)
+        self.f2 = wide[1] * (self.room >> 12)
+        self.f1 = self.room - self.f2
+        self.f1 *= wide[0]
+        self.f1 >>= 12
+        self.f1 *= self.id[0] != self.id[1]
         self.known = self.f1 + self.f2
-        self.spread = _TOTAL - self.known - self.groups
-
-    def part(self, rank: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Start and width of the choice, then place in the group and the group's bits (0 of 0 for a predicted id)."""
-        self.hit2 = rank == self.id2
-        self.hit1 = (rank == self.id1) & ~self.hit2
-        self.group = np.frexp((rank + 1).astype(np.float64))[1].astype(np.int64) - 1
-        start, width, bits = self._interval()
-        return start, width, np.where(bits > 0, rank + 1 - (1 << self.group), 0), bits
-
-    def _interval(self) -> tuple[np.ndarray, ...]:
-        group, at = self.group, self.lane * self.groups + self.group
-        flat = self.shares.reshape(-1)
-        above = ((flat[at] * self.spread) >> 14) + group + 1
-        below = np.where(group > 0, ((flat[np.maximum(at - 1, 0)] * self.spread) >> 14) + group, 0)
-        hit = self.hit1 | self.hit2
-        self.literal = ~hit
-        start = np.where(hit, self.f2 * self.hit1, self.known + below)
-        width = np.where(hit, np.where(self.hit2, self.f2, self.f1), above - below)
-        return start, width, group * self.literal
-
-    def choose(self, target: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Start, width and bits for the choice that holds target."""
-        self.hit2 = target < self.f2
-        self.hit1 = ~self.hit2 & (target < self.known)
-        ends = self.shares.astype(np.int32)
-        ends *= self.spread.astype(np.int32)[:, None]
-        ends >>= 14
-        ends += self.index.astype(np.int32)
-        self.group = np.minimum(np.count_nonzero(ends <= (target - self.known).astype(np.int32)[:, None], axis=1), self.groups - 1)
-        return self._interval()
+        self.left = self.total - self.known
+
+    def interval(self, below: np.ndarray, above: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of each id's share, from its share in order 0; hit2 and hit1 tell the ids that order 2 or else order 1 predicts."""
+        below = below * self.left
+        below >>= self.bits
+        above = above * self.left
+        above >>= self.bits
+        above -= below
+        below += self.known
+        start, width = np.where(hit1, self.f2, below), np.where(hit1, self.f1, above)
+        start[hit2] = 0
+        np.copyto(width, self.f2, where=hit2)
+        return start, width
 
     def update(self, rank: np.ndarray) -> None:
-        for at, row, was, p, true, said, ids in ((self.at2, self.row2, self.was2, self.p2, self.true2, self.said2, self.id2), (self.at1, self.row1, self.was1, self.p1, self.true1, self.said1, self.id1)):
-            hit, sure = ids == rank, was & 15
-            true[row] = np.clip(p + (((hit << 12) - p) >> 4), 32, 4064)
-            said[at] = np.where(hit, was + (sure < 15), np.where(sure > 0, (ids << 4) | (sure >> 1), (rank << 4) | 1))
-        change = (self.short > self.group.astype(np.int8)[:, None]).astype(np.int16)
-        change <<= 14
-        change -= self.shares
-        change >>= 5
-        change *= self.literal.astype(np.int16)[:, None]
-        self.shares += change
-        self.before, self.last = self.last, rank
-
-
-def _coded(ranks: np.ndarray, lengths: np.ndarray, distinct: int) -> list[bytes]:
+        rank = rank.astype(np.int32)
+        hit = self.id == rank
+        change = hit * np.int32(4064)
+        change += np.int32(16)
+        change -= self.share
+        change >>= 4
+        change += self.share
+        self.true[self.row] = change
+        self.said[self.at] = np.where(hit, self.was + (self.sure < 15), rank << 4)
+
+
+def _coded(ranks: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[bytes]:
     """Each row of ranks, as long as lengths says (longest first), by itself."""
-    n = len(lengths)
-    mixer = _Mixer(n, distinct)
-    low_, wide_ = np.zeros(n, np.uint64), np.full(n, _ONES, np.uint64)
-    out, end = np.zeros((n, 3 * ranks.shape[1] + 32), ">u2"), np.zeros(n, np.int64)
-    alive, steps = n, np.ascontiguousarray(ranks.T)
-    for t in range(ranks.shape[1]):
-        while alive and lengths[alive - 1] <= t:
-            alive -= 1
+    n, most = ranks.shape
+    mixer = _Mixer(n, counts)
+    low_, wide_ = np.zeros(n, np.int64), np.full(n, 1 << _WINDOW, np.int64)
+    # words of 16 bits, and above them a carry into the word before
+    out, end = np.zeros((2 * most + 8, n), np.uint32), np.zeros(n, np.int64)
+    alive, steps = n, np.zeros((most + 2, n), np.int32)
+    steps[2:] = ranks.T
+    steps[2:] += 1
+    for t in range(most):
+        if lengths[alive - 1] <= t:
+            while lengths[alive - 1] <= t:
+                alive -= 1
             mixer.cut(alive)
-        rank, low, wide = steps[t, :alive].astype(np.int64), low_[:alive], wide_[:alive]
-        mixer.predict()
-        start, width, place, bits = (x.astype(np.uint64) for x in mixer.part(rank))
-        wide >>= _WORD
-        low += start * wide
+        k = t % _STEPS
+        if not k:
+            some = steps[t : t + _STEPS + 2].astype(np.int64)
+            contexts, ranks_ = mixer.contexts(some[1:-1], some[:-2]), some[2:] - 1
+            below, above = mixer.ends.take(ranks_, mode="clip"), mixer.ends.take(ranks_ + 1, mode="clip")
+        rank, low, wide = ranks_[k, :alive], low_[:alive], wide_[:alive]
+        mixer.predict(contexts[:, k, :alive])
+        hit = mixer.id == rank
+        start, width = mixer.interval(below[k, :alive], above[k, :alive], hit[1], hit[0])
+        wide >>= mixer.scale
+        start *= wide
+        low += start
         wide *= width
-        wide >>= bits
-        low += place * wide
-        low &= _ONES
-        while True:
-            settled = (low ^ ((low + wide) & _ONES)) < _TOP
-            small = wide < _BOTTOM
-            lanes = np.flatnonzero(settled | small)
-            if not len(lanes):
-                break
-            cut = np.flatnonzero(small & ~settled)
-            wide[cut] = (~low[cut] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            here = low[lanes]
-            out[lanes, end[lanes]] = here >> _AWAY
-            end[lanes] += 1
-            low[lanes] = (here << _WORD) & _ONES
+        while len(lanes := np.flatnonzero(wide < _NARROW)):
+            here, at = low[lanes], end[lanes]
+            out[at, lanes] = here >> _BELOW
+            end[lanes] = at + 1
+            low[lanes] = (here & (_NARROW - 1)) << _WORD
             wide[lanes] <<= _WORD
         mixer.update(rank)
-    for _ in range(4):
-        out[np.arange(n), end] = low_ >> _AWAY
+    lanes = np.arange(n)
+    for _ in range(3):
+        out[end, lanes] = low_ >> _BELOW
         end += 1
-        low_ = (low_ << _WORD) & _ONES
-    return [out[k, : end[k]].tobytes() for k in range(n)]
+        low_ = (low_ & (_NARROW - 1)) << _WORD
+    out = out[: int(end.max(initial=0)) + 1]
+    for k in range(len(out) - 1, 0, -1):
+        out[k - 1] += out[k] >> 16
+    made = np.ascontiguousarray(out.astype(">u2").T)
+    return [made[k, : end[k]].tobytes() for k in range(n)]
 
 
-def _decoded(blocks: list[bytes], lengths: np.ndarray, distinct: int) -> np.ndarray:
+def _decoded(blocks: list[bytes], lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n, most = len(blocks), int(lengths.max(initial=0))
-    mixer = _Mixer(n, distinct)
-    data = np.zeros((n, max(map(len, blocks), default=0) // 2 + 8), np.uint64)
+    mixer = _Mixer(n, counts)
+    at_share = np.repeat(np.arange(len(counts), dtype=np.int32), np.diff(mixer.ends))
+    data = np.zeros((n, max(map(len, blocks), default=0) // 2 + 8), np.uint16)
     for k, block in enumerate(blocks):
         words = np.frombuffer(block[: len(block) // 2 * 2], ">u2")
         data[k, : len(words)] = words
-    flat, row, last = data.reshape(-1), np.arange(n) * data.shape[1], data.shape[1] - 1
-    low_, wide_, at = np.zeros(n, np.uint64), np.full(n, _ONES, np.uint64), np.full(n, 4)
-    # the window holds three words and the upper half of the fourth
-    code_ = ((data[:, 0] << np.uint64(40)) | (data[:, 1] << np.uint64(24)) | (data[:, 2] << np.uint64(8)) | (data[:, 3] >> np.uint64(8))) & _ONES
-    half_ = data[:, 3] & np.uint64(255)
-    out = np.zeros((most, n), np.int32)
+    flat, last = data.reshape(-1), (np.arange(n) + 1) * data.shape[1] - 1
+    next_ = np.arange(n) * data.shape[1] + 3
+    # how far the code lies above the low end, and the width
+    wide_, first = np.full(n, 1 << _WINDOW, np.int64), data[:, :3].astype(np.int64)
+    code_ = (first[:, 0] << 32) | (first[:, 1] << _WORD) | first[:, 2]
+    out = np.zeros((most + 2, n), np.int32)
     alive = n
     for t in range(most):
-        while alive and lengths[alive - 1] <= t:
-            alive -= 1
+        if lengths[alive - 1] <= t:
+            while lengths[alive - 1] <= t:
+                alive -= 1
             mixer.cut(alive)
-        low, wide, code, half = low_[:alive], wide_[:alive], code_[:alive], half_[:alive]
-        mixer.predict()
-        wide >>= _WORD
-        target = np.minimum(((code - low) & _ONES) // np.maximum(wide, np.uint64(1)), np.uint64(_TOTAL - 1)).astype(np.int64)
-        start, width, bits = (x.astype(np.uint64) for x in mixer.choose(target))
-        low += start * wide
-        low &= _ONES
+        wide, code = wide_[:alive], code_[:alive]
+        mixer.predict(mixer.contexts(out[t + 1, :alive], out[t, :alive]))
+        wide >>= mixer.scale
+        target = np.minimum(code // wide, mixer.total - 1)
+        hit2 = target < mixer.f2
+        hit1 = target < mixer.known
+        hit1 &= ~hit2
+        # the rank whose share, narrowed to what is left, holds the target
+        target -= mixer.known
+        target += 1
+        target <<= mixer.bits
+        target -= 1
+        target //= mixer.left
+        rank = at_share.take(target, mode="clip").astype(np.int64)
+        np.copyto(rank, mixer.id[0], where=hit1)
+        np.copyto(rank, mixer.id[1], where=hit2)
+        start, width = mixer.interval(mixer.ends.take(rank, mode="clip"), mixer.ends.take(rank + 1, mode="clip"), hit2, hit1)
+        start *= wide
+        code -= start
         wide *= width
-        wide >>= bits
-        place = np.minimum(((code - low) & _ONES) // np.maximum(wide, np.uint64(1)), (np.uint64(1) << bits) - np.uint64(1))
-        low += place * wide
-        low &= _ONES
-        rank = np.where(mixer.literal, place.astype(np.int64) + (1 << mixer.group) - 1, np.where(mixer.hit2, mixer.id2, mixer.id1))
-        while True:
-            settled = (low ^ ((low + wide) & _ONES)) < _TOP
-            small = wide < _BOTTOM
-            lanes = np.flatnonzero(settled | small)
-            if not len(lanes):
-                break
-            cut = np.flatnonzero(small & ~settled)
-            wide[cut] = (~low[cut] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            come = flat[row[lanes] + np.minimum(at[lanes], last)]
-            code[lanes] = ((code[lanes] << _WORD) & _ONES) | (half[lanes] << np.uint64(8)) | (come >> np.uint64(8))
-            half[lanes] = come & np.uint64(255)
-            at[lanes] += 1
-            low[lanes] = (low[lanes] << _WORD) & _ONES
-            wide[lanes] <<= _WORD
+        while len(lanes := np.flatnonzero(wide < _NARROW)):
+            at = next_[lanes]
+            code[lanes] = (code[lanes] << _WORD) | flat[np.minimum(at, last[lanes])]
+            next_[lanes] = at + 1
+            wide[lanes] = np.maximum(wide[lanes], 1) << _WORD
+        code &= (1 << _WINDOW) - 1
         mixer.update(rank)
-        out[t, :alive] = rank
-    return out.T
+        out[t + 2, :alive] = np.clip(rank, 0, len(counts) - 1) + 1
+    return out[2:].T - 1
 
 
 def packed(doc_ids: list[int], documents: list[np.ndarray]) -> bytes:
@@ -215,23 +234,23 @@ def packed(doc_ids: list[int], documents: list[np.ndarray]) -> bytes:
     ranks = np.zeros(n * BLOCK, np.int32)
     ranks[: len(ids)] = rank_of[which.reshape(-1)]
     sizes = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(n))
-    blocks = _coded(ranks.reshape(n, BLOCK), sizes, len(names)) if n else []
-    streams = [zlib.compress(x.tobytes()) for x in (np.array(doc_ids, "<i8"), lengths, names[order].astype("<u4"))]
+    blocks = _coded(ranks.reshape(n, BLOCK)[:, : sizes.max(initial=0)], sizes, counts[order]) if n else []
+    streams = [zlib.compress(x.tobytes()) for x in (np.array(doc_ids, "<i8"), lengths, names[order].astype("<u4"), counts[order].astype("<u4"))]
     checks = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(n)]
-    head = struct.pack("<4s8I", MAGIC, BLOCK, len(documents), len(ids), len(names), n, *map(len, streams))
+    head = struct.pack("<4s9I", MAGIC, BLOCK, len(documents), len(ids), len(names), n, *map(len, streams))
     return b"".join([head, *streams, *(struct.pack("<2I", len(b), c) for b, c in zip(blocks, checks, strict=True)), *blocks])
 
 
 def unpacked(stripe: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, their numbers of ids, and all ids; ValueError if a block isn't what was written."""
-    magic, block, n_docs, n_ids, distinct, n, *sizes = struct.unpack_from("<4s8I", stripe)
+    magic, block, n_docs, n_ids, distinct, n, *sizes = struct.unpack_from("<4s9I", stripe)
     if magic != MAGIC:
         raise ValueError("not a stripe of ids")
-    at, streams = 36, []
-    for size, kind in zip(sizes, ("<i8", "<u4", "<u4"), strict=True):
+    at, streams = 40, []
+    for size, kind in zip(sizes, ("<i8", "<u4", "<u4", "<u4"), strict=True):
         streams.append(np.frombuffer(zlib.decompress(stripe[at : at + size]), kind))
         at += size
-    doc_ids, lengths, names = streams
+    doc_ids, lengths, names, counts = streams
     table = [struct.unpack_from("<2I", stripe, at + 8 * k) for k in range(n)]
     at += 8 * n
     blocks = []
@@ -241,8 +260,9 @@ def unpacked(stripe: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.minimum(block, n_ids - block * np.arange(n))
     if not n:
         return doc_ids, lengths, np.zeros(0, "<u4")
-    ranks = np.ascontiguousarray(_decoded(blocks, own, distinct)).reshape(-1)[:n_ids]
-    if ranks.max(initial=0) >= distinct:
+    # rows of a stripe of one short block are no longer than that block
+    ranks = _decoded(blocks, own, counts).reshape(-1)[:n_ids]
+    if ranks.min(initial=0) < 0 or ranks.max(initial=0) >= distinct:
         raise ValueError("a block names an id that the stripe has not")
     ids = names[ranks]
     for k, (_, check) in enumerate(table):

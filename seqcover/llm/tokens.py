@@ -9,6 +9,7 @@ id. A null text is empty and has the end id alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -25,8 +26,14 @@ from . import common, idfile
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 STRIPE = 5 << 20
-#: Marks of which none begins a contraction.
-MARKS = ".,;:!?"
+#: The normal form and the cut before merging of the tokenizers that are known here.
+KNOWN_FORM = ["NFC", "Replace", "Lowercase"]
+KNOWN_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters that are in normal form and stay one in lower case: ASCII, Latin letters, dashes, quotes; the letters among them in lower case; and that cut for texts of these.
+_LETTERS = "a-zß-öø-ÿœ"
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿŒœ–—‘-”…]*")
+PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \t-\r{_LETTERS}0-9]+")
+JOINED = 200
 CACHED, CACHED_CHARS = 300_000, 64
 #: White space of Python that isn't the tokenizer's, and chunks of texts that have it.
 SEPARATORS, CHUNKS = re.compile("[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
@@ -38,39 +45,72 @@ def chunked(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids by chunk; of chunks not met again since the last CACHED new ones, none are kept."""
+    """Ids by chunk; of chunks not met again since the last CACHED new ones, none are kept.
+
+    Texts of plain characters are put into lower case and cut into pieces here, as the tokenizer would; each new piece
+    is merged by the tokenizer's own model, JOINED at a time in one text, whose ids fall apart behind those that end a
+    piece. Chunks of other texts, and all chunks if the tokenizer has another normal form or cut, go through the whole
+    tokenizer one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        suffix, form, cut = said["model"].get("end_of_word_suffix"), said["normalizer"] or {}, said["pre_tokenizer"] or {}
+        known_form = [x["type"] for x in form.get("normalizers", [])] == KNOWN_FORM
+        known_cut = [x.get("pattern", {}).get("Regex") for x in cut.get("pretokenizers", [])] == [KNOWN_CUT, None] and cut["pretokenizers"][1]["type"] == "ByteLevel"
+        self.plain = bool(suffix) and known_form and known_cut
+        self.special = [x["content"] for x in said["added_tokens"]]
+        self.merging = Tokenizer(self.tokenizer.model)
+        self.merging.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _chunks(self, text: str) -> tuple[list[str], bool]:
+        """The text cut at white space, and whether PIECES cuts its chunks as the tokenizer does."""
+        if self.plain and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+            return chunked(text.lower()), True
+        return chunked(text), False
+
+    def _whole(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        found: list[bytes] = []
+        parts = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
+        for some, e in zip(parts, self.merging.encode_batch_fast([" ".join(some) for some in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            found += [raw[a:b] for a, b in zip([0, *at], at, strict=False)] if len(at) == len(some) and at[-1] == len(raw) else self._whole(some)
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        chunks = [chunked(x) for x in texts]
+        cut = [self._chunks(x) for x in texts]
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = {c for own in chunks for c in own}.difference(known)
-        # letters and the marks behind them are encoded apart by the tokenizer anyway
-        parted = {c: core for c in new if (core := c.rstrip(MARKS)) != c and core.isascii() and core.isalpha()}
-        new |= {part for c, core in parted.items() for part in (core, c[len(core) :])} - known.keys()
-        ask = []
-        for c in new.difference(parted):
-            if (had := older.get(c)) is None:
-                ask.append(c)
-            else:
-                known[c] = had
-        for c, e in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        for c, core in parted.items():
-            known[c] = known[core] + known[c[len(core) :]]
-        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in chunks]
-        for c in new:
+
+        def fresh(found: set[str]) -> list[str]:
+            again = found & older.keys()
+            known.update((c, older[c]) for c in again)
+            return list(found - again)
+
+        odd = fresh(set().union(*(own for own, plain in cut if not plain)).difference(known))
+        new = fresh(set().union(*(own for own, plain in cut if plain)).difference(known))
+        parted = [(c, PIECES.findall(c)) for c in new if not c.isalpha()]
+        pieces = fresh({c for c in new if c.isalpha()}.union(*(own for _, own in parted)).difference(known))
+        known.update(zip(pieces, self._pieces(pieces), strict=True))
+        known.update((c, b"".join([known[x] for x in own])) for c, own in parted)
+        known.update(zip(odd, self._whole(odd), strict=True))
+        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own, _ in cut]
+        for c in (*odd, *new, *pieces):
             if len(c) > CACHED_CHARS:
-                del known[c]
+                known.pop(c, None)
         return out
 
 
