@@ -7,11 +7,17 @@ id is never held out, a null text is empty).
 Base: counts of all training tokens, by one shuffle of counts summed in each task. The HEAD most frequent words (a
 bounded number) go to the tasks; rarer ones are joined with their counts, one row for each document and word.
 
-Model: the ids of each word by the first SUBWORDS ranks of a byte-level BPE vocabulary, and an end id. Its output biases
-come from the ids of all training tokens; its weights from every span of every training text. Trainers work side by
-side, as many as have BATCH spans for each of STEPS steps, and their weights are averaged after each of ROUNDS rounds,
-each on its share of the texts; a lone trainer with fewer spans goes over them several times. Scoring cuts each text into spans that
-overlap with the one before, so that each token is scored once, with SPAN to 2 * SPAN - 1 ids of context.
+Model: the ids of each word by the first SUBWORDS ranks of a byte-level BPE vocabulary, and an end id. Its first logits
+come from counts of ids behind one id, and behind the CONTEXTS most frequent pairs of ids, over all training tokens (by
+one shuffle; no more than SUBWORDS squared, and CONTEXTS times SUBWORDS, sums reach the driver). Its weights learn from
+every span of every training text: trainers work side by side, as many as have TRAINER_SPANS spans in each of ROUNDS
+rounds, each on its share of the texts, and their weights are averaged after each round; fewer than LEAST_SPANS spans
+are gone over several times. Scoring cuts each text into spans that overlap with the one before, so that each token is
+scored once, with SPAN to 2 * SPAN - 1 ids of context.
+
+Rows are scored one by one: repeated rows get equal scores, texts of any length are scored whole, an empty text is its
+end alone, columns other than doc_id and text are left out. Without training texts all shares are even; no rows give no
+rows.
 """
 
 from __future__ import annotations
@@ -32,8 +38,11 @@ from . import attention, common
 
 VOCABULARY, SUBWORDS = "byte_bpe_multi_50k.tiktoken", 2048
 HEAD, HEAD_BYTES = 65_536, 64
-ROUNDS, BATCH, STEPS, RATE = 2, 128, 1600, 0.01
-CHUNK = 1024
+CONTEXTS = 4096
+ROUNDS, BATCH, RATE = 2, 256, 0.015
+TRAINER_SPANS, LEAST_SPANS = 400_000, 240_000
+#: Spans that are made, and that are scored, at a time.
+MADE, CHUNK = 4096, 256
 CACHED = 300_000
 END = ""
 
@@ -57,6 +66,7 @@ class Subwords(dict):
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if int(rank) < size}
         self.coding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = np.array([size], "<u2").tobytes()
+        self.begins = np.array([token[:1] == b" " for token, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
     def __missing__(self, word: bytes) -> bytes:
         made = np.array(self.coding.encode_ordinary(" " + word.decode()), "<u2").tobytes()
@@ -102,80 +112,75 @@ def counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def id_counts(word_counts: DataFrame, path: str, size: int) -> np.ndarray:
-    """How often each subword id and the end id occur in all training tokens: size + 1 numbers."""
+def statistics(word_counts: DataFrame, path: str, size: int, contexts: int) -> attention.Shape:
+    """The model's shape and first logits, from counts of ids behind one and two others in all training tokens."""
+    m = size + 2
 
     def run(batches):
-        total = np.zeros(size + 1, np.int64)
-        for batch in batches:
-            get = subwords(path, size)
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                if word:
-                    np.add.at(total, np.frombuffer(get[word.encode()], "<u2"), c)
-                else:
-                    total[size] += c
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["id", "n"])
-
-    out = np.zeros(size + 1, np.int64)
-    for row in word_counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        out[row.id] = row.n
-    return out
-
-
-def _spans(batches, shape: attention.Shape, path: str, size: int):
-    """All spans of the training texts, as rows of 16-bit numbers."""
-    get = subwords(path, size)
-    for batch in (part for whole in batches for part in common.slices(whole)):
-        own = [get.ids(tokens(t)) for i, t in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True) if not held_out(i)]
-        given, next_, document = attention.spans(shape, own)
-        keys, _ = attention.with_context(given, document, shape.none)
-        yield np.concatenate([keys, next_], 1).astype("<i2")
+        get = subwords(path, size)
+        for batch in (part for whole in batches for part in common.slices(whole, 4096)):
+            words = [np.frombuffer(get[w.encode()], "<u2") if w else np.array([size], "<u2") for w in batch.column("word").to_pylist()]
+            code, word = attention.triples(words, size)
+            code, which = np.unique(code, return_inverse=True)
+            n = np.zeros(len(code), np.int64)
+            np.add.at(n, which.reshape(-1), batch.column("c").to_numpy()[word])
+            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    found = common.stored(word_counts.select("word", "c").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "triples")
+    before, last, next_ = F.floor(F.col("code") / (m * m)).alias("before"), F.floor(F.col("code") / m) % m, F.col("code") % m
+    apart = found.select(before, last.alias("last"), next_.alias("next"), "n")
+    one = apart.groupBy("last", "next").agg(F.sum("n").alias("n")).toPandas()
+    often = apart.where(F.col("last") != size + 1).groupBy("before", "last").agg(F.sum("n").alias("whole")).orderBy(F.desc("whole"), "before", "last").limit(contexts)
+    two = apart.join(F.broadcast(often.drop("whole")), ["before", "last"]).select("before", "last", "next", "n").toPandas()
+    common.forget(found)
+    order = lambda frame: frame.sort_values(list(frame.columns)).to_numpy(np.int64).reshape(-1, len(frame.columns))
+    return attention.Shape(size, subwords(path, size).begins, order(one), order(two))
 
 
 def trained(docs: DataFrame, word_counts: DataFrame, path: str, size: int = SUBWORDS) -> tuple[attention.Shape, dict]:
-    found = id_counts(word_counts, path, size)
-    shape = attention.Shape(found)
+    shape = statistics(word_counts, path, size, CONTEXTS)
     p = shape.parameters()
-    n = int(found.sum()) // attention.SPAN
-    if not n:
+    n = int(shape.counts.sum()) // attention.SPAN
+    if not shape.counts.any():
         return shape, p
-    trainers = max(1, n // (STEPS * BATCH))
-    passes = max(1, -(-STEPS * BATCH * trainers // n))
+    trainers, passes = max(1, n // (ROUNDS * TRAINER_SPANS)), max(1, -(-LEAST_SPANS // max(1, n)))
     texts = docs.select("doc_id", "text").withColumn("at", F.xxhash64("doc_id", "text"))
+    spark = docs.sparkSession
     for k in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((shape, p))
         own = texts.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(trainers, F.pmod(F.shiftright("at", 8), F.lit(trainers)))
-        rate = RATE * (1 - k / ROUNDS)
-        weights = own.sortWithinPartitions("at").mapInArrow(_trainer(shape, p, passes, rate, RATE * (1 - (k + 1) / ROUNDS), n / trainers / ROUNDS, path, size), "n long, weights binary")
+        rates = RATE * (1 - k / ROUNDS), RATE * (1 - (k + 1) / ROUNDS)
+        weights = own.sortWithinPartitions("at").mapInArrow(_trainer(shared, passes, rates, path, size), "n long, weights binary")
         rows = weights.repartition(min(trainers, 16)).mapInArrow(_summed, "n long, weights binary").collect()
-        mean = sum(np.frombuffer(r.weights, "<f8") for r in rows) / max(1, sum(r.n for r in rows))
         if rows:
+            mean = sum(np.frombuffer(r.weights, "<f8") for r in rows) / max(1, sum(r.n for r in rows))
             p = attention.unpacked(p, mean.astype("<f4").tobytes())
     return shape, p
 
 
-def _trainer(shape: attention.Shape, start: dict, passes: int, rate: float, least: float, expected: float, path: str, size: int):
+def _trainer(shared, passes: int, rates: tuple[float, float], path: str, size: int):
+    """rates: at first and at last."""
+
     def run(batches):
-        p = {n: x.copy() for n, x in start.items()}
-        adam, n, held, steps = attention.Adam(p), 0, [], max(1.0, passes * expected / BATCH)
-
-        def learn(rows: np.ndarray) -> None:
-            keys = rows[:, : 2 * attention.SPAN].astype(np.int64)
-            now = max(0.0, 1 - adam.t / steps)
-            attention_first = (keys[:, : attention.SPAN] == shape.none).all(1)
-            adam.step(p, attention.gradients(shape, p, keys, attention_first, rows[:, 2 * attention.SPAN :].astype(np.int64)), least + (rate - least) * now + 1e-4)
-
-        for part in _spans(batches, shape, path, size):
-            held.append(part)
-            n += len(part)
-        if not n:
+        shape, start = shared.value
+        get = subwords(path, size)
+        # about TRAINER_SPANS spans, as 16-bit ids
+        held = [get.ids(tokens(t)).astype("<u2") for batch in batches for i, t in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True) if not held_out(i)]
+        if not held:
             return
-        rows = np.concatenate(held)  # about STEPS * BATCH, of 96 bytes
-        rng = np.random.default_rng(5)
+        sizes = np.array([-(-len(x) // attention.SPAN) for x in held])
+        p, rng, n, done = {name: x.copy() for name, x in start.items()}, np.random.default_rng(5), int(sizes.sum()), 0
+        adam = attention.Adam(p)
         for _ in range(passes):
-            order = rng.permutation(n)
-            for k in range(0, n, BATCH):
-                learn(rows[order[k : k + BATCH]])
+            order = rng.permutation(len(held))
+            chunk = np.cumsum(sizes[order]) // MADE
+            for group in np.split(order, np.flatnonzero(np.diff(chunk)) + 1):
+                spans = attention.Spans(shape, [held[k].astype(np.int64) for k in group])
+                for k in rng.permutation(-(-len(spans) // BATCH)).tolist():
+                    part = spans.part(k * BATCH, (k + 1) * BATCH)
+                    rate = rates[0] + (rates[1] - rates[0]) * done / (passes * n)
+                    adam.step(p, attention.gradients(shape, p, *part), rate + 1e-4)
+                    done += len(part[0])
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([attention.packed(p)], pa.binary())], names=["n", "weights"])
 
     return run
@@ -254,12 +259,10 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
 
 
 def _scores(shape: attention.Shape, p: dict, ready: dict, documents: list[np.ndarray]) -> np.ndarray:
-    given, next_, document = attention.spans(shape, documents)
-    keys, first = attention.with_context(given, document, shape.none)
-    out = np.zeros(len(documents))
-    for k in range(0, len(keys), CHUNK):
-        part = slice(k, k + CHUNK)
-        np.add.at(out, document[part], attention.log_probabilities(shape, p, ready, keys[part], first[part], next_[part]).sum(1))
+    spans, out = attention.Spans(shape, documents), np.zeros(len(documents))
+    for k in range(0, len(spans), CHUNK):
+        found = attention.log_probabilities(shape, p, ready, *spans.part(k, k + CHUNK), spans.given[k - 1] if k else None)
+        np.add.at(out, spans.document[k : k + CHUNK], found.sum(1))
     return out / math.log(10)
 
 
