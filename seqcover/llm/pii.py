@@ -3,12 +3,14 @@
 Found and validated: e-mail addresses, calendar dates, IPv4 addresses, card numbers (Luhn), US social security numbers,
 phone numbers, and quoted or assigned secrets (token, password, secret, api key). What fails its check stays. A value is
 permuted by a keyed Feistel network within its own format: digits stay digits, letters letters of their case, separators
-stay; card numbers stay Luhn-valid, octets under 256, dates real dates. The network sees the value without its
-separators (for dates the day itself), so equal values get equal pseudonyms in all documents and in every way of writing
-them, and unlike ones stay unlike. An e-mail address keeps its domain, a secret its name.
-
-Dates count from 1900-01-01 to 2101-01-27; day/month/year is tried before month/day/year. Whole texts are searched; a
-null text stays null. Nothing is shuffled.
+stay; card numbers stay Luhn-valid, social security numbers valid, octets under 256, dates real dates whose day and month
+have as many digits as before. The network sees the value without its separators (for dates the year, month and day),
+so equal values get equal pseudonyms in all documents and in every way of writing them, and unlike ones stay unlike. A
+single letter or digit always changes. An e-mail address keeps its domain, a secret its name.
+
+Dates count from FIRST_YEAR for YEARS years; day/month/year is tried before month/day/year. Whole texts are searched,
+long ones too, each in one go; a null text stays null, an empty one empty. Rows are judged one by one, so that repeated
+rows and rows without an id give what their text gives, and no rows give no rows. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -18,10 +20,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY = "replace-this-key"
+#: The session's setting that has the key, and the key of the query where that is unset (a demonstration: anyone can undo it).
+SETTING, DEMO_KEY = "spark.seqcover.pii.key", "demonstration only"
 ROUNDS = 8
-#: Days that dates are permuted among: SIDE squared from FIRST_DAY on.
-SIDE, FIRST_DAY = 271, "1900-01-01"
+FIRST_YEAR, YEARS = 1900, 201
+#: How often a day that no month has is permuted on; one try in 30 fails.
+TRIES = 12
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -54,7 +58,7 @@ def _shifted(text: Column, other: Column, key: str, kind: str, round_: Column) -
 
 
 def permuted(text: Column, key: str, kind: str) -> Column:
-    """A keyed permutation of the strings of letters and digits with the same kinds at the same places."""
+    """A keyed permutation of the strings of letters and digits with the same kinds at the same places; one character alone is moved on by a fixed step, which isn't zero."""
     half = F.floor(F.length(text) / 2).cast("int")
     start = F.struct(F.substr(text, F.lit(1), half).alias("l"), F.substr(text, half + 1, F.length(text)).alias("r"))
 
@@ -62,17 +66,22 @@ def permuted(text: Column, key: str, kind: str) -> Column:
         even = i % 2 == 0
         return F.struct(F.when(even, _shifted(s["l"], s["r"], key, kind, i)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(_shifted(s["r"], s["l"], key, kind, i)).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"]))
+    by, code = _byte(key, kind, "one", digits=12), F.ascii(text)
+    turn = lambda first, n: F.char(F.lit(first) + (code - first + 1 + by % (n - 1)) % n)
+    one = F.when(text.between("0", "9"), turn(48, 10)).when(text.between("a", "z"), turn(97, 26)).otherwise(turn(65, 26))
+    return F.when(F.length(text) == 1, one).otherwise(F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: F.concat(s["l"], s["r"])))
 
 
-def numbered(value: Column, side: int, key: str, kind: str) -> Column:
-    """A keyed permutation of 0 to side * side - 1."""
-    start = F.struct(F.floor(value / side).cast("long").alias("l"), (value % side).cast("long").alias("r"))
+def paired(left: Column, right: Column, lefts: Column | int, rights: Column | int, key: str, kind: Column | str) -> Column:
+    """A keyed permutation of the pairs (l, r) of numbers under `lefts` and under `rights`."""
+    start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
     def step(s: Column, i: Column) -> Column:
-        return F.struct(s["r"].alias("l"), ((s["l"] + _byte(key, kind, i, s["r"], digits=12)) % side).alias("r"))
+        moved = lambda a, b, n: ((a + _byte(key, kind, i, b, digits=12)) % n).cast("long")
+        even = i % 2 == 0
+        return F.struct(F.when(even, moved(s["l"], s["r"], lefts)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(moved(s["r"], s["l"], rights)).alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step, lambda s: s["l"] * side + s["r"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
 def _plain(text: Column) -> Column:
@@ -99,26 +108,52 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _ip(m: Column, key: str) -> Column:
-    value = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda a, x: a * 256 + x.cast("long"))
-    return F.array_join(F.transform(F.array(*[F.lit(k) for k in (24, 16, 8, 0)]), lambda k: F.floor(numbered(value, 1 << 16, key, "ip") / F.pow(F.lit(2), k)).cast("long") % 256), ".")
+    part = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
+    high, low = part[0] * 256 + part[1], part[2] * 256 + part[3]
+    made = F.transform(F.array(paired(high, low, 1 << 16, 1 << 16, key, "ip")), lambda to: F.concat_ws(".", F.floor(to["l"] / 256).cast("long"), to["l"] % 256, F.floor(to["r"] / 256).cast("long"), to["r"] % 256))
+    return made[0]
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """Areas 001 to 899 but 666, groups 01 to 99, serial numbers 0001 to 9999."""
+    part = F.transform(F.split(m, "-"), lambda x: x.cast("long"))
+    area = part[0] - 1 - (part[0] > 666).cast("long")
+
+    def spelt(to: Column) -> Column:
+        own = to["l"] + 1 + (to["l"] >= 665).cast("long")
+        pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+        return F.concat_ws("-", pad(own, 3), pad(F.floor(to["r"] / 9999).cast("long") + 1, 2), pad(to["r"] % 9999 + 1, 4))
+
+    return F.transform(F.array(paired(area, (part[1] - 1) * 9999 + part[2] - 1, 898, 99 * 9999, key, "ssn")), spelt)[0]
 
 
 def _date(m: Column, key: str) -> Column:
+    """Days and months of one digit are permuted among each other, and so are those of two."""
     part = F.split(m, "[-/.]")
     year_first = F.length(part[0]) == 4
     year = F.when(year_first, part[0]).otherwise(part[2])
-
-    def day(month: Column, d: Column) -> Column:
-        return F.datediff(F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd"), F.lit(FIRST_DAY).cast("date"))
-
-    usual = F.when(year_first, day(part[1], part[2])).otherwise(day(part[1], part[0]))
-    turned = F.when(~year_first, day(part[0], part[1]))
-    value = F.coalesce(usual, turned)
-    to = F.date_add(F.lit(FIRST_DAY).cast("date"), numbered(value, SIDE, key, "date").cast("int"))
-    sign, two = F.regexp_extract(m, "[-/.]", 0), lambda f: F.date_format(to, f)
-    made = F.when(year_first, F.concat(two("yyyy"), sign, two("MM"), sign, two("dd")))
-    made = made.when(usual.isNotNull(), F.concat(two("dd"), sign, two("MM"), sign, two("yyyy"))).otherwise(F.concat(two("MM"), sign, two("dd"), sign, two("yyyy")))
-    return F.when((value >= 0) & (value < SIDE * SIDE), made)
+    real = lambda month, d: F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd").isNotNull()
+    usual = F.when(year_first, real(part[1], part[2])).otherwise(real(part[1], part[0]))
+    turned = ~year_first & ~usual & real(part[0], part[1])
+    month = F.when(year_first | ~turned, part[1]).otherwise(part[0]).cast("long")
+    day = F.when(year_first, part[2]).when(turned, part[1]).otherwise(part[0]).cast("long")
+    # the first of the days and of the months of as many digits, and how many there are
+    day_from, days = F.when(day < 10, 1).otherwise(10), F.when(day < 10, 9).otherwise(22)
+    month_from, months = F.when(month < 10, 1).otherwise(10), F.when(month < 10, 9).otherwise(3)
+    kind = F.concat(F.lit("date"), day_from.cast("string"), month_from.cast("string"))
+    spelt = lambda s: (s["l"] + FIRST_YEAR, F.floor(s["r"] / days).cast("long") + month_from, s["r"] % days + day_from)
+    exists = lambda s: F.try_to_date(F.concat_ws("-", *(F.lpad(x.cast("string"), 2, "0") for x in spelt(s))), "yyyy-MM-dd").isNotNull()
+    on = lambda l, r: paired(l, r, YEARS, days * months, key, kind)
+    first = on(year.cast("long") - FIRST_YEAR, (month - month_from) * days + day - day_from)
+    to = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), first, lambda s, _: F.when(exists(s), s).otherwise(on(s["l"], s["r"])))
+
+    def written(s: Column) -> Column:
+        y, mm, d = (x.cast("string") for x in spelt(s))
+        sign, as_long = F.regexp_extract(m, "[-/.]", 0), lambda x, k: F.lpad(x, F.length(part[k]), "0")
+        return F.when(year_first, F.concat(y, sign, as_long(mm, 1), sign, as_long(d, 2))).when(turned, F.concat(as_long(mm, 0), sign, as_long(d, 1), sign, y)).otherwise(F.concat(as_long(d, 0), sign, as_long(mm, 1), sign, y))
+
+    inside = year.cast("int").between(FIRST_YEAR, FIRST_YEAR + YEARS - 1)
+    return F.when((usual | turned) & inside, F.transform(F.array(to), written)[0])
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -133,12 +168,12 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(whole("date"), _date(m, key))
         .when(whole("ip"), _ip(m, key))
         .when(whole("card"), _card(m, key))
-        .when(whole("ssn"), _refilled(m, permuted(_plain(m), key, "ssn")))
+        .when(whole("ssn"), _ssn(m, key))
         .otherwise(_refilled(m, permuted(_plain(m), key, "phone")))
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
     """docs with pseudonyms in text, and n_private (matches that were valid), which takes the place of a column of that name."""
     text = F.col("text")
     found = F.when(text.rlike(r"[0-9]{3}|@|[0-9][./-][0-9]|[=:]"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
@@ -154,4 +189,4 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pseudonymised(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymised(common.table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(SETTING, DEMO_KEY))
