@@ -24,7 +24,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose ids a Python worker keeps, and the longest of them in characters.
-CACHED, CACHED_CHARS = 300_000, 64
+CACHED, CACHED_CHARS = 150_000, 64
 
 
 class Vocabulary:

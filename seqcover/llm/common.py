@@ -15,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset and everything runs on this machine."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     own = tempfile.mkdtemp(prefix="spark-shared-")
@@ -50,7 +52,7 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] | d
     out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1024)):
             made = each(batch)
             for columns in [made] if isinstance(made, dict) else made or ():
                 yield pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in out], schema=out)

@@ -1,21 +1,23 @@
-"""Near-duplicates by similarity: texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicates by similarity, for simhash: texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Words and shingles are those of simhash, but each shingle counts once; texts of fewer words are one shingle, and texts
 without words (null too) have the empty one and are linked. Shingles are compared by XXH64 (seed 42), sets of the same
 shingles by XXH64 of these. Whole components over links are one group.
 
-The join is exact, without a sketch. In any one order of all shingles, two sets of sizes m and n with a similarity of
-0.8 share a shingle within the first m - ceil(0.8 m) + 1 of the one and the first n - ceil(0.8 n) + 1 of the other, and
-at the first that they share, enough shingles are left in both. So each set goes to the buckets of its first shingles,
-and all pairs of a bucket with enough left are candidates whose whole sets are compared. The order has shingles of many
-texts last (counted in one text of SAMPLE; the count decides how large buckets get, not what is found).
+First the trie of simhash links fingerprints of these sets that differ in at most BUDGET bits, and the sets of each
+star's ends are compared. At a similarity of 0.8 fingerprints differ in about ten of 64 bits, where no trie can prune any
+more; so what the trie has not connected is searched for in a second way that misses nothing. In any one order of all
+shingles, two sets of sizes m and n with a similarity of 0.8 share a shingle within the first m - ceil(0.8 m) + 1 of the
+one and the first n - ceil(0.8 n) + 1 of the other, and at the first that they share, enough shingles are left in both.
+So each set goes to the buckets of its first shingles, and all pairs of a bucket with enough left are candidates whose
+whole sets are compared. The order has shingles of many texts last (counted in one text of SAMPLE; the count decides how
+large buckets get, not what is found).
 
 Each set has BITS parities of its shingles. Those that differ between two sets are no more than the shingles that only one
 of them has, of which a ninth of both sizes is allowed; so pairs with more are left out before whole sets are moved.
 
-Before all pairs of a bucket are taken, CHAINS rounds compare only neighbours in it, under another order of the sets
-each; pairs that links connect already aren't compared again, so that large groups of copies don't make a pair for each
-two of their members.
+Before all pairs of a bucket are taken, CHAINS rounds compare only neighbours in it; pairs that links connect already
+aren't compared again, so that large groups of copies don't make a pair for each two of their members.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from . import common, graph, simhash
 
 SHINGLE = 5
 SAMPLE, COMMON, COMMON_ROWS = 16, 4, 200_000
-CHAINS = 2
+BUDGET, CHAINS = 3, 1
 BITS = 1024
 #: Pairs that a bucket gives at a time.
 PAIRS = 200_000
@@ -53,20 +55,28 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y))
 
 
+def fingerprint(x: np.ndarray) -> int:
+    """A bit is 1 if over half of the shingles have it."""
+    bits = np.zeros(64, np.int64)
+    for k in range(0, len(x), 4096):
+        bits += np.unpackbits(x[k : k + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(x), bitorder="little").view("<u8")[0])
+
+
 def parities(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """id (the last one for null), node (which names the set), size, parities and hashes of every row."""
+    """id (the last one for null), node (which names the set), size, fp (its fingerprint), parities and hashes of every row."""
 
     def each(batch: pa.RecordBatch):
         for part in common.slices(batch):
             found = [shingles(x) for x in common.texts(part)]
             own = [x.tobytes() for x in found]
-            yield {"id": pc.fill_null(part.column("doc_id").cast(pa.int64()), simhash.LAST), "node": np.array([xxhash.xxh64_intdigest(x, 42) for x in own], np.uint64).view(np.int64), "size": [len(x) for x in found], "parities": [parities(x) for x in found], "hashes": own}
+            yield {"id": pc.fill_null(part.column("doc_id").cast(pa.int64()), simhash.LAST), "node": np.array([xxhash.xxh64_intdigest(x, 42) for x in own], np.uint64).view(np.int64), "size": [len(x) for x in found], "fp": np.array([fingerprint(x) for x in found], np.uint64).view(np.int64), "parities": [parities(x) for x in found], "hashes": own}
 
-    return common.arrow_map(docs.select("doc_id", "text"), each, "id long, node long, size long, parities binary, hashes binary")
+    return common.arrow_map(docs.select("doc_id", "text"), each, "id long, node long, size long, fp long, parities binary, hashes binary")
 
 
 def _common(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,24 +191,24 @@ def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def links(own: DataFrame) -> DataFrame:
-    """From sets (node, size, parities, hashes), each once: edges a, b that connect what similar pairs connect."""
+    """From sets (node, size, fp, parities, hashes), each once: edges a, b that connect what similar pairs connect."""
+    by_print = common.stored(own.groupBy("fp").agg(F.min("node").alias("id")), "prints")
+    same = own.select("fp", "node").join(by_print, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    edges = common.stored(_compared(common.stored(ordered(simhash.links(by_print, BUDGET).union(same)), "pairs"), own), "links")
     rows = _first(own, _common(own)).repartition("shingle").sortWithinPartitions("shingle")
     rows = common.stored(rows.mapInArrow(_several, rows.schema), "buckets")
-    edges = None
     for k in range(CHAINS + 1):
-        now = rows.withColumn("root", F.col("node"))
-        if edges is not None:
-            now = rows.join(common.stored(graph.components(edges), "roots"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        order = ["n", "node"] if k == 0 else [F.xxhash64("node", F.lit(k))]
-        dealt = now.select("shingle", "node", "root", "n", "left").repartition("shingle").sortWithinPartitions("shingle", *order)
+        roots = common.stored(graph.components(edges), "roots")
+        now = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        dealt = now.select("shingle", "node", "root", "n", "left").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
         pairs = common.stored(dealt.mapInArrow(_pairs(1 if k < CHAINS else None), "a long, b long").distinct(), "pairs")
-        found = common.stored(_compared(pairs, own), "links")
-        edges = found if edges is None else edges.union(found)
+        edges = edges.union(common.stored(_compared(pairs, own), "links"))
     return edges
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id (the smallest doc_id that links reach) of every row of docs (doc_id, text)."""
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id and node of every row of docs, and the edges between nodes."""
     own = common.stored(sets(docs), "sets")
     names = own.select("id", "node")
     classes = common.stored(names.groupBy("node").agg(F.min("id").alias("id")), "classes")
@@ -206,16 +216,28 @@ def grouped(docs: DataFrame) -> DataFrame:
     once = own
     if n := common.count_rows(again):
         once = own.join(F.broadcast(again) if n <= simhash.BROADCAST_IDS else again, ["id", "node"], "left_anti")
-    edges = links(once.select("node", "size", "parities", "hashes"))
-    # rows with one doc_id but unlike texts belong together
+    repeated = common.stored(names.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node").distinct(), "repeated")
+    if n := common.count_rows(repeated):  # of rows with one id and equal texts, one
+        some = F.broadcast(repeated) if n <= simhash.BROADCAST_IDS else repeated
+        once = once.join(some, "node", "left_anti").unionByName(once.join(some, "node", "left_semi").dropDuplicates(["node"]))
+    return names, links(once.select("node", "size", "fp", "parities", "hashes"))
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id that links reach) of every row of docs (doc_id, text); rows of one id are linked."""
+    names, edges = _sets(docs)
     several = names.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     roots = graph.components(edges.union(names.join(several, "id").where("a <> node").select("a", F.col("node").alias("b"))))
-    named = common.stored(classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
-    least = named.groupBy("root").agg(F.min("id").alias("least"))
-    found = names.join(named.join(least, "root").select("node", "least"), "node")
+    named = simhash.named_nodes(names, roots)
+    found = named.join(named.groupBy("root").agg(F.min("id").alias("least")), "root")
     return found.select(F.expr(f"nullif(id, {simhash.LAST})").alias("doc_id"), F.expr(f"nullif(least, {simhash.LAST})").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one row for each component: one of its smallest doc_id."""
-    return simhash.kept(docs, grouped(docs.select("doc_id", "text")))
+    """docs, all columns, with one row for each group of texts that links connect: one of its smallest doc_id. Unlike rows that share an id, or have none, are told apart by their texts."""
+    names, edges = _sets(docs)
+
+    def node(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(shingles(x).tobytes(), 42) for x in common.texts(batch)], np.uint64).view(np.int64)
+
+    return simhash.kept(docs, simhash.named_nodes(names, graph.components(edges)), node)

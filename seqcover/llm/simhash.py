@@ -13,7 +13,9 @@ the same way on the bits that are left, until they are small or no bits are left
 pairs of nodes, adds the bits in which they differ and drops pairs over the budget. What a subtree links leaves the
 task as a star around its smallest document, so groups of copies of any size make no more rows than they have members.
 
-Rows of one document id share its component. Null ids are taken after all others. No rows: no rows.
+Rows of one document id share its component. Null ids are taken after all others. Texts of any length are read whole;
+columns other than doc_id and text don't matter. No rows: no rows. Removing duplicates tells rows apart by id and
+fingerprint, so that unlike texts with one id, or with none, all stay.
 """
 
 from __future__ import annotations
@@ -233,25 +235,55 @@ def _repeated(prints: DataFrame) -> bool:
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
-    """docs, all columns, with one row for each component: one of its smallest doc_id."""
-    return kept(docs, grouped(docs.select("doc_id", "text"), shingle, budget))
-
-
-def kept(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs, all columns, with one row for each component of groups (doc_id, component_id of every row)."""
-    groups = common.stored(groups, "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    n = common.count_rows(gone)
-    kept = docs.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti") if n else docs
-    again = common.stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if not common.count_rows(again):
-        return kept
-    from pyspark.sql import Window
-
-    same = docs["doc_id"].eqNullSafe(again["doc_id"])
-    n_ = common.unused("_n", docs.columns)
-    first = kept.join(again, same, "left_semi").withColumn(n_, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(n_) == 1).drop(n_)
-    return kept.join(again, same, "left_anti").unionByName(first)
+    """docs, all columns, with one row for each group of fingerprints that links connect: one of its smallest doc_id. Unlike rows that share an id, or have none, are told apart by their fingerprints."""
+    prints = common.stored(fingerprints(docs, shingle).select(F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.col("fp").alias("node")), "fingerprints")
+    classes = common.stored(prints.groupBy("node").agg(F.min("id").alias("id")), "classes")
+    # classes are named by their fingerprints, as ids may be shared
+    edges = links(classes.select(F.col("node").alias("fp"), F.col("node").alias("id")), budget)
+    named = named_nodes(prints, graph.components(edges))
+
+    def node(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([fingerprint(x, shingle) for x in common.texts(batch)], np.uint64).view(np.int64)
+
+    return kept(docs, named, node)
+
+
+def named_nodes(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (id, node) with the root of each node that has one, and else the node itself."""
+    return rows.join(roots, "node", "left").select("id", "node", F.coalesce("root", "node").alias("root"))
+
+
+def kept(docs: DataFrame, rows: DataFrame, node) -> DataFrame:
+    """docs, all columns, with one row for each root: one of those with its least (id, node).
+
+    rows: id (LAST for null), node and root of every row of docs. node: the nodes of a batch of docs (doc_id, text). Ids
+    that no other row has decide by themselves; of the others, null among them, the nodes are made again. Of rows with
+    equal id and node any one stays.
+    """
+    rows = common.stored(rows, "rows")
+    least = common.stored(rows.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least")), "least")
+    several = common.stored(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("id") == LAST)).select("id"), "several")
+    lost = rows.join(least, "root").where(F.struct("id", "node") != F.col("least")).select("id")
+    out = common.stored(lost.union(several).distinct(), "lost")
+    id_ = common.unused("_id", docs.columns)
+    with_id = docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)))
+    small = lambda ids: F.broadcast(ids) if common.count_rows(ids) <= BROADCAST_IDS else ids
+    named = lambda ids: ids.withColumnRenamed("id", id_)
+    single = with_id.join(named(small(out)), id_, "left_anti").select(*docs.columns)
+    if not common.count_rows(several):
+        return single
+    some, node_ = with_id.join(named(small(several)), id_, "left_semi"), common.unused("_node", [*docs.columns, id_])
+    schema = some.withColumn(node_, F.lit(0).cast("long")).schema
+
+    def run(batches):
+        for whole in batches:
+            for batch in common.slices(whole):
+                own = node(batch.select(["doc_id", "text"]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int64())], names=[*batch.schema.names, node_])
+
+    chosen = least.select(F.col("least.id").alias(id_), F.col("least.node").alias(node_))
+    again = some.mapInArrow(run, schema).join(chosen, [id_, node_], "left_semi").dropDuplicates([id_, node_])
+    return single.unionByName(again.select(*docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
