@@ -14,7 +14,7 @@ from helpers import SMALL, rows_of
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from seqcover.llm import attention, bpe, common, decontaminate, html, idfile, linededup, lm, neardup, pii, quality, simhash, substring, tokens
+from seqcover.llm import attention, bpe, common, decontaminate, html, html_samples, idfile, linededup, lm, neardup, pii, quality, simhash, substring, tokens
 from seqcover.llm import queries as llm
 
 SPACE = re.compile(r"[ \t-\r]+")
@@ -65,6 +65,28 @@ def test_quality_rules(spark, documents, odd, none):
     assert quality.keep(odd, labels.limit(0)).columns == odd.columns and quality.keep(none, labels).count() == 0
 
 
+def slow_odd(forest, figures):
+    """The mean path of one row, node by node."""
+    total = 0.0
+    for t in range(quality.TREES):
+        node = 0
+        while 2 * node + 2 < 2 ** (quality.DEPTH + 1):
+            node = 2 * node + (2 if figures[forest.feature[t, node]] > forest.split[t, node] else 1)
+        total += forest.length[t, node]
+    return 2 ** (-total / quality.TREES / forest.norm)
+
+
+def test_verdicts_equal_slow_paths(spark, documents):
+    docs, labels = common.table(spark, SMALL, "documents"), common.table(spark, SMALL, "labels")
+    forest, again = quality.fit(docs, labels), quality.fit(docs.union(docs).repartition(5), labels)
+    assert forest.threshold == again.threshold and (forest.split == again.split).all()
+    got = {r.doc_id: (r.base_failed, r.kept, r.odd) for r in llm.QUERIES["op3_quality_rules"](spark, SMALL).collect()}
+    for doc in documents:
+        failed, kept, odd = got[doc.doc_id]
+        want = slow_odd(forest, quality.features(np.array([quality.statistics((doc.text or "").encode())]))[0])
+        assert math.isclose(odd, want, rel_tol=1e-9) and kept == (not failed and odd <= forest.threshold)
+
+
 def test_forest_tells_bad_from_good(spark):
     labels = common.table(spark, "/root/testdata/sf0.01", "labels")
     rows = quality.verdicts(docs := common.table(spark, "/root/testdata/sf0.01", "documents"), quality.fit(docs, labels)).join(labels, "doc_id").where("not base_failed").collect()
@@ -82,9 +104,18 @@ def test_line_dedup_edges(spark, odd, none):
     pages = spark.createDataFrame([(k, "h" if k < 12 else None, f"top\n\nbody {k}\nbody {k}") for k in range(14)] + [(99, None, None)], "doc_id long, source string, text string")
     for limit in (linededup.BROADCAST_BYTES, -1):
         linededup.BROADCAST_BYTES, was = limit, linededup.BROADCAST_BYTES
-        got = {r.doc_id: r.text for r in linededup.clean(pages, ratio=0.2, min_pages=3).collect()}
+        got = {r.doc_id: r.text for r in linededup.clean(pages, ratio=0.2).collect()}
         linededup.BROADCAST_BYTES = was
-        assert got == {k: f"\nbody {k}\nbody {k}" if k < 12 else f"top\n\nbody {k}\nbody {k}" for k in range(14)} | {99: None}
+        assert got == {k: f"\nbody {k}\nbody {k}" for k in range(14)} | {99: None}
+
+
+def test_line_dedup_knows_the_ratio_alone(spark):
+    rows = [(f"{n}-{k}", f"h{n}", f"same\nown {n} {k}\nhalf {k // 2}") for n in (1, 2, 4, 5, 40) for k in range(n)]
+    got = {r.doc_id: r.text for r in linededup.clean(spark.createDataFrame(rows, "doc_id string, source string, text string"), ratio=0.5).collect()}
+    for n in (1, 2, 4, 5, 40):
+        for k in range(n):
+            half = n > 2 or n == 1  # on two of two pages; on two of four it is just the ratio, which stays
+            assert got[f"{n}-{k}"] == "\n".join(["same"] * (n == 1) + [f"own {n} {k}"] + [f"half {k // 2}"] * half)
 
 
 # simhash
@@ -143,6 +174,16 @@ def test_simhash_edges(odd, none):
     assert sorted(r.component_id for r in simhash.grouped(odd).collect() if r.doc_id == 5) == [5, 5, 5]
 
 
+@pytest.mark.parametrize("deduplicated", [simhash.deduplicated, neardup.deduplicated])
+def test_unlike_rows_without_ids_of_their_own_stay(spark, deduplicated):
+    rng = np.random.default_rng(4)
+    text = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(6)]
+    rows = [(7, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (None, text[3]), (None, text[3]), (8, text[4]), (8, text[5]), (8, text[5]), (9, text[5])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row long").repartition(3)
+    got = deduplicated(docs).collect()
+    assert sorted(((r.doc_id or 0), text.index(r.text)) for r in got) == [(0, 1), (0, 2), (0, 3), (7, 0), (8, 4), (8, 5)]
+
+
 # decontamination
 
 
@@ -154,9 +195,9 @@ def test_decontaminate_edges(spark, odd, none):
     assert decontaminate.clean(odd, items).columns == odd.columns and decontaminate.clean(none, items).count() == 0
     assert decontaminate.clean(odd, items.limit(0)).count() == odd.count()
     was, decontaminate.BLOCK_WORDS = decontaminate.BLOCK_WORDS, 60
-    assert rows_of(decontaminate.report(odd, items)) == rows_of(spark.createDataFrame(list(got.values()) and decontaminate.report(odd, items).collect()))
-    assert {r.doc_id: r.n_hit for r in decontaminate.report(odd, items).collect()} == {k: r.n_hit for k, r in got.items()}
+    blocks = rows_of(decontaminate.report(odd, items))
     decontaminate.BLOCK_WORDS = was
+    assert blocks == rows_of(decontaminate.report(odd, items)) and len(blocks) == odd.count()
 
 
 # byte-level BPE
@@ -285,10 +326,127 @@ def luhn(digits):
     return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+def digest(parts, at=0, digits=12):
+    return int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[at : at + digits], 16)
+
+
+def moved(text, other, key, kind, round_):
+    out = []
+    for i, c in enumerate(text):
+        by = digest((key, kind, round_, i // 32, other), 2 * (i % 32), 2)
+        first, n = (48, 10) if "0" <= c <= "9" else (97, 26) if "a" <= c <= "z" else (65, 26)
+        out.append(chr(first + (ord(c) - first + by) % n))
+    return "".join(out)
+
+
+def mixed(text, key, kind):
+    if len(text) == 1:
+        first, n = (48, 10) if text.isdigit() else (97, 26) if text.islower() else (65, 26)
+        return chr(first + (ord(text) - first + 1 + digest((key, kind, "one")) % (n - 1)) % n)
+    l, r = text[: len(text) // 2], text[len(text) // 2 :]
+    for k in range(8):
+        l, r = (moved(l, r, key, kind, k), r) if k % 2 == 0 else (l, moved(r, l, key, kind, k))
+    return l + r
+
+
+def pair(l, r, lefts, rights, key, kind):
+    for k in range(8):
+        l, r = ((l + digest((key, kind, k, r))) % lefts, r) if k % 2 == 0 else (l, (r + digest((key, kind, k, l))) % rights)
+    return l, r
+
+
+def refilled(shape, plain):
+    plain = iter(plain)
+    return "".join(next(plain) if re.match("[A-Za-z0-9]", c) else c for c in shape)
+
+
+def real_date(y, m, d):
+    import datetime
+
+    try:
+        return datetime.date(y, m, d)
+    except ValueError:
+        return None
+
+
+def slow_pseudonym(m, key):
+    plain = lambda x: re.sub("[^A-Za-z0-9]", "", x)
+    whole = lambda kind: re.fullmatch(pii.KINDS[kind], m, re.A)
+    name = re.match(r"[A-Za-z_-]+\s*[=:]\s*[\"']?", m, re.A)
+    if name and "@" not in m:
+        secret = m[name.end() :]
+        return name[0] + refilled(secret, mixed(plain(secret), key, "secret"))
+    if "@" in m:
+        local, rest = m[: m.index("@")], m[m.index("@") :]
+        return refilled(local, mixed(plain(local), key, "email")) + rest if plain(local) else m
+    if whole("date"):
+        parts, sign = re.split("[-/.]", m), re.search("[-/.]", m)[0]
+        first = len(parts[0]) == 4
+        year = int(parts[0] if first else parts[2])
+        order = [(1, 2)] if first else [(1, 0), (0, 1)]  # places of month and day
+        for at_m, at_d in order:
+            month, day = int(parts[at_m]), int(parts[at_d])
+            if real_date(year, month, day) and 1900 <= year <= 2100:
+                d0, dn = (1, 9) if day < 10 else (10, 22)
+                m0, mn = (1, 9) if month < 10 else (10, 3)
+                l, r = year - 1900, (month - m0) * dn + day - d0
+                while True:
+                    l, r = pair(l, r, 201, dn * mn, key, f"date{d0}{m0}")
+                    if real_date(l + 1900, r // dn + m0, r % dn + d0):
+                        break
+                parts[0 if first else 2] = str(l + 1900)
+                parts[at_m], parts[at_d] = str(r // dn + m0).rjust(len(parts[at_m]), "0"), str(r % dn + d0).rjust(len(parts[at_d]), "0")
+                return sign.join(parts)
+            if real_date(year, month, day):
+                return None
+        return None
+    if whole("ip"):
+        a, b, c, d = map(int, m.split("."))
+        l, r = pair(a * 256 + b, c * 256 + d, 1 << 16, 1 << 16, key, "ip")
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    if whole("card"):
+        digits = plain(m)
+        if not luhn(digits):
+            return None
+        body = mixed(digits[:-1], key, "card")
+        return refilled(m, next(body + str(k) for k in range(10) if luhn(body + str(k))))
+    if whole("ssn"):
+        area, group, serial = map(int, m.split("-"))
+        l, r = pair(area - 1 - (area > 666), (group - 1) * 9999 + serial - 1, 898, 99 * 9999, key, "ssn")
+        return f"{l + 1 + (l >= 665):03d}-{r // 9999 + 1:02d}-{r % 9999 + 1:04d}"
+    return refilled(m, mixed(plain(m), key, "phone"))
+
+
+def slow_text(text, key):
+    n = 0
+
+    def put(m):
+        nonlocal n
+        made = slow_pseudonym(m[0], key)
+        n += made is not None
+        return m[0] if made is None else made
+
+    return re.sub(pii.PATTERN, put, text, flags=re.A), n
+
+
+def test_pseudonyms_equal_brute_force(spark, documents):
+    extra = [
+        "a@b.com A@b.com 7@b.com a.b@c.de _@x.org", "3/4/2020 and 03/04/2020, 3-4-2020; 4.12.1999 31.12.1999 29/02/2000 12/31/1999 2001-1-9 1/1/1850 30/02/2020", "token=abcdef password: 'Xy9_zz-9' api-key = 000000 TOKEN:abcdef",
+        "219-09-9999 665-01-0001 667-99-9999 899-01-0001 001-01-0001 000-12-3456 666-12-3456 900-12-3456", "4111 1111 1111 1111 3782-822463-10005 4111111111111112 10.0.0.1 255.255.255.255 1.2.3.4.5 +49 (089) 555-1234 (212) 555.1234 212-555-1234", "", None,
+    ]
+    rows = [(d.doc_id, d.text) for d in documents] + [(10**6 + k, t) for k, t in enumerate(extra)]
+    made = pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), "some key").collect()
+    got = {r.doc_id: (r.text, r.n_private) for r in made}
+    want = {i: (None, 0) if t is None else slow_text(t, "some key") for i, t in rows}
+    assert {i: x for i, x in got.items() if want[i] != x} == {} and sum(n for _, n in got.values()) > 100
+    plain = {r.doc_id: (r.text, r.n_private) for r in llm.QUERIES["op8_pii"](spark, SMALL).collect()}
+    assert plain == {d.doc_id: slow_text(d.text, pii.DEMO_KEY) for d in documents}
+
+
 def test_pseudonyms(spark, odd, none):
     text = "pay 4111111111111111 or 4111-1111-1111-1111, not 4111111111111112. +1 (017) 555-7713 on 2020-02-29 = 29.02.2020, not 2020-02-30; 97.51.17.173 a.b.34@mail7.example.com token = \"b44e15e09fd311c3\" 123-45-6789 v4.0 1.2.3.4.5"
     docs = spark.createDataFrame([(1, text), (2, "4111111111111111 4111111111111111"), (3, "12/31/1999 31/12/1999"), (4, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymised(docs).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymised(docs, "k").collect()}
     t = got[1].text
     cards = re.findall(r"\d{16}", t)
     assert cards[1] == "4111111111111112" and cards[0] != "4111111111111111" and luhn(cards[0])
@@ -301,47 +459,92 @@ def test_pseudonyms(spark, odd, none):
     a, b = got[3].text.split(" ")
     assert a.split("/")[:2] == b.split("/")[1::-1] and got[4].text is None and got[4].n_private == 0
     assert pii.pseudonymised(docs, "other").first().text != t
-    out = pii.pseudonymised(odd)
-    assert out.columns == [*odd.columns, "n_private"] and sorted(map(repr, (r.text for r in out.collect()))) == sorted(map(repr, (r.text for r in odd.collect()))) and pii.pseudonymised(none).count() == 0
+    out = pii.pseudonymised(odd, "k")
+    assert out.columns == [*odd.columns, "n_private"] and sorted(map(repr, (r.text for r in out.collect()))) == sorted(map(repr, (r.text for r in odd.collect()))) and pii.pseudonymised(none, "k").count() == 0
 
 
 def test_pseudonyms_are_permutations(spark):
     from pyspark.sql import functions as F
 
-    n = spark.range(271 * 271).select(pii.numbered(F.col("id"), 271, "k", "date").alias("x"))
-    assert n.agg(F.countDistinct("x"), F.min("x"), F.max("x")).first() == (271 * 271, 0, 271 * 271 - 1)
+    n = spark.range(201 * 27).select(pii.paired(F.floor(F.col("id") / 27), F.col("id") % 27, 201, 27, "k", "date110").alias("x"))
+    assert n.agg(F.countDistinct("x"), F.min("x.l"), F.max("x.l"), F.min("x.r"), F.max("x.r")).first() == (201 * 27, 0, 200, 0, 26)
     s = spark.range(1000).select(pii.permuted(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "card").alias("x"))
     assert s.where("x rlike '^[0-9]{3}$'").distinct().count() == 1000
+    days = [f"{y}-{m:02d}-{d:02d}" for y in range(1900, 2101, 4) for m in range(1, 13) for d in range(10, 32) if real_date(y, m, d)]
+    made = pii.pseudonymised(spark.createDataFrame([(x,) for x in days], "text string"), "k").select("text").distinct()
+    assert made.count() == len(days) and all(real_date(*map(int, r.text.split("-"))) for r in made.collect())
+    ssn = spark.createDataFrame([(f"{a:03d}-{g:02d}-{k:04d}",) for a in (1, 665, 667, 899) for g in (1, 50, 99) for k in range(1, 9999, 40)], "text string")
+    made = pii.pseudonymised(ssn, "k").select("text").distinct()
+    assert made.count() == ssn.count() and all(re.fullmatch(pii.KINDS["ssn"], r.text, re.A) for r in made.collect())
+    one = {r.text for r in pii.pseudonymised(spark.createDataFrame([(f"{c}@b.com",) for c in "abcdefghijklmnopqrstuvwxyz"], "text string"), "k").collect()}
+    assert len(one) == 26
+    assert all(r.text != f"{c}@b.com" for c, r in zip("abc", pii.pseudonymised(spark.createDataFrame([(f"{c}@b.com",) for c in "abc"], "text string"), "k").collect(), strict=True))
 
 
 # pages
 
 
-def test_main_text(spark):
+def article(page):
     import html as library
 
-    for page in common.table(spark, SMALL, "pages").collect():
-        m = re.search(r"<article>(.*?)(</article>|\Z)", page.html, re.S)
-        body = re.sub(r"<[a-zA-Z/][^>]*(>|\Z)", lambda t: "" if re.match(r"</?b>", t[0]) else " ", m[1] if m else "")
-        assert html.extracted(spark.createDataFrame([page])).first().text == " ".join(library.unescape(body).split()) if page.page_id % 10 == 0 else True
-    rows = [(1, None, None), (2, "u", ""), (3, "u", "<nav><a href=/>Home</a> <a href=/b>News</a></nav><article><h1>A&amp;B</h1><p>One<b>two</b>&nbsp; x<br>y</p><aside>Read more of this here</aside></article><section class='comments'><p>I think that this is all wrong, and so is the rest of it, my dear sirs</p></section><footer>&copy; me</footer>"), (4, "u", "<!-- <p>no --><script>if(a<b)</script><article><p>1 < 2 <")]
-    got = {r.page_id: r for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert [got[k].text for k in (1, 2, 3)] == ["", "", "A&B Onetwo x y"] and got[3].n_chars == 14 and got[4].text.startswith("1 < 2")
+    m = re.search(r"<article>(.*?)(</article>|\Z)", page or "", re.S)
+    body = re.sub(r"<[a-zA-Z/][^>]*(>|\Z)", lambda t: "" if re.match(r"</?b>", t[0]) else " ", m[1] if m else "")
+    return " ".join(library.unescape(body).split())
+
+
+def test_main_text(spark):
+    pages = common.table(spark, SMALL, "pages")
+    got = {r.page_id: (r.text, r.n_chars) for r in llm.QUERIES["op10_html_text"](spark, SMALL).collect()}
+    assert got == {p.page_id: (t, len(t)) for p in pages.collect() for t in [article(p.html)]}
+    rows = [(1, None, None), (2, "u", ""), (3, "u", "<nav><a href=/>Home</a> <a href=/b>News</a></nav><article><h1>A&amp;B</h1><p>One<b>two</b>&nbsp; x<br>y</p><aside>Read more of this here</aside></article><section class='comments'><p>I think that this is all wrong, and so is the rest of it, my dear sirs</p></section><footer>&copy; me</footer>"), (4, "u", "<!-- <p>no --><script>if(a<b)</script><article><p>1 < 2 <"), (None, None, "<article><p>no id</p></article>")]
+    rows += [rows[2], rows[2], (5, "u", "<nav><a>x</a></nav><article>" + "<p>a long page with many words of text in it</p>" * 20_000 + "</article>")]
+    out = html.extracted(spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, text string, n_chars long")).collect()
+    got = {r.page_id: r for r in out}
+    assert len(out) == len(rows) and [r.text for r in out if r.page_id == 3] == ["A&B Onetwo x y"] * 3
+    assert [got[k].text for k in (1, 2, None)] == ["", "", "no id"] and got[3].n_chars == 14 and got[4].text.startswith("1 < 2") and len(got[5].text.split()) == 200_000
     assert html.extracted(spark.createDataFrame([], "page_id long, url string, html string, text string, n_chars long")).count() == 0
 
 
-def test_tree_learns_its_table():
+def test_no_list_of_names_decides_alone(spark):
+    tree = html.trained()
+    pages = [p.html for p in common.table(spark, SMALL, "pages").collect()]
+    for name in html.LISTS:
+        lists = html.LISTS | {name: frozenset()}
+        right = 0
+        for page in pages:
+            found = html.blocks(page, lists)
+            right += " ".join(b[0] for b, main in zip(found, tree.main(html.features(found)), strict=True) if main) == article(page)
+        assert right >= 0.9 * len(pages), name
+    used = {html.FEATURES[f] for f, *_ in tree.nodes if f >= 0}
+    assert {"words", "links"} <= used and any(x.startswith("words_") for x in used) and any(x.startswith("links_") for x in used)
+
+
+def test_tree_on_pages_held_out():
     tree = html.trained()
+    named = plain = n = 0
+    for page in html_samples.HELD_OUT:
+        want = [b[0][0] == "+" for b in html.blocks(page)]
+        named += sum(a == b for a, b in zip(tree.main(html.features(html.blocks(page))).tolist(), want, strict=True))
+        silent = html.blocks(page, dict.fromkeys(html.LISTS, frozenset()))
+        plain += sum(a == b for a, b in zip(tree.main(html.features(silent)).tolist(), want, strict=True))
+        n += len(want)
+    assert named >= 0.9 * n and plain >= 0.6 * n
+
+
+def test_tree_learns_its_table():
+    tree, wrong, n = html.trained(), 0, 0
     for page in html.labelled_pages():
         found = html.blocks(page)
-        assert tree.main(html.features(found)).tolist() == [b[0][0] == "+" for b in found]
+        wrong += sum(a != (b[0][0] == "+") for a, b in zip(tree.main(html.features(found)), found, strict=True))
+        n += len(found)
+    assert wrong <= 0.04 * n
 
 
 # scores
 
 
 def test_base_scores(spark, documents, odd, none, monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 40)
+    monkeypatch.setattr(lm, "LEAST_SPANS", 1)
     monkeypatch.setattr(lm, "HEAD", 300)
     own = {d.doc_id: lower(d.text).encode().split() for d in documents}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in own}
@@ -351,12 +554,21 @@ def test_base_scores(spark, documents, odd, none, monkeypatch):
         x = [*own[r.doc_id], b""]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(x), sum(count[w] > 0 for w in x), n)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x), rel_tol=1e-9) and -15 * len(x) < r.score < 0
-    assert lm.scored(odd).count() == odd.count() and lm.scored(none).count() == 0
+    scored = lm.scored(odd).collect()
+    assert len(scored) == odd.count() and len({(r.base_score, r.score) for r in scored if r.doc_id == 5}) == 1 and lm.scored(none).count() == 0
+    long = spark.createDataFrame([(k, "of the long text " * 30_000 if k < 3 else None) for k in range(5)], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in lm.scored(long).collect()) == [1, 1, 120_001, 120_001, 120_001]
+
+
+def test_held_out_score_beats_the_base(spark):
+    rows = [r for r in llm.QUERIES["op1_lm_score"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    tokens_ = sum(r.n_tokens for r in rows)
+    assert sum(r.score - r.base_score for r in rows) / tokens_ > 0.05
 
 
 def test_model_learns_from_every_span(spark, documents, monkeypatch, tmp_path):
-    for name, value in (("STEPS", 2), ("FEWEST", 8), ("TRAINER_SPANS", 256)):
-        monkeypatch.setattr(lm, name, value, raising=False)
+    for name, value in (("LEAST_SPANS", 8), ("TRAINER_SPANS", 256)):
+        monkeypatch.setattr(lm, name, value)
     made, folder = lm._trainer, str(tmp_path)
 
     def counting(*args):
@@ -378,30 +590,99 @@ def test_model_learns_from_every_span(spark, documents, monkeypatch, tmp_path):
     lm.trained(docs, lm.counts(docs), path, size)
     get = lm.subwords(path, size)
     want = sum(-(-len(get.ids(lm.tokens((d.text or "").encode()))) // attention.SPAN) for d in documents if not lm.held_out(d.doc_id))
-    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == want
-
-
-def test_model_sums_to_one_and_learns():
-    rng = np.random.default_rng(1)
-    shape = attention.Shape(rng.integers(1, 40, 23))
-    p = shape.parameters()
-    docs = [np.array([k % 20, (k + 1) % 20, (k + 2) % 20] * 15 + [22]) for k in range(40)]
-    given, next_, document = attention.spans(shape, docs)
-    keys, first = attention.with_context(given, document, shape.none)
-    total = sum(np.exp(attention.log_probabilities(shape, p, attention.tables(p), keys[:2], first[:2], np.full((2, attention.SPAN), k))) for k in range(23))
-    assert np.allclose(total, 1, atol=1e-3)
-    score = lambda: attention.log_probabilities(shape, p, attention.tables(p), keys, first, next_).sum() / (next_ >= 0).sum()
+    seen = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert sum(seen) == want and len(seen) > 4
+
+
+def model(size=12, seed=1):
+    """A small shape, from the words of a few ids, and parameters that aren't zero."""
+    rng = np.random.default_rng(seed)
+    words = [rng.integers(0, size - 3, rng.integers(1, 5)) for _ in range(60)] + [np.array([size])] * 5
+    code, _ = attention.triples(words, size)
+    m = size + 2
+    one, n_one = np.unique(code % (m * m), return_counts=True)
+    two, n_two = np.unique(code, return_counts=True)
+    two, n_two = two[(two // m % m) < size], n_two[(two // m % m) < size]
+    shape = attention.Shape(size, np.arange(size) % 3 == 0, np.stack([one // m, one % m, n_one], 1), np.stack([two // m // m, two // m % m, two % m, n_two], 1))
+    p = {n: x + rng.normal(0, 0.3, x.shape).astype(np.float32) for n, x in shape.parameters().items()}
+    docs = [np.append(rng.integers(0, size, n), size) for n in (0, 1, 14, 15, 16, 40, 70)]
+    return shape, p, docs
+
+
+def slow_scores(shape, p, ids):
+    """Logarithms of one document's ids, one position at a time."""
+    out, keys = [], []
+    inputs = [shape.start, *(min(shape.rank[x], shape.rare) for x in ids[:-1])]
+    for t, goal in enumerate(ids):
+        keys.append(p["e"][inputs[t]].astype(float))
+        first = max(0, (t // attention.SPAN - 1) * attention.SPAN)
+        x = keys[t]
+        s = np.array([x @ p["q"] @ (keys[j] @ p["k"]) * attention.KEYS**-0.5 + p["b"][t - j] for j in range(first, t + 1)])
+        a = np.exp(s - s.max())
+        h = np.maximum(0, (a / a.sum()) @ np.stack([k @ p["v"] for k in keys[first:]]) + x @ p["r"])
+        last = ids[t - 1] if t else shape.ids
+        before = ids[t - 2] if t > 1 else shape.ids
+        row = shape.context[shape.ids if t == 0 or shape.begins[last] else before, last]
+        share = lambda logits, k: logits[k] - np.log(np.exp(logits).sum())
+        rank = shape.rank[goal]
+        c = int(shape.of[rank])
+        got = share(h @ p["uc"] + shape.class_bias[row], c)
+        if c == shape.classes:
+            got -= np.log(shape.unused)
+        else:
+            own = slice(shape.edges[c], shape.edges[c + 1])
+            got += share(h @ p["um"][:, own] + shape.bias[c][row], rank - shape.edges[c])
+        out.append(got)
+    return out
+
+
+def test_model_equals_a_plain_loop_and_sums_to_one():
+    shape, p, docs = model()
+    spans, ready = attention.Spans(shape, docs), attention.tables(p)
+    got = np.concatenate([attention.log_probabilities(shape, p, ready, *spans.part(k, k + 2), spans.given[k - 1] if k else None) for k in range(0, len(spans), 2)])
+    for k, ids in enumerate(docs):
+        mine = got[spans.document == k][spans.next[spans.document == k] >= 0]
+        assert np.allclose(mine, slow_scores(shape, p, ids), atol=1e-3)
+    total = 0
+    for k in range(shape.ids):
+        spans.next = np.full_like(spans.next, k)
+        total = total + np.exp(attention.log_probabilities(shape, p, ready, *spans.part(0, 3)))
+    assert shape.unused and np.allclose(total, 1, atol=1e-3)
+
+
+def test_gradients_equal_differences(monkeypatch):
+    shape, p, docs = model()
+    spans = attention.Spans(shape, docs)
+    n = (spans.next >= 0).sum()
+    loss = lambda: -attention.log_probabilities(shape, p, attention.tables(p), *spans.part(0, len(spans))).sum() / n
+    g, rng = attention.gradients(shape, p, *spans.part(0, len(spans))), np.random.default_rng(2)
+    for name, x in p.items():
+        way = rng.normal(0, 1, x.shape).astype(np.float32)
+        way /= np.linalg.norm(way)
+        step, was = np.float32(2e-2), x.copy()
+        x += step * way
+        up = loss()
+        x[...] = was - step * way
+        down = loss()
+        x[...] = was
+        assert abs((up - down) / (2 * step) - float((g[name] * way).sum())) < 5e-3 + 0.05 * abs(float((g[name] * way).sum())), name
+
+
+def test_model_learns():
+    shape, p, _ = model()
+    docs = [np.array([k % 9, (k + 1) % 9, (k + 2) % 9] * 15 + [12]) for k in range(40)]
+    spans = attention.Spans(shape, docs)
+    score = lambda: attention.log_probabilities(shape, p, attention.tables(p), *spans.part(0, len(spans))).sum() / (spans.next >= 0).sum()
     was, adam = score(), attention.Adam(p)
-    for _ in range(60):
-        adam.step(p, attention.gradients(shape, p, keys, first, next_), 0.01)
+    for _ in range(150):
+        adam.step(p, attention.gradients(shape, p, *spans.part(0, len(spans))), 0.01)
     assert score() > was + 1
 
 
 def test_each_token_is_scored_once():
-    shape = attention.Shape(np.ones(9, int))
-    docs = [np.arange(n) % 9 for n in (1, 16, 17, 40)]
-    _, next_, document = attention.spans(shape, docs)
-    assert [next_[document == k][next_[document == k] >= 0].tolist() for k in range(4)] == [d.tolist() for d in docs]
+    shape, _, docs = model()
+    spans = attention.Spans(shape, docs)
+    assert [spans.next[spans.document == k][spans.next[spans.document == k] >= 0].tolist() for k in range(len(docs))] == [shape.rank[d].tolist() for d in docs]
 
 
 # pipeline
@@ -417,8 +698,8 @@ def test_pipeline_equals_brute_force(spark):
     pages, on = Counter(s for s, _ in docs.values()), defaultdict(Counter)
     for s, t in docs.values():
         on[s].update({x for x in t.split("\n") if x.strip()})
-    texts = {i: "\n".join(x for x in t.split("\n") if not (on[s][x] >= 5 and on[s][x] > 0.05 * pages[s])) for i, (s, t) in docs.items()}
-    groups = slow_groups(sorted((i, slow_print(t)) for i, t in texts.items()), 2)
+    texts = {i: "\n".join(x for x in t.split("\n") if not (on[s][x] > 1 and on[s][x] > 0.05 * pages[s])) for i, (s, t) in docs.items()}
+    groups = slow_similar(sorted(texts.items()))
     spelt = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
     windows = {tuple(w[k : k + 10]) for w in map(spelt, (b.text for b in bench)) for k in range(max(1, len(w) - 9)) if w}
     clean = {i: t for i, t in texts.items() if groups[i] == i and not any(tuple(spelt(t)[k : k + 10]) in windows for k in range(len(spelt(t))))}
