@@ -1,10 +1,14 @@
 """From raw documents to token ids: five stages, each on all that the one before kept.
 
 quality_rules drops what the rules or the isolation forest reject; line_dedup takes boilerplate lines of a source out of
-the texts; near_dedup keeps one document of each group of near-duplicates (five-word shingles, Jaccard
-similarity of 0.8 or more), the one with the smallest doc_id;
-decontaminate drops documents that hold a benchmark window; byte_bpe encodes what is left and checks that it decodes to
-the same text. All but the last return the columns that they were given.
+the texts; near_dedup keeps one document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8
+or more: what the trie of fingerprints finds, then what is left), the one with the smallest doc_id; decontaminate drops
+documents that hold a benchmark window; byte_bpe encodes what is left and checks that it decodes to the same text. All
+but the last return the columns that they were given.
+
+Null texts are empty and fail the quality rules, and so do texts of white space. Documents without an id, or with one
+that others have, are told apart by their texts: repeated rows go as near-duplicates, unlike ones stay. Null sources are
+one source. Texts of any length pass whole; no documents give no rows.
 """
 
 from __future__ import annotations

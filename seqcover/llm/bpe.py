@@ -6,7 +6,9 @@ every prefix gives the encoding of all prefixes at once: bytes are appended with
 edit recomputes from its place until the stored tokens agree with the old ones for the length of the longest token.
 
 A text is first split by a pattern, and each piece is encoded by itself; a piece that is a token as a whole is that
-token, as in tiktoken. No special tokens are recognised. A null text is empty and has no ids.
+token, as in tiktoken. No special tokens are recognised. A null text is empty and has no ids. Each row is encoded by
+itself: repeated rows give equal ids, null ids stay null, texts of any length are encoded whole, columns besides doc_id
+and text are left out, no rows give no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ word. Each document word inside an occurrence is hit.
 
 Words are compared as bytes in full. Benchmarks of any size are taken in blocks of at most BLOCK_WORDS window words,
 each a pass of its own over the documents without a shuffle; what was found so far travels along. Null texts have no
-words; items that are null or share an id count under that id; rows that repeat are each judged.
+words; items that are null or share an id count under that id; rows that repeat are each judged, those without an id too.
+Texts of any length are searched whole; no rows give no rows, and an empty benchmark hits nothing. Items that hold one
+window alike are all counted.
 """
 
 from __future__ import annotations

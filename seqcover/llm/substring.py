@@ -16,7 +16,8 @@ document is found and the others' windows go.
 Both shuffles send packed arrays by bucket of the name. What a task can decide by itself (an anchor in two of its own
 documents, a window in a smaller one) isn't sent but once, so a passage in a third of all documents makes one entry for
 each task, not one for each document. A null text has no words. Rows with one doc_id are told apart by their text;
-none of them is smaller than another. A null doc_id counts as larger than all others.
+none of them is smaller than another. A null doc_id counts as larger than all others. Texts of any length are cut into
+windows whole, in chunks of documents; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -1,10 +1,11 @@
 """Token ids of all documents in files, in ascending order of doc_id, and their return from them.
 
 Documents are dealt out by ranges of doc_id and sorted, so that the files in order of their part hold all documents in
-order (null ids first, rows of one id in order of their text). A file is a Parquet part with a row for each stripe of
+order (null ids first, rows of one id in order of a hash of their text, by which they are dealt out too). A file is a Parquet part with a row for each stripe of
 about STRIPE ids of whole documents in the format of idfile. A document's ids are those of the tokenizers library, each
 white-space-separated chunk encoded once in a while and then looked up (the tokenizer splits there anyway), and an end
-id. A null text is empty and has the end id alone.
+id. A null text is empty and has the end id alone; a text of any length is one document of one stripe. Repeated rows are
+documents of their own; columns besides doc_id and text are left out; no rows give files without documents.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         if held:
             yield row()
 
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("like", F.xxhash64("text")).repartitionByRange("doc_id", "like").sortWithinPartitions("doc_id", "like", "text").drop("like")
     dealt.mapInArrow(run, "part int, stripe int, n_ids long, data binary").write.option("compression", "none").parquet(folder)
 
 
