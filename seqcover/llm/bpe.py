@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Distinct pieces whose ids a Python worker keeps, and the longest of them in characters.
-CACHED, CACHED_CHARS = 150_000, 64
+#: Distinct pieces whose ids a Python worker keeps, the longest of them in characters, and pairs of tokens that it keeps answers for.
+CACHED, CACHED_CHARS, PAIRS = 100_000, 64, 250_000
 
 
 class Vocabulary:
@@ -37,7 +37,7 @@ class Vocabulary:
         self.bytes = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._stable: dict[int, bool] = {}
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -62,10 +62,11 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether the merges leave the two tokens side by side."""
-        if (known := self._apart.get((left, right))) is None:
-            if len(self._apart) > 1_000_000:
+        pair = left << 32 | right
+        if (known := self._apart.get(pair)) is None:
+            if len(self._apart) >= PAIRS:
                 self._apart.clear()
-            known = self._apart[left, right] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+            known = self._apart[pair] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
         return known
 
 

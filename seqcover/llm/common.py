@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The most bytes of a batch that goes to a Python worker. Spark's own limit is eight times as much, which both sides hold several times.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the limit of a batch to BATCH_BYTES for the session, unless it has been set by hand."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -49,6 +60,7 @@ def arrow_map(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[dict] | d
     """mapInArrow for a function that turns a batch into columns by name (or several such dicts)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(df.sparkSession)
     out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches):
