@@ -30,6 +30,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,7 +149,7 @@ def trained(docs: DataFrame, word_counts: DataFrame, path: str, size: int = SUBW
     spark = docs.sparkSession
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((shape, p))
-        own = texts.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(trainers, F.pmod(F.shiftright("at", 8), F.lit(trainers)))
+        own = texts.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(trainers, "at")
         rates = RATE * (1 - k / ROUNDS), RATE * (1 - (k + 1) / ROUNDS)
         weights = own.sortWithinPartitions("at").mapInArrow(_trainer(shared, passes, rates, path, size), "n long, weights binary")
         rows = weights.repartition(min(trainers, 16)).mapInArrow(_summed, "n long, weights binary").collect()
@@ -229,25 +230,24 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
         key = TaskContext.get().partitionId() << 40
         empty = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
         for batch in (part for whole in batches for part in common.slices(whole)):
-            ids = batch.column("doc_id").to_pylist()
-            own = [tokens(t) for t in common.texts(batch)]
-            scores = _scores(shape, p, ready, [get.ids(w) for w in own])
-            sums, n_known, keys, words, times = [], [], [], [], []
-            for k, mine in enumerate(own):
-                got = list(map(known.get, mine))
-                rest = Counter(w for w, b in zip(mine, got, strict=True) if b is None) if None in got else {}
-                sums.append(math.fsum(b for b in got if b is not None) + end_base)
-                n_known.append(len(mine) - sum(rest.values()) + end_known)
-                keys += [key + k] * len(rest)
-                words += [w.decode() for w in rest]
-                times += rest.values()
-            at = np.arange(key, key + len(own))
+            ids, n = batch.column("doc_id").to_pylist(), batch.num_rows
+            number, words, bounds = _words(batch)
+            document, n_words = np.repeat(np.arange(n), np.diff(bounds)), np.diff(bounds)
+            scores = _scores(shape, p, ready, _spelt(get, number, words, bounds))
+            got = [known.get(w) for w in words]
+            is_rare = np.array([b is None for b in got], bool)[number] if words else np.zeros(0, bool)
+            sums = np.bincount(document, np.array([b or 0.0 for b in got])[number] if words else None, n) + end_base
+            n_known = n_words - np.bincount(document[is_rare], minlength=n) + end_known
+            # rare words of each document, and how often
+            code, times = np.unique(document[is_rare] * max(1, len(words)) + number[is_rare], return_counts=True)
+            at = np.arange(key, key + n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array([len(w) + 1 for w in own], pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums, pa.float64()), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()]), pa.array(np.zeros(len(own), np.int64))],
+                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(n_words + 1), pa.array(n_known), pa.array(sums), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()]), pa.array(np.zeros(n, np.int64))],
                 names=["key", *empty, "word", "times"],
             )
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(pa.nulls(len(keys), t) for t in empty.values()), pa.array(words, pa.string()), pa.array(times, pa.int64())], names=["key", *empty, "word", "times"])
-            key += len(own)
+            spelt = pa.array([w.decode() for w in words], pa.string()).take(pa.array(code % max(1, len(words))))
+            yield pa.RecordBatch.from_arrays([pa.array(key + code // max(1, len(words))), *(pa.nulls(len(code), t) for t in empty.values()), spelt, pa.array(times)], names=["key", *empty, "word", "times"])
+            key += n
 
     made = docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word string, times long")
     rare = word_counts.where((F.col("c") < least) | (F.octet_length("word") > HEAD_BYTES))
@@ -258,6 +258,29 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("found")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
 
 
+def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The number of each token of a batch's texts, the distinct tokens, and where each text's begin (and the last one's end)."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), "")))
+    coded = cut.flatten().dictionary_encode()
+    number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
+    bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    if b"" in words:  # what stands before the first white space and behind the last
+        real = number != words.index(b"")
+        number, bounds = number[real], np.concatenate([[0], np.cumsum(real)])[bounds]
+    return number, words, bounds
+
+
+def _spelt(get: Subwords, number: np.ndarray, words: list[bytes], bounds: np.ndarray) -> list[np.ndarray]:
+    """The subword ids of each text and its end, from numbered words."""
+    spelt = [np.frombuffer(get[w], "<u2") for w in words]
+    sizes = np.array([len(x) for x in spelt], np.int64)
+    flat, starts, own = np.concatenate([*spelt, np.zeros(0, "<u2")]).astype(np.int64), np.cumsum(sizes) - sizes, sizes[number]
+    ends = np.cumsum(own)
+    ids = flat[np.arange(int(own.sum())) + np.repeat(starts[number] - (ends - own), own)]
+    cuts, end = np.concatenate([[0], ends])[bounds].tolist(), np.frombuffer(get.end, "<u2").astype(np.int64)
+    return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _scores(shape: attention.Shape, p: dict, ready: dict, documents: list[np.ndarray]) -> np.ndarray:
     spans, out = attention.Spans(shape, documents), np.zeros(len(documents))
     for k in range(0, len(spans), CHUNK):
