@@ -167,7 +167,23 @@ def _pairs(farthest: int | None):
     return run
 
 
-def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
+def _side(sets: DataFrame, node: str, value: str, what: str, size: str | None = None) -> DataFrame:
+    return sets.select(F.col("node").alias(node), F.col(what).alias(value), *([F.col("size").alias(size)] if size else []))
+
+
+def _possible(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose parities don't rule out that they are similar."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
+        near = pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= batch.column("m").to_numpy() + batch.column("n").to_numpy())
+        return {"a": batch.column("a").filter(near), "b": batch.column("b").filter(near)}
+
+    both = pairs.join(_side(own, "a", "x", "parities", "m"), "a").join(_side(own, "b", "y", "parities", "n"), "b")
+    return common.arrow_map(both.select("a", "b", "m", "n", "x", "y"), each, "a long, b long")
+
+
+def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
 
     def each(batch: pa.RecordBatch):
@@ -176,26 +192,40 @@ def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
             near = pa.array([similar(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield {"a": part.column("a").filter(near), "b": part.column("b").filter(near)}
 
-    def possible(batch: pa.RecordBatch) -> dict:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
-        near = pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= batch.column("m").to_numpy() + batch.column("n").to_numpy())
-        return {"a": batch.column("a").filter(near), "b": batch.column("b").filter(near)}
-
-    side = lambda sets, node, size, value, what: sets.select(F.col("node").alias(node), *([F.col("size").alias(size)] if size else []), F.col(what).alias(value))
-    both = pairs.join(side(own, "a", "m", "x", "parities"), "a").join(side(own, "b", "n", "y", "parities"), "b")
-    some = common.stored(common.arrow_map(both.select("a", "b", "m", "n", "x", "y"), possible, "a long, b long"), "possible")
-    nodes = common.stored(some.select(F.col("a").alias("node")).union(some.select("b")).distinct(), "nodes")
+    nodes = common.stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
     sets = own.join(F.broadcast(nodes) if common.count_rows(nodes) <= simhash.BROADCAST_IDS else nodes, "node", "left_semi")
-    both = some.join(side(sets, "a", None, "x", "hashes"), "a").join(side(sets, "b", None, "y", "hashes"), "b")
+    both = pairs.join(_side(sets, "a", "x", "hashes"), "a").join(_side(sets, "b", "y", "hashes"), "b")
     return common.arrow_map(both.select("a", "b", "x", "y"), each, "a long, b long")
 
 
+def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Similar ones of the pairs (a, b; a table), as many as connect what all similar ones connect.
+
+    Whole sets are moved for one pair of each node at a time, and then only for those whose ends are still apart; as
+    nearly all pairs that parities leave are similar, few are left after the first time.
+    """
+    left, found = common.stored(_possible(pairs, own), "possible"), None
+    while found is None or not left.isEmpty():
+        picked = common.stored(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked")
+        near = common.stored(_similar(picked, own), "links")
+        found = near if found is None else found.union(near)
+        roots = common.stored(graph.components(found), "roots")
+        root = lambda end: F.coalesce(f"root_{end}", end)
+        apart = left.join(picked, ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        after = common.stored(apart.where(root("a") != root("b")).select("a", "b"), "possible")
+        common.forget(left)
+        left = after
+    return found
+
+
 def links(own: DataFrame) -> DataFrame:
     """From sets (node, size, fp, parities, hashes), each once: edges a, b that connect what similar pairs connect."""
     by_print = common.stored(own.groupBy("fp").agg(F.min("node").alias("id")), "prints")
     same = own.select("fp", "node").join(by_print, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    edges = common.stored(_compared(common.stored(ordered(simhash.links(by_print, BUDGET).union(same)), "pairs"), own), "links")
+    edges = _compared(common.stored(ordered(simhash.links(by_print, BUDGET).union(same)), "pairs"), own)
     rows = _first(own, _common(own)).repartition("shingle").sortWithinPartitions("shingle")
     rows = common.stored(rows.mapInArrow(_several, rows.schema), "buckets")
     for k in range(CHAINS + 1):
@@ -203,12 +233,12 @@ def links(own: DataFrame) -> DataFrame:
         now = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         dealt = now.select("shingle", "node", "root", "n", "left").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
         pairs = common.stored(dealt.mapInArrow(_pairs(1 if k < CHAINS else None), "a long, b long").distinct(), "pairs")
-        edges = edges.union(common.stored(_compared(pairs, own), "links"))
+        edges = edges.union(_compared(pairs, own))
     return edges
 
 
-def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """id and node of every row of docs, and the edges between nodes."""
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored sets, id and node of every row of docs, and the edges between nodes."""
     own = common.stored(sets(docs), "sets")
     names = own.select("id", "node")
     classes = common.stored(names.groupBy("node").agg(F.min("id").alias("id")), "classes")
@@ -220,12 +250,12 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if n := common.count_rows(repeated):  # of rows with one id and equal texts, one
         some = F.broadcast(repeated) if n <= simhash.BROADCAST_IDS else repeated
         once = once.join(some, "node", "left_anti").unionByName(once.join(some, "node", "left_semi").dropDuplicates(["node"]))
-    return names, links(once.select("node", "size", "fp", "parities", "hashes"))
+    return own, names, links(once.select("node", "size", "fp", "parities", "hashes"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (the smallest doc_id that links reach) of every row of docs (doc_id, text); rows of one id are linked."""
-    names, edges = _sets(docs)
+    _, names, edges = _sets(docs)
     several = names.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("id", "a")
     roots = graph.components(edges.union(names.join(several, "id").where("a <> node").select("a", F.col("node").alias("b"))))
     named = simhash.named_nodes(names, roots)
@@ -235,9 +265,11 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs, all columns, with one row for each group of texts that links connect: one of its smallest doc_id. Unlike rows that share an id, or have none, are told apart by their texts."""
-    names, edges = _sets(docs)
+    own, names, edges = _sets(docs)
+    rows = common.stored(simhash.named_nodes(names, graph.components(edges)), "rows")
+    common.forget(own)  # by far the largest table of the stage
 
     def node(batch: pa.RecordBatch) -> np.ndarray:
         return np.array([xxhash.xxh64_intdigest(shingles(x).tobytes(), 42) for x in common.texts(batch)], np.uint64).view(np.int64)
 
-    return simhash.kept(docs, simhash.named_nodes(names, graph.components(edges)), node)
+    return simhash.kept(docs, rows, node)

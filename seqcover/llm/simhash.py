@@ -240,7 +240,7 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET)
     classes = common.stored(prints.groupBy("node").agg(F.min("id").alias("id")), "classes")
     # classes are named by their fingerprints, as ids may be shared
     edges = links(classes.select(F.col("node").alias("fp"), F.col("node").alias("id")), budget)
-    named = named_nodes(prints, graph.components(edges))
+    named = common.stored(named_nodes(prints, graph.components(edges)), "rows")
 
     def node(batch: pa.RecordBatch) -> np.ndarray:
         return np.array([fingerprint(x, shingle) for x in common.texts(batch)], np.uint64).view(np.int64)
@@ -256,11 +256,10 @@ def named_nodes(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, rows: DataFrame, node) -> DataFrame:
     """docs, all columns, with one row for each root: one of those with its least (id, node).
 
-    rows: id (LAST for null), node and root of every row of docs. node: the nodes of a batch of docs (doc_id, text). Ids
+    rows: id (LAST for null), node and root of every row of docs, stored. node: the nodes of a batch of docs (doc_id, text). Ids
     that no other row has decide by themselves; of the others, null among them, the nodes are made again. Of rows with
     equal id and node any one stays.
     """
-    rows = common.stored(rows, "rows")
     least = common.stored(rows.groupBy("root").agg(F.min(F.struct("id", "node")).alias("least")), "least")
     several = common.stored(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | (F.col("id") == LAST)).select("id"), "several")
     lost = rows.join(least, "root").where(F.struct("id", "node") != F.col("least")).select("id")
