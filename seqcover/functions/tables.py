@@ -27,6 +27,14 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of kept() tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_order(df: DataFrame, order: list[Column], name: str = "place", column: str | None = None) -> DataFrame:
     """df with its place in the order, from 1, or with the sum of a column up to it.
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.tables import kept
+from ..functions.tables import forget, kept
 from ..operators import bounds, greedy, records, recruit, summary
 
 
@@ -43,9 +43,12 @@ def iteration(left: DataFrame, counts: DataFrame, options: Options, rate: float,
     if options.mode_shift:
         centres = kept(summary.mode_centres(totals), "centres")
         if not centres.isEmpty():
+            forget(baited, totals)
             baited = recruit_to(left, centres, order, options.similarity)
             totals = kept(summary.cluster_summary(baited, counts), "summary")
-    members = kept(baited, "members")
+        forget(centres)
+    members = baited
+    forget(some)
     return members, totals, kept(records.excluded(left, members.select("seq_id").distinct()), "left")
 
 
@@ -78,6 +81,7 @@ def run(reads: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
         pool = spark.createDataFrame([(int(k), int(n), n / sum(frontier.pool.values())) for k, n in frontier.pool.items()], "size long, n long, share double")
         frozen = {r["size"] for r in bounds.frozen_sizes(pool, frontier.mass, rate, options.confidence).where("frozen").select("size").collect()} if frontier.pool and frontier.mass > 0 else set()
         rows.append((number, rate, m.n_clusters, m.n_clustered, m.densest, m.mean_size, m.median_size, m.n_above_least, m.n_singletons, frontier.freeze(frozen), took))
+        forget(totals, *([left] if number > 1 else []))
         left = after
         if options.stop_when_done and left.isEmpty():
             break

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.distance import allowed, within_prefix
-from ..functions.tables import kept
+from ..functions.tables import forget, kept
 from . import recruit
 
 #: Records of the first batch.
@@ -34,16 +34,21 @@ def earlier_edges(records: DataFrame, similarity: float, mismatches: int | None
 
 
 def settled(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """seq_id of the centres among records, from edges (target, centre) to earlier records that would accept them."""
+    """seq_id of the centres among records, from edges (target, centre; a kept table, which goes) to earlier records that would accept them."""
+    made = [edges]
     fresh = kept(records.select("seq_id").join(edges.select(F.col("target").alias("seq_id")), "seq_id", "left_anti").withColumn("is_centre", F.lit(True)), "states")
+    made.append(fresh)
     centres, left = fresh, edges
     while not left.isEmpty():
         marked = left.join(fresh, F.col("centre") == F.col("seq_id"), "left").select("target", "centre", "is_centre")
         state = marked.groupBy(F.col("target").alias("seq_id")).agg(F.max("is_centre").alias("taken"), F.count(F.when(F.col("is_centre").isNull(), 1)).alias("open"))
         fresh = kept(state.where("taken or open = 0").select("seq_id", (~F.coalesce("taken", F.lit(False))).alias("is_centre")), "states")
         left = kept(marked.where("is_centre is null").select("target", "centre").join(fresh.select(F.col("seq_id").alias("target")), "target", "left_anti"), "edges")
+        made += [fresh, left]
         centres = centres.unionByName(fresh.where("is_centre"))
-    return centres.select("seq_id")
+    out = kept(centres.select("seq_id"), "centres")
+    forget(*made)
+    return out
 
 
 def _first_batch(left: DataFrame, size: int) -> DataFrame:
@@ -59,18 +64,20 @@ def _first_batch(left: DataFrame, size: int) -> DataFrame:
 
 def clustered(records: DataFrame, similarity: float, mismatches: int | None = None, batch: int = BATCH) -> DataFrame:
     """seq_id and centroid of every record (seq_id, sequence); empty sequences are centres of their own. A batch takes whole lengths."""
-    left, size = kept(records.select("seq_id", "sequence"), "left"), batch
+    left, size, out_of_use = kept(records.select("seq_id", "sequence"), "left"), batch, False  # the first table is read again for empty sequences
     out = left.where(F.length("sequence") == 0).select("seq_id", F.col("seq_id").alias("centroid"))
     left = left.where(F.length("sequence") > 0)
     while not left.isEmpty():
         first = kept(_first_batch(left, size), "batch")
-        own = kept(settled(first, kept(earlier_edges(first, similarity, mismatches), "edges")), "centres")
+        own = settled(first, kept(earlier_edges(first, similarity, mismatches), "edges"))
         centres = first.join(own, "seq_id", "left_semi").withColumn("ord", F.struct(-F.length("sequence"), F.lit(0)))
         others = left.join(own, "seq_id", "left_anti")
         best = _earliest(others, centres, similarity, mismatches)
         members = kept(best.unionByName(own.select("seq_id", F.col("seq_id").alias("centroid"))), "members")
         out, size = out.unionByName(members), 2 * size
-        left = kept(left.join(members.select("seq_id"), "seq_id", "left_anti"), "left")
+        before, left = left, kept(left.join(members.select("seq_id"), "seq_id", "left_anti"), "left")
+        forget(first, own, *([before] if out_of_use else []))
+        out_of_use = True
     return out
 
 
@@ -89,7 +96,8 @@ def apart_clustered(records: DataFrame, similarity: float) -> DataFrame:
     wide = max(0.0, 1 - 2 * (1 - similarity) - 1e-6)
     pairs = recruit.candidates(ranked, ranked, wide).where(place("q", "centre") > place("t", "target"))
     edges = kept(pairs.where(within_prefix(F.col("t"), F.col("q"), twice)).select("target", "centre").distinct(), "edges")
-    centres = kept(settled(ranked, edges), "centres")
+    again = kept(edges, "edges")  # settled() takes the other away
+    centres, edges = settled(ranked, edges), again
     # the first centre that shuts a record out is the one that may take it
     shut = edges.join(centres.select(F.col("seq_id").alias("centre")), "centre", "left_semi").join(ranked.select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q")), "centre").join(ranked.select(F.col("seq_id").alias("target"), F.col("sequence").alias("t")), "target")
     first = shut.groupBy(F.col("target").alias("seq_id")).agg(F.max_by(F.struct("centre", "q", "t"), place("q", "centre")).alias("b"))

@@ -85,3 +85,25 @@ def test_p_values():
     # quantiles of the t distribution: two-sided p of 0.05 and 0.01
     for freedom, t, p in ((1, 12.7062, 0.05), (5, 2.57058, 0.05), (30, 2.75, 0.01), (1000, 1.96234, 0.05), (3, 0.0, 1.0)):
         assert abs(evaluate.two_sided_p(t, freedom) - p) < 2e-5 and abs(evaluate.two_sided_p(-t, freedom) - p) < 2e-5
+
+
+def test_single_steps(spark, tmp_path):
+    from seqcover.jobs import tools
+
+    base = "ACGTTGCAACGGTCATTGCAACGTTGACCA"
+    (tmp_path / "r.fasta").write_text(f">a long\n{base}\n>b\n{base[:-1]}\n>c\n{'G' * 20}\n>d\n{'T' + base[1:]}\n")
+    (tmp_path / "c.fasta").write_text(f">c\n{'G' * 20}\n>a\n{base}\n")
+    run = lambda *args: tools.main([str(tmp_path / x) if x.endswith(".fasta") or x.startswith("out") else x for x in args])
+    lines = lambda out: sorted(x for p in (tmp_path / out).rglob("part*") for x in p.read_text().split("\n") if x)
+    run("cluster", "r.fasta", "out1", "--similarity", "0.9")
+    assert lines("out1") == ["c", "d\ta\tb"]
+    run("recruit", "r.fasta", "c.fasta", "out2", "--similarity", "0.9")
+    assert lines("out2") == ["a\tb\td", "c"]
+    run("recruit", "r.fasta", "c.fasta", "out3", "--similarity", "0.9", "--pairs")
+    assert lines("out3") == ["a\ta", "b\ta", "c\tc", "d\ta"]
+    run("sort", "r.fasta", "out4")
+    assert [r.seq_id for r in fasta.read_fasta(spark, str(tmp_path / "out4")).orderBy("ord").collect()] == ["d", "a", "b", "c"]
+    run("select", "r.fasta", "out2", "out5", "--mode", "rest")
+    assert [x for x in lines("out5") if x[0] == ">"] == [">b", ">d"]
+    run("select", "r.fasta", "out2", "out6", "--mode", "members")
+    assert {p.parent.name for p in (tmp_path / "out6").rglob("part*")} == {"centroid=a", "centroid=c"}
