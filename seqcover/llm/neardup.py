@@ -201,14 +201,16 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
 def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """Similar ones of the pairs (a, b; a table), as many as connect what all similar ones connect.
 
-    Whole sets are moved for one pair of each node at a time, and then only for those whose ends are still apart; as
-    nearly all pairs that parities leave are similar, few are left after the first time.
+    Whole sets are moved for one pair of each node first, and then for all those whose ends are still apart; as nearly
+    all pairs that parities leave are similar, these are few.
     """
     left, found = common.stored(_possible(pairs, own), "possible"), None
-    while found is None or not left.isEmpty():
-        picked = common.stored(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked")
+    for last in (False, True):
+        picked = left if last else common.stored(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked")
         near = common.stored(_similar(picked, own), "links")
         found = near if found is None else found.union(near)
+        if last:
+            break
         roots = common.stored(graph.components(found), "roots")
         root = lambda end: F.coalesce(f"root_{end}", end)
         apart = left.join(picked, ["a", "b"], "left_anti")
@@ -217,6 +219,8 @@ def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
         after = common.stored(apart.where(root("a") != root("b")).select("a", "b"), "possible")
         common.forget(left)
         left = after
+        if left.isEmpty():
+            break
     return found
 
 
