@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: The most bytes of a batch that goes to a Python worker. Spark's own limit is eight times as much, which both sides hold several times.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: The most bytes of a batch that goes to a Python worker. Spark's own limit is 64 MB, which both sides hold several times.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

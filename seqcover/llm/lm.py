@@ -263,7 +263,7 @@ def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), "")))
     coded = cut.flatten().dictionary_encode()
     number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
-    bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    bounds = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
     if b"" in words:  # what stands before the first white space and behind the last
         real = number != words.index(b"")
         number, bounds = number[real], np.concatenate([[0], np.cumsum(real)])[bounds]

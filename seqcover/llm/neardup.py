@@ -36,7 +36,7 @@ from . import common, graph, simhash
 SHINGLE = 5
 SAMPLE, COMMON, COMMON_ROWS = 16, 4, 200_000
 BUDGET, CHAINS = 3, 1
-BITS = 1024
+BITS = 512
 #: Pairs that a bucket gives at a time.
 PAIRS = 200_000
 

@@ -142,7 +142,7 @@ def _date(m: Column, key: str) -> Column:
     month_from, months = F.when(month < 10, 1).otherwise(10), F.when(month < 10, 9).otherwise(3)
     kind = F.concat(F.lit("date"), day_from.cast("string"), month_from.cast("string"))
     spelt = lambda s: (s["l"] + FIRST_YEAR, F.floor(s["r"] / days).cast("long") + month_from, s["r"] % days + day_from)
-    exists = lambda s: F.try_to_date(F.concat_ws("-", *(F.lpad(x.cast("string"), 2, "0") for x in spelt(s))), "yyyy-MM-dd").isNotNull()
+    exists = lambda s: F.try_to_date(F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in zip(spelt(s), (4, 2, 2), strict=True))), "yyyy-MM-dd").isNotNull()
     on = lambda l, r: paired(l, r, YEARS, days * months, key, kind)
     first = on(year.cast("long") - FIRST_YEAR, (month - month_from) * days + day - day_from)
     to = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), first, lambda s, _: F.when(exists(s), s).otherwise(on(s["l"], s["r"])))
