@@ -30,7 +30,6 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -260,13 +259,10 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
 
 def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     """The number of each token of a batch's texts, the distinct tokens, and where each text's begin (and the last one's end)."""
-    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text").cast(pa.large_string()), "")))
-    coded = cut.flatten().dictionary_encode()
-    number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.large_binary()).to_pylist()
-    bounds = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-    if b"" in words:  # what stands before the first white space and behind the last
-        real = number != words.index(b"")
-        number, bounds = number[real], np.concatenate([[0], np.cumsum(real)])[bounds]
+    own = [tokens(t) for t in common.texts(batch)]
+    coded = pa.array([w for x in own for w in x], pa.large_binary()).dictionary_encode()
+    number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
     return number, words, bounds
 
 
