@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, lm, pii, quality, simhash, substring, tokens
+from . import bpe, decontaminate, fim, html, linededup, lm, pii, quality, simhash, spelling, substring, tokens, urlfilter
 
 QUERIES = {
     "op1_lm_score": lm.query,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_pii": pii.query,
     "op9_simhash": simhash.query,
     "op10_html_text": html.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_fill_in_middle": fim.query,
+    "op13_url_filters": urlfilter.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op4_line_dedup": linededup.ORACLE,
     "op6_substring_dedup": substring.ORACLE,
+    "op12_fill_in_middle": fim.ORACLE,
+    "op13_url_filters": urlfilter.ORACLE,
 }

@@ -40,7 +40,7 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_each_operator_has_a_query():
     found = __spark_entry__.queries()
-    assert all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 11)) and "pipeline" in found
+    assert all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 14)) and "pipeline" in found
 
 
 # quality rules
