@@ -1,11 +1,13 @@
-"""Greedy clustering in order of length, batch by batch, as rounds over a table of edges.
+"""Greedy clustering in order of length, batch by batch, as rounds that ask for each record's first acceptor only.
 
 The sequential rule - take the longest record that is left as a centre and give it all that it accepts - says that a
-record is a centre if no earlier centre accepts it, and else belongs to the earliest centre that does. Records are taken
-in batches of the first ones in that order, each batch twice as large as the one before. Within a batch, rounds settle
-the records whose earlier neighbours are settled: those that a centre accepts are members, those without an earlier
-neighbour left are centres. Then the batch's centres recruit from all that is left, so that members have gone before
-their own edges are formed, and a dense group makes one edge for each member and centre of an earlier batch.
+record is a centre if no earlier centre accepts it, and else belongs to the earliest centre that does. Records are
+numbered in that order once (by ranges, with records of one length apart by their letters), and taken in batches of the
+first ones that are left, each batch twice as large as the one before. Within a batch, a record asks for its first
+acceptor among those that are or may become centres: with none it is a centre; if that is a centre, it is its member; if
+that becomes a member, it asks again, from there on. What is written in a round is one row a record, however dense a
+group is. Then the batch's centres recruit from all that is left, so that members have gone before they are ever
+compared with each other.
 """
 
 from __future__ import annotations
@@ -13,95 +15,88 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.distance import allowed, within_prefix
-from ..functions.tables import forget, kept
+from ..functions.distance import allowed
+from ..functions.tables import forget, in_order, kept
 from . import recruit
 
 #: Records of the first batch.
 BATCH = 20_000
 
 
-def place(text: str, key: str):
-    """Longest first, then the larger string, then the larger id: the larger place comes first."""
-    return F.struct(F.length(text).alias("n"), F.col(text).alias("s"), F.col(key).alias("id"))
-
-
-def earlier_edges(records: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
-    """target and centre for each pair whose centre comes before the target in cluster order and accepts it."""
-    ranked = records.select("seq_id", "sequence", F.lit(0).alias("ord"))
-    pairs = recruit.candidates(ranked, ranked, similarity, mismatches).where(place("q", "centre") > place("t", "target"))
-    return pairs.where(within_prefix(F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches))).select("target", "centre").distinct()
-
-
-def settled(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """seq_id of the centres among records, from edges (target, centre; a kept table, which goes) to earlier records that would accept them."""
-    made = [edges]
-    fresh = kept(records.select("seq_id").join(edges.select(F.col("target").alias("seq_id")), "seq_id", "left_anti").withColumn("is_centre", F.lit(True)), "states")
-    made.append(fresh)
-    centres, left = fresh, edges
-    while not left.isEmpty():
-        marked = left.join(fresh, F.col("centre") == F.col("seq_id"), "left").select("target", "centre", "is_centre")
-        state = marked.groupBy(F.col("target").alias("seq_id")).agg(F.max("is_centre").alias("taken"), F.count(F.when(F.col("is_centre").isNull(), 1)).alias("open"))
-        fresh = kept(state.where("taken or open = 0").select("seq_id", (~F.coalesce("taken", F.lit(False))).alias("is_centre")), "states")
-        left = kept(marked.where("is_centre is null").select("target", "centre").join(fresh.select(F.col("seq_id").alias("target")), "target", "left_anti"), "edges")
-        made += [fresh, left]
-        centres = centres.unionByName(fresh.where("is_centre"))
-    out = kept(centres.select("seq_id"), "centres")
-    forget(*made)
-    return out
-
-
-def _first_batch(left: DataFrame, size: int) -> DataFrame:
-    """place of the last of the first `size` records: the size-th largest place, by whole lengths where that is enough."""
-    lengths = left.groupBy(F.length("sequence").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n"))
-    seen, least = 0, 0
-    for row in lengths.toLocalIterator():
-        seen, least = seen + row.c, row.n
-        if seen >= size:
+def numbered(records: DataFrame) -> DataFrame:
+    """Stored: id, sequence and seq_id (the place in cluster order, from 1: longest first, then the larger string, then the larger id) of the records that aren't empty."""
+    own = records.where(F.length("sequence") > 0).select(F.col("seq_id").alias("id"), "sequence")
+    return kept(in_order(own, [F.desc(F.length("sequence")), F.desc("sequence"), F.desc("id")], "seq_id"), "numbered")
+
+
+def _first(asking: DataFrame, among: DataFrame, similarity: float, mismatches: int | None, times: int, earlier: bool = True) -> DataFrame:
+    """seq_id, first and cost: of the records among which it asks, the first in order that accepts it."""
+    near = recruit.accepted(asking, among, similarity, mismatches, times=times, earlier=earlier)
+    return near.groupBy(F.col("target").alias("seq_id")).agg(F.min(F.struct("centre", "cost")).alias("f")).select("seq_id", F.col("f.centre").alias("first"), F.col("f.cost").alias("cost"))
+
+
+def settled(batch: DataFrame, similarity: float, mismatches: int | None = None, times: int = 1) -> DataFrame:
+    """Stored: seq_id, first and cost of a stored batch (seq_id: places in order; sequence) that no earlier record accepts: the centre that accepts a record first; null for centres."""
+    state, done = kept(batch.select("seq_id", F.lit("asks").alias("state"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("cost")), "states"), False
+    while not done:
+        asking, open_ = (kept(batch.join(state.where(which).select("seq_id"), "seq_id", "left_semi"), "batch") for which in ("state = 'asks'", "state <> 'member'"))
+        answers = _first(asking, open_, similarity, mismatches, times).select("seq_id", F.col("first").alias("_first"), F.col("cost").alias("_cost"))
+        told = state.join(answers, "seq_id", "left").select(
+            "seq_id",
+            F.when(F.col("state") != "asks", F.col("state")).when(F.col("_first").isNull(), "centre").otherwise("waits").alias("state"),
+            F.coalesce("_first", "first").alias("first"),
+            F.coalesce("_cost", "cost").alias("cost"),
+        )
+        told = kept(told, "told")
+        while True:  # what is decided decides for others, until nothing changes or someone has to ask again
+            of = told.where("state <> 'waits'").select(F.col("seq_id").alias("first"), F.col("state").alias("of"))
+            moved = told.where("state = 'waits'").join(of, "first", "left").select("seq_id", F.when(F.col("of") == "centre", "member").when(F.col("of") == "member", "asks").otherwise("waits").alias("state"), "first", "cost")
+            after = kept(told.where("state <> 'waits'").unionByName(moved), "states")
+            left = dict(after.where("state in ('asks', 'waits')").groupBy("state").count().collect())
+            forget(told)
+            if left.get("asks") or not left:
+                break
+            told = after
+        forget(state, asking, open_)
+        state, done = after.withColumn("first", F.expr("CASE WHEN state <> 'asks' THEN first END")).withColumn("cost", F.expr("CASE WHEN state <> 'asks' THEN cost END")), not left
+    return state.select("seq_id", "first", "cost")
+
+
+def _owners(records: DataFrame, similarity: float, mismatches: int | None, times: int, size: int) -> DataFrame:
+    """seq_id, first and cost of every stored record (places in order): its first acceptor among the centres, null for centres."""
+    left, out, used = records, None, False
+    while n := left.count():
+        last = None if n <= size else left.approxQuantile("seq_id", [size / n], 0.1 * size / n)[0]
+        batch = left if last is None else kept(left.where(F.col("seq_id") <= last), "batch")
+        own = settled(batch, similarity, mismatches, times)
+        if last is not None:
+            centres = kept(batch.join(own.where("first is null").select("seq_id"), "seq_id", "left_semi"), "centres")
+            others = kept(left.where(F.col("seq_id") > last), "others")
+            taken = kept(_first(others, centres, similarity, mismatches, times, earlier=False), "taken")
+            own, rest = own.unionByName(taken), kept(others.join(taken.select("seq_id"), "seq_id", "left_anti"), "left")
+            forget(batch, centres, others)
+        out = own if out is None else out.unionByName(own)
+        if last is None:
             break
-    return left.where(F.length("sequence") >= least)
+        forget(*[left] * used)
+        left, size, used = rest, 2 * size, True
+    return out if out is not None else records.select("seq_id", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("cost"))
 
 
 def clustered(records: DataFrame, similarity: float, mismatches: int | None = None, batch: int = BATCH) -> DataFrame:
-    """seq_id and centroid of every record (seq_id, sequence); empty sequences are centres of their own. A batch takes whole lengths."""
-    left, size, out_of_use = kept(records.select("seq_id", "sequence"), "left"), batch, False  # the first table is read again for empty sequences
-    out = left.where(F.length("sequence") == 0).select("seq_id", F.col("seq_id").alias("centroid"))
-    left = left.where(F.length("sequence") > 0)
-    while not left.isEmpty():
-        first = kept(_first_batch(left, size), "batch")
-        own = settled(first, kept(earlier_edges(first, similarity, mismatches), "edges"))
-        centres = first.join(own, "seq_id", "left_semi").withColumn("ord", F.struct(-F.length("sequence"), F.lit(0)))
-        others = left.join(own, "seq_id", "left_anti")
-        best = _earliest(others, centres, similarity, mismatches)
-        members = kept(best.unionByName(own.select("seq_id", F.col("seq_id").alias("centroid"))), "members")
-        out, size = out.unionByName(members), 2 * size
-        before, left = left, kept(left.join(members.select("seq_id"), "seq_id", "left_anti"), "left")
-        forget(first, own, *([before] if out_of_use else []))
-        out_of_use = True
-    return out
-
-
-def _earliest(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None) -> DataFrame:
-    """seq_id and centroid: of the centres that accept a target, the first in cluster order."""
-    pairs = recruit.candidates(targets, centres, similarity, mismatches)
-    near = pairs.where(within_prefix(F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches)))
-    return near.groupBy(F.col("target").alias("seq_id")).agg(F.max_by("centre", place("q", "centre")).alias("centroid"))
-
-
-def apart_clustered(records: DataFrame, similarity: float) -> DataFrame:
+    """seq_id and centroid of every record (seq_id, sequence); empty sequences are centres of their own."""
+    own = numbered(records)
+    empty = records.where(F.length("sequence") == 0).select("seq_id", F.col("seq_id").alias("centroid"))
+    owners = _owners(own.select("seq_id", "sequence"), similarity, mismatches, 1, batch).select("seq_id", F.coalesce("first", "seq_id").alias("first"))
+    named = owners.join(own.select("seq_id", "id"), "seq_id").join(own.select(F.col("seq_id").alias("first"), F.col("id").alias("centroid")), "first")
+    return empty.unionByName(named.select(F.col("id").alias("seq_id"), "centroid"))
+
+
+def apart_clustered(records: DataFrame, similarity: float, batch: int = BATCH) -> DataFrame:
     """seq_id and centroid where balls don't overlap: a centre shuts out records up to twice its radius (the lesser one of both lengths), and takes those nearer than the radius. Those that are shut out and not taken are in no cluster."""
-    ranked = records.select("seq_id", "sequence", F.lit(0).alias("ord"))
-    twice = 2 * allowed(F.length("t"), F.length("q"), similarity)
-    # segments for twice the radius: those of a similarity that allows as much or more
-    wide = max(0.0, 1 - 2 * (1 - similarity) - 1e-6)
-    pairs = recruit.candidates(ranked, ranked, wide).where(place("q", "centre") > place("t", "target"))
-    edges = kept(pairs.where(within_prefix(F.col("t"), F.col("q"), twice)).select("target", "centre").distinct(), "edges")
-    again = kept(edges, "edges")  # settled() takes the other away
-    centres, edges = settled(ranked, edges), again
-    # the first centre that shuts a record out is the one that may take it
-    shut = edges.join(centres.select(F.col("seq_id").alias("centre")), "centre", "left_semi").join(ranked.select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q")), "centre").join(ranked.select(F.col("seq_id").alias("target"), F.col("sequence").alias("t")), "target")
-    first = shut.groupBy(F.col("target").alias("seq_id")).agg(F.max_by(F.struct("centre", "q", "t"), place("q", "centre")).alias("b"))
-    t, q = F.col("b.t"), F.col("b.q")
-    most = allowed(F.length(t), F.length(q), similarity)
-    inner = first.where((most > 0) & within_prefix(t, q, most - 1)).select("seq_id", F.col("b.centre").alias("centroid"))
-    return inner.unionByName(centres.select("seq_id", F.col("seq_id").alias("centroid")))
+    own = numbered(records)
+    empty = records.where(F.length("sequence") == 0).select("seq_id", F.col("seq_id").alias("centroid"))
+    owners = _owners(own.select("seq_id", "sequence"), similarity, None, 2, batch).select("seq_id", F.coalesce("first", "seq_id").alias("first"), "cost")
+    named = owners.join(own.select("seq_id", "id", F.length("sequence").alias("n")), "seq_id").join(own.select(F.col("seq_id").alias("first"), F.col("id").alias("centroid"), F.length("sequence").alias("m")), "first")
+    near = F.col("cost").isNull() | (F.col("cost") < allowed(F.col("n"), F.col("m"), similarity))
+    return empty.unionByName(named.where(near).select(F.col("id").alias("seq_id"), "centroid"))

@@ -1,78 +1,125 @@
-"""Similarity join of sequences to centres: candidates by shared segments, then the distance.
-
-A target of radius r is cut into r + 1 segments, of which one at least occurs unchanged in an accepting centre, moved by
-r places at most (in substring mode: anywhere). Both sides are joined on the place, length and letters of a segment; no
-pair is formed otherwise. Segments that many targets and centres share are dealt out to several tasks, by how many pairs
-they make. What is paired is checked at once, in full, and doesn't leave the task. Targets no longer than their radius
-match any centre that is long enough, with no segment in common; they share an empty one.
+"""Similarity join of sequences to centres: candidates by rare shared segments, then the distance.
+
+A target of radius r is cut into segments of a power of two, at least half as many again as r + 1. An accepting centre
+has all but r of them unchanged, moved by r places at most (in substring mode: anywhere), so any r + 1 will do to find
+it: those are taken that the fewest centres have. Segments are whole numbers (a hash of size, number and letters), and
+pairs are formed by equality on them alone; a segment that many targets and centres share is dealt out to several
+tasks, by how many pairs it makes. Each pair goes on once, as two ids; the strings are fetched then, and batches of pairs
+are compared in order of centre and target, so that targets that begin alike share the table of their common letters.
+Targets no longer than their radius match any centre that is long enough, with no segment in common; they share an
+empty one.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import allowed, prefix_distance, substring_distance, within_prefix
+from ..functions import aligned
+from ..functions.distance import allowed
 from ..functions.scalars import radius, uniform
-from ..functions.tables import kept
-
-#: Pairs of one segment that a task checks, and how many partitions there are for each of the session's.
-PAIRS, SPREAD = 250_000, 4
-
-
-def _radius(length: Column, similarity: float, mismatches: int | None) -> Column:
-    return radius(length, similarity) if mismatches is None else F.lit(mismatches).cast("int")
-
-
-def _segments(length: Column, r: Column) -> Column:
-    """First letter (from 1) and length of each of r + 1 segments; one empty segment where the radius is the length or more."""
-    edge = lambda k: F.floor(length * k / (r + 1)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), r), lambda k: F.struct((edge(k) + 1).alias("start"), (edge(k + 1) - edge(k)).alias("size")))
-    return F.when(r < length, cut).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("size"))))
-
-
-def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False) -> DataFrame:
-    """Pairs that may match, some of them more than once: target, t, centre, q, ord. targets: seq_id, sequence. centres: seq_id, sequence, ord. Empty sequences match nothing."""
-    t = targets.select(F.col("seq_id").alias("target"), F.col("sequence").alias("t")).where(F.length("t") > 0)
-    q = centres.select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q"), "ord").where(F.length("q") > 0)
-    n = F.length("t")
-    own = t.select("target", "t", n.alias("n"), F.explode(_segments(n, _radius(n, similarity, mismatches))).alias("c"))
-    own = own.select("target", "t", "n", "c.start", "c.size", F.substr("t", F.greatest(F.lit(1), F.col("c.start")), F.col("c.size")).alias("letters"))
-    if anywhere:  # the place doesn't count
-        own = own.withColumn("n", F.lit(0)).withColumn("start", F.lit(0))
-    # the lengths that targets have, and their segments: a short table of numbers, joined by it
-    cuts = own.select("n", "start", "size").distinct().withColumn("r", F.lit(0) if anywhere else _radius(F.col("n"), similarity, mismatches))
-    held = q.join(cuts, F.length("q") >= F.col("n") - F.col("r"))
-    first, last = F.greatest(F.lit(1), F.col("start") - F.col("r")), F.least(F.col("start") + F.col("r"), F.length("q") - F.col("size") + 1)
-    places = F.sequence(F.lit(1), F.length("q") - F.col("size") + 1) if anywhere else F.sequence(first, F.greatest(first, last))
-    letters = F.when(F.col("size") > 0, F.array_distinct(F.transform(places, lambda k: F.substr("q", k, F.col("size"))))).otherwise(F.array(F.lit("")))
-    held = held.where(F.col("size") <= F.length("q")).select("centre", "q", "ord", "n", "start", "size", F.explode(letters).alias("letters"))
-    return _spread_join(own, held, ["n", "start", "size", "letters"]).select("target", "t", "centre", "q", "ord")
-
-
-def _spread_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys in which no task gets many more than PAIRS pairs of one key: the left rows of larger ones are dealt out, the right ones repeated."""
-    pairs = lambda side, name: side.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    made = pairs(left, "n_left").join(pairs(right, "n_right"), keys).where(F.col("n_left") * F.col("n_right") > PAIRS)
-    large = kept(made.select(*keys, F.least(F.col("n_left"), F.ceil(F.col("n_left") * F.col("n_right") / PAIRS)).cast("int").alias("parts")), "large")
-    deal = F.pmod(F.xxhash64(*[c for c in left.columns if c not in keys]), F.coalesce("parts", F.lit(1))).cast("int")
-    left = left.join(large, keys, "left").withColumn("part", deal).drop("parts")
-    right = right.join(large, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+from ..functions.tables import forget, kept
+
+#: Pairs of one segment that a task forms, how many partitions there are for each of the session's, and rows of a batch.
+PAIRS, SPREAD, BATCH = 250_000, 4, 4096
+
+
+def _radius(length: Column, similarity: float, mismatches: int | None, times: int = 1) -> Column:
+    return times * radius(length, similarity) if mismatches is None else F.lit(times * mismatches).cast("int")
+
+
+def _range(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last; none if it is the other way round."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+
+def _cut(targets: DataFrame, similarity: float, mismatches: int | None, times: int) -> DataFrame:
+    """target, n (letters), r (radius) and g (letters of a segment, a power of two; 0 where the radius is the length or more) beside t."""
+    own = targets.select("target", "t", F.length("t").alias("n")).withColumn("r", _radius(F.col("n"), similarity, mismatches, times))
+    enough = F.floor((3 * (F.col("r") + 1) + 1) / 2)
+    size = F.greatest(F.lit(1), F.expr("shiftleft(1, greatest(0, cast(floor(log2(n / enough)) as int)))"))
+    return own.withColumn("enough", enough).withColumn("g", F.when(F.col("r") >= F.col("n"), 0).otherwise(size).cast("int")).drop("enough")
+
+
+def _segments(cut: DataFrame, anywhere: bool) -> DataFrame:
+    """target, n, r and key of each segment of a target."""
+    g, number = F.col("g"), (lambda k: F.lit(-1)) if anywhere else (lambda k: k)
+    keys = F.transform(F.sequence(F.lit(0), (F.col("n") / F.greatest(g, F.lit(1))).cast("int") - 1), lambda k: F.xxhash64(g, number(k), F.substr("t", k * g + 1, g)))
+    return cut.select("target", "n", "r", F.explode(F.when(g > 0, keys).otherwise(F.array(F.xxhash64(F.lit(0))))).alias("key"))
+
+
+def _places(centres: DataFrame, sizes: list, similarity: float, mismatches: int | None, times: int, anywhere: bool) -> DataFrame:
+    """centre, m (letters) and key of each segment that a target could share with a centre. sizes: g, and the largest radius and segment number of targets with it."""
+    m, own = F.length("q"), _radius(F.length("q"), similarity, mismatches, times)
+    found = [F.array(F.xxhash64(F.lit(0)))] * any(row.g == 0 for row in sizes)
+    for row in (row for row in sizes if row.g > 0):
+        g, shift = row.g, F.least(F.lit(row.r), own)
+        letters = lambda p, k, g=g: F.xxhash64(F.lit(g), k, F.substr("q", p + 1, F.lit(g)))
+        starts = _range(F.lit(0), m - g)
+        if anywhere:
+            found.append(F.transform(starts, lambda p: letters(p, F.lit(-1))))
+        else:
+            numbers = lambda p, g=g, shift=shift, row=row: _range(F.greatest(F.lit(0), F.ceil((p - shift) / g).cast("int")), F.least(F.lit(row.k), F.floor((p + shift) / g).cast("int")))
+            found.append(F.flatten(F.transform(starts, lambda p: F.transform(numbers(p), lambda k: letters(p, k)))))
+    return centres.select("centre", m.alias("m"), F.explode(F.array_distinct(F.concat(*found))).alias("key"))
+
+
+def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1, earlier: bool = False) -> DataFrame:
+    """target and centre of each pair that may match, once. targets: target, t; centres: centre, q; no empty strings, both tables stored. times: of the radius; earlier: only where the centre's id is less than the target's."""
+    cut = _cut(targets, similarity, mismatches, times)
+    sizes = cut.groupBy("g").agg(F.max("r").alias("r"), F.max((F.col("n") / F.greatest("g", F.lit(1))).cast("int") - 1).alias("k")).collect()  # a row for each power of two
+    if not sizes:
+        return targets.select("target").join(centres.select("centre")).limit(0)
+    held = _places(centres, sizes, similarity, mismatches, times, anywhere)
+    known = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_centres"))
+    asked = _segments(cut, anywhere).join(known, "key", "left").groupBy("target", "n", "r").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_centres", F.lit(0)).alias("c"), "key"))).alias("all"))
+    rare = asked.select("target", "n", "r", F.explode(F.slice("all", F.lit(1), F.col("r") + 1)).alias("s")).where("s.c > 0").select("target", "n", "r", "s.key", "s.c")
+    rare = kept(rare.distinct(), "rare")
+    hot = rare.groupBy("key").agg((F.count(F.lit(1)) * F.max("c")).alias("pairs"), F.count(F.lit(1)).alias("n_targets")).where(F.col("pairs") > PAIRS)
+    hot = hot.select("key", F.least("n_targets", F.ceil(F.col("pairs") / PAIRS)).cast("int").alias("parts"))
+    hot = kept(hot, "hot")
+    left, right = rare.withColumn("part", F.lit(0)), held.withColumn("part", F.lit(0))
+    if not hot.isEmpty():
+        left = rare.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("target"), F.coalesce("parts", F.lit(1))).cast("int"))
+        right = held.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     # few bytes make many pairs here, so the number of tasks is set by hand
-    n = SPREAD * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return left.repartition(n, *keys, "part").join(right.repartition(n, *keys, "part"), [*keys, "part"]).drop("part")
+    tasks = SPREAD * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = left.repartition(tasks, "key", "part").join(right.repartition(tasks, "key", "part"), ["key", "part"]).where("m >= n - r")
+    return (pairs.where("centre < target") if earlier else pairs).select("target", "centre").distinct()
+
+
+def compared(pairs: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1) -> DataFrame:
+    """target, centre and cost of those pairs (target, t, centre, q) whose centre accepts the target."""
+    most = times * allowed(F.length("t"), F.length("q"), similarity, mismatches)
+    types = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def each(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, BATCH):
+                b = whole.slice(k, BATCH)
+                costs = (aligned.substring_costs if anywhere else aligned.prefix_costs)(b["t"].to_pylist(), b["q"].to_pylist(), b["most"].to_numpy().astype(np.int64))
+                found = pa.array(np.flatnonzero(costs >= 0))
+                yield pa.RecordBatch.from_arrays([b["target"].take(found), b["centre"].take(found), pa.array(costs).take(found)], names=["target", "centre", "cost"])
+
+    own = pairs.select("target", "centre", "t", "q", most.alias("most")).sortWithinPartitions("centre", "t")
+    return own.mapInArrow(each, f"target {types['target']}, centre {types['centre']}, cost long")
+
+
+def accepted(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1, earlier: bool = False) -> DataFrame:
+    """target, centre and cost of each pair (once) whose centre accepts the target. targets and centres: seq_id and sequence, in stored tables; the rest as for candidates()."""
+    t = targets.where(F.length("sequence") > 0).select(F.col("seq_id").alias("target"), F.col("sequence").alias("t"))
+    q = centres.where(F.length("sequence") > 0).select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q"))
+    pairs = candidates(t, q, similarity, mismatches, anywhere, times, earlier)
+    return compared(pairs.join(t, "target").join(q, "centre"), similarity, mismatches, anywhere, times)
 
 
 def edges(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, cost: bool = False, anywhere: bool = False) -> DataFrame:
-    """target, centre, ord (and cost) of each pair whose centre accepts the target, by its best prefix or (anywhere) its best substring."""
-    c = candidates(targets, centres, similarity, mismatches, anywhere)
-    t, q, most = F.col("t"), F.col("q"), allowed(F.length("t"), F.length("q"), similarity, mismatches)
-    near = F.lit(True) if anywhere else within_prefix(t, q, most)
-    if not cost and not anywhere:
-        return c.where(near).groupBy("target", "centre").agg(F.min("ord").alias("ord"))
-    found = c.where(near).groupBy("target", "centre").agg(F.min("ord").alias("ord"), F.first("t").alias("t"), F.first("q").alias("q"))
-    priced = found.withColumn("cost", (substring_distance if anywhere else prefix_distance)(t, q, most)).where("cost is not null")
-    return priced.select("target", "centre", "ord", *["cost"] * cost)
+    """target, centre, ord (and cost) of each pair whose centre accepts the target, by its best prefix or (anywhere) its best substring. centres: seq_id, sequence, ord. Empty sequences match nothing."""
+    found = accepted(targets, centres, similarity, mismatches, anywhere)
+    return found.join(centres.select(F.col("seq_id").alias("centre"), "ord"), "centre").select("target", "centre", "ord", *["cost"] * cost)
 
 
 def recruited(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None) -> DataFrame:
