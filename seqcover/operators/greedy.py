@@ -1,26 +1,26 @@
-"""Greedy clustering in order of length, batch by batch, as rounds that ask for each record's first acceptor only.
+"""Greedy clustering in order of length, batch by batch, as rounds over each record's first acceptors.
 
 The sequential rule - take the longest record that is left as a centre and give it all that it accepts - says that a
 record is a centre if no earlier centre accepts it, and else belongs to the earliest centre that does. Records are
 numbered in that order once (by ranges, with records of one length apart by their letters), and taken in batches of the
 first ones that are left, each batch twice as large as the one before. Within a batch, a record asks for its first
-acceptor among those that are or may become centres: with none it is a centre; if that is a centre, it is its member; if
-that becomes a member, it asks again, from there on. What is written in a round is one row a record, however dense a
-group is. Then the batch's centres recruit from all that is left, so that members have gone before they are ever
-compared with each other.
+ACCEPTORS acceptors among those that are or may become centres: if one is a centre, it is a member; if all are members
+and there are no more, it is a centre; if there may be more, it asks again. So what is written is ACCEPTORS rows a record
+and time it asks at most, however dense a group is. Then the batch's centres recruit from all that is left, so that
+members have gone before they are ever compared with each other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import allowed
 from ..functions.tables import forget, in_order, kept
 from . import recruit
 
-#: Records of the first batch.
-BATCH = 20_000
+#: Records of the first batch, and acceptors that a record gets named at a time.
+BATCH, ACCEPTORS = 20_000, 64
 
 
 def numbered(records: DataFrame) -> DataFrame:
@@ -29,37 +29,52 @@ def numbered(records: DataFrame) -> DataFrame:
     return kept(in_order(own, [F.desc(F.length("sequence")), F.desc("sequence"), F.desc("id")], "seq_id"), "numbered")
 
 
-def _first(asking: DataFrame, among: DataFrame, similarity: float, mismatches: int | None, times: int, earlier: bool = True) -> DataFrame:
+def _first(asking: DataFrame, among: DataFrame, similarity: float, mismatches: int | None, times: int) -> DataFrame:
     """seq_id, first and cost: of the records among which it asks, the first in order that accepts it."""
-    near = recruit.accepted(asking, among, similarity, mismatches, times=times, earlier=earlier)
+    near = recruit.accepted(asking, among, similarity, mismatches, times=times)
     return near.groupBy(F.col("target").alias("seq_id")).agg(F.min(F.struct("centre", "cost")).alias("f")).select("seq_id", F.col("f.centre").alias("first"), F.col("f.cost").alias("cost"))
 
 
 def settled(batch: DataFrame, similarity: float, mismatches: int | None = None, times: int = 1) -> DataFrame:
     """Stored: seq_id, first and cost of a stored batch (seq_id: places in order; sequence) that no earlier record accepts: the centre that accepts a record first; null for centres."""
-    state, done = kept(batch.select("seq_id", F.lit("asks").alias("state"), F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("cost")), "states"), False
-    while not done:
+    state = kept(batch.select("seq_id", F.lit("asks").alias("state"), F.array().cast("array<struct<centre: long, cost: long>>").alias("by"), F.lit(True).alias("more")), "states")
+    order, most = Window.partitionBy("target").orderBy("centre"), ACCEPTORS
+    while True:
         asking, open_ = (kept(batch.join(state.where(which).select("seq_id"), "seq_id", "left_semi"), "batch") for which in ("state = 'asks'", "state <> 'member'"))
-        answers = _first(asking, open_, similarity, mismatches, times).select("seq_id", F.col("first").alias("_first"), F.col("cost").alias("_cost"))
-        told = state.join(answers, "seq_id", "left").select(
-            "seq_id",
-            F.when(F.col("state") != "asks", F.col("state")).when(F.col("_first").isNull(), "centre").otherwise("waits").alias("state"),
-            F.coalesce("_first", "first").alias("first"),
-            F.coalesce("_cost", "cost").alias("cost"),
+        near = recruit.accepted(asking, open_, similarity, mismatches, times=times, earlier=True).withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+        near = near.groupBy(F.col("target").alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct("centre", "cost"))).alias("_by"))
+        told = state.join(near, "seq_id", "left").select(
+            "seq_id", F.when(F.col("state") != "asks", F.col("state")).when(F.col("_by").isNull(), "centre").otherwise("waits").alias("state"), F.coalesce("_by", "by").alias("by"), F.when(F.col("state") == "asks", F.coalesce(F.size("_by") == most, F.lit(False))).otherwise(F.col("more")).alias("more")
         )
-        told = kept(told, "told")
-        while True:  # what is decided decides for others, until nothing changes or someone has to ask again
-            of = told.where("state <> 'waits'").select(F.col("seq_id").alias("first"), F.col("state").alias("of"))
-            moved = told.where("state = 'waits'").join(of, "first", "left").select("seq_id", F.when(F.col("of") == "centre", "member").when(F.col("of") == "member", "asks").otherwise("waits").alias("state"), "first", "cost")
-            after = kept(told.where("state <> 'waits'").unionByName(moved), "states")
-            left = dict(after.where("state in ('asks', 'waits')").groupBy("state").count().collect())
-            forget(told)
-            if left.get("asks") or not left:
+        before, state = state, kept(told, "states")
+        forget(before, asking, open_)
+        counts = _counts(state)
+        while counts.get("waits"):  # what is decided decides for others, until nothing changes
+            before, was, state = state, counts, kept(_told(state), "states")
+            counts = _counts(state)
+            forget(before)
+            if counts == was:
                 break
-            told = after
-        forget(state, asking, open_)
-        state, done = after.withColumn("first", F.expr("CASE WHEN state <> 'asks' THEN first END")).withColumn("cost", F.expr("CASE WHEN state <> 'asks' THEN cost END")), not left
-    return state.select("seq_id", "first", "cost")
+        if not counts.get("asks"):
+            break
+    # a list may hold records before the first centre that were still open when it made a member
+    listed = state.where("state = 'member'").select("seq_id", F.explode("by").alias("a")).join(state.where("state = 'centre'").select(F.col("seq_id").alias("centre")), F.col("a.centre") == F.col("centre"), "left_semi")
+    owned = listed.groupBy("seq_id").agg(F.min("a").alias("a")).select("seq_id", F.col("a.centre").alias("first"), F.col("a.cost").alias("cost"))
+    return state.select("seq_id").join(owned, "seq_id", "left")
+
+
+def _counts(state: DataFrame) -> dict[str, int]:
+    return dict(state.groupBy("state").count().collect())
+
+
+def _told(state: DataFrame) -> DataFrame:
+    """state after acceptors that have become members are struck off the lists of those that wait: a list with a centre makes a member, an empty one a centre or, if there may be more acceptors, asks again."""
+    waits = state.where("state = 'waits'").select("seq_id", "more", F.posexplode("by").alias("at", "a"))
+    of = state.select(F.col("seq_id").alias("_of"), F.col("state").alias("of"))
+    known = waits.join(of, F.col("a.centre") == F.col("_of")).groupBy("seq_id").agg(F.first("more").alias("more"), F.sort_array(F.collect_list(F.when(F.col("of") != "member", F.struct("at", "a", "of")))).alias("left"))
+    by = F.transform("left", lambda x: x["a"])
+    now = F.when(F.size("left") == 0, F.when(F.col("more"), "asks").otherwise("centre")).when(F.exists("left", lambda x: x["of"] == "centre"), "member").otherwise("waits")
+    return state.where("state <> 'waits'").unionByName(known.select("seq_id", now.alias("state"), by.alias("by"), "more"))
 
 
 def _owners(records: DataFrame, similarity: float, mismatches: int | None, times: int, size: int) -> DataFrame:
@@ -72,7 +87,7 @@ def _owners(records: DataFrame, similarity: float, mismatches: int | None, times
         if last is not None:
             centres = kept(batch.join(own.where("first is null").select("seq_id"), "seq_id", "left_semi"), "centres")
             others = kept(left.where(F.col("seq_id") > last), "others")
-            taken = kept(_first(others, centres, similarity, mismatches, times, earlier=False), "taken")
+            taken = kept(_first(others, centres, similarity, mismatches, times), "taken")
             own, rest = own.unionByName(taken), kept(others.join(taken.select("seq_id"), "seq_id", "left_anti"), "left")
             forget(batch, centres, others)
         out = own if out is None else out.unionByName(own)

@@ -1,8 +1,8 @@
 """Similarity join of sequences to centres: candidates by rare shared segments, then the distance.
 
 A target of radius r is cut into segments of a power of two, at least half as many again as r + 1. An accepting centre
-has all but r of them unchanged, moved by r places at most (in substring mode: anywhere), so any r + 1 will do to find
-it: those are taken that the fewest centres have. Segments are whole numbers (a hash of size, number and letters), and
+has all but r of them unchanged, moved by r places at most (in substring mode: anywhere), so it has one at least of any
+r + 1, and EXTRA more of as many more: those are taken that the fewest centres have. Segments are whole numbers (a hash of size, number and letters), and
 pairs are formed by equality on them alone; a segment that many targets and centres share is dealt out to several
 tasks, by how many pairs it makes. Each pair goes on once, as two ids; the strings are fetched then, and batches of pairs
 are compared in order of centre and target, so that targets that begin alike share the table of their common letters.
@@ -21,6 +21,8 @@ from ..functions.distance import allowed
 from ..functions.scalars import radius, uniform
 from ..functions.tables import forget, kept
 
+#: Segments that a target has looked up beyond r + 1, where it has so many.
+EXTRA = 2
 #: Pairs of one segment that a task forms, how many partitions there are for each of the session's, and rows of a batch.
 PAIRS, SPREAD, BATCH = 250_000, 4, 4096
 
@@ -74,8 +76,8 @@ def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismat
     held = _places(centres, sizes, similarity, mismatches, times, anywhere)
     known = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_centres"))
     asked = _segments(cut, anywhere).join(known, "key", "left").groupBy("target", "n", "r").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n_centres", F.lit(0)).alias("c"), "key"))).alias("all"))
-    rare = asked.select("target", "n", "r", F.explode(F.slice("all", F.lit(1), F.col("r") + 1)).alias("s")).where("s.c > 0").select("target", "n", "r", "s.key", "s.c")
-    rare = kept(rare.distinct(), "rare")
+    rare = asked.withColumn("all", F.slice("all", F.lit(1), F.col("r") + 1 + EXTRA)).select("target", "n", "r", (F.size("all") - F.col("r")).alias("least"), F.explode("all").alias("s")).where("s.c > 0")
+    rare = kept(rare.groupBy("target", "n", "r", "least", F.col("s.key").alias("key"), F.col("s.c").alias("c")).agg(F.count(F.lit(1)).alias("times")), "rare")
     hot = rare.groupBy("key").agg((F.count(F.lit(1)) * F.max("c")).alias("pairs"), F.count(F.lit(1)).alias("n_targets")).where(F.col("pairs") > PAIRS)
     hot = hot.select("key", F.least("n_targets", F.ceil(F.col("pairs") / PAIRS)).cast("int").alias("parts"))
     hot = kept(hot, "hot")
@@ -86,7 +88,8 @@ def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismat
     # few bytes make many pairs here, so the number of tasks is set by hand
     tasks = SPREAD * int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = left.repartition(tasks, "key", "part").join(right.repartition(tasks, "key", "part"), ["key", "part"]).where("m >= n - r")
-    return (pairs.where("centre < target") if earlier else pairs).select("target", "centre").distinct()
+    pairs = pairs.where("centre < target") if earlier else pairs
+    return pairs.groupBy("target", "centre", "least").agg(F.sum("times").alias("shared")).where("shared >= least").select("target", "centre")
 
 
 def compared(pairs: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1) -> DataFrame:

@@ -113,19 +113,35 @@ SELECT target, centre, CAST(n - common AS BIGINT) AS excess FROM c JOIN (SELECT
     "select_members": f"{_BASE}, {_RECRUITED} SELECT seq_id, centroid, s AS sequence FROM recruited JOIN urls USING (seq_id)",
     "apart_clusters": f"""WITH RECURSIVE {_URLS}, ranked AS (SELECT seq_id, s, row_number() OVER (ORDER BY length(s) DESC, s DESC, seq_id DESC) AS k FROM urls),
 pairs AS (SELECT t.k AS target, t.s AS t, q.k AS centre, q.s AS q, least({_R.format("t.s")}, {_R.format("q.s")}) AS r FROM ranked t, ranked q WHERE q.k < t.k AND length(t.s) > 0 AND length(q.s) > 0),
-costs AS (SELECT target, centre, r, list_min(list_transform(range(greatest(0, length(t) - 2 * r), greatest(greatest(0, length(t) - 2 * r), least(length(q), length(t) + 2 * r)) + 1), lambda j: levenshtein(t, substr(q, 1, CAST(j AS INT))))) AS cost FROM pairs),
-near AS (SELECT target, centre, cost, r FROM costs WHERE cost <= 2 * r),
-before AS (SELECT k, coalesce(list(centre) FILTER (WHERE centre IS NOT NULL), []) AS qs FROM ranked LEFT JOIN near ON target = k GROUP BY k),
+close AS MATERIALIZED (SELECT * FROM pairs WHERE length(q) >= length(t) - 2 * r AND levenshtein(t, substr(q, 1, length(t))) <= 4 * r),
+ends AS (SELECT target, centre, r, t, q, unnest(range(greatest(0, length(t) - 2 * r), greatest(greatest(0, length(t) - 2 * r), least(length(q), length(t) + 2 * r)) + 1)) AS j FROM close),
+costs AS MATERIALIZED (SELECT target, centre, r, min(levenshtein(t, substr(q, 1, CAST(j AS INT)))) AS cost FROM ends GROUP BY ALL),
+near AS MATERIALIZED (SELECT target, centre, cost, r FROM costs WHERE cost <= 2 * r),
+before AS MATERIALIZED (SELECT k, coalesce(list(centre) FILTER (WHERE centre IS NOT NULL), []) AS qs FROM ranked LEFT JOIN near ON target = k GROUP BY k),
 walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS centres UNION ALL
 SELECT b.k, CASE WHEN list_has_any(w.centres, b.qs) THEN w.centres ELSE list_append(w.centres, b.k) END FROM walk w JOIN before b ON b.k = w.k + 1),
 chosen AS (SELECT unnest(centres) AS k FROM (SELECT centres FROM walk ORDER BY k DESC LIMIT 1)),
 first AS (SELECT target, min(centre) AS centre FROM near WHERE centre IN (SELECT k FROM chosen) GROUP BY target),
 taken AS (SELECT target, centre FROM first JOIN near USING (target, centre) WHERE cost < r)
 SELECT a.seq_id, b.seq_id AS centroid FROM (SELECT k AS target, k AS centre FROM chosen UNION ALL SELECT target, centre FROM taken) x JOIN ranked a ON a.k = x.target JOIN ranked b ON b.k = x.centre""",
-    "letters_recruit": f"""WITH m AS (SELECT doc_id, substr(translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC'), 1, 120) AS s FROM documents),
-p AS (SELECT t.doc_id AS target, t.s AS t, q.doc_id AS centre, q.s AS q, least({_R.format("t.s").replace("0.9 ", "0.95 ")}, {_R.format("q.s").replace("0.9 ", "0.95 ")}) AS r FROM m t, m q WHERE q.doc_id % 10 = 0 AND length(t.s) > 0 AND length(q.s) > 0),
-k AS (SELECT * FROM p WHERE length(q) >= length(t) - r AND levenshtein(t, substr(q, 1, length(t))) <= 2 * r)
-SELECT target AS seq_id, min(centre) AS centroid FROM k WHERE list_min(list_transform(range(greatest(0, length(t) - r), greatest(greatest(0, length(t) - r), least(length(q), length(t) + r)) + 1), lambda j: levenshtein(t, substr(q, 1, CAST(j AS INT))))) <= r GROUP BY target""",
+    "letters_recruit": f"""WITH m AS (SELECT conv_id * 1000 + turn AS doc_id, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM conversations),
+p AS (SELECT t.doc_id AS target, t.s AS t, q.doc_id AS centre, q.s AS q, least({_R.format("t.s").replace("0.9 ", "0.95 ")}, {_R.format("q.s").replace("0.9 ", "0.95 ")}) AS r FROM m t, m q WHERE q.doc_id % 20 = 0 AND length(t.s) > 0 AND length(q.s) > 0),
+k AS MATERIALIZED (SELECT * FROM p WHERE length(q) >= length(t) - r AND levenshtein(t, substr(q, 1, length(t))) <= 2 * r),
+e AS (SELECT target, centre, r, t, q, unnest(range(greatest(0, length(t) - r), least(length(q), length(t) + r) + 1)) AS j FROM k)
+SELECT target AS seq_id, min(centre) AS centroid FROM e WHERE levenshtein(t, substr(q, 1, CAST(j AS INT))) <= r GROUP BY target""",
+    "recruit_substring": f"""WITH b AS (SELECT item_id, coalesce(text, '') AS s FROM benchmark), t AS (SELECT item_id AS target, substr(s, 11, greatest(0, length(s) - 20)) AS t FROM b), q AS (SELECT item_id AS centre, s AS q FROM b WHERE item_id % 20 = 0),
+p AS (SELECT *, least({_R.format("t").replace("0.9 ", "0.97 ")}, {_R.format("q").replace("0.9 ", "0.97 ")}) AS r FROM t, q WHERE length(t) > 0 AND length(q) > 0),
+a AS (SELECT *, unnest(range(1, length(q) + 2)) AS a FROM p), e AS (SELECT *, unnest(range(greatest(0, length(t) - r), length(t) + r + 1)) AS n FROM a)
+SELECT target, centre, min(levenshtein(t, substr(q, CAST(a AS INT), CAST(n AS INT)))) AS cost FROM e WHERE a + n <= length(q) + 1 OR n = greatest(0, length(t) - r) GROUP BY target, centre, r HAVING min(levenshtein(t, substr(q, CAST(a AS INT), CAST(n AS INT)))) <= r""",
+    "equal_length_clusters": f"""WITH RECURSIVE urls AS (SELECT page_id AS seq_id, translate(substr(md5(regexp_extract(url, '^[a-z]+://[^/]*')), 1, 28) || substr(md5(url), 1, 3), '0123456789abcdef', 'ACGTACGTACGTACGT') AS s FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)), ranked AS (SELECT seq_id, s, row_number() OVER (ORDER BY length(s) DESC, s DESC, seq_id DESC) AS k FROM urls),
+pairs AS (SELECT t.k AS target, t.s AS t, q.k AS centre, q.s AS q, least({_R.format("t.s")}, {_R.format("q.s")}) AS r FROM ranked t, ranked q WHERE q.k < t.k AND length(t.s) > 0 AND length(q.s) > 0),
+near AS (SELECT target, centre FROM pairs WHERE list_min(list_transform(range(greatest(0, length(t) - r), greatest(greatest(0, length(t) - r), least(length(q), length(t) + r)) + 1), lambda j: levenshtein(t, substr(q, 1, CAST(j AS INT))))) <= r),
+before AS (SELECT k, coalesce(list(centre) FILTER (WHERE centre IS NOT NULL), []) AS qs FROM ranked LEFT JOIN near ON target = k GROUP BY k),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS centres UNION ALL
+SELECT b.k, CASE WHEN list_has_any(w.centres, b.qs) THEN w.centres ELSE list_append(w.centres, b.k) END FROM walk w JOIN before b ON b.k = w.k + 1),
+chosen AS (SELECT unnest(centres) AS k FROM (SELECT centres FROM walk ORDER BY k DESC LIMIT 1)),
+place AS (SELECT r.k, coalesce(CASE WHEN c.k IS NOT NULL THEN r.k END, (SELECT min(near.centre) FROM near JOIN chosen ON near.centre = chosen.k WHERE near.target = r.k)) AS q FROM ranked r LEFT JOIN chosen c ON c.k = r.k)
+SELECT a.seq_id, b.seq_id AS centroid FROM place JOIN ranked a ON a.k = place.k JOIN ranked b ON b.k = place.q""",
     "fasta_round_trip": "SELECT 'p' || page_id AS seq_id, 'p' || page_id || ' of > pages' AS header, coalesce(url, '') AS sequence, length(coalesce(url, '')) AS length FROM pages",
     "fastq_quality_cut": """WITH r AS (SELECT CAST(page_id AS VARCHAR) AS header, coalesce(url, '') AS s, substr(repeat(md5(coalesce(url, '')), 8), 1, length(coalesce(url, ''))) AS q FROM pages),
 c AS (SELECT *, regexp_extract(q, '[!-5]{4,}') AS bad FROM r), k AS (SELECT *, CASE WHEN bad = '' THEN length(s) ELSE strpos(q, bad) - 1 END AS n FROM c)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars
-from .functions.tables import shared_folder
+from .functions.tables import kept, shared_folder
 from .jobs import cluster as job
 from .operators import bounds, compare, evaluate, greedy, records, recruit, simulate, summary
 from .sources import clusters, fasta
@@ -302,6 +302,13 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def equal_length_clusters(spark, d):
+    """Reads of one length and four letters: 28 that all addresses of a site have, and three of their own."""
+    letters = lambda c, n: F.substring(F.md5(c), 1, n)
+    made = F.concat(letters(F.regexp_extract("sequence", "^[a-z]+://[^/]*", 0), 28), letters(F.col("sequence"), 3))
+    return greedy.clustered(_urls(spark, d).select("seq_id", F.translate(made, "0123456789abcdef", "ACGTACGTACGTACGT").alias("sequence")), S)
+
+
 def apart_clusters(spark, d):
     return greedy.apart_clustered(_urls(spark, d).select("seq_id", "sequence"), S)
 
@@ -316,10 +323,11 @@ def recruit_substring(spark, d):
 
 
 def letters_recruit(spark, d):
-    """Sequences of up to 120 letters made from whole documents' first letters, recruited to those whose id is divisible by 10."""
+    """Whole turns of conversations as sequences of four letters, recruited to those whose number is divisible by 20."""
     letters = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", "")
-    made = _t(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), F.substring(F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"), 1, 120).alias("sequence"), F.col("doc_id").alias("ord"))
-    return recruit.recruited(made.select("seq_id", "sequence"), made.where("seq_id % 10 = 0"), 0.95)
+    made = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), F.translate(letters, "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC").alias("sequence"))
+    made = kept(made.withColumn("ord", F.col("seq_id")), "letters")
+    return recruit.recruited(made.select("seq_id", "sequence"), made.where("seq_id % 20 = 0"), 0.95)
 
 
 def fasta_round_trip(spark, d):
@@ -500,7 +508,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         dedup_counts, sample_md5, include_ids, exclude_ids, ambiguous_edges, recruit_cost, recruit_first_center, nonambiguous_weights, ambiguous_assigned, cluster_summary, bait_centers, mode_centers, greedy_clusters, iteration_metrics,
         iteration_metrics_by_status, size_histogram_norm, size_threshold_table, fragmentation_curve, fragmentation_parts, cumulative_by_iteration, adapt_rate, carried_frontier, miss_probability, expected_sizes, freeze_exact, simulated_discovery,
         size_outer_compare, matched_abundance, pearson, spearman, entropy, miss_curve, log_factorial, kmer_spectrum, kmer_rollup, kmer_excess, filter_length, fasta_sort, members_to_lines, lines_to_members, line_sizes, singleton_padding,
-        category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds, fasta_shuffle, apart_clusters, recruit_substring, letters_recruit, fasta_round_trip, fastq_quality_cut, fastq_sample_counts, joined_reads,
+        category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds, fasta_shuffle, apart_clusters, equal_length_clusters, recruit_substring, letters_recruit, fasta_round_trip, fastq_quality_cut, fastq_sample_counts, joined_reads,
         cluster_lines_round_trip, pair_file, duplicate_report, counts_literal, id_list, summary_file, run_folder, result_bundle, other_tools, abundance_files, one_sided_sizes, centre_maps, correlation_p, summary_with_stats, clusters_over_time,
         total_time, log_choices, singleton_split, counted_records, option_rows,
     )

@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from seqcover.functions import distance, scalars
+from seqcover.functions import aligned, distance, scalars
 from seqcover.operators import greedy, recruit
 
 
@@ -88,3 +88,61 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "seq_id long, sequence string, ord long")
     assert recruit.recruited(none, none, 0.9).count() == 0
     assert greedy.clustered(none, 0.9).count() == 0
+
+
+def substring_model(t, q):
+    return min(prefix_model(t, q[k:]) for k in range(len(q) + 1))
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_batches_of_pairs_equal_models(ordered):
+    """Targets that share beginnings, centres of several targets, empty strings, limits of their own, letters beyond ASCII, targets of several words of bits."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("ACG\u00e9\U0001d11e", k=rng.randrange(0, 150))) for _ in range(6)]
+    centres = [edited(rng, b, 3) for b in base] + [""]
+    pairs = [(edited(rng, rng.choice(base)[: rng.randrange(0, 150)], rng.randrange(8)), rng.choice(centres), rng.randrange(12)) for _ in range(300)]
+    pairs += [("", "", 0), ("A", "", 1), ("A", "", 0), ("ACG" * 50, "ACG" * 50, 0)]
+    if ordered:
+        pairs.sort(key=lambda p: (p[1], p[0]))
+    t, q, most = (list(x) for x in zip(*pairs, strict=True))
+    within = lambda model: [d if d <= r else -1 for a, b, r in pairs for d in [model(a, b)]]
+    assert aligned.prefix_costs(t, q, np.array(most)).tolist() == within(prefix_model)
+    assert aligned.substring_costs(t, q, np.array(most)).tolist() == within(substring_model)
+    assert aligned.prefix_costs([], [], np.zeros(0, int)).tolist() == []
+
+
+def test_dense_groups_of_one_length_write_few_rows(spark, monkeypatch):
+    """Two groups of reads of one length, all alike within each: many times more pairs than rows that are written, in batches of any size."""
+    rng, s = random.Random(2), 0.9
+    seeds = ["".join(rng.choices("ACGT", k=40)) for _ in range(2)]
+    seqs = [(k, x[: 1 + k % 30] + rng.choice("ACGT") + x[2 + k % 30 :]) for k in range(120) for x in [seeds[k % 2]]]
+    df = spark.createDataFrame(seqs, "seq_id long, sequence string").repartition(3)
+    left, model = sorted(seqs, key=lambda x: (len(x[1]), x[1], x[0]), reverse=True), {}
+    for k, q in left:
+        if k not in model:
+            model[k] = k
+            model |= {j: k for j, t in left if j not in model and prefix_model(t, q) <= r_model(40, s)}
+    written = []
+    monkeypatch.setattr(greedy, "ACCEPTORS", 3)
+    monkeypatch.setattr(greedy, "kept", lambda table, name, keep=greedy.kept: (written.append((name, keep(table, name))), written[-1][1])[1])
+    monkeypatch.setattr(greedy, "forget", lambda *tables: None)
+    for batch in (10_000, 16):
+        written.clear()
+        assert {r.seq_id: r.centroid for r in greedy.clustered(df, s, batch=batch).collect()} == model
+        listed = sum(x.selectExpr("sum(size(by))").first()[0] for name, x in written if name == "states" and x.where("state = 'waits'").count())
+        assert listed <= 3 * 120 * len(written)
+
+
+def test_targets_within_the_radius_and_hot_segments(spark, monkeypatch):
+    """Targets as short as their radius match every centre that is long enough; segments that all share are dealt out."""
+    rng = random.Random(8)
+    targets = [(k, "".join(rng.choices("AC", k=rng.randrange(1, 12)))) for k in range(60)]
+    centres = [(k, "".join(rng.choices("AC", k=rng.randrange(1, 14))), k) for k in range(25)]
+    monkeypatch.setattr(recruit, "PAIRS", 20)
+    t, q = spark.createDataFrame(targets, "seq_id long, sequence string"), spark.createDataFrame(centres, "seq_id long, sequence string, ord long")
+    for mismatches in (0, 2, 5):
+        want = {(a, b) for a, x in targets for b, y, _ in centres if prefix_model(x, y) <= mismatches}
+        rows = [(r.target, r.centre) for r in recruit.edges(t, q, 0.9, mismatches=mismatches).collect()]
+        assert set(rows) == want and len(rows) == len(want)
+        want = {(a, b) for a, x in targets for b, y, _ in centres if substring_model(x, y) <= mismatches}
+        assert {(r.target, r.centre) for r in recruit.edges(t, q, 0.9, mismatches=mismatches, anywhere=True).collect()} == want
