@@ -9,7 +9,8 @@ so equal values get equal pseudonyms in all documents and in every way of writin
 single letter or digit always changes. An e-mail address keeps its domain, a secret its name.
 
 Dates count from FIRST_YEAR for YEARS years; day/month/year is tried before month/day/year. Whole texts are searched,
-long ones too, each in one go; a null text stays null, an empty one empty. Rows are judged one by one, so that repeated
+long ones too, each in one go: repeated groups of the patterns are possessive, which Java runs as loops, and a value of
+any length is hashed once a round. A null text stays null, an empty one empty. Rows are judged one by one, so that repeated
 rows and rows without an id give what their text gives, and no rows give no rows. Nothing is shuffled.
 """
 
@@ -28,7 +29,7 @@ FIRST_YEAR, YEARS = 1900, 201
 TRIES = 12
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "date": r"(?<![\d./-])(?:\d{4}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{1,2}|\d{1,2}(?:-\d{1,2}-|/\d{1,2}/|\.\d{1,2}\.)\d{4})(?![\d/-]|\.\d)",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "card": r"(?<![\d])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)",
@@ -46,15 +47,25 @@ def _byte(*parts: Column | str, at: Column | None = None, digits: int = 2) -> Co
     return F.conv(F.substring(h, 1, digits) if at is None else F.substr(h, at, F.lit(digits)), 16, 10).cast("long")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _shifted(text: Column, other: Column, key: str, kind: str, round_: Column) -> Column:
-    """Each letter or digit of text moved on within its kind by what the other half gives at its place."""
+    """Each letter or digit of text moved on within its kind by what the other half gives at its place: the other half is hashed once, then the hash with the number of each 32 places."""
+
+    def move(hashes: Column):
+        def one(c: Column, i: Column) -> Column:
+            by, code = F.conv(F.substr(F.get(hashes, (i / 32).cast("int")), (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int"), F.ascii(c)
+            turn = lambda first, n: F.char(F.lit(first) + (code - first + by) % n)
+            return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
 
-    def move(c: Column, i: Column) -> Column:
-        by, code = _byte(key, kind, round_, (i / 32).cast("int"), other, at=(i % 32) * 2 + 1), F.ascii(c)
-        turn = lambda first, n: F.char(F.lit(first) + (code - first + by) % n)
-        return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+        return F.array_join(F.transform(F.split(text, ""), one), "")
 
-    return F.array_join(F.transform(F.split(text, ""), move), "")
+    spread = lambda whole: F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / 32).cast("int")), lambda k: F.sha2(F.concat_ws("|", whole, k.cast("string")), 256))
+    whole = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), other), 256)
+    return _bound(_bound(whole, spread), move)
 
 
 def permuted(text: Column, key: str, kind: str) -> Column:
@@ -89,8 +100,18 @@ def _plain(text: Column) -> Column:
 
 
 def _refilled(shape: Column, plain: Column) -> Column:
-    """plain's characters in the places of shape's letters and digits."""
-    return F.array_join(F.transform(F.split(shape, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(plain, F.length(_plain(F.substr(shape, F.lit(1), i))) + 1, F.lit(1))).otherwise(c)), "")
+    """plain's characters in the places of shape's letters and digits. Both are sorted by place once, so long values take their length."""
+    own = lambda c: c.rlike("[A-Za-z0-9]")
+    known = lambda x: x.isNotNull()
+
+    def put(made: Column) -> Column:
+        chars = F.split(shape, "")
+        seats = F.filter(F.transform(chars, lambda c, i: F.when(own(c), i)), known)
+        rest = F.filter(F.transform(chars, lambda c, i: F.when(~own(c), F.struct(i.alias("i"), c.alias("c")))), known)
+        filled = F.concat(F.zip_with(seats, F.split(made, ""), lambda i, c: F.struct(i.alias("i"), c.alias("c"))), rest)
+        return F.when(F.length(made) == F.length(shape), made).otherwise(F.array_join(F.transform(F.sort_array(filled), lambda x: x["c"]), ""))
+
+    return _bound(plain, put)
 
 
 def _luhn(digits: Column) -> Column:
