@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Factorials below this are taken from a table.
+EXACT = 16
+
 
 def first_word(header: Column) -> Column:
     """The identifier of a header: what stands before the first white space."""
@@ -13,7 +18,7 @@ def first_word(header: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def radius(length: Column, similarity: float) -> Column:
@@ -39,6 +44,18 @@ def miss_probability(size: Column, drawn: Column, total: Column) -> Column:
     return F.exp(-x) * (1 + x * F.exp(size / total))
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! of a whole number: Stirling's series, whose error is under 1e-11 from EXACT on; below, the products themselves."""
+    x = n.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n >= EXACT, series).otherwise(F.get(F.array(*[F.lit(math.lgamma(k + 1)) for k in range(EXACT)]), n.cast("int")))
+
+
+def log_choose(n: Column, k: Column) -> Column:
+    """The logarithm of the number of ways to choose k of n; null if there are none."""
+    return F.when((k >= 0) & (k <= n), log_factorial(n) - log_factorial(k) - log_factorial(n - k))
+
+
 def minutes(text: Column) -> Column:
     """12.5 from "12.5 minutes" and the like."""
     return F.regexp_extract(text, r"[-0-9.eE+]+", 0).cast("double")

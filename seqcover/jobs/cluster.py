@@ -30,26 +30,47 @@ class Options:
     stop_when_done: bool = False
 
 
-def iteration(left: DataFrame, counts: DataFrame, options: Options, rate: float, number: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The members (centroid, seq_id) of one round, its cluster summary, and what is left of the records.
+def iteration(left: DataFrame, counts: DataFrame, options: Options, rate: float, number: int) -> tuple[DataFrame, DataFrame, DataFrame, dict]:
+    """The members (centroid, seq_id) of one round, its cluster summary, what is left of the records, and figures of its steps by name.
 
     Density counts distinct members, the centroid included; a centre that an earlier centre takes has no line of its own.
     """
+    figures, began = {}, time.time()
+
+    def took(step: str) -> None:
+        nonlocal began
+        figures[f"minutes_{step}"], began = (time.time() - began) / 60, time.time()
+
     some = kept(records.sampled(left, rate, f"{options.seed}-{number}"), "sample")
-    found = summary.cluster_summary(greedy.clustered(some, options.similarity), counts)
+    found = kept(summary.cluster_summary(greedy.clustered(some, options.similarity), counts), "found")
+    figures["n_cluster_singletons"] = summary.singletons(found).count()
+    took("cluster")
     order = left.select("seq_id", "ord")
     baited = recruit_to(left, summary.bait_centres(found), order, options.similarity)
     totals = kept(summary.cluster_summary(baited, counts), "summary")
+    figures |= metrics_of(totals, options.least, "bait")
+    took("bait")
     if options.mode_shift:
         centres = kept(summary.mode_centres(totals), "centres")
         if not centres.isEmpty():
             forget(baited, totals)
             baited = recruit_to(left, centres, order, options.similarity)
             totals = kept(summary.cluster_summary(baited, counts), "summary")
+            figures |= metrics_of(totals, options.least, "shift")
         forget(centres)
+    took("shift")
     members = baited
-    forget(some)
-    return members, totals, kept(records.excluded(left, members.select("seq_id").distinct()), "left")
+    forget(some, found)
+    return members, totals, kept(records.excluded(left, members.select("seq_id").distinct()), "left"), figures
+
+
+#: Figures of the clusters of a step, as iteration_metrics() names them.
+METRICS = ("n_clusters", "n_clustered", "densest", "mean_size", "median_size", "n_above_least", "n_singletons")
+
+
+def metrics_of(totals: DataFrame, least: int, step: str) -> dict:
+    row = summary.iteration_metrics(totals, least).first()
+    return {f"{name}_{step}": row[name] for name in METRICS}
 
 
 def recruit_to(left: DataFrame, ids: DataFrame, order: DataFrame, similarity: float) -> DataFrame:
@@ -66,29 +87,33 @@ def run(reads: DataFrame, options: Options) -> tuple[DataFrame, DataFrame]:
     spark = reads.sparkSession
     unique = kept(records.deduplicated(reads), "unique")
     counts, left = unique.select("seq_id", "count"), unique.select("seq_id", "sequence", "ord")
-    frontier, rate, sizes, rows, members = bounds.Frontier(float(left.count())), options.rate, [], [], None
+    total = float(left.count())
+    frontier, rate, sizes, rows, members = bounds.frontier_start(spark, total), options.rate, [], [], None
     for number in range(1, options.iterations + 1):
         if options.adaptive and len(sizes) >= 2:
             rate = next_rate(rate, sizes[-1], sizes[-2], options.delta)
         began = time.time()
-        own, totals, after = iteration(left, counts, options, rate, number)
-        took = (time.time() - began) / 60
+        own, totals, after, figures = iteration(left, counts, options, rate, number)
+        figures["minutes"] = (time.time() - began) / 60
         members = own.select(F.lit(number).alias("iteration"), "*") if members is None else members.unionByName(own.select(F.lit(number).alias("iteration"), "*"))
-        m = summary.iteration_metrics(totals, options.least).first()
-        sizes.append(m.n_clustered)
-        histogram = summary.histogram(totals, "density")
-        frontier.add({r["size"]: r.n for r in histogram.collect()})
-        pool = spark.createDataFrame([(int(k), int(n), n / sum(frontier.pool.values())) for k, n in frontier.pool.items()], "size long, n long, share double")
-        frozen = {r["size"] for r in bounds.frozen_sizes(pool, frontier.mass, rate, options.confidence).where("frozen").select("size").collect()} if frontier.pool and frontier.mass > 0 else set()
-        rows.append((number, rate, m.n_clusters, m.n_clustered, m.densest, m.mean_size, m.median_size, m.n_above_least, m.n_singletons, frontier.freeze(frozen), took))
-        forget(totals, *([left] if number > 1 else []))
+        last = "shift" if "n_clusters_shift" in figures else "bait"
+        figures |= {name: figures[f"{name}_{last}"] for name in METRICS}
+        sizes.append(figures["n_clustered"])
+        before, frontier = frontier, bounds.frontier_step(frontier, summary.histogram(totals, "density").select("size", "n"), rate, options.confidence)
+        figures["largest_open_bound"] = frontier.first().bound
+        forget(before, totals, *([left] if number > 1 else []))
+        rows.append((number, rate, *(figures.get(c) for c in FIGURES)))
         left = after
         if options.stop_when_done and left.isEmpty():
             break
-    columns = "iteration int, rate double, n_clusters long, n_clustered long, densest long, mean_size double, median_size double, n_above_least long, n_singletons long, largest_open_bound long, minutes double"
+    columns = "iteration int, rate double, " + ", ".join(f"{c} {'double' if c.startswith(('mean', 'median', 'minutes')) else 'long'}" for c in FIGURES)
     return members if members is not None else spark.createDataFrame([], "iteration int, centroid string, seq_id string"), spark.createDataFrame(rows, columns)
 
 
+#: The columns of a run's summary beside iteration and rate: those of the last step, of each step, and times.
+FIGURES = [*METRICS, "largest_open_bound", *(f"{name}_{step}" for step in ("bait", "shift") for name in METRICS), "n_cluster_singletons", "minutes_cluster", "minutes_bait", "minutes_shift", "minutes"]
+
+
 def sweep(reads: DataFrame, options: Options, deltas: list[float] | None = None) -> DataFrame:
     """Summary rows of the four variants (adaptive or not, mode shift or not) and of each delta."""
     out = None
@@ -109,9 +134,14 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument(f"--{name}", type=kind, default=getattr(Options, name))
     p.add_argument("--no-adaptive", action="store_true")
     p.add_argument("--no-mode-shift", action="store_true")
+    p.add_argument("--stop-when-done", action="store_true")
+    p.add_argument("--sweep", type=float, nargs="*", metavar="DELTA", help="summaries only, of the four variants and of each of these deltas")
     a = p.parse_args(argv)
-    options = Options(a.similarity, a.rate, not a.no_adaptive, a.delta, a.iterations, a.least, not a.no_mode_shift, a.confidence, a.seed)
+    options = Options(a.similarity, a.rate, not a.no_adaptive, a.delta, a.iterations, a.least, not a.no_mode_shift, a.confidence, a.seed, a.stop_when_done)
     spark = SparkSession.builder.getOrCreate()
+    if a.sweep is not None:
+        clusters.write_bundle(sweep(fasta.read_fasta(spark, a.reads), options, a.sweep), f"{a.out}/sweep", ["variant"])
+        return
     members, rows = run(fasta.read_fasta(spark, a.reads), options)
     clusters.write_bundle(members, f"{a.out}/members", ["iteration"])
     clusters.write_summary(rows, f"{a.out}/summary")

@@ -131,6 +131,16 @@ def recruited(targets: DataFrame, centres: DataFrame, similarity: float, mismatc
     return e.groupBy(F.col("target").alias("seq_id")).agg(F.min_by("centre", "ord").alias("centroid"))
 
 
+def swept(targets: DataFrame, centres: DataFrame, similarities: list[float]) -> DataFrame:
+    """similarity, n_recruited and n_centroids for each similarity: the pairs at the lowest one, each with its distance, are kept once, and every other similarity is a filter on them."""
+    least = accepted(targets, centres, min(similarities)).join(centres.select(F.col("seq_id").alias("centre"), F.length("sequence").alias("m"), "ord"), "centre")
+    priced = kept(least.join(targets.select(F.col("seq_id").alias("target"), F.length("sequence").alias("n")), "target"), "priced")
+    each = F.array(*[F.when(F.col("cost") <= allowed(F.col("n"), F.col("m"), s), F.lit(s)) for s in similarities])
+    tried = priced.select("target", "centre", "ord", F.explode(each).alias("similarity")).where("similarity is not null")
+    best = tried.groupBy("similarity", "target").agg(F.min_by("centre", "ord").alias("centroid"))
+    return best.groupBy("similarity").agg(F.count(F.lit(1)).alias("n_recruited"), F.countDistinct("centroid").alias("n_centroids"))
+
+
 def nonambiguous_weights(pairs: DataFrame) -> DataFrame:
     """centre and weight: one more than the targets that only this centre accepts."""
     only = F.count(F.lit(1)).over(Window.partitionBy("target")) == 1

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import uniform
+from ..functions.scalars import log_choose, uniform
 
 
 def drawn_sizes(spark: SparkSession, kind: str, total: int, singletons: float, seed: int | str, **parameters: float) -> DataFrame:
@@ -74,3 +74,20 @@ def miss_curve(grid: DataFrame) -> DataFrame:
     ratio = lambda last: F.aggregate(F.slice(terms, 1, last), F.lit(0.0), lambda a, i: a + F.when(F.col("total") - F.col("drawn") - i <= 0, F.lit(-1e300)).otherwise(F.log((F.col("total") - F.col("drawn") - i) / (F.col("total") - i))))
     none, one = F.exp(ratio(F.col("k").cast("int"))), F.col("k") * F.col("drawn") / (F.col("total") - F.col("k") + 1) * F.exp(ratio((F.col("k") - 1).cast("int")))
     return grid.withColumn("miss", none + one)
+
+
+def missed_clusters(grid: DataFrame, compat: bool = False) -> DataFrame:
+    """grid (total, drawn, k, m) with missed: P(each of m clusters of k members has fewer than two among n drawn of N), hypergeometric.
+
+    The sum over the number i of clusters that have one member drawn, choose(m, i) k^i choose(N - km, n - i) / choose(N, n),
+    is taken from logarithms, a row for each i, and added up as exponentials under the largest. compat: k in the place of
+    k^i, as in the curves that were published. Null where km is over N.
+    """
+    total, n, k, m, i = (F.col(c) for c in ("total", "drawn", "k", "m", "i"))
+    keys = ["total", "drawn", "k", "m"]
+    terms = grid.select(*keys).distinct().where(k * m <= total).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.least(m, n).cast("long"))).alias("i"))
+    power = F.when(i > 0, F.log(k)).otherwise(0.0) if compat else i * F.log(k)
+    terms = terms.withColumn("ln", power + log_choose(m, i) + log_choose(total - k * m, n - i) - log_choose(total, n)).where("ln is not null")
+    most = terms.groupBy(*keys).agg(F.max("ln").alias("most"))
+    sums = terms.join(most, keys).groupBy(*keys).agg((F.exp(F.first("most")) * F.sum(F.exp(F.col("ln") - F.col("most")))).alias("_sum"))
+    return grid.join(sums, keys, "left").withColumn("missed", F.when(k * m <= total, F.coalesce("_sum", F.lit(0.0)))).drop("_sum")

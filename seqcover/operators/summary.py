@@ -16,6 +16,11 @@ def cluster_summary(members: DataFrame, counts: DataFrame | None = None) -> Data
     return m.groupBy("centroid").agg(F.count(F.lit(1)).alias("density"), F.max("count").alias("mode"), best.alias("mode_seq"))
 
 
+def with_compat(summary: DataFrame) -> DataFrame:
+    """summary with density_compat: a cluster's centre counted as the head of its line and, where it recruited itself, once more, as in files of earlier runs. The density of other columns is of distinct members."""
+    return summary.withColumn("density_compat", F.col("density") + 1)
+
+
 def bait_centres(summary: DataFrame) -> DataFrame:
     return summary.where("density > 1 or mode > 1").select(F.col("centroid").alias("seq_id"))
 

@@ -171,3 +171,37 @@ SELECT iteration, o_custkey, density, cum_minutes FROM (SELECT strftime(o_orderd
 SELECT doc_id AS seq_id, coalesce(n, 1) AS count, round(100.0::DOUBLE / coalesce(n, 1), 6) AS share FROM documents LEFT JOIN r USING (doc_id)""",
     "option_rows": "SELECT 'pages' AS option, true AS is_true, CAST(count(*) AS VARCHAR) AS n FROM pages UNION ALL SELECT 'adaptive', true, NULL UNION ALL SELECT 'mode_shift', false, NULL",
 }
+
+
+def _frontier() -> str:
+    """Step by step, as many as there are quarters of a day."""
+    steps = []
+    for k in range(4):
+        before, world = (f"f{k - 1}", f"(SELECT max(mass) AS mass, max(bound) AS bound FROM f{k - 1})") if k else (None, "(SELECT CAST(count(*) AS DOUBLE) AS mass, CAST(0 AS BIGINT) AS bound FROM events)")
+        old = f"UNION ALL SELECT size, n FROM {before} WHERE NOT frozen" if before else ""
+        steps.append(f"""p{k} AS MATERIALIZED (SELECT size, CAST(sum(n) AS BIGINT) AS obs FROM (SELECT size, n FROM h WHERE iteration = {k} {old}) GROUP BY size),
+e{k} AS MATERIALIZED (SELECT size, obs, mass, bound, CAST(floor(greatest(CAST(obs AS DOUBLE), (obs / (sum(obs) OVER ())) * mass / size)) AS BIGINT) AS n,
+1 - exp(-(size * floor(0.05::DOUBLE * mass) / mass)) * (1 + (size * floor(0.05::DOUBLE * mass) / mass) * exp(size / mass)) AS found FROM p{k}, {world}),
+t{k} AS (SELECT size, obs, mass, bound, 1 - sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(found) + (n - j) * ln(1 - found))) >= 0.9::DOUBLE AS frozen
+FROM (SELECT *, unnest(range(0, obs)) AS j FROM e{k}) GROUP BY size, obs, mass, bound),
+u{k} AS (SELECT *, frozen AND size >= coalesce(max(size) FILTER (WHERE NOT frozen) OVER (), 0) AS upper FROM t{k}),
+f{k} AS MATERIALIZED (SELECT size, obs AS n, frozen, upper, mass - coalesce(sum(size * obs) FILTER (WHERE upper) OVER (), 0) AS mass, coalesce(min(size) FILTER (WHERE upper) OVER (), bound) AS bound FROM u{k})""")
+    rows = " UNION ALL ".join(f"SELECT {k} AS iteration, * FROM f{k}" for k in range(4))
+    return f"""WITH s AS (SELECT CAST(floor(hour(ts) / 6) AS INT) AS iteration, user_id, count(*) AS size FROM events GROUP BY ALL), h AS (SELECT iteration, size, count(*) AS n FROM s GROUP BY ALL),
+{", ".join(steps)} SELECT CAST(iteration AS INT) AS iteration, size, n, frozen, upper, CAST(mass AS DOUBLE) AS mass, CAST(bound AS BIGINT) AS bound FROM ({rows})"""
+
+
+ORACLE_SQL |= {
+    "frontier_by_quarter": _frontier(),
+    "cluster_summary_compat": f"{_SUMMARY} SELECT *, density + 1 AS density_compat FROM summary",
+    "missed_clusters": f"""WITH {_PART}, c AS (SELECT count(*) AS total FROM lineitem), k AS (SELECT DISTINCT size AS k FROM sizes), g AS (SELECT k, total, unnest([1, 2, 5, 20]) AS m FROM k, c),
+d AS (SELECT *, unnest([1, 2, 5, 10]) AS percent FROM g), w AS (SELECT *, CAST(floor(total * percent / 100) AS BIGINT) AS n FROM d), i AS (SELECT *, unnest(range(0, m + 1)) AS i FROM w),
+l AS (SELECT *, lgamma(m + 1) - lgamma(i + 1) - lgamma(m - i + 1) + lgamma(total - k * m + 1) - lgamma(n - i + 1) - lgamma(total - k * m - n + i + 1) - lgamma(total + 1) + lgamma(n + 1) + lgamma(total - n + 1) AS ln FROM i WHERE i <= n AND n - i <= total - k * m)
+SELECT k, CAST(m AS BIGINT) AS m, CAST(percent AS BIGINT) AS percent, round(sum(exp(ln + i * ln(k))), 6) AS missed, round(sum(exp(ln + least(i, 1) * ln(k))), 6) AS compat FROM l GROUP BY k, m, percent""",
+    "recruit_sweep": "WITH " + _URLS + ", p AS (SELECT t.seq_id AS target, t.s AS t, q.seq_id AS centre, q.s AS q FROM urls t, urls q WHERE q.seq_id % 20 = 0 AND length(t.s) > 0 AND length(q.s) > 0), "
+    + ", ".join(f"p{k} AS (SELECT *, least({_R.format('t').replace('0.9 ', f'{s} ')}, {_R.format('q').replace('0.9 ', f'{s} ')}) AS r, CAST({s} AS DOUBLE) AS similarity FROM p)" for k, s in enumerate((0.86, 0.88, 0.9, 0.92, 0.94)))
+    + """, a AS (SELECT * FROM p0 UNION ALL SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4),
+e AS (SELECT similarity, target, centre FROM a WHERE length(q) >= length(t) - r AND list_min(list_transform(range(greatest(0, length(t) - r), greatest(greatest(0, length(t) - r), least(length(q), length(t) + r)) + 1), lambda j: levenshtein(t, substr(q, 1, CAST(j AS INT))))) <= r),
+b AS (SELECT similarity, target, min(centre) AS centroid FROM e GROUP BY similarity, target) SELECT similarity, count(*) AS n_recruited, count(DISTINCT centroid) AS n_centroids FROM b GROUP BY similarity""",
+    "two_line_records": "SELECT page_id || ' > x' AS header, trim(url) AS sequence FROM pages WHERE coalesce(url, '') <> ''",
+}

@@ -291,7 +291,42 @@ def one_iteration(spark, d):
 
 
 def three_iterations(spark, d):
-    return job.run(_urls(spark, d), job.Options(similarity=S, rate=0.3, iterations=3, least=2))[1].drop("minutes")
+    rows = job.run(_urls(spark, d), job.Options(similarity=S, rate=0.3, iterations=3, least=2))[1]
+    return rows.select("iteration", "rate", *job.METRICS, "largest_open_bound")
+
+
+def cluster_summary_compat(spark, d):
+    """Summaries with the density that files of earlier runs give."""
+    return summary.with_compat(cluster_summary(spark, d))
+
+
+def frontier_by_quarter(spark, d):
+    """Events of each quarter of a day as an iteration, their users as clusters: which sizes are frozen after each, the mass that is left and the bound."""
+    e = _t(spark, d, "events").groupBy(F.floor(F.hour("ts") / 6).cast("int").alias("iteration"), "user_id").agg(F.count(F.lit(1)).alias("size"))
+    histograms = kept(e.groupBy("iteration", "size").agg(F.count(F.lit(1)).alias("n")), "histograms")
+    return bounds.frontier_rows(histograms, [0, 1, 2, 3], float(_t(spark, d, "events").count()), 0.05, 0.9)
+
+
+def missed_clusters(spark, d):
+    """The chance that all of m clusters of a part's size are missed, for sizes, m and shares of lines that are drawn."""
+    total = _t(spark, d, "lineitem").count()
+    grid = _part_sizes(spark, d).select(F.col("size").alias("k")).distinct().select("k", F.lit(total).cast("long").alias("total"), F.explode(F.array(*[F.lit(x).cast("long") for x in (1, 2, 5, 20)])).alias("m"))
+    grid = grid.select("k", "total", "m", F.explode(F.array(*[F.lit(x) for x in (1, 2, 5, 10)])).alias("percent")).withColumn("drawn", F.floor(F.col("total") * F.col("percent") / 100))
+    compat = simulate.missed_clusters(grid, compat=True).withColumnRenamed("missed", "compat")
+    return simulate.missed_clusters(compat).select("k", "m", F.col("percent").cast("long").alias("percent"), F.round("missed", 6).alias("missed"), F.round("compat", 6).alias("compat"))
+
+
+def recruit_sweep(spark, d):
+    """How many addresses are recruited, and to how many centres, at five similarities: one join at the lowest answers all."""
+    return recruit.swept(_urls(spark, d).select("seq_id", "sequence"), _centres(spark, d), [0.86, 0.88, 0.9, 0.92, 0.94])
+
+
+def two_line_records(spark, d):
+    """Page addresses written as records of two lines each and read back by the strict reader."""
+    path = _folder(spark, "pairs")
+    u = _urls(spark, d).where("sequence <> ''")
+    u.select(F.concat(F.lit(">"), F.col("seq_id"), F.lit(" > x\n"), F.col("sequence")).alias("value")).write.text(path)
+    return fasta.read_pairs(spark, path).select("header", "sequence")
 
 
 def naive_rounds(spark, d):
@@ -510,7 +545,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         size_outer_compare, matched_abundance, pearson, spearman, entropy, miss_curve, log_factorial, kmer_spectrum, kmer_rollup, kmer_excess, filter_length, fasta_sort, members_to_lines, lines_to_members, line_sizes, singleton_padding,
         category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds, fasta_shuffle, apart_clusters, equal_length_clusters, recruit_substring, letters_recruit, fasta_round_trip, fastq_quality_cut, fastq_sample_counts, joined_reads,
         cluster_lines_round_trip, pair_file, duplicate_report, counts_literal, id_list, summary_file, run_folder, result_bundle, other_tools, abundance_files, one_sided_sizes, centre_maps, correlation_p, summary_with_stats, clusters_over_time,
-        total_time, log_choices, singleton_split, counted_records, option_rows,
+        total_time, log_choices, singleton_split, counted_records, option_rows, cluster_summary_compat, frontier_by_quarter, missed_clusters, recruit_sweep, two_line_records,
     )
 } | {f"select_{mode}": _select(mode) for mode in ("centres", "rest", "members")}
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import minutes
+from ..functions.tables import file_place, in_file_order
 
 
 def lines_to_members(lines: DataFrame) -> DataFrame:
@@ -31,7 +32,8 @@ def members_to_lines(members: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """line_no (growing with the files' paths and their lines, with gaps) and value."""
+    return in_file_order(spark.read.text(path).select("value", *file_place()), "line_no").select("line_no", "value")
 
 
 def write_lines(members: DataFrame, path: str) -> None:
@@ -77,10 +79,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 def read_counts_literal(spark: SparkSession, path: str) -> DataFrame:
     """seq_id and count from Python literals {id: {"Counts": "n"}}, of one id or many in each, wherever lines end."""
-    pairs = F.regexp_extract_all("value", F.lit(r"""(['"])((?:\\.|(?!\1).)*)\1\s*:\s*\{\s*['"]Counts['"]\s*:\s*['"]?(\d+)"""), F.lit(0))
+    pairs = F.regexp_extract_all("value", F.lit(r"""(?:'([^'\\]*+(?:\\.[^'\\]*+)*+)'|"([^"\\]*+(?:\\.[^"\\]*+)*+)")\s*:\s*\{\s*['"]Counts['"]\s*:\s*['"]?(\d+)"""), F.lit(0))
     raw = spark.read.option("lineSep", "}").text(path).select(F.explode(pairs).alias("p"))
-    parts = lambda k: F.regexp_extract("p", r"""^(['"])((?:\\.|(?!\1).)*)\1\s*:\s*\{\s*['"]Counts['"]\s*:\s*['"]?(\d+)""", k)
-    return raw.select(F.regexp_replace(parts(2), r"\\(.)", "$1").alias("seq_id"), parts(3).cast("long").alias("count"))
+    parts = lambda k: F.regexp_extract("p", r"""^(?:'([^'\\]*+(?:\\.[^'\\]*+)*+)'|"([^"\\]*+(?:\\.[^"\\]*+)*+)")\s*:\s*\{\s*['"]Counts['"]\s*:\s*['"]?(\d+)""", k)
+    return raw.select(F.regexp_replace(F.concat(parts(1), parts(2)), r"\\(.)", "$1").alias("seq_id"), parts(3).cast("long").alias("count"))
 
 
 def centre_map(lines: DataFrame, turned: bool = False) -> DataFrame:

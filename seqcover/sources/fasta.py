@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import first_word, trimmed
+from ..functions.tables import file_place, in_file_order
 
 WIDTH = 60
 MANY_FILES = 100_000
@@ -19,7 +20,7 @@ def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, stric
     A line that starts with ">" begins a record; its other lines are trimmed and put together. What stands before the
     first record is left out, or an error if strict.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    raw = in_file_order(spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), *file_place()), "ord")
     first = F.col("value").startswith(">")
     # the first piece of each file: one row for each file is all that is looked for, without sorting any
     begins = raw.groupBy(F.col("file").alias("of")).agg(F.min("ord").alias("least"))
@@ -32,6 +33,22 @@ def read_fasta(spark: SparkSession, path: str, whole_header: bool = False, stric
     return made.select((F.col("header") if whole_header else first_word(F.col("header"))).alias("seq_id"), "header", "sequence", F.length("sequence").alias("length"), "ord")
 
 
+def read_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """file, place (from 0), header and sequence of records of exactly two lines, a ">" and a header, then letters on one line; anything else is an error that names the line.
+
+    Whether a line is a header depends on the number of lines before it, and so on all splits before its own; each split
+    counts its lines, and the parities of the sums in front shift those of the split.
+    """
+    lines = numbered_lines(spark, path).withColumn("k", F.col("line_no") % 2)
+    right = (F.col("k") == 0) == F.col("value").startswith(">")
+    value = F.when(right, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("records don't have two lines each: line "), F.col("line_no") + 1)))
+    told = lines.select("file", F.floor(F.col("line_no") / 2).alias("place"), "k", value.alias("value"))
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    found = told.groupBy("file", "place").agg(at(0).alias("header"), at(1).alias("sequence"))
+    whole = F.when(F.col("sequence").isNotNull(), trimmed(F.expr("substr(header, 2)"))).otherwise(F.raise_error(F.concat(F.lit("a record without letters: "), F.col("header"))))
+    return found.select("file", "place", whole.alias("header"), trimmed(F.col("sequence")).alias("sequence"))
+
+
 def fasta_text(header, sequence):
     """A record as it is written, wrapped at WIDTH."""
     return F.concat(F.lit(">"), header, F.lit("\n"), F.regexp_replace(sequence, f"(.{{{WIDTH}}})(?!$)", "$1\n"))
