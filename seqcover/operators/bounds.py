@@ -51,9 +51,10 @@ def upper_tails(rows: DataFrame, keys: list[str]) -> DataFrame:
     known = F.when(least <= 0, 1.0).when((least > n) | (p <= 0), 0.0).when(p >= 1, 1.0)
     own = rows.withColumn("_known", known).withColumn("_up", least > n * p).withColumn("_span", (DEVIATIONS * (F.sqrt(n * p * (1 - p)) + 1)).cast("long"))
     first, last = F.when(F.col("_up"), least).otherwise(F.greatest(F.lit(0), least - 1 - F.col("_span"))), F.when(F.col("_up"), F.least(n, least + F.col("_span"))).otherwise(least - 1)
-    blocks = own.where("_known is null").select(*keys, "n", "found", first.cast("long").alias("a"), last.cast("long").alias("z")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("z") - F.col("a")) / BLOCK))))
-    terms = blocks.select(*keys, "n", "found", F.explode(F.sequence(F.col("a") + F.col("b") * BLOCK, F.least(F.col("z"), F.col("a") + (F.col("b") + 1) * BLOCK - 1))).alias("k"))
-    sums = terms.groupBy(*keys).agg(F.sum(F.exp(log_choose(n, F.col("k")) + F.col("k") * F.log(p) + (n - F.col("k")) * F.log1p(-p))).alias("_sum"))
+    blocks = own.where("_known is null").select(*keys, "n", "found", first.cast("long").alias("_a"), last.cast("long").alias("_z")).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_z") - F.col("_a")) / BLOCK))))
+    k = F.col("_k")
+    terms = blocks.select(*keys, "n", "found", F.explode(F.sequence(F.col("_a") + F.col("_b") * BLOCK, F.least(F.col("_z"), F.col("_a") + (F.col("_b") + 1) * BLOCK - 1))).alias("_k"))
+    sums = terms.groupBy(*keys).agg(F.sum(F.exp(log_choose(n, k) + k * F.log(p) + (n - k) * F.log1p(-p))).alias("_sum"))
     chance = F.coalesce("_known", F.when(F.col("_up"), F.least(F.lit(1.0), "_sum")).otherwise(F.greatest(F.lit(0.0), 1 - F.col("_sum"))))
     return own.join(sums, keys, "left").select(*rows.columns, chance.alias("chance"))
 

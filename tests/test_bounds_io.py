@@ -1,24 +1,62 @@
 import math
+from fractions import Fraction
 
+from pyspark.sql import functions as F
+
+from seqcover.functions import scalars
 from seqcover.jobs import cluster
 from seqcover.operators import bounds, simulate, summary
 from seqcover.sources import clusters, fasta
 from seqcover.streaming.recruit import recruit_stream
 
 
-def test_tail_equals_sum():
-    for n, p in ((10, 0.3), (200, 0.02), (50, 0.9)):
-        for k in range(n + 2):
-            want = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
-            assert abs(bounds.tail(n, p, k) - want) < 1e-9
-
-
-def test_frontier_gives_mass_back():
-    f = bounds.Frontier(1000.0)
-    f.add({1: 100, 5: 10, 50: 2, 60: 1})
-    assert f.freeze({50, 60, 1}) == 50
-    assert f.mass == 1000 - 160 and f.pool == {5: 10}
-    assert f.freeze(set()) == 50
+def test_tails_equal_sums(spark):
+    rows = [(k, n, p, obs) for k, (n, p, obs) in enumerate((n, p, obs) for n, p in ((10, 0.3), (200, 0.02), (50, 0.9), (7, 0.0), (7, 1.0), (3000, 0.5)) for obs in (0, 1, n // 3, n // 2, n - 1, n, n + 1))]
+    got = {r.k: r.chance for r in bounds.upper_tails(spark.createDataFrame(rows, "k long, n long, found double, obs long"), ["k"]).collect()}
+    for k, n, p, obs in rows:
+        want = sum(Fraction(math.comb(n, j)) * Fraction(p) ** j * (1 - Fraction(p)) ** (n - j) for j in range(obs, n + 1)) if n < 300 else None
+        if want is not None:
+            assert abs(got[k] - float(want)) < 1e-9, (n, p, obs)
+    assert abs(got[len(rows) - 4] - 0.5073) < 1e-3  # P(X >= 1500) of 3,000 tosses
+    large = spark.createDataFrame([(1, 10**9, 1e-3, 10**6)], "k long, n long, found double, obs long")
+    assert abs(bounds.upper_tails(large, ["k"]).first().chance - 0.5) < 1e-3
+
+
+def test_factorials(spark):
+    numbers = [*range(40), 170, 1000, 10**6]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select(scalars.log_factorial(F.col("n")).alias("x"), scalars.log_choose(F.col("n"), F.lit(5)).alias("c")).collect()
+    for n, r in zip(numbers, got, strict=True):
+        assert math.isclose(r.x, math.lgamma(n + 1), rel_tol=1e-13, abs_tol=1e-9)
+        assert (r.c is None) == (n < 5) and (r.c is None or math.isclose(r.c, math.log(math.comb(n, 5)), rel_tol=1e-9, abs_tol=1e-6))
+
+
+def test_missed_clusters_equal_exact_chances(spark):
+    grid = [(30, 6, k, m) for k in (2, 3, 5) for m in (1, 2, 4)] + [(30, 6, 8, 4)]
+    df = spark.createDataFrame(grid, "total long, drawn long, k long, m long")
+    for compat in (False, True):
+        for r in simulate.missed_clusters(df, compat).collect():
+            if r.k * r.m > r.total:
+                assert r.missed is None
+                continue
+            want = sum(Fraction(math.comb(r.m, i) * (r.k if compat and i else r.k**i) * math.comb(r.total - r.k * r.m, r.drawn - i), math.comb(r.total, r.drawn)) for i in range(min(r.m, r.drawn) + 1))
+            assert abs(r.missed - float(want)) < 1e-9
+
+
+def test_frontier_gives_mass_back(spark, monkeypatch):
+    # sizes in FROZEN count as found
+    monkeypatch.setattr(bounds, "frozen_sizes", lambda h, *_: bounds.expected_sizes(h, 1000.0, 0.1).withColumn("chance", F.lit(0.0)).withColumn("frozen", F.col("size").isin(frozen)))
+    histogram = lambda sizes: spark.createDataFrame(list(sizes.items()), "size long, n long")
+    frozen = [50, 60, 1]
+    state = bounds.frontier_step(bounds.frontier_start(spark, 1000.0), histogram({1: 100, 5: 10, 50: 2, 60: 1}), 0.1, 0.9)
+    assert {(r.mass, r.bound) for r in state.collect()} == {(840.0, 50)} and {r["size"] for r in state.where("upper").collect()} == {50, 60}
+    frozen = [2]
+    state = bounds.frontier_step(state, histogram({5: 1, 2: 7}), 0.1, 0.9)
+    assert {(r.mass, r.bound) for r in state.collect()} == {(840.0, 50)} and {r["size"]: r.n for r in state.where("not frozen").collect()} == {5: 11}
+    frozen = [5]
+    state = bounds.frontier_step(state, spark.createDataFrame([], "size long, n long"), 0.1, 0.9)
+    assert {(r.mass, r.bound) for r in state.collect()} == {(785.0, 5)}
+    state = bounds.frontier_step(state, spark.createDataFrame([], "size long, n long"), 0.1, 0.9)
+    assert [tuple(r) for r in state.collect()] == [(None, None, False, False, 785.0, 5)]
 
 
 def test_simulation_meets_binomial(spark):

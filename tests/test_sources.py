@@ -56,6 +56,47 @@ def test_fasta_of_many_files(spark, tmp_path):
         fasta.read_fasta(spark, str(tmp_path), strict=True).collect()
 
 
+def test_order_over_files_of_unlike_sizes(spark, tmp_path):
+    """Spark packs splits by size, the largest first; records and lines come in order of paths all the same."""
+    (tmp_path / "a.fa").write_text(">a0\nAC\n>a1\nGT\n")
+    (tmp_path / "b.fa").write_text("".join(f">b{k}\n{'ACGT' * 10}\n" for k in range(60)))
+    (tmp_path / "c.fa").write_text(">c0\nAC\n")
+    want = ["a0", "a1", *(f"b{k}" for k in range(60)), "c0"]
+    lines = [x for name in "abc" for x in (tmp_path / f"{name}.fa").read_text().split("\n")[:-1]]
+    for split in (None, 128, 700):
+        if split:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            assert [r.seq_id for r in fasta.read_fasta(spark, str(tmp_path)).orderBy("ord").collect()] == want
+            assert [r.value for r in clusters.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == lines
+            assert [r.header for r in fasta.read_pairs(spark, str(tmp_path)).orderBy("file", "place").collect()] == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("split", [7, 64, 4096])
+@pytest.mark.parametrize("text", [">a\nAC\n>b\n", ">a\nAC\nGT\n>b\nAC\n", "x\n>a\nAC\n", ">a\n>b\nAC\nGT\n", ">a\nAC\n\n>b\nAC\n"])
+def test_records_that_have_not_two_lines_are_errors(spark, tmp_path, split, text):
+    (tmp_path / "x.fa").write_text(">k\nACGTACGT\n" * 20 + text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        with pytest.raises(Exception, match="two lines|without letters"):
+            fasta.read_pairs(spark, str(tmp_path / "x.fa")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_very_long_values_of_every_pattern(spark, tmp_path):
+    """Patterns with groups that repeat would run out of stack on long values."""
+    long = "x" * 300_000
+    (tmp_path / "c").write_text(f"{{'{long}': {{'Counts': '3'}}, \"it's {long}\": {{'Counts': 4}}, '{chr(92)}'{long}': {{'Counts': 5}}}}")
+    assert {r.seq_id[:4]: (len(r.seq_id), r["count"]) for r in clusters.read_counts_literal(spark, str(tmp_path / "c")).collect()} == {"xxxx": (300_000, 3), "it's": (300_005, 4), "'xxx": (300_001, 5)}
+    (tmp_path / "f").write_text(f">h{' ' * 100_000}e\n{'A' * 300_000}{' ' * 100_000}\n")
+    assert [(r.seq_id, r.length) for r in fasta.read_fasta(spark, str(tmp_path / "f")).collect()] == [("h", 300_000)]
+    fasta.write_fasta(fasta.read_fasta(spark, str(tmp_path / "f")), str(tmp_path / "out"))
+    assert fasta.read_fasta(spark, str(tmp_path / "out")).first().length == 300_000
+
+
 def test_reports_and_literals(spark, tmp_path):
     rows = [("a", "AA", 2), ("b", "AA", 1), ("c", "CC", 3)]
     lines = clusters.duplicate_lines(spark.createDataFrame(rows, "seq_id string, sequence string, ord long"))
