@@ -21,26 +21,6 @@ def expected_sizes(histogram: DataFrame, total: float | Column, rate: float) ->
     return histogram.select("size", F.col("n").alias("obs"), F.floor(n).cast("long").alias("n"), (1 - miss_probability(F.col("size"), F.floor(rate * total).cast("double"), total)).alias("found"), *rest)
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """k and ln(k!) for k = 0 to most, by a running sum within blocks and over their totals."""
-    block = 1 << 14
-    k = spark.range(1, most + 1).select(F.col("id").alias("k"), F.floor(F.col("id") / block).alias("b"), F.log(F.col("id").cast("double")).alias("ln"))
-    own = F.sum("ln").over(Window.partitionBy("b").orderBy("k"))
-    before = F.coalesce(F.sum("s").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    totals = k.groupBy("b").agg(F.sum("ln").alias("s")).select("b", before.alias("before"))
-    return k.withColumn("own", own).join(totals, "b").select("k", (F.col("own") + F.col("before")).alias("ln_factorial")).unionByName(spark.range(1).select(F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("ln_factorial")))
-
-
-def log_choices(pairs: DataFrame, most: int) -> DataFrame:
-    """pairs (n, k) with ln_choices: the logarithm of the number of ways to choose k of n; null where k is over n. most: the largest n."""
-    known = log_factorials(pairs.sparkSession, most)
-    named = lambda key: known.select(F.col("k").alias(f"_{key}"), F.col("ln_factorial").alias(f"_ln_{key}"))
-    out = pairs.withColumn("rest", F.col("n") - F.col("k"))
-    for key in ("n", "k", "rest"):
-        out = out.join(named(key), out[key] == F.col(f"_{key}"), "left").drop(f"_{key}")
-    return out.select(*pairs.columns, (F.col("_ln_n") - F.col("_ln_k") - F.col("_ln_rest")).alias("ln_choices"))
-
-
 def upper_tails(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (keys, which name a row; n, found, obs) with chance: P(X >= obs) for X binomial (n, found), as a sum of terms.
 

@@ -92,7 +92,7 @@ SELECT round(corr(rx, ry), 6) AS r, count(*) AS n FROM r""",
     "entropy": "WITH n AS (SELECT event_type, count(*) AS c FROM events GROUP BY 1) SELECT round(ln(sum(c)) - sum(c * ln(c)) / sum(c), 6) AS entropy FROM n",
     "miss_curve": f"""WITH {_PART}, g AS (SELECT DISTINCT size AS k, unnest([1, 2, 5, 10]) AS percent FROM sizes), n AS (SELECT g.*, total, CAST(floor(total * percent / 100) AS BIGINT) AS drawn FROM g, (SELECT count(*) AS total FROM lineitem))
 SELECT k, CAST(percent AS BIGINT) AS percent, round(exp(lgamma(total - drawn + 1) - lgamma(total - drawn - k + 1) - lgamma(total + 1) + lgamma(total - k + 1)) * (1 + k * drawn / (total - drawn - k + 1)), 7) AS miss FROM n""",
-    "log_factorial": "WITH m AS (SELECT max(c) AS most FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_suppkey)) SELECT k, round(lgamma(k + 1), 5) AS ln_factorial FROM (SELECT unnest(range(0, most + 1)) AS k FROM m)",
+    "log_factorial": "SELECT l_suppkey, count(*) AS n, round(lgamma(count(*) + 1), 5) AS ln_factorial FROM lineitem GROUP BY l_suppkey",
     "kmer_spectrum": "SELECT seq_id, kmer, count(*) AS n FROM (SELECT item_id AS seq_id, substr(text, CAST(i AS INT), 4) AS kmer FROM (SELECT item_id, text, unnest(range(1, length(text) - 2)) AS i FROM benchmark)) GROUP BY 1, 2",
     "kmer_rollup": "SELECT seq_id, kmer, count(*) AS n FROM (SELECT item_id AS seq_id, substr(text, CAST(i AS INT), 2) AS kmer FROM (SELECT item_id, text, unnest(range(1, length(text) - 2)) AS i FROM benchmark)) GROUP BY 1, 2",
     "kmer_excess": f"""WITH {_URLS}, k AS (SELECT seq_id, substr(s, CAST(i AS INT), 4) AS kmer, count(*) AS n FROM (SELECT seq_id, s, unnest(range(1, length(s) - 2)) AS i FROM urls) GROUP BY 1, 2),
@@ -193,6 +193,7 @@ f{k} AS MATERIALIZED (SELECT size, obs AS n, frozen, upper, mass - coalesce(sum(
 
 ORACLE_SQL |= {
     "frontier_by_quarter": _frontier(),
+    "stream_summary": f"{_SUMMARY} SELECT * FROM summary",
     "cluster_summary_compat": f"{_SUMMARY} SELECT *, density + 1 AS density_compat FROM summary",
     "missed_clusters": f"""WITH {_PART}, c AS (SELECT count(*) AS total FROM lineitem), k AS (SELECT DISTINCT size AS k FROM sizes), g AS (SELECT k, total, unnest([1, 2, 5, 20]) AS m FROM k, c),
 d AS (SELECT *, unnest([1, 2, 5, 10]) AS percent FROM g), w AS (SELECT *, CAST(floor(total * percent / 100) AS BIGINT) AS n FROM d), i AS (SELECT *, unnest(range(0, m + 1)) AS i FROM w),

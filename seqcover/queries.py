@@ -17,6 +17,7 @@ from .functions.tables import kept, shared_folder
 from .jobs import cluster as job
 from .operators import bounds, compare, evaluate, greedy, records, recruit, simulate, summary
 from .sources import clusters, fasta
+from .streaming import recruit as streaming
 
 S = 0.9
 
@@ -212,8 +213,9 @@ def miss_curve(spark, d):
 
 
 def log_factorial(spark, d):
-    most = _t(spark, d, "lineitem").groupBy("l_suppkey").count().agg(F.max("count")).first()[0]
-    return bounds.log_factorials(spark, most).select("k", F.round("ln_factorial", 5).alias("ln_factorial"))
+    """In how many orders each supplier's lines can stand, as a logarithm."""
+    n = _t(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("l_suppkey", "n", F.round(scalars.log_factorial(F.col("n")), 5).alias("ln_factorial"))
 
 
 def kmer_spectrum(spark, d):
@@ -295,6 +297,18 @@ def three_iterations(spark, d):
     return rows.select("iteration", "rate", *job.METRICS, "largest_open_bound")
 
 
+def stream_summary(spark, d):
+    """Page addresses in four files as a stream of four batches that stops after the second and starts again: the summary that it keeps."""
+    path, out = _folder(spark, "stream"), _folder(spark, "streamed")
+    own = _urls(spark, d).join(_host_counts(spark, d), "seq_id").withColumn("part", F.pmod("seq_id", F.lit(4)).cast("int"))
+    centres = kept(_centres(spark, d), "centres")
+    for last in (2, 4):
+        own.where(F.col("part").between(last - 2, last - 1)).select("seq_id", "sequence", "count", "part").repartition(2, "part").write.mode("append").parquet(path)
+        stream = spark.readStream.schema("seq_id long, sequence string, count long").option("maxFilesPerTrigger", 1).parquet(path)
+        streaming.recruit_stream(stream, centres, S, out, f"{out}-checkpoint").awaitTermination()
+    return streaming.summary(spark, out)
+
+
 def cluster_summary_compat(spark, d):
     """Summaries with the density that files of earlier runs give."""
     return summary.with_compat(cluster_summary(spark, d))
@@ -513,7 +527,7 @@ def total_time(spark, d):
 def log_choices(spark, d):
     """Ways to choose the large orders of a month among all."""
     m = _months(spark, d).select("iteration", F.col("n_seqs").alias("n"), F.col("n_big").alias("k"))
-    return bounds.log_choices(m, m.agg(F.max("n")).first()[0]).withColumn("ln_choices", F.round("ln_choices", 5))
+    return m.withColumn("ln_choices", F.round(scalars.log_choose(F.col("n"), F.col("k")), 5))
 
 
 def singleton_split(spark, d):
@@ -545,7 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         size_outer_compare, matched_abundance, pearson, spearman, entropy, miss_curve, log_factorial, kmer_spectrum, kmer_rollup, kmer_excess, filter_length, fasta_sort, members_to_lines, lines_to_members, line_sizes, singleton_padding,
         category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds, fasta_shuffle, apart_clusters, equal_length_clusters, recruit_substring, letters_recruit, fasta_round_trip, fastq_quality_cut, fastq_sample_counts, joined_reads,
         cluster_lines_round_trip, pair_file, duplicate_report, counts_literal, id_list, summary_file, run_folder, result_bundle, other_tools, abundance_files, one_sided_sizes, centre_maps, correlation_p, summary_with_stats, clusters_over_time,
-        total_time, log_choices, singleton_split, counted_records, option_rows, cluster_summary_compat, frontier_by_quarter, missed_clusters, recruit_sweep, two_line_records,
+        total_time, log_choices, singleton_split, counted_records, option_rows, stream_summary, cluster_summary_compat, frontier_by_quarter, missed_clusters, recruit_sweep, two_line_records,
     )
 } | {f"select_{mode}": _select(mode) for mode in ("centres", "rest", "members")}
 

@@ -1,13 +1,16 @@
 import math
 from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqcover.functions import scalars
 from seqcover.jobs import cluster
 from seqcover.operators import bounds, simulate, summary
 from seqcover.sources import clusters, fasta
+from seqcover.streaming.recruit import members as members_of
 from seqcover.streaming.recruit import recruit_stream
+from seqcover.streaming.recruit import summary as summary_of
 
 
 def test_tails_equal_sums(spark):
@@ -116,4 +119,38 @@ def test_job_and_stream(spark, tmp_path):
     reads.select("seq_id", "sequence").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("seq_id string, sequence string").parquet(str(tmp_path / "in"))
     recruit_stream(stream, reads.where("ord < 3"), 0.9, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    assert members_of(spark, str(tmp_path / "out")).count() == 40 and summary_of(spark, str(tmp_path / "out")).agg({"density": "sum"}).first()[0] == 40
+
+
+def test_stream_that_fails_and_starts_again_keeps_the_batch_summary(spark, tmp_path):
+    """Four files, one a batch; the second batch fails after it has written its members, and the stream starts again."""
+    from seqcover.operators import recruit
+    from seqcover.streaming import recruit as streaming
+
+    base = ["ACGTTGCAACGGTCATTGCA", "TTGGCCAATTGGCCAATTGG", "CATCATCATCATCATCATCA"]
+    rows = [(str(k), base[k % 3][:-1] + "ACGT"[k % 4], 1 + k % 5) for k in range(48)]
+    reads = spark.createDataFrame(rows, "seq_id string, sequence string, count long")
+    centres = spark.createDataFrame([(str(k), base[k], k) for k in range(3)], "seq_id string, sequence string, ord long")
+    for k in range(4):
+        reads.where(f"cast(seq_id as int) % 4 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, calls, merged = str(tmp_path / "out"), [], streaming.merged
+
+    def failing(before, members):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return merged(before, members)
+
+    start = lambda: streaming.recruit_stream(spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), centres, 0.9, out, str(tmp_path / "state"))
+    streaming.merged = failing
+    try:
+        with pytest.raises(Exception, match="lost"):
+            start().awaitTermination()
+        start().awaitTermination()
+    finally:
+        streaming.merged = merged
+    assert len(calls) == 5
+    want = summary.cluster_summary(recruit.recruited(reads.select("seq_id", "sequence"), centres, 0.9), reads.select("seq_id", "count"))
+    rows_in = lambda df: sorted((r.centroid, r.density, r["mode"], r.mode_seq) for r in df.collect())
+    assert rows_in(streaming.summary(spark, out)) == rows_in(want) and len(rows_in(want)) == 3
+    assert streaming.members(spark, out).count() == 48

@@ -58,6 +58,28 @@ def summary_model(members, counts):
     return out
 
 
+class Frontier:
+    """Open sizes and how many clusters have them, the mass that is left, the smallest size that gave its mass back."""
+
+    def __init__(self, mass):
+        self.mass, self.bound, self.pool = mass, 0, {}
+
+    def add(self, sizes):
+        for size, n in sizes.items():
+            self.pool[size] = self.pool.get(size, 0) + n
+
+    def freeze(self, frozen):
+        left = {s: n for s, n in self.pool.items() if s not in frozen}
+        upper = {s for s in frozen if s >= max(left, default=0)}
+        self.mass -= sum(s * self.pool[s] for s in upper)
+        self.pool, self.bound = left, min(upper, default=self.bound)
+        return self.bound
+
+
+def tail(n, p, least):
+    return 1 - sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(least))
+
+
 def run_model(rows, options):
     first, counts = {}, {}
     for k, s in sorted(rows):
@@ -65,7 +87,7 @@ def run_model(rows, options):
         counts[own] = counts.get(own, 0) + 1
     left = [(k, s) for s, k in first.items()]
     left.sort()
-    frontier, rate, sizes, out, members = bounds.Frontier(float(len(left))), options.rate, [], [], []
+    frontier, rate, sizes, out, members = Frontier(float(len(left))), options.rate, [], [], []
     for number in range(1, options.iterations + 1):
         if options.adaptive and len(sizes) >= 2:
             rate = job.next_rate(rate, sizes[-1], sizes[-2], options.delta)
@@ -90,7 +112,7 @@ def run_model(rows, options):
             for size, n in pool.items():
                 x = size * drawn / frontier.mass
                 p = 1 - math.exp(-x) * (1 + x * math.exp(size / frontier.mass))
-                if bounds.tail(math.floor(max(n, n / total * frontier.mass / size)), p, n) >= options.confidence:
+                if tail(math.floor(max(n, n / total * frontier.mass / size)), p, n) >= options.confidence:
                     frozen.add(size)
         out.append((number, len(big), sum(big), max(dense, default=None), sum(d >= options.least for d in dense), dense.count(1), frontier.freeze(frozen)))
     return members, out
