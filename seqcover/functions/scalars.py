@@ -71,6 +71,10 @@ def nucleotide_code(letter: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(0)
 
 
+def reverse_complement(sequence: Column) -> Column:
+    return F.translate(F.reverse(sequence), "ACGTacgt", "TGCAtgca")
+
+
 def truth(text: Column) -> Column:
     """true or false in any case, with white space around; anything else is an error."""
     value = F.lower(trimmed(text))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import uniform
+from ..functions.scalars import reverse_complement, uniform
 from ..functions.tables import in_order
 
 
-def deduplicated(records: DataFrame) -> DataFrame:
-    """One row for each distinct sequence: the first record's seq_id (by ord) and how many records have it."""
-    return records.groupBy("sequence").agg(F.min_by("seq_id", "ord").alias("seq_id"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("count"))
+def deduplicated(records: DataFrame, canonical_strand: bool = False) -> DataFrame:
+    """One row for each distinct sequence: the first record's seq_id (by ord) and how many records have it. canonical_strand: a sequence and its reverse complement are one; the first record's is given."""
+    own = F.least("sequence", reverse_complement(F.col("sequence"))) if canonical_strand else F.col("sequence")
+    found = records.groupBy(own.alias("_own")).agg(F.min_by(F.struct("seq_id", *["sequence"] * canonical_strand), "ord").alias("f"), F.min("ord").alias("ord"), F.count(F.lit(1)).alias("count"))
+    return found.select(F.col("f.sequence" if canonical_strand else "_own").alias("sequence"), "f.seq_id", "ord", "count")
 
 
 def with_counts(records: DataFrame, counts: DataFrame) -> DataFrame:

@@ -41,6 +41,9 @@ _LINES = "lines AS (SELECT conv_id * 1000 + turn AS line_no, list_filter(regexp_
 
 ORACLE_SQL: dict[str, str] = {
     "dedup_counts": "SELECT min(doc_id) AS seq_id, md5(coalesce(text, '')) AS digest, count(*) AS count FROM documents GROUP BY coalesce(text, '')",
+    "strand_counts": """WITH t AS (SELECT conv_id * 1000 + turn AS ord, conv_id || '-' || turn AS seq_id, role, translate(regexp_replace(lower(coalesce(text, '')), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS s FROM conversations),
+b AS (SELECT ord, seq_id, CASE WHEN role = 'assistant' THEN translate(reverse(s), 'ACGT', 'TGCA') ELSE s END AS s FROM t), a AS (SELECT * FROM b UNION ALL SELECT ord + 500, seq_id || '-again', translate(reverse(s), 'ACGT', 'TGCA') FROM b WHERE ord % 1000 = 0)
+SELECT arg_min(seq_id, ord) AS seq_id, md5(arg_min(s, ord)) AS digest, count(*) AS count FROM a GROUP BY least(s, translate(reverse(s), 'ACGT', 'TGCA'))""",
     "sample_md5": "SELECT doc_id AS seq_id FROM documents WHERE ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.25",
     "include_ids": "SELECT doc_id, source FROM documents SEMI JOIN labels USING (doc_id)",
     "exclude_ids": "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)",

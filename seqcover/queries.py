@@ -70,6 +70,16 @@ def dedup_counts(spark, d):
     return records.deduplicated(r).select("seq_id", F.md5("sequence").alias("digest"), "count")
 
 
+def strand_counts(spark, d):
+    """Turns of conversations as letters, those of assistants read backwards: how often each occurs on either strand."""
+    letters = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
+    t = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat_ws("-", "conv_id", "turn").alias("seq_id"), letters.alias("s"), "role")
+    both = t.select("ord", "seq_id", F.when(F.col("role") == "assistant", scalars.reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("sequence"))
+    # each of the first turns once more, from its other strand
+    again = both.where("ord % 1000 = 0").select(F.col("ord") + 500, F.concat("seq_id", F.lit("-again")), scalars.reverse_complement(F.col("sequence")))
+    return records.deduplicated(both.union(again), canonical_strand=True).select("seq_id", F.md5("sequence").alias("digest"), "count")
+
+
 def sample_md5(spark, d):
     return records.sampled(_t(spark, d, "documents").select(F.col("doc_id").alias("seq_id")), 0.25, 7)
 
@@ -407,10 +417,10 @@ def fastq_sample_counts(spark, d):
 def joined_reads(spark, d):
     """Benchmark texts as letters, read from both ends with an overlap of ten, and joined again."""
     letters = F.translate(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    whole = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), letters.alias("s")).where("length(s) >= 40")
+    whole = _t(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), letters.alias("s"))
     half = F.floor(F.length("s") / 2).cast("int")
     forward = whole.select("seq_id", F.substr("s", F.lit(1), half + 5).alias("sequence"))
-    backward = whole.select("seq_id", fasta.turned(F.substr("s", half - 4, F.length("s"))).alias("sequence"))
+    backward = whole.select("seq_id", scalars.reverse_complement(F.substr("s", half - 4, F.length("s"))).alias("sequence"))
     return fasta.joined_pairs(forward, backward, least=10, worse=0.0).select("seq_id", "sequence", F.col("overlap").cast("long").alias("overlap"))
 
 
@@ -554,7 +564,7 @@ def option_rows(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        dedup_counts, sample_md5, include_ids, exclude_ids, ambiguous_edges, recruit_cost, recruit_first_center, nonambiguous_weights, ambiguous_assigned, cluster_summary, bait_centers, mode_centers, greedy_clusters, iteration_metrics,
+        dedup_counts, strand_counts, sample_md5, include_ids, exclude_ids, ambiguous_edges, recruit_cost, recruit_first_center, nonambiguous_weights, ambiguous_assigned, cluster_summary, bait_centers, mode_centers, greedy_clusters, iteration_metrics,
         iteration_metrics_by_status, size_histogram_norm, size_threshold_table, fragmentation_curve, fragmentation_parts, cumulative_by_iteration, adapt_rate, carried_frontier, miss_probability, expected_sizes, freeze_exact, simulated_discovery,
         size_outer_compare, matched_abundance, pearson, spearman, entropy, miss_curve, log_factorial, kmer_spectrum, kmer_rollup, kmer_excess, filter_length, fasta_sort, members_to_lines, lines_to_members, line_sizes, singleton_padding,
         category_counts, iteration_maximum, running_ids, one_iteration, three_iterations, naive_rounds, fasta_shuffle, apart_clusters, equal_length_clusters, recruit_substring, letters_recruit, fasta_round_trip, fastq_quality_cut, fastq_sample_counts, joined_reads,

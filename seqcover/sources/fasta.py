@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_word, trimmed
+from ..functions.scalars import first_word, reverse_complement, trimmed
 from ..functions.tables import file_place, in_file_order
 
 WIDTH = 60
@@ -100,14 +100,9 @@ def quality_cut(reads: DataFrame, worst: int = 19, run: int = 3, share: float =
     return cut.where(~F.contains("sequence", F.lit("N"))).drop("_kept")
 
 
-def turned(sequence):
-    """The reverse complement."""
-    return F.translate(F.reverse(sequence), "ACGTacgt", "TGCAtgca")
-
-
 def joined_pairs(forward: DataFrame, backward: DataFrame, least: int = 6, worse: float = 0.08) -> DataFrame:
     """seq_id, sequence and overlap of pairs of reads (seq_id, sequence) whose ends overlap by `least` letters or more with a share of at most `worse` of unlike ones: the overlap with the fewest unlike letters for its length. Pairs that don't overlap are left out."""
-    both = forward.select("seq_id", F.col("sequence").alias("a")).join(backward.select("seq_id", turned(F.col("sequence")).alias("b")), "seq_id")
+    both = forward.select("seq_id", F.col("sequence").alias("a")).join(backward.select("seq_id", reverse_complement(F.col("sequence")).alias("b")), "seq_id")
     most = F.least(F.length("a"), F.length("b"))
     unlike = lambda k: F.size(F.filter(F.zip_with(F.split(F.substr("a", F.length("a") - k + 1, k), ""), F.split(F.substr("b", F.lit(1), k), ""), lambda x, y: x != y), lambda x: x))
     tried = F.transform(F.sequence(F.lit(least), most), lambda k: F.struct(((unlike(k) * unlike(k) + 1) / k).alias("cost"), (-k).alias("shorter"), k.alias("overlap"), unlike(k).alias("unlike")))
