@@ -29,9 +29,9 @@ def numbered(records: DataFrame) -> DataFrame:
     return kept(in_order(own, [F.desc(F.length("sequence")), F.desc("sequence"), F.desc("id")], "seq_id"), "numbered")
 
 
-def _first(asking: DataFrame, among: DataFrame, similarity: float, mismatches: int | None, times: int) -> DataFrame:
+def _first(asking: DataFrame, among: DataFrame, similarity: float, mismatches: int | None, times: int, made: list) -> DataFrame:
     """seq_id, first and cost: of the records among which it asks, the first in order that accepts it."""
-    near = recruit.accepted(asking, among, similarity, mismatches, times=times)
+    near = recruit.accepted(asking, among, similarity, mismatches, times=times, made=made)
     return near.groupBy(F.col("target").alias("seq_id")).agg(F.min(F.struct("centre", "cost")).alias("f")).select("seq_id", F.col("f.centre").alias("first"), F.col("f.cost").alias("cost"))
 
 
@@ -41,13 +41,14 @@ def settled(batch: DataFrame, similarity: float, mismatches: int | None = None,
     order, most = Window.partitionBy("target").orderBy("centre"), ACCEPTORS
     while True:
         asking, open_ = (kept(batch.join(state.where(which).select("seq_id"), "seq_id", "left_semi"), "batch") for which in ("state = 'asks'", "state <> 'member'"))
-        near = recruit.accepted(asking, open_, similarity, mismatches, times=times, earlier=True).withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
+        made: list[DataFrame] = []
+        near = recruit.accepted(asking, open_, similarity, mismatches, times=times, earlier=True, made=made).withColumn("at", F.row_number().over(order)).where(F.col("at") <= most)
         near = near.groupBy(F.col("target").alias("seq_id")).agg(F.sort_array(F.collect_list(F.struct("centre", "cost"))).alias("_by"))
         told = state.join(near, "seq_id", "left").select(
             "seq_id", F.when(F.col("state") != "asks", F.col("state")).when(F.col("_by").isNull(), "centre").otherwise("waits").alias("state"), F.coalesce("_by", "by").alias("by"), F.when(F.col("state") == "asks", F.coalesce(F.size("_by") == most, F.lit(False))).otherwise(F.col("more")).alias("more")
         )
         before, state = state, kept(told, "states")
-        forget(before, asking, open_)
+        forget(before, asking, open_, *made)
         counts = _counts(state)
         while counts.get("waits"):  # what is decided decides for others, until nothing changes
             before, was, state = state, counts, kept(_told(state), "states")
@@ -87,9 +88,10 @@ def _owners(records: DataFrame, similarity: float, mismatches: int | None, times
         if last is not None:
             centres = kept(batch.join(own.where("first is null").select("seq_id"), "seq_id", "left_semi"), "centres")
             others = kept(left.where(F.col("seq_id") > last), "others")
-            taken = kept(_first(others, centres, similarity, mismatches, times), "taken")
+            made: list[DataFrame] = []
+            taken = kept(_first(others, centres, similarity, mismatches, times, made), "taken")
             own, rest = own.unionByName(taken), kept(others.join(taken.select("seq_id"), "seq_id", "left_anti"), "left")
-            forget(batch, centres, others)
+            forget(batch, centres, others, *made)
         out = own if out is None else out.unionByName(own)
         if last is None:
             break

@@ -67,8 +67,8 @@ def _places(centres: DataFrame, sizes: list, similarity: float, mismatches: int
     return centres.select("centre", m.alias("m"), F.explode(F.array_distinct(F.concat(*found))).alias("key"))
 
 
-def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1, earlier: bool = False) -> DataFrame:
-    """target and centre of each pair that may match, once. targets: target, t; centres: centre, q; no empty strings, both tables stored. times: of the radius; earlier: only where the centre's id is less than the target's."""
+def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1, earlier: bool = False, made: list | None = None) -> DataFrame:
+    """target and centre of each pair that may match, once. targets: target, t; centres: centre, q; no empty strings, both tables stored. times: of the radius; earlier: only where the centre's id is less than the target's. made: gets the stored tables that the pairs are read from, for callers who store the pairs."""
     cut = _cut(targets, similarity, mismatches, times)
     sizes = cut.groupBy("g").agg(F.max("r").alias("r"), F.max((F.col("n") / F.greatest("g", F.lit(1))).cast("int") - 1).alias("k")).collect()  # a row for each power of two
     if not sizes:
@@ -80,9 +80,12 @@ def candidates(targets: DataFrame, centres: DataFrame, similarity: float, mismat
     rare = kept(rare.groupBy("target", "n", "r", "least", F.col("s.key").alias("key"), F.col("s.c").alias("c")).agg(F.count(F.lit(1)).alias("times")), "rare")
     hot = rare.groupBy("key").agg((F.count(F.lit(1)) * F.max("c")).alias("pairs"), F.count(F.lit(1)).alias("n_targets")).where(F.col("pairs") > PAIRS)
     hot = hot.select("key", F.least("n_targets", F.ceil(F.col("pairs") / PAIRS)).cast("int").alias("parts"))
-    hot = kept(hot, "hot")
+    made = [] if made is None else made
+    made.append(rare)
     left, right = rare.withColumn("part", F.lit(0)), held.withColumn("part", F.lit(0))
     if not hot.isEmpty():
+        hot = kept(hot, "hot")
+        made.append(hot)
         left = rare.join(hot, "key", "left").withColumn("part", F.pmod(F.xxhash64("target"), F.coalesce("parts", F.lit(1))).cast("int"))
         right = held.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     # few bytes make many pairs here, so the number of tasks is set by hand
@@ -111,11 +114,11 @@ def compared(pairs: DataFrame, similarity: float, mismatches: int | None = None,
     return own.mapInArrow(each, f"target {types['target']}, centre {types['centre']}, cost long")
 
 
-def accepted(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1, earlier: bool = False) -> DataFrame:
+def accepted(targets: DataFrame, centres: DataFrame, similarity: float, mismatches: int | None = None, anywhere: bool = False, times: int = 1, earlier: bool = False, made: list | None = None) -> DataFrame:
     """target, centre and cost of each pair (once) whose centre accepts the target. targets and centres: seq_id and sequence, in stored tables; the rest as for candidates()."""
     t = targets.where(F.length("sequence") > 0).select(F.col("seq_id").alias("target"), F.col("sequence").alias("t"))
     q = centres.where(F.length("sequence") > 0).select(F.col("seq_id").alias("centre"), F.col("sequence").alias("q"))
-    pairs = candidates(t, q, similarity, mismatches, anywhere, times, earlier)
+    pairs = candidates(t, q, similarity, mismatches, anywhere, times, earlier, made)
     return compared(pairs.join(t, "target").join(q, "centre"), similarity, mismatches, anywhere, times)
 
 
@@ -133,8 +136,10 @@ def recruited(targets: DataFrame, centres: DataFrame, similarity: float, mismatc
 
 def swept(targets: DataFrame, centres: DataFrame, similarities: list[float]) -> DataFrame:
     """similarity, n_recruited and n_centroids for each similarity: the pairs at the lowest one, each with its distance, are kept once, and every other similarity is a filter on them."""
-    least = accepted(targets, centres, min(similarities)).join(centres.select(F.col("seq_id").alias("centre"), F.length("sequence").alias("m"), "ord"), "centre")
+    made: list[DataFrame] = []
+    least = accepted(targets, centres, min(similarities), made=made).join(centres.select(F.col("seq_id").alias("centre"), F.length("sequence").alias("m"), "ord"), "centre")
     priced = kept(least.join(targets.select(F.col("seq_id").alias("target"), F.length("sequence").alias("n")), "target"), "priced")
+    forget(*made)
     each = F.array(*[F.when(F.col("cost") <= allowed(F.col("n"), F.col("m"), s), F.lit(s)) for s in similarities])
     tried = priced.select("target", "centre", "ord", F.explode(each).alias("similarity")).where("similarity is not null")
     best = tried.groupBy("similarity", "target").agg(F.min_by("centre", "ord").alias("centroid"))
