@@ -114,6 +114,8 @@ def test_cluster_files(spark, tmp_path):
 def test_job_and_stream(spark, tmp_path):
     reads = spark.createDataFrame([(str(k), "ACGTTGCA" * 5 + "ACGT"[k % 4] * (k % 3), k) for k in range(40)], "seq_id string, sequence string, ord long")
     members, rows = cluster.run(reads, cluster.Options(similarity=0.9, rate=0.5, iterations=2, least=2))
+    kept = rows.collect()
+    assert set(cluster.FIGURES) <= set(kept[0].asDict()) and all(r.minutes > 0 and r.minutes_cluster > 0 and r.n_clustered == (r.n_clustered_bait if r.n_clusters_shift is None else r.n_clustered_shift) for r in kept)
     assert rows.count() == 2 and members.count() == members.select("seq_id").distinct().count() > 0
     assert summary.cluster_summary(members).agg({"density": "sum"}).first()[0] == members.count()
     reads.select("seq_id", "sequence").write.parquet(str(tmp_path / "in"))
@@ -154,3 +156,18 @@ def test_stream_that_fails_and_starts_again_keeps_the_batch_summary(spark, tmp_p
     rows_in = lambda df: sorted((r.centroid, r.density, r["mode"], r.mode_seq) for r in df.collect())
     assert rows_in(streaming.summary(spark, out)) == rows_in(want) and len(rows_in(want)) == 3
     assert streaming.members(spark, out).count() == 48
+
+
+def test_sweep_from_the_command_line(spark, tmp_path, monkeypatch):
+    (tmp_path / "r.fasta").write_text(">r1\nACGT\n>r2\nAC\n")
+    seen = []
+
+    def run(reads, options):
+        seen.append(options)
+        return None, spark.createDataFrame([(reads.count(), options.rate)], "n long, rate double")
+
+    monkeypatch.setattr(cluster, "run", run)
+    cluster.main([str(tmp_path / "r.fasta"), str(tmp_path / "out"), "--rate", "0.9", "--stop-when-done", "--sweep", "0.01", "0.02"])
+    rows = spark.read.parquet(str(tmp_path / "out" / "sweep")).collect()
+    assert {(r.variant, r.n, r.rate) for r in rows} == {(v, 2, 0.9) for v in [*(f"adaptive={a} shift={m}" for a in (True, False) for m in (True, False)), "delta=0.01", "delta=0.02"]}
+    assert {(o.adaptive, o.mode_shift) for o in seen[:4]} == {(a, m) for a in (True, False) for m in (True, False)} and [o.delta for o in seen[4:]] == [0.01, 0.02] and all(o.stop_when_done for o in seen)
