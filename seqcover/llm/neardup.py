@@ -67,6 +67,11 @@ def parities(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
 
 
+def folded(x: np.ndarray) -> int:
+    """Parities of 64 classes of hashes, as one number: sets that differ in d hashes differ in d of its bits at most."""
+    return int(np.packbits(np.bincount((x % np.uint64(64)).astype(np.int64), minlength=64) & 1).view("<i8")[0])
+
+
 def sets(docs: DataFrame) -> DataFrame:
     """id (the last one for null), node (which names the set), size, fp (its fingerprint), parities and hashes of every row."""
 
@@ -94,16 +99,17 @@ def _common(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first(own: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """shingle, node, n and left (the shingles from this one on) of the first shingles of every set."""
+    """shingle, node, n, left (the shingles from this one on) and folded (64 parities) of the first shingles of every set."""
     shared = own.sparkSession.sparkContext.broadcast(often)
 
     def each(batch: pa.RecordBatch):
         values, counts = shared.value
         for part in common.slices(batch):
-            out, sizes = [], []
+            out, sizes, odd = [], [], []
             for raw in part.column("hashes").to_pylist():
                 h = np.frombuffer(raw, "<u8")
                 n = len(h)
+                odd.append(folded(h))
                 if len(values):
                     at = np.minimum(np.searchsorted(values, h), len(values) - 1)
                     h = h[np.argsort(np.where(values[at] == h, counts[at], 0), kind="stable")]
@@ -115,9 +121,10 @@ def _first(own: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 "node": np.repeat(part.column("node").to_numpy(), taken),
                 "n": np.repeat(np.array(sizes, np.int32), taken),
                 "left": np.concatenate([np.arange(n, n - k, -1, dtype=np.int32) for n, k in zip(sizes, taken, strict=True)]),
+                "folded": np.repeat(np.array(odd, np.int64), taken),
             }
 
-    return common.arrow_map(own.select("node", "hashes"), each, "shingle long, node long, n int, left int")
+    return common.arrow_map(own.select("node", "hashes"), each, "shingle long, node long, n int, left int, folded long")
 
 
 def _whole(batches):
@@ -146,18 +153,18 @@ def _several(batches):
 
 
 def _pairs(farthest: int | None):
-    """Pairs of a bucket that lie at most `farthest` rows apart (None: all), have enough left and aren't linked."""
+    """Pairs of a bucket that lie at most `farthest` rows apart (None: all), have enough left, aren't linked and whose parities don't rule out that they are similar."""
 
     def run(batches):
         for table in _whole(batches):
-            s, node, root, n, left = (table.column(c).to_numpy() for c in ("shingle", "node", "root", "n", "left"))
-            n, left = n.astype(np.int64), left.astype(np.int64)
+            s, node, root, n, left, odd = (table.column(c).to_numpy() for c in ("shingle", "node", "root", "n", "left", "folded"))
+            n, left, odd = n.astype(np.int64), left.astype(np.int64), odd.view(np.uint64)
             i, d = np.arange(len(s) - 1), 1
             while len(i) and (farthest is None or d <= farthest):
                 i = i[i + d < len(s)]
                 i = i[s[i] == s[i + d]]
                 j = i + d
-                good = (root[i] != root[j]) & (9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j]))
+                good = (root[i] != root[j]) & (9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])) & (9 * np.bitwise_count(odd[i] ^ odd[j]).astype(np.int64) <= n[i] + n[j])
                 a, b = node[i[good]], node[j[good]]
                 for k in range(0, len(a), PAIRS):
                     x, y = a[k : k + PAIRS], b[k : k + PAIRS]
@@ -205,6 +212,7 @@ def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
     all pairs that parities leave are similar, these are few.
     """
     left, found = common.stored(_possible(pairs, own), "possible"), None
+    common.forget(pairs)
     for last in (False, True):
         picked = left if last else common.stored(left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "picked")
         near = common.stored(_similar(picked, own), "links")
@@ -217,10 +225,12 @@ def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         after = common.stored(apart.where(root("a") != root("b")).select("a", "b"), "possible")
-        common.forget(left)
+        for table in (left, picked, roots):
+            common.forget(table)
         left = after
         if left.isEmpty():
             break
+    common.forget(left)
     return found
 
 
@@ -235,9 +245,11 @@ def links(own: DataFrame) -> DataFrame:
     for k in range(CHAINS + 1):
         roots = common.stored(graph.components(edges), "roots")
         now = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        dealt = now.select("shingle", "node", "root", "n", "left").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+        dealt = now.select("shingle", "node", "root", "n", "left", "folded").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
         pairs = common.stored(dealt.mapInArrow(_pairs(1 if k < CHAINS else None), "a long, b long").distinct(), "pairs")
+        common.forget(roots)
         edges = edges.union(_compared(pairs, own))
+    common.forget(rows)
     return edges
 
 
