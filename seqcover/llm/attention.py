@@ -282,14 +282,26 @@ class Adam:
         self.m, self.v, self.t = {n: np.zeros_like(x) for n, x in p.items()}, {n: np.zeros_like(x) for n, x in p.items()}, 0
 
     def step(self, p: dict, g: dict, rate: float) -> None:
+        """Changes p; g is used up."""
         self.t += 1
         norm = float(np.sqrt(sum(np.vdot(x, x) for x in g.values())))
         scale = np.float32(min(1.0, LARGEST / max(norm, 1e-30)))
+        rate, even = np.float32(rate / (1 - 0.9**self.t)), np.float32((1 - 0.99**self.t) ** -0.5)
         for n in p:
-            x = g[n] * scale
-            self.m[n] += 0.1 * (x - self.m[n])
-            self.v[n] += 0.01 * (x * x - self.v[n])
-            p[n] -= np.float32(rate) * (self.m[n] / (1 - 0.9**self.t)) / (np.sqrt(self.v[n] / (1 - 0.99**self.t)) + 1e-8)
+            x, m, v = g[n], self.m[n], self.v[n]
+            x *= scale
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            v *= np.float32(0.99)
+            x *= x
+            x *= np.float32(0.01)
+            v += x
+            np.sqrt(v, out=x)
+            x *= even
+            x += np.float32(1e-8)
+            np.divide(m, x, out=x)
+            x *= rate
+            p[n] -= x
 
 
 def packed(p: dict) -> bytes:

@@ -42,7 +42,7 @@ CONTEXTS = 4096
 ROUNDS, BATCH, RATE = 2, 256, 0.015
 TRAINER_SPANS, LEAST_SPANS = 400_000, 240_000
 #: Spans that are made, and that are scored, at a time.
-MADE, CHUNK = 4096, 256
+MADE, CHUNK = 4096, 512
 CACHED = 300_000
 END = ""
 
@@ -230,22 +230,23 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
         empty = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
         for batch in (part for whole in batches for part in common.slices(whole)):
             ids, n = batch.column("doc_id").to_pylist(), batch.num_rows
-            number, words, bounds = _words(batch)
-            document, n_words = np.repeat(np.arange(n), np.diff(bounds)), np.diff(bounds)
-            scores = _scores(shape, p, ready, _spelt(get, number, words, bounds))
-            got = [known.get(w) for w in words]
-            is_rare = np.array([b is None for b in got], bool)[number] if words else np.zeros(0, bool)
-            sums = np.bincount(document, np.array([b or 0.0 for b in got])[number] if words else None, n) + end_base
-            n_known = n_words - np.bincount(document[is_rare], minlength=n) + end_known
+            own = [tokens(t) for t in common.texts(batch)]
+            scores = _scores(shape, p, ready, [get.ids(x) for x in own])
+            got = [[known.get(w) for w in x] for x in own]
+            sums = [sum(b for b in x if b is not None) + end_base for x in got]
             # rare words of each document, and how often
-            code, times = np.unique(document[is_rare] * max(1, len(words)) + number[is_rare], return_counts=True)
+            rare = [Counter(w for w, b in zip(x, y, strict=True) if b is None) for x, y in zip(own, got, strict=True)]
+            n_words = np.array([len(x) for x in own], np.int64)
+            n_known = n_words - np.array([x.total() for x in rare], np.int64) + end_known
             at = np.arange(key, key + n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(n_words + 1), pa.array(n_known), pa.array(sums), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()]), pa.array(np.zeros(n, np.int64))],
+                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(n_words + 1), pa.array(n_known), pa.array(sums, pa.float64()), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()]), pa.array(np.zeros(n, np.int64))],
                 names=["key", *empty, "word", "times"],
             )
-            spelt = pa.array([w.decode() for w in words], pa.string()).take(pa.array(code % max(1, len(words))))
-            yield pa.RecordBatch.from_arrays([pa.array(key + code // max(1, len(words))), *(pa.nulls(len(code), t) for t in empty.values()), spelt, pa.array(times)], names=["key", *empty, "word", "times"])
+            size_of = [len(x) for x in rare]
+            spelt = pa.array([w.decode() for x in rare for w in x], pa.string())
+            times = pa.array([t for x in rare for t in x.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, size_of)), *(pa.nulls(len(spelt), t) for t in empty.values()), spelt, times], names=["key", *empty, "word", "times"])
             key += n
 
     made = docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word string, times long")
@@ -257,26 +258,6 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("found")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
 
 
-def _words(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The number of each token of a batch's texts, the distinct tokens, and where each text's begin (and the last one's end)."""
-    own = [tokens(t) for t in common.texts(batch)]
-    coded = pa.array([w for x in own for w in x], pa.large_binary()).dictionary_encode()
-    number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-    bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
-    return number, words, bounds
-
-
-def _spelt(get: Subwords, number: np.ndarray, words: list[bytes], bounds: np.ndarray) -> list[np.ndarray]:
-    """The subword ids of each text and its end, from numbered words."""
-    spelt = [np.frombuffer(get[w], "<u2") for w in words]
-    sizes = np.array([len(x) for x in spelt], np.int64)
-    flat, starts, own = np.concatenate([*spelt, np.zeros(0, "<u2")]).astype(np.int64), np.cumsum(sizes) - sizes, sizes[number]
-    ends = np.cumsum(own)
-    ids = flat[np.arange(int(own.sum())) + np.repeat(starts[number] - (ends - own), own)]
-    cuts, end = np.concatenate([[0], ends])[bounds].tolist(), np.frombuffer(get.end, "<u2").astype(np.int64)
-    return [np.concatenate([ids[a:b], end]) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
 def _scores(shape: attention.Shape, p: dict, ready: dict, documents: list[np.ndarray]) -> np.ndarray:
     spans, out = attention.Spans(shape, documents), np.zeros(len(documents))
     for k in range(0, len(spans), CHUNK):
