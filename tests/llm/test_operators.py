@@ -94,6 +94,33 @@ def test_forest_tells_bad_from_good(spark):
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.4
 
 
+def test_forest_counts_every_labelled_row(spark):
+    """More labelled rows than any bound there was: path lengths and threshold equal those from all rows, held together in one place."""
+    word = "concat(if(id % 10 = 0 and k % 4 = 0, '#', 'w'), substr(md5(concat(id, ' ', k)), 1, 2 + id % 7))"
+    docs = spark.range(20_500).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(1, cast(52 + id % 30 as int)), k -> {word})) as text")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 20 = 0, 0.0, 1.0) as quality")
+    forest = quality.fit(docs, labels)
+    grows = "pmod(xxhash64(doc_id, 'half'), 2) = 0 as grows"
+    rows = quality.verdicts(docs, None).where("not base_failed").selectExpr(*quality.COUNTS, "doc_id % 20 > 0 as good", grows).toPandas()
+    assert len(rows) > 20_000
+    x, good, grows = quality.features(rows[quality.COUNTS].to_numpy()), rows["good"].to_numpy(), rows["grows"].to_numpy()
+    for t in range(0, quality.TREES, 9):
+        todo = [(0, 0, x[good & grows])]
+        while todo:
+            node, depth, own = todo.pop()
+            if depth == quality.DEPTH or len(own) < 2 or np.isinf(forest.split[t, node]):
+                first, last = node, node
+                for _ in range(quality.DEPTH - depth):
+                    first, last = 2 * first + 1, 2 * last + 2
+                assert np.allclose(forest.length[t, first : last + 1], depth + quality._path(len(own)), rtol=1e-12)
+            else:
+                above = own[:, forest.feature[t, node]] > forest.split[t, node]
+                todo += [(2 * node + 1, depth + 1, own[~above]), (2 * node + 2, depth + 1, own[above])]
+    g, b = (np.ceil(forest.scores(x[~grows & w]) * quality.STEPS) for w in (good, ~good))
+    best = max((np.mean(g <= c) + np.mean(b > c), -c) for c in np.unique(np.append(g, b)) if np.mean(g <= c) >= 1 - quality.MAX_LOST)
+    assert math.isclose(forest.threshold * quality.STEPS, -best[1])
+
+
 # line dedup
 
 
