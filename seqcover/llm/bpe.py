@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import numpy as np
 import public_tokenizers
@@ -27,6 +28,9 @@ from . import common
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct pieces whose ids a Python worker keeps, the longest of them in characters, and pairs of tokens that it keeps answers for.
 CACHED, CACHED_CHARS, PAIRS = 100_000, 64, 250_000
+TEXTS = 256
+#: Bytes at the end of a prefix by which the lengths that its last token may have are looked up.
+TAIL = 4
 
 
 class Vocabulary:
@@ -38,6 +42,11 @@ class Vocabulary:
         self.longest = max(map(len, ranks), default=0)
         self._stable: dict[int, bool] = {}
         self._apart: dict[int, bool] = {}
+        ends: dict[bytes, set[int]] = {}
+        for token in ranks:
+            ends.setdefault(token[-TAIL:], set()).add(len(token))
+        #: Lengths of the tokens that end in these TAIL bytes, and of shorter ones that may, the longest first.
+        self.lengths = {tail: tuple(sorted(own | set(range(1, TAIL)), reverse=True)) for tail, own in ends.items() if len(tail) == TAIL}
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -46,12 +55,17 @@ class Vocabulary:
 
     def merged(self, piece: bytes) -> list[int]:
         """The merges carried out one by one: the definition, for short strings."""
+        rank, none = self.rank.get, 1 << 40
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            best, at = min((self.rank.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
-                break
+        pairs = [rank(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := min(pairs)) < none:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
         return [self.rank[x] for x in parts]
 
     def stable(self, token: int) -> bool:
@@ -61,14 +75,35 @@ class Vocabulary:
         return known
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether the merges leave the two tokens side by side."""
+        """Whether the merges turn the bytes of the right token into it, and leave the two tokens, the left one being stable, side by side."""
         pair = left << 32 | right
         if (known := self._apart.get(pair)) is None:
             if len(self._apart) >= PAIRS:
                 self._apart.clear()
-            known = self._apart[pair] = self.merged(self.bytes[left] + self.bytes[right]) == [left, right]
+            known = self._apart[pair] = self.stable(right) and self._parted(self.bytes[left], self.bytes[right])
         return known
 
+    def _parted(self, left: bytes, right: bytes) -> bool:
+        """Whether no merge of both strings' bytes joins the one to the other."""
+        rank, none, piece, first = self.rank.get, 1 << 40, left + right, len(left)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        pairs = [rank(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+        while (best := min(pairs)) < none:
+            at = pairs.index(best)
+            if at == first - 1:
+                return False
+            first -= at < first
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(pairs):
+                pairs[at] = rank(parts[at] + parts[at + 1], none)
+        return len(parts) == 2
+
+
+_SHORT = tuple(range(TAIL - 1, 0, -1))
+
 
 class Prefixes:
     """The last token of every prefix of one piece."""
@@ -79,9 +114,15 @@ class Prefixes:
 
     def _last(self, end: int) -> int:
         v, piece, last = self.vocabulary, self.piece, self.last
-        for length in range(min(end, v.longest), 0, -1):
-            token = v.rank.get(piece[end - length : end])
-            if token is not None and v.stable(token) and (length == end or v.apart(last[end - length], token)):
+        rank, apart = v.rank.get, v._apart.get
+        for length in v.lengths.get(piece[end - TAIL : end], _SHORT) if end >= TAIL else _SHORT:
+            if length > end or (token := rank(piece[end - length : end])) is None:
+                continue
+            if length == end:
+                good = v.stable(token)
+            elif (good := apart(last[end - length] << 32 | token)) is None:
+                good = v.apart(last[end - length], token)
+            if good:
                 return token
         raise ValueError(f"the vocabulary lacks byte {piece[end - 1]}")
 
@@ -91,6 +132,15 @@ class Prefixes:
         for end in range(start + 1, len(self.piece) + 1):
             self.last.append(self._last(end))
 
+    def turn(self, piece: bytes) -> None:
+        """Becomes another piece; prefixes that both have stay."""
+        was, same, most = self.piece, 0, min(len(self.piece), len(piece))
+        while same < most and was[same] == piece[same]:
+            same += 1
+        del self.last[same + 1 :]
+        self.piece = was[:same]
+        self.append(piece[same:])
+
     def replace(self, at: int, gone: int, new: bytes) -> int:
         """Puts new in the place of gone bytes from at on; returns how many prefixes were computed again."""
         tail = self.last[at + gone + 1 :]
@@ -166,16 +216,29 @@ class _Ids(dict):
         super().__init__()
         self.vocabulary, self.older = vocabulary, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        made = self.older.get(piece)
-        if made is None:
-            made = np.array(Prefixes(self.vocabulary, piece.encode()).ids(), "<u4").tobytes()
-        if len(piece) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = made
-        return made
+    def learn(self, pieces: set[str]) -> None:
+        """Takes in all pieces. New ones are encoded in order, each from the prefixes that it shares with the one before."""
+        if len(self) >= CACHED:
+            self.older = dict(self)
+            self.clear()
+        new = pieces.difference(self)
+        again = new & self.older.keys()
+        self.update((x, self.older[x]) for x in again)
+        prefixes, rank = Prefixes(self.vocabulary), self.vocabulary.rank.get
+        for piece in sorted(new - again):
+            raw = piece.encode()
+            if (token := rank(raw)) is None:
+                prefixes.turn(raw)
+                ids = prefixes.ids()
+                self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                self[piece] = token.to_bytes(4, "little")
+
+    def forget(self, pieces: set[str]) -> None:
+        """Drops the long ones of pieces."""
+        for piece in pieces:
+            if len(piece) > CACHED_CHARS:
+                self.pop(piece, None)
 
 
 _loaded: dict[str, tuple[Vocabulary, _Ids, list[bytes]]] = {}
@@ -189,6 +252,17 @@ def loaded(path: str) -> tuple[Vocabulary, _Ids, list[bytes]]:
     return _loaded[path]
 
 
+def _encoded(texts: pa.Array, split, ids_of: _Ids):
+    """Each text (null: empty) and its ids; the pieces of TEXTS texts are encoded together."""
+    for k in range(0, len(texts), TEXTS):
+        some = [x or "" for x in texts[k : k + TEXTS].to_pylist()]
+        cut = [split(x) for x in some]
+        pieces = set().union(*cut)
+        ids_of.learn(pieces)
+        yield from zip(some, [b"".join(map(ids_of.__getitem__, own)) for own in cut], strict=True)
+        ids_of.forget(pieces)
+
+
 def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, digests: bool = False) -> DataFrame:
     """doc_id, n_tokens and either ids (little-endian unsigned 32-bit) and whether they decode to the text, or both as SHA-256."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -196,10 +270,9 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
 
     def each(batch: pa.RecordBatch) -> dict:
         _, ids_of, token = loaded(path)
-        split, get, spell = regex.compile(pattern).findall, ids_of.__getitem__, token.__getitem__
+        split, spell = regex.compile(pattern).findall, token.__getitem__
         counts, first, second = [], [], []
-        for text in batch.column("text").to_pylist():
-            ids = b"".join(map(get, split(text or "")))
+        for text, ids in _encoded(batch.column("text"), split, ids_of):
             decoded = b"".join(map(spell, np.frombuffer(ids, "<u4").tolist()))
             counts.append(len(ids) // 4)
             if digests:
@@ -207,7 +280,7 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str = public_toke
                 second.append(hashlib.sha256(decoded).hexdigest())
             else:
                 first.append(ids)
-                second.append(decoded == (text or "").encode())
+                second.append(decoded == text.encode())
         names = ("ids_sha256", "decoded_sha256") if digests else ("ids", "round_trip")
         return {"doc_id": batch.column("doc_id").cast(pa.int64()), "n_tokens": counts, names[0]: first, names[1]: second}
 

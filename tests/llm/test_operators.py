@@ -264,6 +264,22 @@ def test_bpe_appends_and_edits():
     assert piece.ids() == bpe.Prefixes(v, piece.piece).ids() and redone < 120
 
 
+def test_new_pieces_share_prefixes(monkeypatch):
+    """Pieces learnt together have the ids that they have alone, for less than a prefix each of their bytes; equal whatever the vocabulary leaves out."""
+    v = bpe.Vocabulary.load(public_tokenizers.path(bpe.VOCABULARY))
+    pieces = {"", "é", "unbelievable", *(f" unbeliev{a}{b}zq" for a in "abcdeéß" for b in "xyz"), *("qx" * k for k in range(1, 40)), "#" * 300, "1" * 77}
+    done, last = [], bpe.Prefixes._last
+    monkeypatch.setattr(bpe.Prefixes, "_last", lambda self, end: done.append(end) or last(self, end))
+    ids = bpe._Ids(v)
+    ids.learn(pieces)
+    assert len(done) < 0.5 * sum(len(x.encode()) for x in pieces)
+    for x in pieces:
+        raw = x.encode()
+        assert np.frombuffer(ids[x], "<u4").tolist() == ([v.rank[raw]] if raw in v.rank else v.merged(raw)) == tiktoken.Encoding("all", pat_str="(?s).+", mergeable_ranks=v.rank, special_tokens={}).encode(x)
+    ids.forget(pieces)
+    assert all(len(x) <= bpe.CACHED_CHARS for x in ids)
+
+
 # substring dedup
 
 
