@@ -13,11 +13,17 @@ So each set goes to the buckets of its first shingles, and all pairs of a bucket
 whole sets are compared. The order has shingles of many texts last (counted in one text of SAMPLE; the count decides how
 large buckets get, not what is found).
 
-Each set has BITS parities of its shingles. Those that differ between two sets are no more than the shingles that only one
-of them has, of which a ninth of both sizes is allowed; so pairs with more are left out before whole sets are moved.
+Each set has parities of its shingles, by classes of hashes, about as many as it has shingles. Those that differ between
+two sets are no more than the shingles that only one of them has, of which a ninth of both sizes is allowed; so pairs
+with more are left out: by BITS parities within a bucket, before a pair becomes a row, and by all of them before whole
+sets are moved.
 
-Before all pairs of a bucket are taken, CHAINS rounds compare only neighbours in it; pairs that links connect already
-aren't compared again, so that large groups of copies don't make a pair for each two of their members.
+Before all pairs of a bucket are taken, CHAINS rounds take of each bucket only a forest: no more pairs than it has rows,
+which connect what all its pairs that parities leave would. Pairs that links connect already aren't compared again, so
+that large groups of copies don't make a pair for each two of their members.
+
+Sets are kept as the words they come from, joined by spaces, which take less room than hashes, and are hashed again
+where they are compared.
 """
 
 from __future__ import annotations
@@ -36,7 +42,8 @@ from . import common, graph, simhash
 SHINGLE = 5
 SAMPLE, COMMON, COMMON_ROWS = 16, 4, 200_000
 BUDGET, CHAINS = 3, 1
-BITS = 512
+#: Parities that rows of buckets have, and the most that a set has.
+BITS, MOST_BITS = 512, 1 << 16
 #: Pairs that a bucket gives at a time.
 PAIRS = 200_000
 
@@ -63,25 +70,30 @@ def fingerprint(x: np.ndarray) -> int:
     return int(np.packbits(2 * bits > len(x), bitorder="little").view("<u8")[0])
 
 
-def parities(x: np.ndarray) -> bytes:
-    return np.packbits(np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def parities(x: np.ndarray, bits: int | None = None) -> bytes:
+    """Of the numbers of hashes in classes: sets that differ in d hashes differ in d bits at most. bits: a power of two; None: as many as a set of this size has."""
+    bits = bits or min(MOST_BITS, max(BITS, 1 << (len(x) - 1).bit_length()))
+    return np.packbits(np.bincount((x % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-def folded(x: np.ndarray) -> int:
-    """Parities of 64 classes of hashes, as one number: sets that differ in d hashes differ in d of its bits at most."""
-    return int(np.packbits(np.bincount((x % np.uint64(64)).astype(np.int64), minlength=64) & 1).view("<i8")[0])
+def unlike(x: bytes, y: bytes) -> int:
+    """How many parities differ, out of as many as both sets have: classes modulo a half are those modulo the whole, two by two."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b)), 0) ^ b).sum(dtype=np.int64))
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """id (the last one for null), node (which names the set), size, fp (its fingerprint), parities and hashes of every row."""
+    """id (the last one for null), node (which names the set), size, fp (its fingerprint), odd (BITS parities), parities and words of every row."""
 
     def each(batch: pa.RecordBatch):
         for part in common.slices(batch):
-            found = [shingles(x) for x in common.texts(part)]
-            own = [x.tobytes() for x in found]
-            yield {"id": pc.fill_null(part.column("doc_id").cast(pa.int64()), simhash.LAST), "node": np.array([xxhash.xxh64_intdigest(x, 42) for x in own], np.uint64).view(np.int64), "size": [len(x) for x in found], "fp": np.array([fingerprint(x) for x in found], np.uint64).view(np.int64), "parities": [parities(x) for x in found], "hashes": own}
+            words = [b" ".join(x.lower().split()) for x in common.texts(part)]
+            found = [shingles(x) for x in words]
+            yield {"id": pc.fill_null(part.column("doc_id").cast(pa.int64()), simhash.LAST), "node": np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in found], np.uint64).view(np.int64), "size": [len(x) for x in found], "fp": np.array([fingerprint(x) for x in found], np.uint64).view(np.int64), "odd": [parities(x, BITS) for x in found], "parities": [parities(x) for x in found], "words": words}
 
-    return common.arrow_map(docs.select("doc_id", "text"), each, "id long, node long, size long, fp long, parities binary, hashes binary")
+    return common.arrow_map(docs.select("doc_id", "text"), each, "id long, node long, size long, fp long, odd binary, parities binary, words binary")
 
 
 def _common(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +101,9 @@ def _common(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def each(batch: pa.RecordBatch):
         for part in common.slices(batch):
-            yield {"shingle": np.frombuffer(b"".join(part.column("hashes").to_pylist()), "<i8")}
+            yield {"shingle": np.concatenate([shingles(x) for x in part.column("words").to_pylist()]).view(np.int64)}
 
-    some = common.arrow_map(own.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("hashes"), each, "shingle long")
+    some = common.arrow_map(own.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("words"), each, "shingle long")
     rows = some.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "shingle").limit(COMMON_ROWS).collect()
     found, n = np.array([r.shingle for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
     order = np.argsort(found)
@@ -99,17 +111,16 @@ def _common(own: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first(own: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """shingle, node, n, left (the shingles from this one on) and folded (64 parities) of the first shingles of every set."""
+    """shingle, node, n and left (the shingles from this one on) of the first shingles of every set."""
     shared = own.sparkSession.sparkContext.broadcast(often)
 
     def each(batch: pa.RecordBatch):
         values, counts = shared.value
         for part in common.slices(batch):
-            out, sizes, odd = [], [], []
-            for raw in part.column("hashes").to_pylist():
-                h = np.frombuffer(raw, "<u8")
+            out, sizes = [], []
+            for words in part.column("words").to_pylist():
+                h = shingles(words)
                 n = len(h)
-                odd.append(folded(h))
                 if len(values):
                     at = np.minimum(np.searchsorted(values, h), len(values) - 1)
                     h = h[np.argsort(np.where(values[at] == h, counts[at], 0), kind="stable")]
@@ -121,10 +132,9 @@ def _first(own: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 "node": np.repeat(part.column("node").to_numpy(), taken),
                 "n": np.repeat(np.array(sizes, np.int32), taken),
                 "left": np.concatenate([np.arange(n, n - k, -1, dtype=np.int32) for n, k in zip(sizes, taken, strict=True)]),
-                "folded": np.repeat(np.array(odd, np.int64), taken),
             }
 
-    return common.arrow_map(own.select("node", "hashes"), each, "shingle long, node long, n int, left int, folded long")
+    return common.arrow_map(own.select("node", "words"), each, "shingle long, node long, n int, left int")
 
 
 def _whole(batches):
@@ -144,32 +154,62 @@ def _whole(batches):
         yield pa.Table.from_batches(held)
 
 
+def _within(table: pa.Table):
+    """Places i and j of pairs of a bucket with enough left to be similar, in portions; a bucket's rows are in order of n."""
+    s, n, left = (table.column(c).to_numpy() for c in ("shingle", "n", "left"))
+    n, left = n.astype(np.int64), left.astype(np.int64)
+    i, d = np.arange(len(s) - 1), 1
+    while len(i):
+        i = i[i + d < len(s)]
+        j = i + d
+        i = i[(s[i] == s[j]) & (5 * n[i] >= 4 * n[j])]
+        j = i + d
+        good = 9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])
+        yield i[good], j[good]
+        d += 1
+
+
 def _several(batches):
-    """Rows of the buckets that hold more than one row."""
+    """Rows that another one of their bucket may be similar to."""
     for table in _whole(batches):
-        s = table.column("shingle").to_numpy()
-        same = s[1:] == s[:-1]
-        yield from table.filter(pa.array(np.append(same, False) | np.append(False, same))).to_batches()
+        kept = np.zeros(table.num_rows, bool)
+        for i, j in _within(table):
+            kept[i] = kept[j] = True
+        yield from table.filter(pa.array(kept)).to_batches()
+
+
+def _forest(i: np.ndarray, j: np.ndarray, root: np.ndarray):
+    """Places among the pairs (i, j) of some that connect the trees, named in root by one of their rows, that all connect; changes root."""
+    at = np.arange(len(i))
+    while len(at := at[root[i[at]] != root[j[at]]]):
+        x, y = root[i[at]], root[j[at]]
+        high, first = np.unique(np.maximum(x, y), return_index=True)
+        yield at[first]
+        root[high] = np.minimum(x, y)[first]
+        while not np.array_equal(up := root[root], root):
+            root[:] = up
 
 
-def _pairs(farthest: int | None):
-    """Pairs of a bucket that lie at most `farthest` rows apart (None: all), have enough left, aren't linked and whose parities don't rule out that they are similar."""
+def _pairs(whole: bool):
+    """Pairs of a bucket that have enough left, aren't linked and whose parities don't rule out that they are similar: all, or (not whole) some that connect what these connect."""
 
     def run(batches):
         for table in _whole(batches):
-            s, node, root, n, left, odd = (table.column(c).to_numpy() for c in ("shingle", "node", "root", "n", "left", "folded"))
-            n, left, odd = n.astype(np.int64), left.astype(np.int64), odd.view(np.uint64)
-            i, d = np.arange(len(s) - 1), 1
-            while len(i) and (farthest is None or d <= farthest):
-                i = i[i + d < len(s)]
-                i = i[s[i] == s[i + d]]
-                j = i + d
-                good = (root[i] != root[j]) & (9 * np.minimum(left[i], left[j]) >= 4 * (n[i] + n[j])) & (9 * np.bitwise_count(odd[i] ^ odd[j]).astype(np.int64) <= n[i] + n[j])
-                a, b = node[i[good]], node[j[good]]
-                for k in range(0, len(a), PAIRS):
-                    x, y = a[k : k + PAIRS], b[k : k + PAIRS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-                d += 1
+            s, node, root, n = (table.column(c).to_numpy() for c in ("shingle", "node", "root", "n"))
+            odd = np.frombuffer(b"".join(table.column("odd").to_pylist()), "<u8").reshape(-1, BITS // 64)
+            n = n.astype(np.int64)
+            _, first, tree = np.unique(np.stack([s, root]), axis=1, return_index=True, return_inverse=True) if len(s) else (None, s, s)
+            tree = first[tree.reshape(-1)]
+            for i, j in _within(table):
+                apart = tree[i] != tree[j]
+                i, j = i[apart], j[apart]
+                for k in range(0, len(i), PAIRS):
+                    x, y = i[k : k + PAIRS], j[k : k + PAIRS]
+                    near = 9 * np.bitwise_count(odd[x] ^ odd[y]).sum(1, dtype=np.int64) <= n[x] + n[y]
+                    x, y = x[near], y[near]
+                    for at in [slice(None)] if whole else _forest(x, y, tree):
+                        a, b = node[x[at]], node[y[at]]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
@@ -182,8 +222,8 @@ def _possible(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """The pairs (a, b) whose parities don't rule out that they are similar."""
 
     def each(batch: pa.RecordBatch) -> dict:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("x", "y"))
-        near = pa.array(9 * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= batch.column("m").to_numpy() + batch.column("n").to_numpy())
+        differ = [unlike(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+        near = pa.array(9 * np.array(differ, np.int64) <= batch.column("m").to_numpy() + batch.column("n").to_numpy())
         return {"a": batch.column("a").filter(near), "b": batch.column("b").filter(near)}
 
     both = pairs.join(_side(own, "a", "x", "parities", "m"), "a").join(_side(own, "b", "y", "parities", "n"), "b")
@@ -196,12 +236,12 @@ def _similar(pairs: DataFrame, own: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch):
         for part in common.slices(batch):
             x, y = (part.column(c).to_pylist() for c in ("x", "y"))
-            near = pa.array([similar(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")) for p, q in zip(x, y, strict=True)], pa.bool_())
+            near = pa.array([similar(shingles(p), shingles(q)) for p, q in zip(x, y, strict=True)], pa.bool_())
             yield {"a": part.column("a").filter(near), "b": part.column("b").filter(near)}
 
     nodes = common.stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
     sets = own.join(F.broadcast(nodes) if common.count_rows(nodes) <= simhash.BROADCAST_IDS else nodes, "node", "left_semi")
-    both = pairs.join(_side(sets, "a", "x", "hashes"), "a").join(_side(sets, "b", "y", "hashes"), "b")
+    both = pairs.join(_side(sets, "a", "x", "words"), "a").join(_side(sets, "b", "y", "words"), "b")
     return common.arrow_map(both.select("a", "b", "x", "y"), each, "a long, b long")
 
 
@@ -235,18 +275,18 @@ def _compared(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def links(own: DataFrame) -> DataFrame:
-    """From sets (node, size, fp, parities, hashes), each once: edges a, b that connect what similar pairs connect."""
+    """From sets (node, size, fp, odd, parities, words), each once: edges a, b that connect what similar pairs connect."""
     by_print = common.stored(own.groupBy("fp").agg(F.min("node").alias("id")), "prints")
     same = own.select("fp", "node").join(by_print, "fp").where("node <> id").select(F.col("node").alias("a"), F.col("id").alias("b"))
     ordered = lambda pairs: pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     edges = _compared(common.stored(ordered(simhash.links(by_print, BUDGET).union(same)), "pairs"), own)
-    rows = _first(own, _common(own)).repartition("shingle").sortWithinPartitions("shingle")
+    rows = _first(own, _common(own)).repartition("shingle").sortWithinPartitions("shingle", "n")
     rows = common.stored(rows.mapInArrow(_several, rows.schema), "buckets")
     for k in range(CHAINS + 1):
         roots = common.stored(graph.components(edges), "roots")
-        now = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        dealt = now.select("shingle", "node", "root", "n", "left", "folded").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
-        pairs = common.stored(dealt.mapInArrow(_pairs(1 if k < CHAINS else None), "a long, b long").distinct(), "pairs")
+        now = rows.join(own.select("node", "odd").join(roots, "node", "left"), "node").withColumn("root", F.coalesce("root", "node"))
+        dealt = now.select("shingle", "node", "root", "n", "left", "odd").repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+        pairs = common.stored(dealt.mapInArrow(_pairs(k == CHAINS), "a long, b long").distinct(), "pairs")
         common.forget(roots)
         edges = edges.union(_compared(pairs, own))
     common.forget(rows)
@@ -255,7 +295,7 @@ def links(own: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The stored sets, id and node of every row of docs, and the edges between nodes."""
-    own = common.stored(sets(docs), "sets")
+    own = common.stored(sets(docs), "sets", "zstd")
     names = own.select("id", "node")
     classes = common.stored(names.groupBy("node").agg(F.min("id").alias("id")), "classes")
     again = common.stored(names.join(classes.withColumnRenamed("id", "first"), "node").where("id <> first").select("id", "node").distinct(), "again")
@@ -266,7 +306,7 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     if n := common.count_rows(repeated):  # of rows with one id and equal texts, one
         some = F.broadcast(repeated) if n <= simhash.BROADCAST_IDS else repeated
         once = once.join(some, "node", "left_anti").unionByName(once.join(some, "node", "left_semi").dropDuplicates(["node"]))
-    return own, names, links(once.select("node", "size", "fp", "parities", "hashes"))
+    return own, names, links(once.select("node", "size", "fp", "odd", "parities", "words"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:

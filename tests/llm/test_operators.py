@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -251,7 +252,7 @@ def test_bpe_appends_and_edits():
 
     v, library = coding()
     rng, letters = random.Random(2), "abcdefgthe ñé\n  '0123!!#=—中"
-    for _ in range(300):
+    for _ in range(200):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(50)))
         edited = bpe.EditedText(v, text)
         at = rng.randint(0, len(text))
@@ -801,6 +802,41 @@ def test_near_dedup_equals_brute_force(spark, documents, odd, none, chains, monk
     assert stage(spark, none, SMALL).count() == 0 and stage(spark, odd, SMALL).columns == odd.columns
 
 
+def test_near_dedup_of_a_large_group_makes_few_rows(spark, monkeypatch):
+    rng, made, stored = np.random.default_rng(5), Counter(), common.stored
+    base, texts = [f"word{x}" for x in range(300)], []
+    for _ in range(200):
+        own = list(base)
+        for at in rng.choice(len(own), int(rng.integers(4, 12)), replace=False):
+            own[at] = f"x{rng.integers(10**6)}"
+        texts.append(" ".join(own))
+
+    def counted(df, name, *more):
+        out = stored(df, name, *more)
+        made[name] = max(made[name], out.count())
+        if name == "sets":
+            made["bytes"] = sum(os.path.getsize(x.removeprefix("file:").replace("///", "/")) for x in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(common, "stored", counted)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()} == slow_similar(rows)
+    assert made["pairs"] <= 5 * len(texts)
+    assert made["bytes"] <= sum(map(len, texts))
+
+
+def test_parities_never_rule_out_similar_sets():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 40, 600, 3000):
+        x = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        for d in (0, n // 9, n // 5):
+            y = np.unique(np.concatenate([x[d:], rng.integers(0, 1 << 64, int(rng.integers(0, d + 1)), np.uint64)]))
+            apart = len(np.setxor1d(x, y))
+            assert neardup.unlike(neardup.parities(x), neardup.parities(y)) <= apart
+            assert neardup.unlike(neardup.parities(x, neardup.BITS), neardup.parities(y)) <= apart
+
+
 def test_pipeline_edges(spark, odd, none):
     import corpus_pipeline
 
