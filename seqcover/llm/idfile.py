@@ -46,7 +46,8 @@ class _Mixer:
     """What n blocks side by side know so far; the coder and the decoder run the same steps.
 
     Rows are order 1 and order 2. For each of a block's contexts, `said` has the id that came last behind it and, in the
-    lowest four bits, how sure that is; `true` has the share of a block's predictions, as sure, that came true.
+    lowest four bits, how sure that is; `true` has the share of a block's predictions, as sure, that came true. Blocks
+    that are as sure have these shares side by side: most predictions are unsure, so theirs stay in the processor's cache.
     """
 
     def __init__(self, n: int, counts: np.ndarray):
@@ -54,19 +55,18 @@ class _Mixer:
         self.scale = self.bits + _MORE
         self.total = 1 << self.scale
         self.room = self.total - (1 << self.bits)
-        self.said = np.full(2 * n << _HASHED, -16, np.int32)
-        self.true = np.repeat(np.array([1024, 2048], np.int32), n << 4)
-        self.true[::16] = 64
+        self.lanes = max(1, n - 1).bit_length()
+        self.n, self.said = n, np.full(2 * n << _HASHED, -16, np.int32)
+        self.true = np.repeat(np.array([64, *[1024] * 15, 64, *[2048] * 15], np.int32), 1 << self.lanes)
         # hashes of each rank, behind that of no rank, as the last one for order 1 and order 2 and as the one before it
         mixed = (np.arange(len(counts) + 1, dtype=np.int64) * 0x9E3779B1) & 0xFFFFFFFF
         self.hashed = np.stack([mixed >> (32 - _HASHED), (mixed * 0x85EBCA6B & 0xFFFFFFFF) >> (32 - _HASHED), (mixed >> 5) & ((1 << _HASHED) - 1)])
-        self.n = n
         self.cut(n)
 
     def cut(self, n: int) -> None:
         """The blocks from the n-th on have ended."""
-        lane = np.stack([np.arange(n), self.n + np.arange(n)])
-        self.base, self.rows = lane << _HASHED, lane << 4
+        lane, order = np.arange(n), np.arange(2)[:, None]
+        self.base, self.rows = (order * self.n + lane) << _HASHED, lane + (order << 4 + self.lanes)
 
     def contexts(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
         """From ranks plus one (zero for none): the hashes of order 1 and order 2."""
@@ -81,7 +81,9 @@ class _Mixer:
         self.was = self.said.take(self.at)
         self.sure = self.was & 15
         self.id = self.was >> 4
-        self.row = self.rows + self.sure
+        self.row = self.sure.astype(np.int64)
+        self.row <<= self.lanes
+        self.row += self.rows
         self.share = self.true.take(self.row)
         wide = self.share.astype(np.int64)
         self.f2 = wide[1] * (self.room >> 12)
@@ -123,10 +125,9 @@ def _coded(ranks: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[b
     mixer = _Mixer(n, counts)
     low_, wide_ = np.zeros(n, np.int64), np.full(n, 1 << _WINDOW, np.int64)
     # words of 16 bits, and above them a carry into the word before
-    out, end = np.zeros((2 * most + 8, n), np.uint32), np.zeros(n, np.int64)
-    alive, steps = n, np.zeros((most + 2, n), np.int32)
-    steps[2:] = ranks.T
-    steps[2:] += 1
+    out = np.zeros((n, 2 * most + 8), np.uint32)
+    flat, first = out.reshape(-1), np.arange(n) * out.shape[1]
+    end, alive = first.copy(), n
     for t in range(most):
         if lengths[alive - 1] <= t:
             while lengths[alive - 1] <= t:
@@ -134,7 +135,9 @@ def _coded(ranks: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[b
             mixer.cut(alive)
         k = t % _STEPS
         if not k:
-            some = steps[t : t + _STEPS + 2].astype(np.int64)
+            some = np.zeros((min(_STEPS, most - t) + 2, n), np.int64)
+            some[2 * (not t) :] = ranks[:, max(0, t - 2) : t + _STEPS].T
+            some[2 * (not t) :] += 1
             contexts, ranks_ = mixer.contexts(some[1:-1], some[:-2]), some[2:] - 1
             below, above = mixer.ends.take(ranks_, mode="clip"), mixer.ends.take(ranks_ + 1, mode="clip")
         rank, low, wide = ranks_[k, :alive], low_[:alive], wide_[:alive]
@@ -147,23 +150,31 @@ def _coded(ranks: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> list[b
         wide *= width
         while len(lanes := np.flatnonzero(wide < _NARROW)):
             here, at = low[lanes], end[lanes]
-            out[at, lanes] = here >> _BELOW
+            flat[at] = here >> _BELOW
             end[lanes] = at + 1
             low[lanes] = (here & (_NARROW - 1)) << _WORD
             wide[lanes] <<= _WORD
         mixer.update(rank)
-    lanes = np.arange(n)
     for _ in range(3):
-        out[end, lanes] = low_ >> _BELOW
+        flat[end] = low_ >> _BELOW
         end += 1
         low_ = (low_ & (_NARROW - 1)) << _WORD
-    out = out[: int(end.max(initial=0)) + 1]
-    for k in range(len(out) - 1, 0, -1):
-        out[k - 1] += out[k] >> 16
-    made = np.ascontiguousarray(out.astype(">u2").T)
+    end -= first
+    out = out[:, : int(end.max(initial=0))]
+    while (over := out >> 16).any():
+        out &= (1 << _WORD) - 1
+        out[:, :-1] += over[:, 1:]
+    made = out.astype(">u2")
     return [made[k, : end[k]].tobytes() for k in range(n)]
 
 
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of numbers under 2**48 whose quotient is under 2**27: a float can't round that up to the next whole number, and its division is faster."""
+    out = a.astype(float)
+    out /= b
+    return out.astype(np.int64)
+
+
 def _decoded(blocks: list[bytes], lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
     n, most = len(blocks), int(lengths.max(initial=0))
     mixer = _Mixer(n, counts)
@@ -187,7 +198,7 @@ def _decoded(blocks: list[bytes], lengths: np.ndarray, counts: np.ndarray) -> np
         wide, code = wide_[:alive], code_[:alive]
         mixer.predict(mixer.contexts(out[t + 1, :alive], out[t, :alive]))
         wide >>= mixer.scale
-        target = np.minimum(code // wide, mixer.total - 1)
+        target = np.minimum(_quotient(code, wide), mixer.total - 1)
         hit2 = target < mixer.f2
         hit1 = target < mixer.known
         hit1 &= ~hit2
@@ -196,7 +207,7 @@ def _decoded(blocks: list[bytes], lengths: np.ndarray, counts: np.ndarray) -> np
         target += 1
         target <<= mixer.bits
         target -= 1
-        target //= mixer.left
+        target = _quotient(target, mixer.left)
         rank = at_share.take(target, mode="clip").astype(np.int64)
         np.copyto(rank, mixer.id[0], where=hit1)
         np.copyto(rank, mixer.id[1], where=hit2)
@@ -211,7 +222,8 @@ def _decoded(blocks: list[bytes], lengths: np.ndarray, counts: np.ndarray) -> np
             wide[lanes] = np.maximum(wide[lanes], 1) << _WORD
         code &= (1 << _WINDOW) - 1
         mixer.update(rank)
-        out[t + 2, :alive] = np.clip(rank, 0, len(counts) - 1) + 1
+        rank += 1
+        out[t + 2, :alive] = rank
     return out[2:].T - 1
 
 
@@ -219,20 +231,19 @@ def packed(doc_ids: list[int], documents: list[np.ndarray]) -> bytes:
     """One stripe. Document ids may be any signed 64-bit numbers, repeated or not; documents may be empty."""
     lengths = np.array([len(x) for x in documents], "<u4")
     ids = np.concatenate(documents).astype("<u4") if documents else np.zeros(0, "<u4")
-    counts = np.bincount(ids) if len(ids) and ids.max() < 1 << 24 else None
-    if counts is None:
+    small = len(ids) and ids.max() < 1 << 24
+    if small:  # small ids need no sort
+        found = np.bincount(ids)
+        names = np.flatnonzero(found)
+        counts = found[names]
+    else:
         names, which, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    else:  # small ids need no sort
-        names = np.flatnonzero(counts)
-        place = np.zeros(len(counts), np.int32)
-        place[names] = np.arange(len(names))
-        which, counts = place[ids], counts[names]
     order = np.lexsort((names, -counts))
-    rank_of = np.empty(len(order), np.int64)
-    rank_of[order] = np.arange(len(order))
+    rank_of = np.zeros(len(found) if small else len(order), np.int32)
+    rank_of[names[order] if small else order] = np.arange(len(order))
     n = -(-len(ids) // BLOCK)
     ranks = np.zeros(n * BLOCK, np.int32)
-    ranks[: len(ids)] = rank_of[which.reshape(-1)]
+    np.take(rank_of, ids if small else which.reshape(-1), out=ranks[: len(ids)], mode="clip")
     sizes = np.minimum(BLOCK, len(ids) - BLOCK * np.arange(n))
     blocks = _coded(ranks.reshape(n, BLOCK)[:, : sizes.max(initial=0)], sizes, counts[order]) if n else []
     streams = [zlib.compress(x.tobytes()) for x in (np.array(doc_ids, "<i8"), lengths, names[order].astype("<u4"), counts[order].astype("<u4"))]

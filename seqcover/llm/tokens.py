@@ -15,10 +15,12 @@ import os
 import re
 import uuid
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,11 @@ KNOWN_FORM = ["NFC", "Replace", "Lowercase"]
 KNOWN_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters that are in normal form and stay one in lower case: ASCII, Latin letters, dashes, quotes; the letters among them in lower case; and that cut for texts of these.
 _LETTERS = "a-zß-öø-ÿœ"
-PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿŒœ–—‘-”…]*")
-PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \t-\r{_LETTERS}0-9]+")
+PLAIN = r"\A[\x00-\x7FÀ-ÖØ-öø-ÿŒœ–—‘-”…]*\z"
+PIECES = rf"('(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \t-\r{_LETTERS}0-9]+)"
 JOINED = 200
 CACHED, CACHED_CHARS = 300_000, 64
+GATHERED = 8 << 20
 #: White space of Python that isn't the tokenizer's, and chunks of texts that have it.
 SEPARATORS, CHUNKS = re.compile("[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
 
@@ -46,12 +49,12 @@ def chunked(text: str) -> list[str]:
 
 
 class Encoder:
-    """Ids by chunk; of chunks not met again since the last CACHED new ones, none are kept.
+    """Ids by chunk or piece; of those not met again since the last CACHED new ones, none are kept.
 
-    Texts of plain characters are put into lower case and cut into pieces here, as the tokenizer would; each new piece
-    is merged by the tokenizer's own model, JOINED at a time in one text, whose ids fall apart behind those that end a
-    piece. Chunks of other texts, and all chunks if the tokenizer has another normal form or cut, go through the whole
-    tokenizer one by one.
+    Texts of plain characters are put into lower case and cut into chunks and pieces by Arrow, as the tokenizer would,
+    each different chunk once for all texts given at a time; each new piece is merged by the tokenizer's own model, JOINED
+    at a time in one text, whose ids fall apart behind those that end a piece. Chunks of other texts, and all chunks if the
+    tokenizer has another normal form or cut, go through the whole tokenizer one by one.
     """
 
     def __init__(self, path: str):
@@ -67,54 +70,108 @@ class Encoder:
         self.special = [x["content"] for x in said["added_tokens"]]
         self.merging = Tokenizer(self.tokenizer.model)
         self.merging.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.merging_bare = Tokenizer(self.tokenizer.model)
+        self.merging_bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _chunks(self, text: str) -> tuple[list[str], bool]:
-        """The text cut at white space, and whether PIECES cuts its chunks as the tokenizer does."""
-        if self.plain and PLAIN.fullmatch(text) and not any(x in text for x in self.special):
-            return chunked(text.lower()), True
-        return chunked(text), False
-
     def _whole(self, chunks: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found: list[bytes] = []
-        parts = [pieces[k : k + JOINED] for k in range(0, len(pieces), JOINED)]
-        for some, e in zip(parts, self.merging.encode_batch_fast([" ".join(some) for some in parts], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
-            found += [raw[a:b] for a, b in zip([0, *at], at, strict=False)] if len(at) == len(some) and at[-1] == len(raw) else self._whole(some)
+        found: list = [None] * len(pieces)
+        # bytes of ASCII letters have their own names, so those pieces need no ByteLevel
+        bare = [c.isalpha() and c.isascii() for c in pieces]
+        for merging, which in ((self.merging_bare, np.flatnonzero(bare).tolist()), (self.merging, np.flatnonzero(~np.array(bare, bool)).tolist())):
+            parts = [[pieces[k] for k in which[a : a + JOINED]] for a in range(0, len(which), JOINED)]
+            made: list[bytes] = []
+            for some, e in zip(parts, merging.encode_batch_fast([" ".join(some) for some in parts], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at, raw = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+                made += [raw[a:b] for a, b in zip([0, *at], at, strict=False)] if len(at) == len(some) and at[-1] == len(raw) else self._whole(some)
+            for k, own in zip(which, made, strict=True):
+                found[k] = own
+        return found
+
+    def _plain(self, texts: pa.Array) -> np.ndarray:
+        """Whether PIECES cuts each text's chunks as the tokenizer does."""
+        if not self.plain:
+            return np.zeros(len(texts), bool)
+        found = pc.match_substring_regex(texts, PLAIN).to_numpy(zero_copy_only=False)
+        for x in self.special:
+            found &= ~pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
         return found
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self._chunks(x) for x in texts]
+    def _looked_up(self, found: list[str], encoded: Callable[[list[str]], list[bytes]]) -> pa.LargeBinaryArray:
+        """The ids of chunks or pieces; new ones are encoded and, unless they are long, known from then on."""
+        own = list(map(self.known.get, found))
+        fresh = [k for k, x in enumerate(own) if x is None]
+        for k in fresh:
+            own[k] = self.older.get(found[k])
+        new = [k for k in fresh if own[k] is None]
+        for k, x in zip(new, encoded([found[k] for k in new]), strict=True):
+            own[k] = x
+        self.known.update((found[k], own[k]) for k in fresh if len(found[k]) <= CACHED_CHARS)
+        return pa.array(own, pa.large_binary())
+
+    def _encoded_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each different chunk is cut once, and each different piece looked up once."""
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+        chunks = cut.flatten().dictionary_encode()
+        different = chunks.dictionary
+        whole = pc.utf8_is_alpha(different)
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(different.filter(pc.invert(whole)), PIECES, r"\1 "))
+        pieces = pa.concat_arrays([different.filter(whole), parts.flatten()]).dictionary_encode()
+        found = self._looked_up(pieces.dictionary.to_pandas().tolist(), self._pieces).take(pieces.indices)
+        # from pieces to chunks (those of one piece first), then to texts
+        whole = whole.to_numpy(zero_copy_only=False)
+        place = np.empty(len(whole), np.int32)
+        place[np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])] = np.arange(len(whole))
+        found = joined(found, np.concatenate([np.ones(np.count_nonzero(whole), np.int64), _sizes(parts)]))
+        return _arrays(joined(found.take(pa.array(place[chunks.indices.to_numpy()])), _sizes(cut)))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text; an Arrow array has no nulls."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
         if len(self.known) > CACHED:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-
-        def fresh(found: set[str]) -> list[str]:
-            again = found & older.keys()
-            known.update((c, older[c]) for c in again)
-            return list(found - again)
-
-        odd = fresh(set().union(*(own for own, plain in cut if not plain)).difference(known))
-        new = fresh(set().union(*(own for own, plain in cut if plain)).difference(known))
-        parted = [(c, PIECES.findall(c)) for c in new if not c.isalpha()]
-        pieces = fresh({c for c in new if c.isalpha()}.union(*(own for _, own in parted)).difference(known))
-        known.update(zip(pieces, self._pieces(pieces), strict=True))
-        known.update((c, b"".join([known[x] for x in own])) for c, own in parted)
-        known.update(zip(odd, self._whole(odd), strict=True))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own, _ in cut]
-        for c in (*odd, *new, *pieces):
-            if len(c) > CACHED_CHARS:
-                known.pop(c, None)
+        plain = self._plain(texts)
+        out: list = [None] * len(texts)
+        if plain.any():
+            for k, own in zip(np.flatnonzero(plain).tolist(), self._encoded_plain(texts.filter(pa.array(plain))), strict=True):
+                out[k] = own
+        odd = np.flatnonzero(~plain).tolist()
+        if odd:
+            cut = [chunked(texts[k].as_py()) for k in odd]
+            names = list(set().union(*cut))
+            place = {c: k for k, c in enumerate(names)}
+            found = self._looked_up(names, self._whole).take(pa.array([place[c] for own in cut for c in own], pa.int64()))
+            for k, own in zip(odd, _arrays(joined(found, np.array([len(own) for own in cut]))), strict=True):
+                out[k] = own
         return out
 
 
+def joined(parts: pa.LargeBinaryArray, groups: np.ndarray) -> pa.LargeBinaryArray:
+    """Consecutive parts joined, as many as each group says. parts: not a slice."""
+    _, offsets, data = parts.buffers()
+    offsets = np.frombuffer(offsets, "<i8", len(parts) + 1) if len(parts) else np.zeros(1, np.int64)
+    ends = offsets[np.concatenate([[0], np.cumsum(groups)])]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(groups), [None, pa.py_buffer(ends), data])
+
+
+def _arrays(found: pa.LargeBinaryArray) -> list[np.ndarray]:
+    _, offsets, data = found.buffers()
+    ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
+    ends = (np.frombuffer(offsets, "<i8", len(found) + 1) >> 2).tolist()
+    return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().to_numpy().astype(np.int64)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -125,6 +182,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _gathered(batches):
+    """Consecutive batches together, of about GATHERED bytes: the larger, the fewer chunks and pieces are met again."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, stripe: int = STRIPE) -> None:
     """Files of part, stripe, n_ids and data in folder, which all executors share."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -136,9 +206,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         def row():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "stripe": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64()), "data": pa.array([idfile.packed(ids, held)], pa.binary())})
 
-        for batch in (part for whole in batches for part in common.slices(whole)):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for doc_id, own in zip(batch.column("doc_id").to_pylist(), get.encode(texts), strict=True):
+        for batch in _gathered(batches):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), get.encode(batch.column("text").fill_null("")), strict=True):
                 ids.append(NONE if doc_id is None else doc_id)
                 held.append(np.append(own, np.array([end], "<u4")))
                 size += len(own) + 1
