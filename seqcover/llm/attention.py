@@ -163,7 +163,7 @@ def _attend(p: dict, ready: dict, given: np.ndarray, first: np.ndarray, before:
     np.minimum(a, _MOST, out=a)
     np.exp(a, out=a)
     a[first, :, :SPAN] = 0
-    a /= a.sum(-1, keepdims=True)
+    a *= np.reciprocal(_sums(a))[..., None]
     o = np.matmul(a, v)
     h = at("r")
     h += o
@@ -201,22 +201,30 @@ def log_probabilities(shape: Shape, p: dict, ready: dict, given: np.ndarray, con
     return out.reshape(next_.shape)
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Over the last axis; einsum is faster over few columns than sum, and unlike a product with ones gives equal rows equal sums wherever they lie."""
+    return np.einsum("...j->...", x)
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    total = np.exp(x).sum(1)
+    total = _sums(np.exp(x))
     if np.isfinite(total).all():
         return np.log(total)
     top = x.max(1, keepdims=True)
     return top[:, 0] + np.log(np.exp(x - top).sum(1))
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, whole: np.float32) -> np.ndarray:
+    """Shares of whole; x is used up."""
     made = np.exp(x)
-    total = made.sum(1, keepdims=True)
-    if not np.isfinite(total).all():
-        made = np.exp(x - x.max(1, keepdims=True))
-        total = made.sum(1, keepdims=True)
-    made /= total
-    return made
+    total = _sums(made)
+    if np.isfinite(total).all():
+        made *= (whole / total)[:, None]
+        return made
+    x -= x.max(1, keepdims=True)
+    np.exp(x, out=x)
+    x *= (whole / _sums(x))[:, None]
+    return x
 
 
 def gradients(shape: Shape, p: dict, given: np.ndarray, context: np.ndarray, first: np.ndarray, next_: np.ndarray) -> dict:
@@ -226,12 +234,11 @@ def gradients(shape: Shape, p: dict, given: np.ndarray, context: np.ndarray, fir
     ready = tables(p)
     q, k, v, a, o, h = _attend(p, ready, given, first, None)
     order, x, of, at, edges = _by_class(shape, context, next_)
-    ho, n = h.take(order, 0), np.float32(max(len(order), 1))
+    ho, share = h.take(order, 0), np.float32(1 / max(len(order), 1))
     dc = ho @ p["uc"]
     dc += shape.class_bias.take(x, 0)
-    dc = _softmax(dc)
-    dc[np.arange(len(of)), of] -= 1
-    dc /= n
+    dc = _softmax(dc, share)
+    dc[np.arange(len(of)), of] -= share
     g = {"uc": ho.T @ dc, "um": np.zeros_like(p["um"])}
     dho = dc @ p["uc"].T
     for j in range(shape.classes):
@@ -240,9 +247,8 @@ def gradients(shape: Shape, p: dict, given: np.ndarray, context: np.ndarray, fir
             own = slice(shape.edges[j], shape.edges[j + 1])
             dm = ho[s:e] @ p["um"][:, own]
             dm += shape.bias[j].take(x[s:e], 0)
-            dm = _softmax(dm)
-            dm[np.arange(e - s), at[s:e]] -= 1
-            dm /= n
+            dm = _softmax(dm, share)
+            dm[np.arange(e - s), at[s:e]] -= share
             g["um"][:, own] = ho[s:e].T @ dm
             dho[s:e] += dm @ p["um"][:, own].T
     dho *= ho > 0
@@ -259,15 +265,16 @@ def gradients(shape: Shape, p: dict, given: np.ndarray, context: np.ndarray, fir
     wanted, at = np.empty((*given.shape, 2 * KEYS + 2 * SIZE), np.float32), {"q": slice(0, KEYS), "k": slice(KEYS, 2 * KEYS), "v": slice(2 * KEYS, 2 * KEYS + SIZE), "r": slice(2 * KEYS + SIZE, None)}
     np.matmul(ds, k, out=wanted[:, :, at["q"]])
     for name, both in (("k", np.matmul(ds.transpose(0, 2, 1), q)), ("v", np.matmul(a.transpose(0, 2, 1), d))):
-        wanted[:, :, at[name]] = both[:, SPAN:]
-        wanted[:-1, :, at[name]] += both[1:, :SPAN]
+        np.add(both[:-1, SPAN:], both[1:, :SPAN], out=wanted[:-1, :, at[name]])
+        wanted[-1:, :, at[name]] = both[-1:, SPAN:]
     wanted[:, :, at["r"]] = d
     # sums by input
     flat = given.ravel()
     by = np.argsort(flat.astype(np.uint16), kind="stable")
     sorted_ = flat[by]
     edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-    rows, total = sorted_[edge], np.add.reduceat(wanted.reshape(flat.size, -1).take(by, 0), edge, 0)
+    # two columns at a time, as one complex number
+    rows, total = sorted_[edge], np.add.reduceat(wanted.reshape(flat.size, -1).take(by, 0).view(np.complex64), edge, 0).view(np.float32)
     g["e"] = np.zeros_like(p["e"])
     for name, part in at.items():
         g[name] = p["e"][rows].T @ total[:, part]

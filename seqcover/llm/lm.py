@@ -30,6 +30,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ TRAINER_SPANS, LEAST_SPANS = 400_000, 240_000
 #: Spans that are made, and that are scored, at a time.
 MADE, CHUNK = 4096, 512
 CACHED = 300_000
+#: Bytes of texts whose words are looked up together, and texts whose spans are made together.
+GATHERED, TOGETHER = 4 << 20, 256
+JOINED = 1000
 END = ""
 
 
@@ -51,6 +55,24 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class Words:
+    """The words of texts as tokens() has them: the different ones, which one each is, and how many each text has."""
+
+    def __init__(self, texts: pa.Array):
+        cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))))
+        words = cut.flatten().dictionary_encode()
+        self.different = words.dictionary
+        self.names: list[bytes] = self.different.cast(pa.large_binary()).to_pandas().tolist()
+        self.which, self.sizes = words.indices.to_numpy(), cut.value_lengths().to_numpy().astype(np.int64)
+        if b"" in self.names:  # of texts without words
+            empty = self.which == self.names.index(b"")
+            self.sizes -= np.bincount(self.text_of()[empty], minlength=len(self.sizes))
+            self.which = self.which[~empty]
+
+    def text_of(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -69,7 +91,7 @@ class Subwords(dict):
         self.begins = np.array([token[:1] == b" " for token, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
     def __missing__(self, word: bytes) -> bytes:
-        made = np.array(self.coding.encode_ordinary(" " + word.decode()), "<u2").tobytes()
+        made = self.made(word)
         if len(word) <= HEAD_BYTES:
             if len(self) >= CACHED:
                 self.clear()
@@ -79,6 +101,36 @@ class Subwords(dict):
     def ids(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)) + self.end, "<u2").astype(np.int64)
 
+    def _joined(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, from one text of all of them: the pattern cuts before each of its spaces if there is no other white space in it."""
+        text = b" ".join([b"", *words]).decode()
+        if len(text.split()) == len(words):
+            ids = np.array(self.coding.encode_ordinary(text), "<u2")
+            at, raw = (2 * np.flatnonzero(self.begins[ids])).tolist(), ids.tobytes()
+            if len(at) == len(words):
+                return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
+        return [self.made(w) for w in words]
+
+    def made(self, word: bytes) -> bytes:
+        return np.array(self.coding.encode_ordinary(" " + word.decode()), "<u2").tobytes() if word else b""
+
+    def documents(self, words: Words) -> list[np.ndarray]:
+        """The 16-bit ids of each text; each different word is looked up once."""
+        if len(self) >= CACHED:
+            self.clear()
+        own = list(map(self.get, words.names))
+        new = [k for k, x in enumerate(own) if x is None]
+        for a in range(0, len(new), JOINED):
+            some = [words.names[k] for k in new[a : a + JOINED]]
+            for k, x in zip(new[a : a + JOINED], self._joined(some), strict=True):
+                own[k] = x
+        self.update((words.names[k], own[k]) for k in new if len(words.names[k]) <= HEAD_BYTES)
+        found = pa.array([*own, self.end], pa.large_binary())
+        which = np.insert(words.which, np.cumsum(words.sizes), len(words.names))
+        _, offsets, data = common.joined(found.take(pa.array(which)), words.sizes + 1).buffers()
+        ids, ends = np.frombuffer(data, "<u2"), np.frombuffer(offsets, "<i8", len(words.sizes) + 1) >> 1
+        return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+
 
 _subwords: dict[tuple[str, int], Subwords] = {}
 
@@ -165,7 +217,10 @@ def _trainer(shared, passes: int, rates: tuple[float, float], path: str, size: i
         shape, start = shared.value
         get = subwords(path, size)
         # about TRAINER_SPANS spans, as 16-bit ids
-        held = [get.ids(tokens(t)).astype("<u2") for batch in batches for i, t in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True) if not held_out(i)]
+        held = []
+        for batch in common.gathered(batches, GATHERED):
+            own = pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
+            held += [x.copy() for x in get.documents(Words(batch.column("text").filter(own)))]
         if not held:
             return
         sizes = np.array([-(-len(x) // attention.SPAN) for x in held])
@@ -228,25 +283,23 @@ def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> Da
         ready, get = attention.tables(p), subwords(path, size)
         key = TaskContext.get().partitionId() << 40
         empty = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-        for batch in (part for whole in batches for part in common.slices(whole)):
-            ids, n = batch.column("doc_id").to_pylist(), batch.num_rows
-            own = [tokens(t) for t in common.texts(batch)]
-            scores = _scores(shape, p, ready, [get.ids(x) for x in own])
-            got = [[known.get(w) for w in x] for x in own]
-            sums = [sum(b for b in x if b is not None) + end_base for x in got]
-            # rare words of each document, and how often
-            rare = [Counter(w for w, b in zip(x, y, strict=True) if b is None) for x, y in zip(own, got, strict=True)]
-            n_words = np.array([len(x) for x in own], np.int64)
-            n_known = n_words - np.array([x.total() for x in rare], np.int64) + end_known
+        for batch in common.gathered(batches, GATHERED):
+            ids, n, words = batch.column("doc_id").to_pylist(), batch.num_rows, Words(batch.column("text"))
+            documents = get.documents(words)
+            scores = np.concatenate([_scores(shape, p, ready, [x.astype(np.int64) for x in documents[k : k + TOGETHER]]) for k in range(0, n, TOGETHER)] or [np.zeros(0)])
+            of, got = words.text_of(), np.array([known.get(w, math.nan) for w in words.names])[words.which]
+            rare = np.isnan(got)
+            sums = np.bincount(of[~rare], got[~rare], n) + end_base
+            n_known = words.sizes - np.bincount(of[rare], minlength=n) + end_known
             at = np.arange(key, key + n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids]), pa.array(n_words + 1), pa.array(n_known), pa.array(sums, pa.float64()), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()]), pa.array(np.zeros(n, np.int64))],
+                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(words.sizes + 1), pa.array(n_known), pa.array(sums, pa.float64()), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()], pa.string()), pa.array(np.zeros(n, np.int64))],
                 names=["key", *empty, "word", "times"],
             )
-            size_of = [len(x) for x in rare]
-            spelt = pa.array([w.decode() for x in rare for w in x], pa.string())
-            times = pa.array([t for x in rare for t in x.values()], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, size_of)), *(pa.nulls(len(spelt), t) for t in empty.values()), spelt, times], names=["key", *empty, "word", "times"])
+            # rare words of each document, and how often
+            pairs, times = np.unique(of[rare] * max(1, len(words.names)) + words.which[rare], return_counts=True)
+            where, which = np.divmod(pairs, max(1, len(words.names)))
+            yield pa.RecordBatch.from_arrays([pa.array(at[where]), *(pa.nulls(len(pairs), t) for t in empty.values()), words.different.take(pa.array(which)).cast(pa.string()), pa.array(times, pa.int64())], names=["key", *empty, "word", "times"])
             key += n
 
     made = docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word string, times long")

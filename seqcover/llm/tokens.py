@@ -38,6 +38,7 @@ PLAIN = r"\A[\x00-\x7FÀ-ÖØ-öø-ÿŒœ–—‘-”…]*\z"
 PIECES = rf"('(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^ \t-\r{_LETTERS}0-9]+)"
 JOINED = 200
 CACHED, CACHED_CHARS = 300_000, 64
+#: Bytes of texts that are encoded together: the more, the fewer chunks and pieces are met again.
 GATHERED = 8 << 20
 #: White space of Python that isn't the tokenizer's, and chunks of texts that have it.
 SEPARATORS, CHUNKS = re.compile("[\x1c-\x1f]"), re.compile(r"[\S\x1c-\x1f]+")
@@ -129,8 +130,8 @@ class Encoder:
         whole = whole.to_numpy(zero_copy_only=False)
         place = np.empty(len(whole), np.int32)
         place[np.concatenate([np.flatnonzero(whole), np.flatnonzero(~whole)])] = np.arange(len(whole))
-        found = joined(found, np.concatenate([np.ones(np.count_nonzero(whole), np.int64), _sizes(parts)]))
-        return _arrays(joined(found.take(pa.array(place[chunks.indices.to_numpy()])), _sizes(cut)))
+        found = common.joined(found, np.concatenate([np.ones(np.count_nonzero(whole), np.int64), _sizes(parts)]))
+        return _arrays(common.joined(found.take(pa.array(place[chunks.indices.to_numpy()])), _sizes(cut)))
 
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text; an Arrow array has no nulls."""
@@ -148,19 +149,11 @@ class Encoder:
             names = list(set().union(*cut))
             place = {c: k for k, c in enumerate(names)}
             found = self._looked_up(names, self._whole).take(pa.array([place[c] for own in cut for c in own], pa.int64()))
-            for k, own in zip(odd, _arrays(joined(found, np.array([len(own) for own in cut]))), strict=True):
+            for k, own in zip(odd, _arrays(common.joined(found, np.array([len(own) for own in cut]))), strict=True):
                 out[k] = own
         return out
 
 
-def joined(parts: pa.LargeBinaryArray, groups: np.ndarray) -> pa.LargeBinaryArray:
-    """Consecutive parts joined, as many as each group says. parts: not a slice."""
-    _, offsets, data = parts.buffers()
-    offsets = np.frombuffer(offsets, "<i8", len(parts) + 1) if len(parts) else np.zeros(1, np.int64)
-    ends = offsets[np.concatenate([[0], np.cumsum(groups)])]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(groups), [None, pa.py_buffer(ends), data])
-
-
 def _arrays(found: pa.LargeBinaryArray) -> list[np.ndarray]:
     _, offsets, data = found.buffers()
     ids = np.frombuffer(data, "<u4") if data else np.zeros(0, "<u4")
@@ -182,19 +175,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _gathered(batches):
-    """Consecutive batches together, of about GATHERED bytes: the larger, the fewer chunks and pieces are met again."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= GATHERED:
-            yield pa.concat_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.concat_batches(held)
-
-
 def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END, stripe: int = STRIPE) -> None:
     """Files of part, stripe, n_ids and data in folder, which all executors share."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -206,7 +186,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         def row():
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "stripe": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64()), "data": pa.array([idfile.packed(ids, held)], pa.binary())})
 
-        for batch in _gathered(batches):
+        for batch in common.gathered(batches, GATHERED):
             for doc_id, own in zip(batch.column("doc_id").to_pylist(), get.encode(batch.column("text").fill_null("")), strict=True):
                 ids.append(NONE if doc_id is None else doc_id)
                 held.append(np.append(own, np.array([end], "<u4")))

@@ -369,7 +369,7 @@ def test_words_of_plain_texts_are_looked_up_once():
     encoder.known = Counting()
     assert len(encoder.encode([texts[0].replace("«", "").replace("»", "")])[0]) > 9000 and encoder.known.asked < 50
     batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": ["x" * 1000]}) for k in range(20_000)]
-    gathered = [b.column("doc_id").to_pylist() for b in tokens._gathered(iter(batches))]
+    gathered = [b.column("doc_id").to_pylist() for b in common.gathered(iter(batches), tokens.GATHERED)]
     assert len(gathered) <= 4 and [k for own in gathered for k in own] == list(range(20_000))
 
 
@@ -775,6 +775,30 @@ def test_model_learns():
     assert score() > was + 1
 
 
+def test_words_are_encoded_once():
+    get, asked = lm.Subwords(public_tokenizers.path(lm.VOCABULARY), 2048), []
+    made, joined = get.made, get._joined
+    get.made = lambda word: asked.append(word) or made(word)
+    get._joined = lambda words: asked.extend(words) or joined(words)
+    texts = ["The one\x1cand\u00a0the\x0btwo É, x", "", None, " \n", "the ONE, 日本\u3000a. " * 500, "no\u0085 white\u2028 space\x1f", *(f"w{k} it's <|x|>" for k in range(2500))]
+    words = lm.Words(pa.array(texts))
+    plain = [lm.tokens((t or "").encode()) for t in texts]
+    assert words.sizes.tolist() == [len(x) for x in plain] and [words.names[k] for k in words.which] == [w for x in plain for w in x]
+    got = get.documents(words)
+    assert len(asked) < 2 * len(words.names)
+    slow = lm.Subwords(public_tokenizers.path(lm.VOCABULARY), 2048)
+    assert [x.tolist() for x in got] == [slow.ids(x).tolist() for x in plain]
+    before = len(asked)
+    assert len(get.documents(words)) == len(texts) and len(asked) == before
+
+
+def test_equal_rows_have_equal_sums():
+    rng = np.random.default_rng(5)
+    for k in (1, 5, 16, 23, 32, 46):
+        row = np.exp(rng.normal(size=k)).astype(np.float32)
+        assert len({x for n in (*range(1, 40), 300) for x in attention._sums(np.tile(row, (n, 1))).tolist()}) == 1
+
+
 def test_each_token_is_scored_once():
     shape, _, docs = model()
     spans = attention.Spans(shape, docs)
