@@ -73,10 +73,9 @@ class Shape:
         own = np.zeros((len(pairs), m))
         np.add.at(own, (which.reshape(-1), behind_two[:, 2]), behind_two[:, 3])
         two = known(own[:, order], own[:, outside], one[np.minimum(self.rank[np.minimum(pairs % m, size)], self.rare)])
-        # context of each pair of an input's raw id with the one before it
         self.begins = np.append(begins, [True] * (self.ids - len(begins)))
-        self.context = np.tile(np.append(np.minimum(self.rank, self.rare), self.start), (m, 1)).astype(np.int32)
-        self.context[pairs // m, pairs % m] = used + 3 + np.arange(len(pairs))
+        self.pairs = pairs
+        self._find_contexts()
         every = np.concatenate([one, two])
         whole = np.add.reduceat(every, self.edges[:-1], 1)
         missing = 1e-5 if self.unused else 1e-30
@@ -84,6 +83,19 @@ class Shape:
         #: of each class, a row for each context
         self.bias = [np.log(every[:, a:b] / whole[:, j : j + 1]).astype(np.float32) for j, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False))]
 
+    def _find_contexts(self) -> None:
+        """The context of each pair of an input's raw id with the one before it; made again where the shape is sent."""
+        m = self.ids + 1
+        self.context = np.tile(np.append(np.minimum(self.rank, self.rare), self.start), (m, 1)).astype(np.int32)
+        self.context[self.pairs // m, self.pairs % m] = self.used + 3 + np.arange(len(self.pairs))
+
+    def __getstate__(self) -> dict:
+        return {name: x for name, x in self.__dict__.items() if name != "context"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._find_contexts()
+
     def parameters(self, seed: int = 3) -> dict[str, np.ndarray]:
         rng = np.random.default_rng(seed)
         draw = lambda scale, *shape: (rng.normal(0, scale, shape)).astype(np.float32)

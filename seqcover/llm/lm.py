@@ -7,15 +7,16 @@ id is never held out, a null text is empty).
 Base: counts of all training tokens, by one shuffle of counts summed in each task. The HEAD most frequent words (a
 bounded number) go to the tasks; rarer ones are joined with their counts, one row for each document and word.
 
-Model: the ids of each word by the first SUBWORDS ranks of a byte-level BPE vocabulary, and an end id. Its first logits
-come from counts of ids behind one id, and behind the CONTEXTS most frequent pairs of ids, over all training tokens (by
+Model: the ids of each word by byte pairs merged in the order learnt from the counts of the HEAD most frequent words (all
+bytes and the merges, SUBWORDS in all at most), and an end id. Texts are turned into ids once; the table of ids is stored and read
+by all that follows. The first logits come from counts of ids behind one id, and behind the CONTEXTS most frequent pairs of ids, over all training tokens (by
 one shuffle; no more than SUBWORDS squared, and CONTEXTS times SUBWORDS, sums reach the driver). Its weights learn from
 every span of every training text: trainers work side by side, as many as have TRAINER_SPANS spans in each of ROUNDS
 rounds, each on its share of the texts, and their weights are averaged after each round; fewer than LEAST_SPANS spans
 are gone over several times. Scoring cuts each text into spans that overlap with the one before, so that each token is
 scored once, with SPAN to 2 * SPAN - 1 ids of context.
 
-Rows are scored one by one: repeated rows get equal scores, texts of any length are scored whole, an empty text is its
+Rows are scored one by one: equal texts get equal scores (the least, where rounding sets them apart), texts of any length are scored whole, an empty text is its
 end alone, columns other than doc_id and text are left out. Without training texts all shares are even; no rows give no
 rows.
 """
@@ -23,21 +24,26 @@ rows.
 from __future__ import annotations
 
 import base64
+import hashlib
+import heapq
 import math
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention, common
 
-VOCABULARY, SUBWORDS = "byte_bpe_multi_50k.tiktoken", 2048
+VOCABULARY, SUBWORDS = "byte_bpe_multi_50k.tiktoken", 1024
+#: Pairs that occur less often aren't merged: too little would be counted behind them.
+LEAST_PAIRS = 400
 HEAD, HEAD_BYTES = 65_536, 64
 CONTEXTS = 4096
 ROUNDS, BATCH, RATE = 2, 256, 0.015
@@ -48,6 +54,7 @@ CACHED = 300_000
 #: Bytes of texts whose words are looked up together, and texts whose spans are made together.
 GATHERED, TOGETHER = 4 << 20, 256
 JOINED = 1000
+PARTS = 32
 END = ""
 
 
@@ -59,6 +66,8 @@ class Words:
     """The words of texts as tokens() has them: the different ones, which one each is, and how many each text has."""
 
     def __init__(self, texts: pa.Array):
+        if texts.offset:  # Arrow reads slices that were cast from the wrong place
+            texts = texts.take(pa.array(np.arange(len(texts))))
         cut = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null(""))))
         words = cut.flatten().dictionary_encode()
         self.different = words.dictionary
@@ -80,13 +89,18 @@ def held_out(doc_id: int | None) -> bool:
 class Subwords(dict):
     """Little-endian 16-bit ids of each word."""
 
-    def __init__(self, path: str, size: int):
+    def __init__(self, path: str | tuple[bytes, ...], size: int):
+        """path: of a vocabulary's file, of which the first ranks are taken, or the pieces by rank."""
         import tiktoken
 
         super().__init__()
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if int(rank) < size}
-        self.coding = tiktoken.Encoding("subwords", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        if isinstance(path, str):
+            pattern = public_tokenizers.PATTERN
+            with open(path, "rb") as lines:
+                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines) if int(rank) < size}
+        else:
+            pattern, ranks = " [^ ]*|[^ ]+", {piece: rank for rank, piece in enumerate(path[:size])}
+        self.coding = tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = np.array([size], "<u2").tobytes()
         self.begins = np.array([token[:1] == b" " for token, _ in sorted(ranks.items(), key=lambda x: x[1])])
 
@@ -132,39 +146,83 @@ class Subwords(dict):
         return [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
 
 
-_subwords: dict[tuple[str, int], Subwords] = {}
+_subwords: dict[tuple[str | tuple[bytes, ...], int], Subwords] = {}
 
 
-def subwords(path: str, size: int) -> Subwords:
+def subwords(path: str | tuple[bytes, ...], size: int) -> Subwords:
     if (path, size) not in _subwords:
         _subwords[path, size] = Subwords(path, size)
     return _subwords[path, size]
 
 
+def pieces(found: dict[bytes, int], size: int) -> tuple[bytes, ...]:
+    """All bytes, then the byte pairs to merge, most frequent first (ties: first in order), learnt from counts of words: size of them, or fewer if what is left occurs less than LEAST_PAIRS times."""
+    words = [([b"%c" % x for x in b" " + w], n) for w, n in found.items() if w]
+    pairs, where = Counter(), defaultdict(set)
+    for k, (parts, n) in enumerate(words):
+        for pair in zip(parts, parts[1:], strict=False):
+            pairs[pair] += n
+            where[pair].add(k)
+    made = dict.fromkeys(b"%c" % x for x in range(256))
+    heap = [(-n, pair) for pair, n in pairs.items()]
+    heapq.heapify(heap)
+    while heap and len(made) < size:
+        n, pair = heapq.heappop(heap)
+        if -n < LEAST_PAIRS:
+            break
+        if -n != pairs[pair]:  # a count that has changed since
+            continue
+        made.setdefault(pair[0] + pair[1])
+        changed = set()
+        for k in where.pop(pair):
+            parts, n = words[k]
+            merged, at = [], 0
+            while at < len(parts):
+                both = at + 1 < len(parts) and parts[at] == pair[0] and parts[at + 1] == pair[1]
+                merged.append(pair[0] + pair[1] if both else parts[at])
+                at += 1 + both
+            for old in zip(parts, parts[1:], strict=False):
+                pairs[old] -= n
+                changed.add(old)
+            for new in zip(merged, merged[1:], strict=False):
+                pairs[new] += n
+                where[new].add(k)
+                changed.add(new)
+            words[k] = merged, n
+        for other in changed:
+            if pairs[other] > 0:
+                heapq.heappush(heap, (-pairs[other], other))
+    return tuple(made)
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """word and c of all training tokens; the end is the empty word."""
 
     def run(batches):
-        found: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(found.values(), pa.int64())], names=["word", "c"])
-
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), common.texts(batch), strict=True):
-                if not held_out(doc_id):
-                    found.update(tokens(text))
-                    found[b""] += 1
-            if len(found) > 400_000:
-                yield out()
-                found = Counter()
-        if found:
-            yield out()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+        held = []
 
+        def summed():
+            return pa.Table.from_batches(held).group_by("word").aggregate([("c", "sum")]).rename_columns(["word", "c"]).combine_chunks()
 
-def statistics(word_counts: DataFrame, path: str, size: int, contexts: int) -> attention.Shape:
+        for batch in common.gathered(batches, GATHERED):
+            own = pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
+            words = Words(batch.column("text").filter(own))
+            c = np.bincount(words.which, minlength=len(words.names))
+            some = np.flatnonzero(c)
+            held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([words.different.take(pa.array(some)).cast(pa.string()), pa.array([END])]), pa.array([*c[some].tolist(), len(words.sizes)], pa.int64())], names=["word", "c"]))
+            if sum(x.num_rows for x in held) > 1_000_000:
+                held = summed().to_batches()
+                if sum(x.num_rows for x in held) > 400_000:
+                    yield from held
+                    held = []
+        if held:
+            yield from summed().to_batches()
+
+    sums = docs.select("doc_id", "text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return sums.where(F.col("c") > 0)
+
+
+def statistics(word_counts: DataFrame, path: str | tuple[bytes, ...], size: int, contexts: int) -> attention.Shape:
     """The model's shape and first logits, from counts of ids behind one and two others in all training tokens."""
     m = size + 2
 
@@ -189,42 +247,77 @@ def statistics(word_counts: DataFrame, path: str, size: int, contexts: int) -> a
     return attention.Shape(size, subwords(path, size).begins, order(one), order(two))
 
 
-def trained(docs: DataFrame, word_counts: DataFrame, path: str, size: int = SUBWORDS) -> tuple[attention.Shape, dict]:
+def coded(docs: DataFrame, path: str | tuple[bytes, ...], size: int, base: dict[bytes, float] | None = None) -> DataFrame:
+    """One row for each row of docs: a key, doc_id, held_out, n_tokens, the 16-bit ids of the text, how many of its words base has and the sum of their values, and the other words with how often they occur."""
+    shared = docs.sparkSession.sparkContext.broadcast(base or {})
+
+    def run(batches):
+        known, get = shared.value, subwords(path, size)
+        key = TaskContext.get().partitionId() << 40
+        for batch in common.gathered(batches, GATHERED):
+            doc_ids, n, words = batch.column("doc_id").to_pylist(), batch.num_rows, Words(batch.column("text"))
+            of, got = words.text_of(), np.array([known.get(w, math.nan) for w in words.names])[words.which]
+            rare = np.isnan(got)
+            # rare words of each document, and how often
+            pairs, times = np.unique(of[rare] * max(1, len(words.names)) + words.which[rare], return_counts=True)
+            where, which = np.divmod(pairs, max(1, len(words.names)))
+            ends = pa.array(np.searchsorted(where, np.arange(n + 1)), pa.int32())
+            others = pa.MapArray.from_arrays(ends, words.different.take(pa.array(which)).cast(pa.string()), pa.array(times, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(key, key + n)), pa.array(doc_ids, pa.int64()), pa.array([held_out(i) for i in doc_ids], pa.bool_()), pa.array(words.sizes + 1), pa.array([x.tobytes() for x in get.documents(words)], pa.binary()), pa.array(words.sizes - np.bincount(of[rare], minlength=n)), pa.array(np.bincount(of[~rare], got[~rare], n), pa.float64()), others],
+                names=["key", "doc_id", "held_out", "n_tokens", "ids", "known", "base", "rare"],
+            )
+            key += n
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, ids binary, known long, base double, rare map<string, long>")
+
+
+def _ids(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in batch.column("ids").to_pylist()]
+
+
+def trained(docs: DataFrame, word_counts: DataFrame, path: str | tuple[bytes, ...], size: int = SUBWORDS) -> tuple[attention.Shape, dict]:
+    ids = common.stored(coded(docs, path, size).select("doc_id", "held_out", "ids"), "ids")
+    try:
+        shared, p = learnt(ids, word_counts, path, size)
+        return shared.value, p
+    finally:
+        common.forget(ids)
+
+
+def learnt(ids: DataFrame, word_counts: DataFrame, path: str | tuple[bytes, ...], size: int) -> tuple[Broadcast, dict]:
+    """The model's shape, sent to the executors once, and its weights. ids: as coded() makes them."""
     shape = statistics(word_counts, path, size, CONTEXTS)
-    p = shape.parameters()
+    p, sent = shape.parameters(), ids.sparkSession.sparkContext.broadcast(shape)
     n = int(shape.counts.sum()) // attention.SPAN
     if not shape.counts.any():
-        return shape, p
+        return sent, p
     trainers, passes = max(1, n // (ROUNDS * TRAINER_SPANS)), max(1, -(-LEAST_SPANS // max(1, n)))
-    texts = docs.select("doc_id", "text").withColumn("at", F.xxhash64("doc_id", "text"))
-    spark = docs.sparkSession
+    texts = ids.where(~F.col("held_out")).select("ids", F.xxhash64("doc_id", "ids").alias("at"))
+    spark = ids.sparkSession
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((shape, p))
+        start = spark.sparkContext.broadcast(p)
         own = texts.where(F.pmod("at", F.lit(ROUNDS)) == k).repartition(trainers, "at")
         rates = RATE * (1 - k / ROUNDS), RATE * (1 - (k + 1) / ROUNDS)
-        weights = own.sortWithinPartitions("at").mapInArrow(_trainer(shared, passes, rates, path, size), "n long, weights binary")
+        weights = own.sortWithinPartitions("at").mapInArrow(_trainer(sent, start, passes, rates), "n long, weights binary")
         rows = weights.repartition(min(trainers, 16)).mapInArrow(_summed, "n long, weights binary").collect()
         if rows:
             mean = sum(np.frombuffer(r.weights, "<f8") for r in rows) / max(1, sum(r.n for r in rows))
             p = attention.unpacked(p, mean.astype("<f4").tobytes())
-    return shape, p
+    return sent, p
 
 
-def _trainer(shared, passes: int, rates: tuple[float, float], path: str, size: int):
+def _trainer(sent: Broadcast, start: Broadcast, passes: int, rates: tuple[float, float]):
     """rates: at first and at last."""
 
     def run(batches):
-        shape, start = shared.value
-        get = subwords(path, size)
+        shape = sent.value
         # about TRAINER_SPANS spans, as 16-bit ids
-        held = []
-        for batch in common.gathered(batches, GATHERED):
-            own = pa.array([not held_out(i) for i in batch.column("doc_id").to_pylist()], pa.bool_())
-            held += [x.copy() for x in get.documents(Words(batch.column("text").filter(own)))]
+        held = [x for batch in batches for x in _ids(batch)]
         if not held:
             return
         sizes = np.array([-(-len(x) // attention.SPAN) for x in held])
-        p, rng, n, done = {name: x.copy() for name, x in start.items()}, np.random.default_rng(5), int(sizes.sum()), 0
+        p, rng, n, done = {name: x.copy() for name, x in start.value.items()}, np.random.default_rng(5), int(sizes.sum()), 0
         adam = attention.Adam(p)
         for _ in range(passes):
             order = rng.permutation(len(held))
@@ -265,50 +358,44 @@ def _head(word_counts: DataFrame) -> tuple[int, dict[bytes, int]]:
 
 
 def scored(docs: DataFrame, path: str | None = None, size: int = SUBWORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of docs (doc_id, text)."""
-    path = path or public_tokenizers.path(VOCABULARY)
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of docs (doc_id, text). path: of a vocabulary to take instead of learning one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     word_counts = common.stored(counts(docs), "counts")
     total, distinct = word_counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    shape, p = trained(docs, word_counts, path, size)
     least, head = _head(word_counts)
+    if path is None:
+        path = pieces(head, size)
+        size = len(path)
     below = math.log10(total + 0.5 * (distinct + 1))
     base = {w: math.log10(c + 0.5) - below for w, c in head.items() if w}
     end_known = int(head.get(b"", 0) > 0)
     end_base = math.log10(head.get(b"", 0) + 0.5) - below
-    shared = docs.sparkSession.sparkContext.broadcast((base, shape, p))
+    ids = common.stored(coded(docs, path, size, base), "ids")
+    sent, p = learnt(ids, word_counts, path, size)
+    weights = docs.sparkSession.sparkContext.broadcast(p)
 
     def run(batches):
-        known, shape, p = shared.value
-        ready, get = attention.tables(p), subwords(path, size)
-        key = TaskContext.get().partitionId() << 40
-        empty = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-        for batch in common.gathered(batches, GATHERED):
-            ids, n, words = batch.column("doc_id").to_pylist(), batch.num_rows, Words(batch.column("text"))
-            documents = get.documents(words)
-            scores = np.concatenate([_scores(shape, p, ready, [x.astype(np.int64) for x in documents[k : k + TOGETHER]]) for k in range(0, n, TOGETHER)] or [np.zeros(0)])
-            of, got = words.text_of(), np.array([known.get(w, math.nan) for w in words.names])[words.which]
-            rare = np.isnan(got)
-            sums = np.bincount(of[~rare], got[~rare], n) + end_base
-            n_known = words.sizes - np.bincount(of[rare], minlength=n) + end_known
-            at = np.arange(key, key + n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(at), pa.array(ids, pa.int64()), pa.array([held_out(i) for i in ids], pa.bool_()), pa.array(words.sizes + 1), pa.array(n_known), pa.array(sums, pa.float64()), pa.array(scores), pa.array([f"\t{k}" for k in at.tolist()], pa.string()), pa.array(np.zeros(n, np.int64))],
-                names=["key", *empty, "word", "times"],
-            )
-            # rare words of each document, and how often
-            pairs, times = np.unique(of[rare] * max(1, len(words.names)) + words.which[rare], return_counts=True)
-            where, which = np.divmod(pairs, max(1, len(words.names)))
-            yield pa.RecordBatch.from_arrays([pa.array(at[where]), *(pa.nulls(len(pairs), t) for t in empty.values()), words.different.take(pa.array(which)).cast(pa.string()), pa.array(times, pa.int64())], names=["key", *empty, "word", "times"])
-            key += n
-
-    made = docs.mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word string, times long")
+        shape, p = sent.value, weights.value
+        ready = attention.tables(p)
+        for batch in (part for whole in batches for part in common.slices(whole, TOGETHER)):
+            scores = _scores(shape, p, ready, [x.astype(np.int64) for x in _ids(batch)])
+            same = [hashlib.blake2b(x, digest_size=16).digest() for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in names), pa.array(same, pa.binary()), pa.array(scores)], names=[*names, "same", "score"])
+
+    names = ["key", "doc_id", "held_out", "n_tokens", "known", "base"]
+    whole = ids.select(*names, "ids").mapInArrow(run, "key long, doc_id long, held_out boolean, n_tokens long, known long, base double, same binary, score double")
     rare = word_counts.where((F.col("c") < least) | (F.octet_length("word") > HEAD_BYTES))
     c = F.coalesce("c", F.lit(0))
-    rest = made.join(rare, "word", "left").select("*", (F.col("times") * (F.log10(c + 0.5) - below)).alias("more"), F.when(c > 0, F.col("times")).otherwise(0).alias("found"))
-    one = lambda name: F.max(name).alias(name)
-    out = rest.groupBy("key").agg(one("doc_id"), one("held_out"), one("n_tokens"), F.sum("known").alias("known"), F.sum("found").alias("found"), F.sum("base").alias("base"), F.sum("more").alias("more"), F.sum("score").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.col("found")).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more")).alias("base_score"), "score")
+    others = ids.select("key", F.explode("rare").alias("word", "times")).join(rare, "word", "left")
+    more = others.groupBy("key").agg(F.sum(F.col("times") * (F.log10(c + 0.5) - below)).alias("more"), F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("found"))
+    out = whole.join(more, "key", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    made = common.stored(out.select("key", "same", "doc_id", "held_out", "n_tokens", (F.col("known") + zero("found") + end_known).alias("n_known"), (F.col("base") + zero("more") + end_base).alias("base_score"), "score"), "scores")
+    # products of matrices round by a row's place among others: of equal texts the least sum counts; many equal texts are dealt out over PARTS tasks
+    sums = made.groupBy("same").agg(*(f(name).alias(f"{f.__name__}_{name}") for name in ("base_score", "score") for f in (F.min, F.max)))
+    apart = sums.where((F.col("min_base_score") < F.col("max_base_score")) | (F.col("min_score") < F.col("max_score"))).select("same", "min_base_score", "min_score", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    even = made.withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int")).join(apart, ["same", "part"], "left")
+    return even.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.coalesce("min_base_score", "base_score").alias("base_score"), F.coalesce("min_score", "score").alias("score"))
 
 
 def _scores(shape: attention.Shape, p: dict, ready: dict, documents: list[np.ndarray]) -> np.ndarray:

@@ -792,6 +792,71 @@ def test_words_are_encoded_once():
     assert len(get.documents(words)) == len(texts) and len(asked) == before
 
 
+def test_pieces_equal_plain_merging(monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_PAIRS", 3)
+    rng = np.random.default_rng(4)
+    found = {bytes(rng.choice(list(b"aab\xc3"), rng.integers(0, 9)).tolist()): int(rng.integers(1, 6)) for _ in range(80)}
+    words, plain = {w: [b"%c" % x for x in b" " + w] for w in found if w}, [b"%c" % x for x in range(256)]
+    while len(plain) < 300:
+        pairs = Counter()
+        for w, parts in words.items():
+            for pair in zip(parts, parts[1:], strict=False):
+                pairs[pair] += found[w]
+        best = min(pairs, key=lambda x: (-pairs[x], x), default=None)
+        if best is None or pairs[best] < 3:
+            break
+        if best[0] + best[1] not in plain:
+            plain.append(best[0] + best[1])
+        for w, parts in words.items():
+            out = []
+            for x in parts:  # pairs from the left
+                if out and (out[-1], x) == best and not (len(out) > 1 and out[-1] is None):
+                    out[-1:] = [best[0] + best[1], None]
+                else:
+                    out.append(x)
+            words[w] = [x for x in out if x is not None]
+    assert list(lm.pieces(found, 300)) == plain and 270 < len(plain)
+    assert list(lm.pieces(found, 265)) == plain[:265] and len(lm.pieces({}, 300)) == 256
+
+
+def test_words_of_slices():
+    texts = [f"One {k} " * (k % 7) for k in range(3000)]
+    words = lm.Words(pa.array(texts).slice(1100, 900))
+    assert [words.names[k] for k in words.which] == [w for t in texts[1100:2000] for w in lm.tokens(t.encode())]
+
+
+def test_shape_is_sent_without_its_contexts():
+    import pickle
+
+    shape, _, _ = model(200)
+    raw = pickle.dumps(shape)
+    assert (pickle.loads(raw).context == shape.context).all() and len(raw) < sum(x.nbytes for x in (shape.class_bias, *shape.bias)) + shape.context.nbytes
+
+
+def test_ids_are_those_of_the_whole_texts(spark, documents):
+    found = Counter(w for d in documents for w in lower(d.text).encode().split())
+    pieces = lm.pieces(dict(found.most_common(500)), 400)
+    base = {w: math.log10(c) for w, c in found.most_common(100)}
+    odd = [(-1, None), (-2, ""), (None, " x\x1fy\u2028z  \x0b" + "long" * 5000), (-3, "\n"), (-3, "\u00a0 the <|x|> the THE")]
+    rows = lm.coded(spark.createDataFrame([(d.doc_id, d.text) for d in documents] + odd, "doc_id long, text string"), pieces, len(pieces), base).collect()
+    assert len({r.key for r in rows}) == len(rows) == len(documents) + len(odd)
+    want, got = Counter(), Counter()
+    for i, t in [*((d.doc_id, d.text) for d in documents), *odd]:
+        words = lower(t or "").encode().split()
+        rare = Counter(w for w in words if w not in base)
+        want[i, b"".join(b" " + w for w in words), len(words) + 1, len(words) - rare.total(), round(sum(base.get(w, 0) for w in words), 6), tuple(sorted(rare.items()))] += 1
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u2").tolist()
+        assert ids[-1] == len(pieces) and r.held_out == lm.held_out(r.doc_id)
+        got[r.doc_id, b"".join(pieces[k] for k in ids[:-1]), r.n_tokens, r.known, round(r.base, 6), tuple(sorted((w.encode(), n) for w, n in r.rare.items()))] += 1
+    assert got == want
+
+
+def test_held_out_score_with_learnt_pieces(spark):
+    rows = [r for r in llm.QUERIES["op1_lm_score"](spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score - r.base_score for r in rows) / sum(r.n_tokens for r in rows) > 0.12
+
+
 def test_equal_rows_have_equal_sums():
     rng = np.random.default_rng(5)
     for k in (1, 5, 16, 23, 32, 46):
